@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from . import line_dedup
+from . import license_scan, line_dedup, quality_rules
 
 QUERIES = {
+    "op1_quality_rules": quality_rules.op1_quality_rules,
+    "op5_license_scan": license_scan.op5_license_scan,
     "op7_line_dedup": line_dedup.op7_line_dedup,
 }
 ORACLES = {
