@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import license_scan, line_dedup, quality_rules
+from . import bpe_monoid, license_scan, line_dedup, quality_rules
 
 QUERIES = {
     "op1_quality_rules": quality_rules.op1_quality_rules,
+    "op4_bpe_monoid": bpe_monoid.op4_bpe_monoid,
     "op5_license_scan": license_scan.op5_license_scan,
     "op7_line_dedup": line_dedup.op7_line_dedup,
 }
