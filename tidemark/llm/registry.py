@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from . import bpe_monoid, license_scan, line_dedup, quality_rules
+from . import bpe_monoid, license_scan, line_dedup, quality_rules, token_counts, token_files
 
 QUERIES = {
     "op1_quality_rules": quality_rules.op1_quality_rules,
     "op4_bpe_monoid": bpe_monoid.op4_bpe_monoid,
     "op5_license_scan": license_scan.op5_license_scan,
     "op7_line_dedup": line_dedup.op7_line_dedup,
+    "op8_token_counts": token_counts.op8_token_counts,
+    "op10_token_files": token_files.op10_token_files,
 }
 ORACLES = {
     "op7_line_dedup": line_dedup.OP7_SQL,
