@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from . import bpe_monoid, license_scan, line_dedup, quality_rules, token_counts, token_files
+from . import bpe_monoid, decontaminate, license_scan, line_dedup, near_dup, quality_gam, quality_rules, token_counts, token_files
 
 QUERIES = {
     "op1_quality_rules": quality_rules.op1_quality_rules,
+    "op3_near_dup": near_dup.op3_near_dup,
     "op4_bpe_monoid": bpe_monoid.op4_bpe_monoid,
     "op5_license_scan": license_scan.op5_license_scan,
+    "op6_decontaminate": decontaminate.op6_decontaminate,
     "op7_line_dedup": line_dedup.op7_line_dedup,
     "op8_token_counts": token_counts.op8_token_counts,
+    "op9_quality_gam": quality_gam.op9_quality_gam,
     "op10_token_files": token_files.op10_token_files,
 }
 ORACLES = {
