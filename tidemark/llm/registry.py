@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import bpe_monoid, decontaminate, license_scan, line_dedup, near_dup, quality_gam, quality_rules, token_counts, token_files
+from . import bpe_monoid, decontaminate, license_scan, line_dedup, near_dup, quality_gam, quality_rules, token_counts, token_files, url_filter
 
 QUERIES = {
     "op1_quality_rules": quality_rules.op1_quality_rules,
+    "op2_url_filter": url_filter.op2_url_filter,
     "op3_near_dup": near_dup.op3_near_dup,
     "op4_bpe_monoid": bpe_monoid.op4_bpe_monoid,
     "op5_license_scan": license_scan.op5_license_scan,
