@@ -1,0 +1,6 @@
+"""All queries of the engine's own operators, with their SQL."""
+
+from . import history_queries
+
+QUERIES = {**history_queries.QUERIES}
+ORACLES = {**history_queries.ORACLES}
