@@ -61,12 +61,14 @@ def devig(odds: Column, method: str = "shin") -> Column:
 
 def shin_two_way(a: Column, b: Column) -> tuple[Column, Column, Column]:
     """(z, p_a, p_b) of a two-way book in closed form: with implied x, y, margin m = x + y - 1 and d = x - y,
-    z = m (d^2 - x - y) / ((x + y) (d^2 - 1)) and p_a = x - m / 2; z null and p proportional without a margin."""
+    z = m (d^2 - x - y) / ((x + y) (d^2 - 1)) and p_a = x - m / 2; z null and p proportional without a margin; from
+    z = 0.5 on, p at 0.5, normalised."""
     x, y = 1 / a, 1 / b
     s, d = x + y, x - y
-    z = F.when(s > 1, F.least((s - 1) * (d * d - s) / (s * (d * d - 1)), F.lit(0.5)))
-    p = F.when(s > 1, x - (s - 1) / 2).otherwise(x / s)
-    return z, p, 1 - p
+    raw = (s - 1) * (d * d - s) / (s * (d * d - 1))
+    most = lambda u: F.sqrt(0.25 + 2 * u * u / s) - 0.5
+    p = F.when(s <= 1, x / s).when(raw < 0.5, x - (s - 1) / 2).otherwise(most(x) / (most(x) + most(y)))
+    return F.when(s > 1, F.least(raw, F.lit(0.5))), p, 1 - p
 
 
 def edge(prob: Column, close: Column) -> Column:

@@ -91,12 +91,12 @@ def scorecard_by_day(df: DataFrame, at: str, **kw) -> DataFrame:
 def series_outcome(maps: DataFrame) -> DataFrame:
     """series_id, team, outcome (1, 0 or null) and reason, for every team of every series.
 
-    maps: match_id, series_id, series_type, start, a, b, win (1: a won). The type is that of the series' first map; who
+    maps: match_id, series_id, series_type, start_time, a, b, win (1: a won). The type is that of the series' first map; who
     first has the wins it needs has won.
     """
-    sides = maps.select("series_id", "match_id", "start", "series_type", F.explode(F.array(F.struct(F.col("a").alias("team"), F.col("win").alias("won")), F.struct(F.col("b").alias("team"), (1 - F.col("win")).alias("won")))).alias("x")).select("series_id", "match_id", "start", "series_type", "x.*")
+    sides = maps.select("series_id", "match_id", "start_time", "series_type", F.explode(F.array(F.struct(F.col("a").alias("team"), F.col("win").alias("won")), F.struct(F.col("b").alias("team"), (1 - F.col("win")).alias("won")))).alias("x")).select("series_id", "match_id", "start_time", "series_type", "x.*")
     tally = sides.groupBy("series_id", "team").agg(F.sum("won").alias("wins"), F.sum(1 - F.col("won")).alias("losses"))
-    kind = first_in(maps, ["series_id"], ["start", "match_id"], ["series_type"])
+    kind = first_in(maps, ["series_id"], ["start_time", "match_id"], ["series_type"])
     need = wins_needed(F.col("series_type"))
     out = tally.join(kind, "series_id").withColumn("need", need)
     return out.select(
