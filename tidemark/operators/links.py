@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import norm_name, parse_ts, strip_kills
+from ..sources.shared import materialize
 
 
 def last_before(bounds: DataFrame, rows: DataFrame, on: list[str], bound: str, at: str, per: list[str], order: list[str], value: list[str]) -> DataFrame:
@@ -56,15 +57,18 @@ def unordered_pair(a: str, b: str) -> list[Column]:
     return [F.least(a, b).alias("lo"), F.greatest(a, b).alias("hi")]
 
 
-def inherit(df: DataFrame, node: str, parent: str, value: str, depth: int = 16) -> DataFrame:
-    """df with value taken from the nearest ancestor that has one. Links double at every step, so that depth steps
-    reach chains of 2^depth; it stops when no row is left to fill. Loops end unfilled."""
-    state = df.select(F.col(node).alias("__n"), F.col(parent).alias("__p"), F.col(value).alias("__v"))
+def inherit(df: DataFrame, node: str, parent: str, value: str, depth: int = 30) -> DataFrame:
+    """df with value taken from the nearest ancestor that has one. Links double at every step, so that chains of 2^depth
+    are reached; every step is written, and it ends when a step fills nothing more. Rows on a loop stay unfilled."""
+    state, left = df.select(F.col(node).alias("__n"), F.col(parent).alias("__p"), F.col(value).alias("__v")), None
     for _ in range(depth):
         up = state.select(F.col("__n").alias("__p"), F.col("__p").alias("__pp"), F.col("__v").alias("__pv"))
         state = state.join(up, "__p", "left").select("__n", F.when(F.col("__v").isNull() & F.col("__pv").isNull(), F.col("__pp")).alias("__p"), F.coalesce("__v", "__pv").alias("__v"))
-        if depth > 1 and state.where("__v IS NULL AND __p IS NOT NULL").isEmpty():
+        state = materialize(state, "ancestors")
+        now = state.where("__v IS NULL AND __p IS NOT NULL").count()
+        if now in (0, left):
             break
+        left = now
     return df.drop(value).join(state.select(F.col("__n").alias(node), F.col("__v").alias(value)), node).select(*df.columns)
 
 

@@ -36,7 +36,7 @@ def coverage(spans: DataFrame, windows: DataFrame, keys: list[str]) -> DataFrame
     window without length. Spans are merged first, so that nothing counts twice."""
     merged = merge_spans(spans, keys)
     both = windows.join(merged, keys, "left")
-    got = F.sum(F.coalesce(overlap(F.col("start"), F.col("end"), F.col("lo"), F.col("hi")), F.lit(0)))
+    got = F.sum(F.when(F.col("start").isNotNull(), overlap(F.col("start"), F.col("end"), F.col("lo"), F.col("hi"))).otherwise(0))  # least and greatest pass nulls over
     out = both.groupBy(*windows.columns).agg(got.alias("overlap"))
     return out.withColumn("coverage", F.when(F.col("hi") > F.col("lo"), F.col("overlap") / (F.col("hi") - F.col("lo"))))
 

@@ -117,7 +117,7 @@ def merged_overlapping(spark, sf_dir):
 
 
 COVER = SPANS + MERGED + WINDOWS + """, cover AS (
-  SELECT w.line_key, w.lo, w.hi, CAST(coalesce(sum(greatest(least(m."end", w.hi) - greatest(m."start", w.lo), 0)), 0) AS BIGINT) AS overlap
+  SELECT w.line_key, w.lo, w.hi, CAST(coalesce(sum(CASE WHEN m."start" IS NOT NULL THEN greatest(least(m."end", w.hi) - greatest(m."start", w.lo), 0) END), 0) AS BIGINT) AS overlap
   FROM windows w LEFT JOIN merged m ON m.line_key = w.line_key GROUP BY w.line_key, w.lo, w.hi)"""
 
 
@@ -162,8 +162,8 @@ mv AS (SELECT line_key, period, CAST(count(*) FILTER (WHERE was IS NOT NULL AND
 lastspan AS (SELECT line_key, CASE WHEN o AND e IS NULL THEN s END AS s FROM ended WHERE e IS NULL),
 own AS (SELECT line_key, s AS "start", coalesce(e, CASE WHEN t1 > s THEN t1 END) AS "end" FROM ended JOIN ends USING (line_key) WHERE o AND coalesce(e, CASE WHEN t1 > s THEN t1 END) > s),
 mine AS (SELECT p.line_key, p.period, p.lo, p.hi, m."start" AS s, m."end" AS e FROM periods p LEFT JOIN own m ON m.line_key = p.line_key),
-cov AS (SELECT line_key, period, lo, hi, sum(greatest(least(e, hi) - greatest(s, lo), 0)) / (hi - lo) AS gap_coverage,
-   sum(greatest(least(e, hi) - greatest(s, greatest(lo, hi - 86400000000)), 0)) / (hi - greatest(lo, hi - 86400000000)) AS draft_coverage,
+cov AS (SELECT line_key, period, lo, hi, sum(CASE WHEN s IS NOT NULL THEN greatest(least(e, hi) - greatest(s, lo), 0) END) / (hi - lo) AS gap_coverage,
+   sum(CASE WHEN s IS NOT NULL THEN greatest(least(e, hi) - greatest(s, greatest(lo, hi - 86400000000)), 0) END) / (hi - greatest(lo, hi - 86400000000)) AS draft_coverage,
    CAST(count(*) FILTER (WHERE e > lo AND e < hi) AS BIGINT) AS pulls, coalesce(bool_or(s <= hi AND hi < e), false) AS open_at_start, max(e) FILTER (WHERE e <= hi) AS last_close
   FROM mine GROUP BY line_key, period, lo, hi)
 """
