@@ -132,11 +132,11 @@ def two_endpoint_quotes(matchups: DataFrame, markets: DataFrame, source: str, le
     ids is that of the id; team totals carry their team. The limit is the first of type maxRiskStake.
     """
     picked = matchups if not league_filter else matchups.where(F.contains(F.lower(F.coalesce("league.name", F.lit(""))), F.lit(league_filter.lower())))
-    named = lambda side: F.try_element_at(F.filter("participants", lambda p: p.alignment == side), F.lit(1))["name"]
-    ordered = F.transform(F.array_sort(F.transform("participants", lambda p: F.struct(p.order.alias("o"), p.name.alias("n")))), lambda p: p.n)
+    named = lambda side: F.try_element_at(F.filter("participants", lambda p: p["alignment"] == side), F.lit(1))["name"]
+    ordered = F.transform(F.array_sort(F.transform("participants", lambda p: F.struct(p["order"].alias("o"), p["name"].alias("n")))), lambda p: p["n"])
     games = picked.select(F.col("id").alias("matchupId"), F.col("league.name").alias("league"), named("home").alias("home"), named("away").alias("away"), ordered.alias("ordered"), "startTime", "units", F.coalesce(flag(F.col("isLive")), F.lit(0)).alias("is_live"))
-    ids = F.array_sort(F.array_distinct(F.filter(F.transform("prices", lambda p: p.participantId), lambda x: x.isNotNull())))
-    limit = F.try_element_at(F.filter("limits", lambda x: x.type == "maxRiskStake"), F.lit(1))["amount"]
+    ids = F.array_sort(F.array_distinct(F.filter(F.transform("prices", lambda p: p["participantId"]), lambda x: x.isNotNull())))
+    limit = F.try_element_at(F.filter("limits", lambda x: x["type"] == "maxRiskStake"), F.lit(1))["amount"]
     rows = markets.join(games, "matchupId").withColumns({"ids": ids, "limit_amount": limit}).withColumn("p", F.explode("prices"))
     given = F.col("p.designation")
     ranked = F.coalesce(F.get("ordered", (F.array_position("ids", F.col("p.participantId")) - 1).cast("int")), F.col("p.participantId").cast("string"))

@@ -85,7 +85,7 @@ def hero_lookup(heroes: DataFrame, extra: DataFrame | None = None, short_prefix:
     """(key, hero_id): normalised localized, internal and short names; an alias (key, hero_id) only where free."""
     internal = F.col("name")
     short = F.regexp_replace(internal, short_prefix, "")
-    keys = F.array(F.struct(F.lit(0).alias("rank"), norm_hero(F.col("localized_name")).alias("key")), F.struct(F.lit(1), norm_hero(internal)), F.struct(F.lit(2), norm_hero(short)))
+    keys = F.array(F.struct(F.lit(0).alias("rank"), norm_hero(F.col("localized_name")).alias("key")), F.struct(F.lit(1).alias("rank"), norm_hero(internal).alias("key")), F.struct(F.lit(2).alias("rank"), norm_hero(short).alias("key")))
     rows = heroes.select(F.col("id").alias("hero_id"), F.explode(keys).alias("k")).select("k.rank", "k.key", "hero_id")
     if extra is not None:
         rows = rows.union(extra.select(F.lit(3), norm_hero(F.col("key")), F.col("hero_id").cast("int")))
