@@ -8,7 +8,7 @@ from tokenizers import Tokenizer
 
 from tests.llm.cases import docs, texts
 from tests.llm.test_bpe_monoid import odd_texts
-from tidemark.llm.token_files import ChunkIds, pack, read_range, read_tokens, unpack, write_block, write_tokens
+from tidemark.llm.token_files import PieceIds, pack, read_range, read_tokens, unpack, write_block, write_tokens
 
 SPEC = P.path("word_bpe_49k.json")
 
@@ -31,9 +31,9 @@ def test_ranges_over_many_offsets():
     assert len(pack(np.zeros(1000, np.uint64))[0]) == 5  # 240 zeros a word
 
 
-def test_chunks_equal_the_library():
-    tokenizer, ids = Tokenizer.from_file(SPEC), ChunkIds(open(SPEC, encoding="utf-8").read())
-    assert not ids.whole
+def test_pieces_equal_the_library():
+    tokenizer, ids = Tokenizer.from_file(SPEC), PieceIds(open(SPEC, encoding="utf-8").read())
+    assert ids.known
     for t in odd_texts() + [x or "" for x in texts()] + ["a<|endoftext|>b <|startoftext|>", "Σας ΣΑΣ ΟΔΟΣ", " ́a é", " x y"]:
         assert np.frombuffer(ids.ids(t), "<u4").tolist() == tokenizer.encode(t, add_special_tokens=False).ids, repr(t)
 

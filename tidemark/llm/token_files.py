@@ -6,8 +6,11 @@ A file is a Parquet part of blocks in ascending doc_id order; a block's payload
 
 from __future__ import annotations
 
+import functools
+import json
 import re
 import struct
+import unicodedata
 import zlib
 
 import numpy as np
@@ -31,6 +34,8 @@ _HEADER = struct.Struct("<4sIQQQ")
 def widths(ids: np.ndarray) -> np.ndarray:
     """Bit lengths of unsigned 64-bit integers."""
     high = ids >> np.uint64(32)
+    if not high.any():
+        return np.frexp(ids.astype(np.float64))[1]
     low = np.frexp((ids & np.uint64(0xFFFFFFFF)).astype(np.float64))[1]
     return np.where(high > 0, np.frexp(high.astype(np.float64))[1] + 32, low)
 
@@ -49,7 +54,7 @@ def pack(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         if largest <= bits:
             choice[:] = sel
             continue
-        over = np.zeros(n + 1, dtype=np.int64)
+        over = np.zeros(n + 1, dtype=np.int32)
         np.cumsum(width > bits, out=over[1:])
         fits = over[np.minimum(np.arange(n) + count, n)] == over[:-1]
         if not fits.any():
@@ -127,47 +132,86 @@ def read_range(payload: bytes, start: int, stop: int) -> np.ndarray:
     return unpack(words, b["escaped"][skipped:], end - base)[start - base : stop - base]
 
 
-#: Distinct chunks whose ids a Python worker holds at most; beyond it, it starts anew.
-CHUNKS = 200_000
+#: Distinct pieces whose ids a Python worker holds at most; beyond it, it starts anew.
+PIECES = 600_000
+#: What a tokenizer file must say for its pieces to be split here, by the same pattern.
+SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+NORMALIZERS = ["NFC", "Replace", "Lowercase"]
+_LATIN = [chr(c) for c in range(0x250)]
+_class = lambda kind: "".join(re.escape(c) for c in _LATIN if unicodedata.category(c)[0] == kind)
+#: Texts of these characters alone normalise to their lower case; the four signs that only Python takes for blanks are out.
+_PLAIN = re.compile("[\x00-\x1b\x20-\u017f]*")
+_PIECE = re.compile(SPLIT.replace(r"\p{L}", _class("L")).replace(r"\p{N}", _class("N")))
 _BLANK = re.compile("[ \n\t\r]+")
+#: The signs that stand for bytes in the vocabulary: visible Latin-1 characters for themselves, the rest from 256 on.
+_VISIBLE = {*range(33, 127), *range(161, 173), *range(174, 256)}
+_SIGNS = dict(zip(sorted(range(256), key=lambda b: b not in _VISIBLE), map(chr, [*sorted(_VISIBLE), *range(256, 256 + 256 - len(_VISIBLE))]), strict=True))
 
 
-class ChunkIds(dict):
-    """Ids, as little-endian unsigned 32-bit integers, of the chunks between spaces, tabs and line ends. The tokenizer
-    drops white space and its pre-tokens hold none, so that a text's ids are those of its chunks in turn."""
+class PieceIds(dict):
+    """Ids, as little-endian unsigned 32-bit integers, of normalised pieces: each distinct one goes through the library's
+    model once. Texts of Latin characters are lower-cased and split here as the library would; in others every chunk
+    between blanks with a further character, and whole texts with a special token's string, go to the library."""
 
     def __init__(self, spec: str):
         from tokenizers import Tokenizer
 
         super().__init__()
+        self.chunks = _Chunks(self)
         self.tokenizer = Tokenizer.from_str(spec)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        probe = "A'll  <|x|>1\nb\tÉ. c"
-        self.whole = self._ids(probe) != b"".join(self._ids(c) for c in _BLANK.split(probe))
-
-    def _ids(self, text: str) -> bytes:
+        self.model = self.tokenizer.model
+        told = json.loads(spec)
+        self.special = [x["content"] for x in told["added_tokens"]]
+        steps = (told.get("pre_tokenizer") or {}).get("pretokenizers") or [{}]
+        kinds = [x["type"] for x in (told.get("normalizer") or {}).get("normalizers") or []]
+        self.known = kinds == NORMALIZERS and steps[0].get("pattern") == {"Regex": SPLIT} and [x.get("type") for x in steps] == ["Split", "ByteLevel"]
+
+    def _library(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
-    def __missing__(self, chunk: str) -> bytes:
-        ids = self[chunk] = self._ids(chunk)
+    def __missing__(self, piece: str) -> bytes:
+        mapped = piece if piece.isascii() and piece.isprintable() else "".join(map(_SIGNS.__getitem__, piece.encode()))
+        ids = self[piece] = struct.pack(f"<{len(found := self.model.tokenize(mapped))}I", *[t.id for t in found])
         return ids
 
     def ids(self, text: str | None) -> bytes:
         if not text:
             return b""
-        if self.whole:
-            return self._ids(text)
-        if len(self) > CHUNKS:
-            self.clear()
-        return b"".join(map(self.__getitem__, _BLANK.split(text)))
+        if not self.known or any(x in text for x in self.special):
+            return self._library(text)
+        for held in (self, self.chunks):
+            if len(held) > PIECES:
+                held.clear()
+        if _PLAIN.fullmatch(text):
+            return b"".join(map(self.chunks.__getitem__, text.split()))
+        return b"".join(b"".join(map(self.chunks.__getitem__, c.split())) if _PLAIN.fullmatch(c) else self._library(c) for c in _BLANK.split(text))
+
+
+class _Chunks(dict):
+    """Ids of what stands between blanks, in plain texts: its pieces' in turn."""
+
+    def __init__(self, pieces: PieceIds):
+        super().__init__()
+        self.pieces = pieces
+
+    def __missing__(self, chunk: str) -> bytes:
+        ids = self[chunk] = b"".join(map(self.pieces.__getitem__, _PIECE.findall(chunk.lower())))
+        return ids
+
+
+@functools.lru_cache(maxsize=1)
+def _coder(spec: str) -> PieceIds:
+    """One table for all tasks of a worker."""
+    return PieceIds(spec)
 
 
 def _written(spec, end_id: int):
     end = np.array([end_id], dtype="<u4").tobytes()
 
     def run(batches):
-        coder, part = ChunkIds(spec.value), TaskContext.get().partitionId()
+        coder, part = _coder(spec.value), TaskContext.get().partitionId()
         docs, lengths, held, size, block, before = [], [], [], 0, 0, 0
 
         def row():
