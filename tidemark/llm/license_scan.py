@@ -59,16 +59,35 @@ def _base(s: Column) -> Column:
     )
 
 
-def scan(docs: DataFrame, templates=TEMPLATES, threshold: float = 0.8) -> DataFrame:
+def _met_by_runs(parsed: DataFrame, templates: list[tuple]) -> DataFrame:
+    """row, label, share of the templates (label, words, prefix, least, longest) that a run of at most longest words meets.
+
+    The best run starts at a template word, so a run is tried from each one, as the template words that follow in it.
+    """
+    strings = lambda ws: F.array(*[F.lit(w) for w in ws]).cast("array<string>")
+    known = [F.struct(F.lit(label).alias("label"), strings(ws).alias("t_words"), strings(prefix).alias("prefix"), F.lit(least).alias("least"), F.lit(longest).alias("longest")) for label, ws, prefix, least, longest in templates]
+    texts = parsed.where("text_words IS NOT NULL").select("row", "vocabulary", "text_words")
+    pairs = texts.select("row", "text_words", F.explode(F.filter(F.array(*known), lambda t: F.size(F.array_intersect("vocabulary", t.t_words)) >= t.least)).alias("t")).select("row", "text_words", "t.*")
+    placed = F.filter(F.transform("text_words", lambda w, i: F.struct(i.alias("at"), w.alias("word"))), lambda x: F.array_contains(F.col("t_words"), x.word))
+    run = lambda at, x, i: F.filter(F.slice(at, i + 1, F.col("longest")), lambda y: y["at"] < x["at"] + F.col("longest"))
+    able = lambda r: (F.size(r) >= F.col("least")) & F.exists(r, lambda y: F.array_contains(F.col("prefix"), y.word))
+    most = let(placed, lambda at: F.array_max(F.transform(at, lambda x, i: let(run(at, x, i), lambda r: F.when(able(r), F.size(F.array_distinct(F.transform(r, lambda y: y.word))))))))
+    return pairs.select("row", "label", "least", "t_words", most.alias("n")).where("n >= least").select("row", "label", (F.col("n") / F.size("t_words")).alias("share"))
+
+
+def scan(docs: DataFrame, templates=TEMPLATES, threshold: float = 0.8, across_lines: bool = False) -> DataFrame:
     """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score for every row of docs.
 
-    Blocks are the \\n-split lines of a text, taken as sets of words. A block meets a template if it holds at least
+    Blocks are the \\n-split lines of a text, taken as sets of words; across_lines adds, for each template, all runs of
+    consecutive words of the whole text that are at most 1 / threshold times as long as the template, so that a notice
+    may be wrapped. A block meets a template if it holds at least
     threshold of the template's distinct words; score is the largest share that any template reaches in a meeting
     block, 1 for a base phrase, else 0. The join is exact: words of all templates are ordered by the number of
     documents that hold them, rarest first (template words only, a set that the templates bound); a block can only
     meet a template of n words, needing c = ceil(threshold n), if it holds c template words at all (length filter),
     one of the template's n - c + 1 rarest (prefix filter), and enough words from its first shared one on in both
-    orders (positional filter); what passes is verified on the whole sets. Null texts are empty: no words, no labels.
+    orders (positional filter); what passes is verified on the whole sets. Runs are looked at only in texts that hold c
+    of the template's words at all, from one template word on, and only with a word of the prefix in them. Null texts are empty: no words, no labels.
     Rows that repeat a doc_id are scanned each.
     """
     sets = [(label, list(dict.fromkeys(words_of(text)))) for label, text in templates]
@@ -77,8 +96,12 @@ def scan(docs: DataFrame, templates=TEMPLATES, threshold: float = 0.8) -> DataFr
     known = F.array(*[F.lit(w) for w in vocabulary]).cast("array<string>")
     lines = F.split(F.regexp_replace(ascii_lower(F.coalesce(F.col("text"), F.lit(""))), f"[{SEPARATOR}&&[^\\n]]+", " "), "\n")
     blocks = F.filter(F.transform(lines, lambda x, i: F.struct(i.alias("line"), F.array_intersect(known, F.split(x, " ")).alias("words"))), lambda b: F.size(b.words) >= least)
-    parsed = docs.select("doc_id", let(_spaced(F.col("text")), lambda s: F.struct(_base(s).alias("b"), F.array_intersect(known, F.split(s, " +")).alias("v"))).alias("x"), blocks.alias("blocks"))
-    parsed = materialize(parsed.select(F.monotonically_increasing_id().alias("row"), "doc_id", "x.b.*", F.col("x.v").alias("vocabulary"), "blocks"), "license-blocks")
+    strings = lambda ws: F.array(*[F.lit(w) for w in ws]).cast("array<string>")
+    holds = lambda v, ws: F.size(F.array_intersect(v, strings(ws))) >= need(ws)
+    may_meet = lambda v: F.exists(F.array(F.lit(False), *[holds(v, ws) for _, ws in sets]), lambda x: x) if across_lines else F.lit(False)
+    of_text = lambda s, ws: let(F.array_intersect(known, ws), lambda v: F.struct(_base(s).alias("b"), v.alias("v"), F.when(may_meet(v), ws).alias("words")))
+    parsed = docs.select("doc_id", let(_spaced(F.col("text")), lambda s: let(F.split(s, " +"), lambda ws: of_text(s, ws))).alias("x"), blocks.alias("blocks"))
+    parsed = materialize(parsed.select(F.monotonically_increasing_id().alias("row"), "doc_id", "x.b.*", F.col("x.v").alias("vocabulary"), F.col("x.words").alias("text_words"), "blocks"), "license-blocks")
 
     seen = {r["w"]: r["n"] for r in parsed.select(F.explode("vocabulary").alias("w")).groupBy("w").agg(F.count("*").alias("n")).collect()}
     order = sorted(vocabulary, key=lambda w: (seen.get(w, 0), w))
@@ -92,7 +115,11 @@ def scan(docs: DataFrame, templates=TEMPLATES, threshold: float = 0.8) -> DataFr
         (F.size("words") >= F.col("least")) & (F.least(F.size("t_words") - F.col("t_pos"), F.size("words") - F.col("pos")) >= F.col("least"))
     )
     share = F.size(F.array_intersect("words", "t_words")) / F.size("t_words")
-    met = near.where(F.size(F.array_intersect("words", "t_words")) >= F.col("least")).groupBy("row").agg(F.collect_set("label").alias("found"), F.max(share).alias("share"))
+    met = near.where(F.size(F.array_intersect("words", "t_words")) >= F.col("least")).select("row", "label", share.alias("share"))
+    if across_lines:
+        longest = [-int(-len(words_of(text)) / threshold // 1) for _, text in templates]
+        met = met.union(_met_by_runs(parsed, [(label, ws, ws[: len(ws) - need(ws) + 1], need(ws), longest[k]) for k, label, ws in ordered]))
+    met = met.groupBy("row").agg(F.collect_set("label").alias("found"), F.max("share").alias("share"))
     none = F.array().cast("array<string>")
     return parsed.join(met, "row", "left").select(
         "doc_id", "n_words", "n_base", "first_word", "last_word",
@@ -103,4 +130,4 @@ def scan(docs: DataFrame, templates=TEMPLATES, threshold: float = 0.8) -> DataFr
 
 
 def op5_license_scan(spark, sf_dir: str) -> DataFrame:
-    return scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return scan(table(spark, sf_dir, "documents").select("doc_id", "text"), across_lines=True)
