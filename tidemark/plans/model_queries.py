@@ -413,6 +413,80 @@ def settlement_summary(spark, sf_dir):
     return out.select("n_settled", "n_pending", "n_unresolved", _r("staked", 4).alias("staked"), _r("pnl", 4).alias("pnl"), _r("mean_clv", 7).alias("mean_clv"))
 
 
+def _series(spark, sf_dir):
+    """Matches, closing lines and predictions of all maps in their own series, with what can't be scored or settled.
+
+    Series are customers, also those without a map. Predicted are each map for its own teams, the series (period 0) and
+    one map more than were played for the teams of the first map, and that one's second team in maps where it doesn't
+    play; team 0 has no alias. Quoted are the teams of each map and, for the series, those of the first.
+    """
+    m = maps(spark, sf_dir).select("match_id", "series_id", "series_type", "start_time", F.col("a").alias("radiant_team_id"), F.col("b").alias("dire_team_id"), F.col("win").alias("radiant_win"))
+    played = rollups.numbered(m.where("series_id > 0"), ["series_id"], ["start_time", "match_id"]).join(books(spark, sf_dir), "match_id")
+    first = played.where("period = 1").drop("period")
+    quoted = played.unionByName(first.withColumn("period", F.lit(0)))
+    name = lambda t: F.concat(F.lit("Team "), t.cast("string"))
+    side = lambda n, c: F.struct(name(F.col(n)).alias("selection"), F.col(c).alias("price_decimal"))
+    late = F.array(F.struct(F.lit(-60).alias("d"), F.lit(1.0).alias("f")), F.struct(F.lit(-600).alias("d"), F.lit(1.5).alias("f")), F.struct(F.lit(60).alias("d"), F.lit(2.0).alias("f")))
+    q = quoted.select("series_id", "period", "start_time", F.explode(F.array(side("radiant_team_id", "odds_a"), side("dire_team_id", "odds_b"))).alias("x")).select("series_id", "period", "start_time", "x.*", F.explode(late).alias("l"))
+    snaps = q.select(
+        F.xxhash64("series_id", "period", "selection", "l").alias("id"), F.lit("book").alias("source"), F.col("series_id").cast("string").alias("event_id"), "period", "selection", F.lit(None).cast("double").alias("points"),
+        (F.col("price_decimal") * F.col("l.f")).alias("price_decimal"), (F.col("start_time") + F.col("l.d")).alias("captured_at"), F.lit(None).cast("string").alias("cutoff_at"), F.lit("moneyline").alias("market_type"), F.lit("open").alias("status"), F.lit(0).alias("is_live"),
+    )
+    bounds = closing.horns(m).select("series_id", "period", F.lit("book").alias("source"), F.col("series_id").cast("string").alias("event_id"), F.col("horn").alias("bound"))
+    k = F.col("series_id")
+    everyone = read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("series_id")).union(m.select("series_id")).distinct()
+    known = everyone.join(first.select("series_id", F.col("radiant_team_id").alias("a"), F.col("dire_team_id").alias("b")), "series_id", "left").join(played.groupBy("series_id").agg(F.count("*").cast("int").alias("n")), "series_id", "left")
+    known = known.select("series_id", F.coalesce("a", k % 40).alias("a"), F.coalesce("b", 40 + k % 40).alias("b"), F.coalesce("n", F.lit(0)).alias("n"))
+    ends = known.select("series_id", F.explode(F.flatten(F.transform(F.array(F.lit(0), F.col("n") + 1), lambda p: F.array(F.struct(p.alias("period"), F.col("a").alias("t")), F.struct(p.alias("period"), F.col("b").alias("t")))))).alias("x")).select("series_id", "x.*")
+    own = played.select("series_id", "period", F.explode(F.array("radiant_team_id", "dire_team_id")).alias("t"))
+    away = played.join(known.select("series_id", "b"), "series_id").where("b <> dire_team_id").select("series_id", "period", F.col("b").alias("t"))
+    p = ends.union(own).union(away)
+    preds = p.select("series_id", "period", F.concat(F.lit("team  "), F.col("t").cast("string")).alias("selection"), F.nullif("t", F.lit(0)).alias("team"), F.round(1 / (1 + F.exp(-((k * 7 + F.col("period") * 3 + F.col("t")) % 41 - 20) / 8)), 9).alias("prob"), F.lit(2.0).alias("price_taken"), F.lit(10.0).alias("stake"))
+    return m, closing.closing_lines(snaps, bounds), preds
+
+
+SERIES = TRADES + """, pl AS (SELECT m.*, close, row_number() OVER (PARTITION BY series_id ORDER BY start_time, match_id) AS period FROM maps m JOIN cl USING (match_id) WHERE series_id > 0),
+fs AS (SELECT series_id, a, b, close, series_type FROM pl WHERE period = 1), n AS (SELECT series_id, count(*) AS n FROM pl GROUP BY series_id),
+kn AS (SELECT series_id, coalesce(a, series_id % 40) AS a, coalesce(b, 40 + series_id % 40) AS b, coalesce(n, 0) AS n
+  FROM (SELECT c_custkey AS series_id FROM customer UNION SELECT o_custkey FROM orders) LEFT JOIN fs USING (series_id) LEFT JOIN n USING (series_id)),
+pd AS (SELECT series_id, 0 AS period, a AS t FROM kn UNION ALL SELECT series_id, 0, b FROM kn UNION ALL SELECT series_id, n + 1, a FROM kn UNION ALL SELECT series_id, n + 1, b FROM kn
+  UNION ALL SELECT series_id, period, a FROM pl UNION ALL SELECT series_id, period, b FROM pl UNION ALL SELECT pl.series_id, period, kn.b FROM pl JOIN kn USING (series_id) WHERE kn.b <> pl.b),
+pr AS (SELECT *, nullif(t, 0) AS team, round(1 / (1 + exp(-((series_id * 7 + period * 3 + t) % 41 - 20) / 8e0)), 9) AS prob FROM pd),
+qt AS (SELECT series_id, period, a AS t, close AS c FROM pl UNION ALL SELECT series_id, period, b, 1 - close FROM pl UNION ALL SELECT series_id, 0, a, close FROM fs UNION ALL SELECT series_id, 0, b, 1 - close FROM fs),
+sd AS (SELECT series_id, period, a AS team, win AS o FROM pl UNION ALL SELECT series_id, period, b, 1 - win FROM pl), wn AS (SELECT series_id, team, sum(o) AS w FROM sd GROUP BY series_id, team),
+js AS (SELECT pr.*, c, o, coalesce(w, 0) AS won, CASE WHEN w IS NULL THEN 0 ELSE n.n - w END AS lost, n.n AS maps, CASE series_type WHEN 0 THEN 1 WHEN 1 THEN 2 WHEN 2 THEN 3 END AS need FROM pr
+  LEFT JOIN qt USING (series_id, period, t) LEFT JOIN sd USING (series_id, period, team) LEFT JOIN wn USING (series_id, team) LEFT JOIN n USING (series_id) LEFT JOIN fs USING (series_id)),
+oc AS (SELECT *, CAST(CASE WHEN maps IS NULL THEN NULL WHEN period > 0 THEN o WHEN won >= need THEN 1 WHEN lost >= need THEN 0 END AS INTEGER) AS outcome FROM js),
+rs AS (SELECT *, CASE WHEN maps IS NULL THEN 'series not in matches' WHEN period = 0 AND need IS NULL THEN 'series format has no winner' WHEN period = 0 AND outcome IS NULL THEN 'series undecided'
+  WHEN period > maps THEN 'map not played' WHEN period > 0 AND outcome IS NULL THEN 'map undecided or team not in match' END AS why FROM oc),
+sk AS (SELECT *, CASE WHEN team IS NULL THEN 'unresolved selection' WHEN maps IS NULL OR period > maps THEN 'no closing line' WHEN c IS NULL THEN 'selection not quoted' ELSE why END AS skip,
+  CASE WHEN team IS NULL THEN 'unresolved' WHEN outcome IS NOT NULL THEN 'settled' WHEN why IN ('series undecided', 'map undecided or team not in match', 'map not played') THEN 'pending' ELSE 'unresolved' END AS status FROM rs)"""
+
+
+@query(f"""WITH {SERIES} SELECT series_id, CAST(period AS INTEGER) AS period, t AS selected, round(c, 7) AS close_prob, CASE WHEN skip IS NULL THEN round(prob - c, 7) END AS edge, CASE WHEN skip IS NULL THEN round(2 * c - 1, 7) END AS clv,
+  CASE WHEN skip IS NULL THEN round((prob - outcome) * (prob - outcome), 7) END AS brier, outcome, skip AS reason FROM sk""")
+def clv_series(spark, sf_dir):
+    m, found, preds = _series(spark, sf_dir)
+    out = closing.clv_report(preds, found, m)
+    return out.select("series_id", "period", F.substring("selection", 7, 20).cast("long").alias("selected"), *[_r(c, 7).alias(c) for c in ("close_prob", "edge", "clv", "brier")], "outcome", "reason")
+
+
+@query(f"""WITH {SERIES} SELECT series_id, CAST(period AS INTEGER) AS period, t AS selected, status, outcome, CASE WHEN status = 'settled' THEN CASE WHEN outcome = 1 THEN 1e1 ELSE -1e1 END END AS pnl,
+  CASE WHEN team IS NOT NULL THEN round(2 * c - 1, 7) END AS clv, CASE WHEN team IS NULL THEN 'unresolved selection' WHEN status <> 'settled' THEN why END AS reason FROM sk""")
+def settle_series(spark, sf_dir):
+    m, found, preds = _series(spark, sf_dir)
+    out = closing.settle(preds, found, m)
+    return out.select("series_id", "period", F.substring("selection", 7, 20).cast("long").alias("selected"), "status", "outcome", "pnl", _r("clv", 7).alias("clv"), "reason")
+
+
+@query(f"""WITH {SERIES} SELECT count(*) FILTER (WHERE status = 'settled') AS n_settled, count(*) FILTER (WHERE status = 'pending') AS n_pending, count(*) FILTER (WHERE status = 'unresolved') AS n_unresolved,
+  round(1e1 * count(*) FILTER (WHERE status = 'settled'), 4) AS staked, round(sum(CASE WHEN status = 'settled' THEN CASE WHEN outcome = 1 THEN 1e1 ELSE -1e1 END END), 4) AS pnl, round(avg(CASE WHEN team IS NOT NULL THEN 2 * c - 1 END), 7) AS mean_clv FROM sk""")
+def settlement_series(spark, sf_dir):
+    m, found, preds = _series(spark, sf_dir)
+    out = closing.settlement_summary(closing.settle(preds, found, m))
+    return out.select("n_settled", "n_pending", "n_unresolved", _r("staked", 4).alias("staked"), _r("pnl", 4).alias("pnl"), _r("mean_clv", 7).alias("mean_clv"))
+
+
 # --- decayed statistics, ratings, walk-forward ---
 
 HALF_LIFE = 120 * 86400
