@@ -126,8 +126,16 @@ def evaluate(spark, a):
     rollups.skip_reasons(report).orderBy(F.desc("n")).show(truncate=False)
 
 
+def holdout_start(spark, a) -> int | None:
+    """The first start of the target event's maps."""
+    return readers.table(spark, a.root, "matches").where(F.col("league_name") == a.league).agg(F.min("start_time").alias("t")).first().t if a.league else None
+
+
 def backtest(spark, a):
-    maps, scope = maps_of(spark, a.root), {"start_scoring": a.burn_in, "min_games": a.min_games}
+    """Walk forward over the history; of a league given, nothing at or after its first start trains or counts."""
+    end = holdout_start(spark, a)
+    print("holdout: none" if end is None else f"holdout: nothing at or after {end}")
+    maps, scope = maps_of(spark, a.root, before=end), {"start_scoring": a.burn_in, "min_games": a.min_games}
     if a.score == "elite":
         scope["leagues"] = rollups.leagues_named(readers.table(spark, a.root, "matches"))
     if a.model == "draft":
@@ -149,7 +157,20 @@ def predict(spark, a):
     when = mine.groupBy("series_id").agg(F.min("start_time").alias("when"), F.count("*").alias("n_maps"))
     series = first.join(when, "series_id").where("radiant_team_id IS NOT NULL AND dire_team_id IS NOT NULL").withColumnsRenamed({"radiant_team_id": "a", "dire_team_id": "b"})
     series = series.withColumns({"name_a": F.coalesce(F.nullif("radiant_name", F.lit("")), F.col("a").cast("string")), "name_b": F.coalesce(F.nullif("dire_name", F.lit("")), F.col("b").cast("string"))})
-    out = ratings.event_predictions(ratings.frozen(ratings.replay(maps_of(spark, a.root), {0: config}), series, config))
+    if a.model == "draft":
+        named = m.join(league, "league_id", "left_semi").where("series_id IS NOT NULL AND start_time IS NOT NULL AND radiant_team_id IS NOT NULL AND dire_team_id IS NOT NULL")
+        named = named.select("match_id", "series_id", "start_time", *[F.coalesce(F.nullif(f"{side}_name", F.lit("")), F.col(f"{side}_team_id").cast("string")).alias(n) for side, n in (("radiant", "name_a"), ("dire", "name_b"))])
+        rows = walkforward.event_predictions_draft(maps_of(spark, a.root), drafts.complete_drafts(readers.table(spark, a.root, "draft_events")), named, draft_config(a), config)
+        n = walkforward.prediction_counts(rows).first()
+        print(f"maps: {n.n_maps}; without a usable draft: {n.n_fallback}")
+        out = rows.drop("match_id", "fallback")
+    else:
+        frozen = ratings.frozen(ratings.replay(maps_of(spark, a.root), {0: config}), series, config)
+        played = m.select("series_id", "start_time", F.col("radiant_team_id").alias("a"), F.col("dire_team_id").alias("b"), F.col("radiant_win").alias("win"))
+        whole, by_day = walkforward.match_report(frozen, played)
+        whole.show()
+        by_day.show(1000, truncate=False)
+        out = ratings.event_predictions(frozen)
     if a.out:
         writers.write_predictions(out, a.out)
     out.orderBy("series_id", "period", "selection").show(100, truncate=False)
@@ -244,8 +265,8 @@ def parser() -> argparse.ArgumentParser:
     command("record-odds", record_odds, o("--path", required=True), o("--interval", type=int, default=60), o("--once", action="store_true"))
     command("resolve", resolve, source, names, o("--archive"), o("--tolerance", type=int, default=8 * 3600), o("--dry-run", action="store_true"))
     command("eval", evaluate, source, names, *method, o("--predictions", required=True), o("--before-draft", type=int))
-    command("backtest", backtest, o("--model", default="ratings", choices=["ratings", "draft"]), o("--tune", action="store_true"), o("--score", default="all", choices=["all", "elite"]), o("--min-games", type=int, default=20), o("--burn-in", type=int, default=1727740800), model=True)
-    command("predict", predict, o("--league", required=True), o("--out"), model=True)
+    command("backtest", backtest, o("--model", default="ratings", choices=["ratings", "draft"]), o("--tune", action="store_true"), o("--score", default="all", choices=["all", "elite"]), o("--min-games", type=int, default=20), o("--burn-in", type=int, default=1727740800), o("--league"), model=True)
+    command("predict", predict, o("--league", required=True), o("--out"), o("--model", default="ratings", choices=["ratings", "draft"]), model=True)
     command(
         "bet", bet, source, names, *method, o("--settle", action="store_true"), o("--log", required=True), o("--series", type=int), o("--period", type=int, default=1), o("--team-a", type=int), o("--team-b", type=int),
         o("--heroes-a", type=int, nargs=5), o("--heroes-b", type=int, nargs=5), o("--bankroll", type=float, default=1000.0), o("--max-stake", type=float, default=50.0), o("--fresh", type=int, default=300), o("--now", type=int), o("--rehearse", action="store_true"), model=True,

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from .drafts import FEATURES, DraftConfig, combine, draft_features
 from .ratings import RatingConfig, replay
-from .rollups import running_games, scorecard
+from .rollups import numbered, running_games, scorecard, scorecard_by_day
 
 GRID = {"tau": [0.3, 0.5], "idle_days": [15, 30], "patch_rd_boost": [None, 60.0], "roster_rd_boost": [None, 30.0]}
 DRAFT_GRID = {"half_life_days": [60.0, 120.0, 240.0], "k_pair": [50.0, 100.0, 200.0], "learning_rate": [0.02, 0.05, 0.1]}
@@ -64,3 +64,34 @@ def draft_predictions(base: DataFrame, drafts: DataFrame, configs: dict[int, Dra
         part = base.join(features, "match_id", "left").select(F.explode(F.array(*[F.lit(i) for i in ids])).alias("config_id"), "match_id", "start_time", "win", "prob", *FEATURES[1:])
         rows = part if rows is None else rows.union(part)
     return base.drop("prob").join(combine(rows, configs), "match_id")
+
+
+def event_predictions_draft(maps: DataFrame, drafts: DataFrame, target: DataFrame, config: DraftConfig = DraftConfig(), rating: RatingConfig = RatingConfig()) -> DataFrame:
+    """Both sides of each decided map of target, as known before it: series_id, period, selection, prob, match_id, fallback.
+
+    target: match_id, series_id, start_time, name_a, name_b of all maps of an event, also of undecided ones, as periods
+    count them. All of maps train the ratings and draft statistics, in order.
+    """
+    base = predictions(maps, {0: rating}).drop("config_id")
+    known = draft_predictions(base, drafts, {0: config}).select("match_id", "prob", "fallback")
+    played = numbered(target, ["series_id"], ["start_time", "match_id"]).join(known, "match_id")
+    sides = F.explode(F.array(F.struct(F.col("name_a").alias("selection"), F.col("prob").alias("prob")), F.struct(F.col("name_b").alias("selection"), (1 - F.col("prob")).alias("prob")))).alias("x")
+    return played.select("series_id", "period", sides, "match_id", "fallback").select("series_id", "period", "x.*", "match_id", "fallback")
+
+
+def prediction_counts(rows: DataFrame) -> DataFrame:
+    """n_maps and n_fallback (maps without a usable draft) of event_predictions_draft, in one row."""
+    return rows.select("match_id", "fallback").distinct().agg(F.count("*").alias("n_maps"), F.count_if("fallback").alias("n_fallback"))
+
+
+def match_report(frozen: DataFrame, matches: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Score cards over all decided maps of an event, whole and by day, from predictions frozen at the series' start.
+
+    frozen: series_id, a, b, p_map; matches: series_id, start_time, a, b, win. a may play on either side; maps without
+    it are not scored.
+    """
+    maps = matches.where("win IS NOT NULL AND start_time IS NOT NULL").select("series_id", "start_time", F.col("a").alias("__a"), F.col("b").alias("__b"), "win")
+    both = frozen.select("series_id", "a", "p_map").join(maps, "series_id")
+    outcome = F.when(F.col("__a") == F.col("a"), F.col("win")).when(F.col("__b") == F.col("a"), 1 - F.col("win"))
+    scored = both.select("start_time", F.col("p_map").alias("prob"), outcome.alias("outcome")).where("outcome IS NOT NULL")
+    return scorecard(scored), scorecard_by_day(scored, "start_time").orderBy("day")
