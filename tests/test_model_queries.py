@@ -38,3 +38,17 @@ def test_all_series_equal_sql(spark, name):
         assert {r.reason for r in got} >= {"series undecided", "map undecided or team not in match", "map not played", "series format has no winner", "unresolved selection"}
     if name == "settlement_series":
         assert min(got[0].n_settled, got[0].n_pending, got[0].n_unresolved) > 0
+
+
+def test_every_map_has_draft_features(spark):
+    orders = spark.read.parquet(f"{ROOT}/orders.parquet")
+    out = plans.QUERIES["draft_features"](spark, ROOT)
+    assert sorted(r.match_id for r in out.select("match_id").collect()) == sorted(r.o_orderkey for r in orders.select("o_orderkey").collect())
+
+
+def test_draft_grid_is_whole(spark):
+    lines = spark.read.parquet(f"{ROOT}/lineitem.parquet").selectExpr("l_orderkey o_orderkey")
+    bare = spark.read.parquet(f"{ROOT}/orders.parquet").join(lines, "o_orderkey", "left_anti").count()
+    got = plans.QUERIES["draft_walk_forward"](spark, ROOT).collect()
+    assert sorted(r.config_id for r in got) == list(range(27)) and len({r.log_loss for r in got}) == 27
+    assert {r.n_fallback <= bare for r in got} == {True} and got[0].n_fallback > 0

@@ -583,10 +583,10 @@ def tune_grid(spark, sf_dir):
 
 
 def _drafts(spark, sf_dir):
-    """Full drafts made of maps: heroes by arithmetic, and none for every ninth map."""
+    """A full draft of every map: heroes by arithmetic."""
     k = F.col("match_id")
     side = lambda s: F.transform(F.sequence(F.lit(0), F.lit(4)), lambda i: ((k * 7 + i * 11 + s * 61) % 127).cast("int"))
-    return maps(spark, sf_dir).where("match_id % 9 <> 0").select("match_id", side(0).alias("heroes_a"), side(1).alias("heroes_b"), (k % 2 == 0).alias("first_a")).where("size(array_distinct(concat(heroes_a, heroes_b))) = 10")
+    return maps(spark, sf_dir).select("match_id", side(0).alias("heroes_a"), side(1).alias("heroes_b"), (k % 2 == 0).alias("first_a")).where("size(array_distinct(concat(heroes_a, heroes_b))) = 10")
 
 
 @query()
@@ -596,5 +596,6 @@ def draft_features(spark, sf_dir):
 
 @query()
 def draft_walk_forward(spark, sf_dir):
-    configs = {k: drafts.DraftConfig(learning_rate=r) for k, r in enumerate((0.02, 0.05, 0.1))}
-    return walkforward.walk_forward_draft(maps(spark, sf_dir), _drafts(spark, sf_dir), configs, min_games=20)
+    """The tuner's whole grid; maps of which lineitem has no line have no draft, and fall back to the ratings."""
+    recorded = _drafts(spark, sf_dir).join(picks(spark, sf_dir), "match_id", "left_semi")
+    return walkforward.walk_forward_draft(maps(spark, sf_dir), recorded, walkforward.draft_grid(), min_games=20)
