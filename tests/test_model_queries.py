@@ -52,3 +52,15 @@ def test_draft_grid_is_whole(spark):
     got = plans.QUERIES["draft_walk_forward"](spark, ROOT).collect()
     assert sorted(r.config_id for r in got) == list(range(27)) and len({r.log_loss for r in got}) == 27
     assert {r.n_fallback <= bare for r in got} == {True} and got[0].n_fallback > 0
+
+
+def test_every_inflation_rule_acts(spark, monkeypatch):
+    got = plans.QUERIES["tune_grid"](spark, ROOT).collect()
+    assert len(got) == 16 and len({r.log_loss for r in got}) == 16
+    from tidemark.operators import ratings
+
+    frozen = lambda: {(r.series_id, r.period, r.selection): r.prob for r in plans.QUERIES["frozen_series_prob"](spark, ROOT).collect()}
+    own, config = frozen(), ratings.RatingConfig
+    monkeypatch.setattr(ratings, "RatingConfig", lambda **kw: config())
+    plain = frozen()
+    assert own.keys() == plain.keys() and own != plain

@@ -558,12 +558,24 @@ def glicko_replay(spark, sf_dir):
     return ratings.replay(maps(spark, sf_dir), {0: ratings.RatingConfig()}).drop("lineup")
 
 
+def _with_patch_and_lineups(spark, sf_dir):
+    """maps with their patch as of the start, and lineups of five: each team's regulars, of negative ids, for whom the
+    accounts of the side's picks stand in, by account % 5."""
+    m = maps(spark, sf_dir)
+    patch = links.patch_of(m.select("match_id", "start_time", F.lit(None).cast("int").alias("patch")), spark.createDataFrame(TIMELINE, "released_at long, patch_id int"), "start_time")
+    place = lambda side, k: F.max(F.when((F.col("side") == side) & (F.col("account") % 5 == k), F.col("account"))).alias(f"p{side}{k}")
+    sides = picks(spark, sf_dir).groupBy("match_id").agg(*[place(s, k) for s in (0, 1) for k in range(5)])
+    five = lambda s, team: F.array_sort(F.array(*[F.coalesce(F.col(f"p{s}{k}").cast("long"), -(F.col(team) * 5 + k + 1)) for k in range(5)]))
+    out = m.join(patch.select("match_id", "patch"), "match_id").join(sides, "match_id", "left")
+    return out.select(*m.columns, "patch", five(0, "a").alias("lineup_a"), five(1, "b").alias("lineup_b"))
+
+
 @query()
 def frozen_series_prob(spark, sf_dir):
     config = ratings.RatingConfig(roster_rd_boost=30.0)
-    m = maps(spark, sf_dir)
+    m = _with_patch_and_lineups(spark, sf_dir)
     history = ratings.replay(m, {0: config})
-    first = rollups.first_in(m, ["series_id"], ["start_time", "match_id"], ["a", "b", "start_time", "series_type"]).withColumnRenamed("start_time", "when")
+    first = rollups.first_in(m, ["series_id"], ["start_time", "match_id"], ["a", "b", "start_time", "series_type", "patch", "lineup_a", "lineup_b"]).withColumnRenamed("start_time", "when")
     n = m.groupBy("series_id").agg(F.count("*").alias("n_maps"))
     team = lambda c: F.concat(F.lit("Team "), F.col(c).cast("string"))
     p = ratings.frozen(history, first, config).join(n, "series_id").withColumns({"name_a": team("a"), "name_b": team("b")})
@@ -579,7 +591,7 @@ def walk_forward(spark, sf_dir):
 def tune_grid(spark, sf_dir):
     configs = walkforward.rating_grid()
     named = spark.createDataFrame([(k, c.tau, c.idle_period_s, c.patch_rd_boost, c.roster_rd_boost) for k, c in configs.items()], "config_id int, tau double, idle_period_s double, patch_rd_boost double, roster_rd_boost double")
-    return walkforward.walk_forward(maps(spark, sf_dir), configs, min_games=20).join(named, "config_id")
+    return walkforward.walk_forward(_with_patch_and_lineups(spark, sf_dir), configs, min_games=20).join(named, "config_id")
 
 
 def _drafts(spark, sf_dir):
