@@ -64,3 +64,9 @@ def test_every_inflation_rule_acts(spark, monkeypatch):
     monkeypatch.setattr(ratings, "RatingConfig", lambda **kw: config())
     plain = frozen()
     assert own.keys() == plain.keys() and own != plain
+
+
+def test_period_report_has_all_metrics(spark):
+    got = same(spark, "period_report_whole")
+    assert sum(r.pulled_s > 0 for r in got) > 1 and len({r.last_limit for r in got} - {None}) > 1
+    assert same(spark, "period_report")

@@ -145,12 +145,14 @@ PERIODS = """, ends AS (SELECT line_key, min(t) AS t0, max(t) AS t1 FROM lines G
 periods AS (SELECT line_key, p AS period, t0 + (t1 - t0) // 3 * (p - 1) AS lo, t0 + (t1 - t0) // 3 * p AS hi FROM ends, (VALUES (1), (2)) v(p))"""
 
 
-def _report(spark, sf_dir):
+def _report(spark, sf_dir, limits=None):
+    """limits: seq and lim of each row; without them limits are null."""
     x = lines(spark, sf_dir)
+    x = x.withColumn("lim", F.lit(None).cast("double")) if limits is None else x.join(limits, "seq")
     ends = x.groupBy("line_key").agg(F.min("t").alias("t0"), F.max("t").alias("t1"))
     third = F.expr("(t1 - t0) div 3")
     periods = ends.select("line_key", F.explode(F.array(F.lit(1), F.lit(2))).alias("period"), "t0", "t1").select("line_key", "period", (F.col("t0") + third * (F.col("period") - 1)).alias("lo"), (F.col("t0") + third * F.col("period")).alias("hi"), F.col("t1").alias("until"))
-    rows = x.select("line_key", F.col("t").alias("at"), "seq", "status", "price", F.lit(None).cast("double").alias("lim"), F.floor(F.col("price") * 2).cast("long").alias("cutoff"))
+    rows = x.select("line_key", F.col("t").alias("at"), "seq", "status", "price", "lim", F.floor(F.col("price") * 2).cast("long").alias("cutoff"))
     both = rows.join(periods.select("line_key", "period"), "line_key")
     return spans.period_report(both, periods, ["line_key", "period"], draft_s=86_400_000_000)
 
@@ -177,6 +179,20 @@ def period_report(spark, sf_dir):
     return out.withColumns({c: F.round(c, 9) for c in ("gap_coverage", "draft_coverage")})
 
 
+@query(REPORT + """, clip AS (SELECT line_key, period, lo, hi, greatest(s, lo) AS s, least(e, hi) AS e FROM mine WHERE s IS NOT NULL),
+edge AS (SELECT * FROM clip WHERE e > s UNION ALL SELECT line_key, period, lo, hi, hi, hi FROM periods),
+g AS (SELECT line_key, period, lo, coalesce(lag(e) OVER (PARTITION BY line_key, period ORDER BY s, e), lo) AS gs, s AS ge FROM edge),
+pulled AS (SELECT line_key, period, CAST(sum(ge - gs) AS BIGINT) AS pulled_s FROM g WHERE ge > gs AND gs > lo GROUP BY line_key, period),
+lims AS (SELECT r.line_key, r.period, max_by(CAST(regexp_extract(v.props, '[0-9]+') AS DOUBLE), r.t) AS last_limit FROM rowsp r JOIN events v ON v.event_id = r.seq GROUP BY r.line_key, r.period)
+SELECT c.line_key, c.period, c.lo, c.hi, f.first_seen, coalesce(v.moves, 0) AS cutoff_moves, f.cutoff_at_start, round(coalesce(c.gap_coverage, 0), 9) AS gap_coverage,
+  round(coalesce(c.draft_coverage, 0), 9) AS draft_coverage, c.pulls, coalesce(p.pulled_s, 0) AS pulled_s, c.open_at_start, c.last_close, f.last_price, m.last_limit, coalesce(f.observed, 0) AS observed
+FROM cov c LEFT JOIN facts f USING (line_key, period) LEFT JOIN mv v USING (line_key, period) LEFT JOIN pulled p USING (line_key, period) LEFT JOIN lims m USING (line_key, period)""")
+def period_report_whole(spark, sf_dir):
+    """All metrics of period_report; a row's limit is the number in its event's props."""
+    limits = views.read(spark, sf_dir, "events").select(F.col("event_id").alias("seq"), F.regexp_extract("props", "[0-9]+", 0).cast("double").alias("lim"))
+    return _report(spark, sf_dir, limits).withColumns({c: F.round(c, 9) for c in ("gap_coverage", "draft_coverage")})
+
+
 @query(REPORT + """, x AS (SELECT c.period, coalesce(c.gap_coverage, 0) AS g, c.open_at_start AS o FROM cov c JOIN facts f USING (line_key, period)),
 y AS (SELECT period, CAST(count(*) AS BIGINT) AS n, median(g) AS m, avg(CASE WHEN g >= 9e-1 THEN 1e0 ELSE 0e0 END) AS sg, avg(CASE WHEN o THEN 1e0 ELSE 0e0 END) AS so FROM x GROUP BY period)
 SELECT period, n, round(m, 9) AS median_coverage, round(sg, 9) AS share_good, round(so, 9) AS share_open, CASE WHEN sg >= 9e-1 THEN 'yes' WHEN sg >= 5e-1 THEN 'partly' ELSE 'no' END AS verdict FROM y""")
