@@ -103,3 +103,19 @@ def test_nulls_repeats_and_empty(spark):
     df = spark.createDataFrame([(None, "a b c"), (4, "a b c"), (2, "A, b c"), (2, "A, b c"), (7, None), (8, "")], "doc_id long, text string")
     got = sorted((-1 if r.doc_id is None else r.doc_id, r.class_id, r.kept) for r in near_duplicates(df).collect())
     assert got == [(-1, None, True), (2, 2, True), (2, 2, True), (4, 2, False), (7, 7, True), (8, 7, False)]
+
+
+def test_bands_join_texts_on_opposite_sides_of_a_hub(spark):
+    """Chains whose ends differ from the hub in other samples: 48 and 25 of 64 agree with it, 37 with each other."""
+    ids = [r.doc for r in spark.range(90).selectExpr("id AS doc").orderBy("doc").collect()]
+    order = {r.doc: r.o for r in spark.range(90).selectExpr("id AS doc", "xxhash64(id) AS o").collect()}
+    rows, want = [], []
+    for k in range(0, 90, 3):
+        hub, close, far = sorted(ids[k : k + 3], key=order.get)
+        samples = {hub: np.zeros(64), close: np.repeat([0, 1], [48, 16]), far: np.repeat([0, 2, 1, 2], [25, 23, 12, 4])}
+        assert [int((samples[a] == samples[b]).sum()) for a, b in ((hub, close), (hub, far), (close, far))] == [48, 25, 37]
+        rows += [(d, [k], x.astype("<u2").tobytes()) for d, x in samples.items()]
+        want.append({close, far})
+    edges = near_dup.candidate_edges(spark.createDataFrame(rows, "doc long, bands array<long>, samples binary"))
+    root = {r.node: r.root for r in components(edges).collect()}
+    assert all(len({root.get(d, d) for d in pair}) == 1 for pair in want)

@@ -29,7 +29,7 @@ FREQUENT = 1 << 20
 #: idf falls from 1 (rare) to this (in every document), so that a few edits don't outweigh a text that many share.
 IDF_FLOOR = 0.8
 #: Estimated similarity from which a text joins the candidates of a bucket's hub, and from which it needs no other hub.
-NEAR, CLOSE = 0.4, 0.75
+NEAR, CLOSE = 0.4, 0.9
 ROUNDS = 3
 #: Shingles of one block of a candidate group; a task compares two blocks.
 BLOCK_SHINGLES = 400_000
@@ -298,9 +298,10 @@ def candidate_edges(reps: DataFrame) -> DataFrame:
     """(a, b): edges that connect all texts which share a band and may be alike. reps: doc, bands, samples.
 
     In each bucket the text of the smallest hash is hub. A text whose samples say it is NEAR the hub gets an edge to
-    it, and one that is CLOSE leaves the bucket: by the triangle inequality of the Jaccard distance what is alike it
-    is near that hub too. The rest elect the next hub. What is left after ROUNDS gets edges to its hub unasked, so
-    that nothing that shares a band is lost; exact verification comes later.
+    it, and one that is CLOSE leaves the bucket. The rest elect the next hub, and what is left after ROUNDS gets edges
+    to its hub unasked. As shares of differing samples obey the triangle inequality, two texts of a bucket are only
+    lost to each other if one left and fewer than NEAR + 1 - CLOSE = 0.5 of their own samples agree: at a similarity
+    of 0.8 with P(Binomial(64, 0.8) < 32) = 2e-8, on top of sharing no band. Exact verification comes later.
     """
     order = F.xxhash64(F.col("doc")).alias("order")
     members = reps.select("doc", order, F.explode("bands").alias("bucket"))
