@@ -119,3 +119,12 @@ def test_bands_join_texts_on_opposite_sides_of_a_hub(spark):
     edges = near_dup.candidate_edges(spark.createDataFrame(rows, "doc long, bands array<long>, samples binary"))
     root = {r.node: r.root for r in components(edges).collect()}
     assert all(len({root.get(d, d) for d in pair}) == 1 for pair in want)
+
+
+def test_weights_do_not_depend_on_partitions(spark):
+    """A passage in one document of each small partition: 1 % of all, never twice in a partition."""
+    rows = [(i, f"a passage of some few words {i}" if i % 100 == 0 else f"text {i} with words of {i} own {i * 3}") for i in range(3000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    one, many = (frequent_shingles(d, 0.0023) for d in (df.coalesce(1), df.repartitionByRange(150, "doc_id")))
+    passage = shingles("a passage of some few words")[0]
+    assert np.isin(passage, one[0]).all() and all(np.array_equal(a, b) for a, b in zip(one, many, strict=True))

@@ -94,7 +94,7 @@ def _locally_frequent(rare: float):
 
         def rows():
             found, n = np.unique(np.concatenate(held), return_counts=True)
-            often = n >= max(2, math.ceil(rare / 2 * docs))
+            often = n >= math.ceil(rare / 2 * docs)
             return pa.RecordBatch.from_arrays([pa.array(found[often].view(np.int64)), pa.array(n[often])], ["shingle", "n"])
 
         for batch in batches:
@@ -136,6 +136,7 @@ def frequent_shingles(docs: DataFrame, rare: float = RARE) -> tuple[np.ndarray,
 
     A shingle of rare x N documents has rare / 2 of the documents in chunks that together hold at least rare / 2 x N
     of its occurrences, so that the sum of its counts over the chunks where it is that frequent passes rare / 2 x N.
+    A chunk of fewer than 2 / rare documents, as small partitions are, so gives all of its shingles.
     As all counts sum up to N times the mean number of shingles m, at most 2 m / rare pass, a bound that doesn't grow
     with the corpus; rare is raised to keep it within FREQUENT. Their documents are then counted exactly, over all
     texts, so that weights don't depend on how rows are dealt out.
