@@ -1,3 +1,4 @@
+import math
 import random
 
 import pytest
@@ -129,17 +130,65 @@ def maps_df(spark, n=300, teams=8, seed=2):
     return spark.createDataFrame(rows, "match_id long, start_time long, a long, b long, win int, series_id long, series_type int, patch int, lineup_a array<long>, lineup_b array<long>"), rows
 
 
-def test_replay_doesnt_depend_on_row_order_and_equals_the_fold(spark):
-    df, rows = maps_df(spark)
-    configs = {0: RatingConfig(), 1: RatingConfig(tau=0.3, patch_rd_boost=60.0, roster_rd_boost=30.0)}
-    from dataclasses import asdict
+def plain_replay(rows, c):
+    """{match: P(a wins)} by Glicko-2 in rating units, one map a period, with the volatility by halving."""
+    q, teams, out = 173.7178, {}, {}
+    g = lambda rd: 1 / math.sqrt(1 + 3 * (rd / q) ** 2 / math.pi**2)
+
+    def volatility(rd, sigma, v, delta):
+        a, phi2 = math.log(sigma**2), (rd / q) ** 2
+        f = lambda x: math.exp(x) * (delta**2 - phi2 - v - math.exp(x)) / (2 * (phi2 + v + math.exp(x)) ** 2) - (x - a) / c.tau**2
+        lo, hi = a - 10, a + 10
+        for _ in range(100):
+            lo, hi = ((lo + hi) / 2, hi) if f((lo + hi) / 2) > 0 else (lo, (lo + hi) / 2)
+        return math.exp(lo / 2)
+
+    def seen(team, at, patch, lineup):
+        r, rd, sigma, played, known, five = teams.get(team, (1500.0, 350.0, 0.06, None, None, None))
+        square = rd**2
+        if played is not None and at > played:
+            square += (sigma * q) ** 2 * (at - played) / c.idle_period_s
+        if c.patch_rd_boost and patch is not None and known is not None and patch > known:
+            square += c.patch_rd_boost**2
+        if c.roster_rd_boost and lineup and five:
+            square += ((5 - len(set(five) & set(lineup))) * c.roster_rd_boost) ** 2
+        return r, min(math.sqrt(square), c.max_rd), sigma
+
+    for m, at, a, b, win, _, _, patch, *lineups in rows:
+        before = {t: seen(t, at, patch, x) for t, x in ((a, lineups[0]), (b, lineups[1]))}
+        joint = math.hypot(before[a][1], before[b][1])
+        out[m] = 1 / (1 + math.exp(-g(joint) * (before[a][0] - before[b][0]) / q))
+        for t, o, s, x in ((a, b, win, lineups[0]), (b, a, 1 - win, lineups[1])):
+            (r, rd, sigma), (r2, rd2, _) = before[t], before[o]
+            e = 1 / (1 + math.exp(-g(rd2) * (r - r2) / q))
+            v = 1 / (g(rd2) ** 2 * e * (1 - e))
+            sigma = volatility(rd, sigma, v, v * g(rd2) * (s - e))
+            phi = 1 / math.sqrt(1 / ((rd / q) ** 2 + sigma**2) + 1 / v)
+            known = [p for p in (teams[t][4] if t in teams else None, patch) if p is not None]
+            teams[t] = (r + q * phi**2 * g(rd2) * (s - e), phi * q, sigma, at, max(known, default=None), x or (teams[t][5] if t in teams else None))
+    return out
+
 
-    got = {(r.config_id, r.match_id): r.prob for r in ratings.replay(df.repartition(7), configs).where("side = 'a'").collect()}
+def test_volatility_balances():
+    rnd = random.Random(4)
+    for _ in range(500):
+        phi, sigma, v, delta, tau = rnd.uniform(0.05, 2), rnd.choice([0.03, 0.06, 0.2]), rnd.uniform(1, 50), rnd.uniform(-4, 4), rnd.choice([0.3, 0.5, 1.0])
+        x = 2 * math.log(ratings.new_volatility(phi, sigma, v, delta, tau))
+        s = phi**2 + v + math.exp(x)
+        assert math.exp(x) * (delta**2 - s) / (2 * s * s) == pytest.approx((x - 2 * math.log(sigma)) / tau**2, abs=1e-6)
+
+
+def test_replay_doesnt_depend_on_row_order_and_equals_a_plain_fold(spark):
+    df, rows = maps_df(spark)
+    configs = {0: RatingConfig(), 1: RatingConfig(tau=0.3, patch_rd_boost=60.0, roster_rd_boost=30.0), 5: RatingConfig(tau=1.0), 7: RatingConfig(patch_rd_boost=20.0)}
+    got = {(r.config_id, r.match_id): (r.prob, r.games) for r in ratings.replay(df.repartition(7), configs).where("side = 'a'").collect()}
+    short = {(r.config_id, r.match_id): (r.prob, r.games_a) for r in ratings.forecasts(df.repartition(3), configs).collect()}
+    assert got == short and len(got) == 4 * len(rows)
     for k, c in configs.items():
-        book = Book(asdict(c))
-        for m, at, a, b, win, _, _, patch, la, _ in rows:
-            assert got[k, m] == pytest.approx(book.play(at, a, b, bool(win), patch, frozenset(la), None)[0], abs=1e-12)
-    assert got[0, 0] == 0.5
+        for m, p in plain_replay(rows, c).items():
+            assert got[k, m][0] == pytest.approx(p, abs=1e-8)
+    assert got[0, 0][0] == 0.5
+    assert ratings.forecasts(df.limit(0), configs).collect() == []
 
 
 def test_first_maps_are_even_and_freezing_is_strict(spark):

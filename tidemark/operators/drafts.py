@@ -70,35 +70,56 @@ def draft_features(maps: DataFrame, drafts: DataFrame, config: DraftConfig = Dra
     """match_id, hero_diff, team_hero_diff, synergy_diff, counter_sum, first_action, both_warm of every complete draft.
 
     maps: match_id, start_time, a, b, win, games_a, games_b; drafts: as of complete_drafts. Sums are side a minus b.
-    Three windows (heroes, pairs, matchups) and grouping by map; nothing is looked up from outside.
     """
-    order, h = ["start_time", "match_id"], config.half_life_s
+    out = feature_grid(maps, drafts, config, [config.half_life_days], [config.k_pair])
+    return out.select("match_id", F.posexplode("grid").alias("at", "x")).select("match_id", *[F.col("x")[i].alias(f) for i, f in enumerate(FEATURES[1:])])
+
+
+def feature_grid(maps: DataFrame, drafts: DataFrame, config: DraftConfig, half_lives_days: list[float], k_pairs: list[float]) -> DataFrame:
+    """match_id and grid, the feature lists (FEATURES behind the anchor) of each half-life with each k_pair, in order.
+
+    Three shuffles by hero, pair and matchup whatever the size of the grid: each sorts once and sums for all half-lives,
+    and k_pair only enters into what is made of the sums. Drafts hold five and five heroes, so that pairs and matchups
+    are arrays of fixed places. Nothing is looked up from outside.
+    """
+    order, halves = ["start_time", "match_id"], [d * 86400 for d in half_lives_days]
     both = maps.join(drafts, "match_id")
-    t0 = origin_of(both, "start_time", h)
-    side = lambda s, won: F.transform(f"heroes_{s}", lambda x: F.struct(F.lit(s).alias("side"), F.col(s).alias("team"), x.alias("hero"), won.cast("double").alias("won")))
-    heroes = both.select("match_id", "start_time", F.explode(F.concat(side("a", F.col("win")), side("b", 1 - F.col("win")))).alias("x")).select("match_id", "start_time", "x.*")
-    rated = decayed(heroes, ["hero"], "start_time", order, "won", h, t0).withColumn("rate", net(config.k_hero)).drop("wins", "total")
-    rated = decayed(rated, ["team", "hero"], "start_time", order, "won", h, t0).withColumn("team_rate", net(config.k_team_hero))
-    pick = lambda s: F.array_sort(F.collect_list(F.when(F.col("side") == s, F.struct("hero", "rate")))).alias(s)
+    t0 = origin_of(both, "start_time", min(halves))
+    each = range(len(halves))
+    rates = [f"rate_{i}" for i in each]
+
+    def counted(df, keys, won):
+        for i in each:
+            df = decayed(df, keys, "start_time", order, won, halves[i], t0).withColumnsRenamed({"wins": f"wins_{i}", "total": f"total_{i}"})
+        return df
+
+    drafted = [F.struct(F.lit(s).alias("side"), F.col(s).alias("team"), F.get(f"heroes_{s}", F.lit(k)).alias("hero"), (F.col("win") if s == "a" else 1 - F.col("win")).cast("double").alias("won")) for s in "ab" for k in range(5)]
+    heroes = both.select("match_id", "start_time", F.explode(F.array(*drafted)).alias("x")).select("match_id", "start_time", "x.*")
+    rated = counted(heroes, ["hero"], "won").select("match_id", "start_time", "side", "team", "hero", "won", *[net(config.k_hero, f"wins_{i}", f"total_{i}").alias(rates[i]) for i in each])
+    rated = counted(rated, ["team", "hero"], "won")
+    pick = lambda s: F.array_sort(F.collect_list(F.when(F.col("side") == s, F.struct("hero", *rates)))).alias(s)
     sign = F.when(F.col("side") == "a", 1.0).otherwise(-1.0)
     match = rated.groupBy("match_id", "start_time").agg(
-        pick("a"), pick("b"), F.max(F.when(F.col("side") == "a", F.col("won"))).alias("won"), F.sum(sign * F.col("rate")).alias("hero_diff"), F.sum(sign * F.col("team_rate")).alias("team_hero_diff"),
+        pick("a"), pick("b"), F.max(F.when(F.col("side") == "a", F.col("won"))).alias("won"),
+        *[F.sum(sign * F.col(rates[i])).alias(f"hero_{i}") for i in each], *[F.sum(sign * net(config.k_team_hero, f"wins_{i}", f"total_{i}")).alias(f"team_hero_{i}") for i in each],
     )
-    pairs_of = lambda s, won: F.flatten(F.transform(s, lambda x, i: F.transform(F.slice(s, i + 2, 5), lambda y: F.struct(F.lit(s).alias("side"), x.hero.alias("low"), y.hero.alias("high"), (x.rate + y.rate).alias("rates"), won.alias("won")))))
-    pairs = match.select("match_id", "start_time", F.explode(F.concat(pairs_of("a", F.col("won")), pairs_of("b", 1 - F.col("won")))).alias("x")).select("match_id", "start_time", "x.*")
-    pairs = decayed(pairs, ["low", "high"], "start_time", order, "won", h, t0)
-    synergy = pairs.groupBy("match_id").agg(F.sum(sign * (net(config.k_pair) - evidence_weight(F.col("total"), config.k_pair) * 0.5 * F.col("rates"))).alias("synergy_diff"))
+    at = lambda s, k: F.get(s, F.lit(k))
+    pair = lambda s, i, j: F.struct(F.lit(s).alias("side"), at(s, i).hero.alias("low"), at(s, j).hero.alias("high"), *[(at(s, i)[r] + at(s, j)[r]).alias(r) for r in rates], (F.col("won") if s == "a" else 1 - F.col("won")).alias("won"))
+    pairs = match.select("match_id", "start_time", F.explode(F.array(*[pair(s, i, j) for s in "ab" for j in range(5) for i in range(j)])).alias("x")).select("match_id", "start_time", "x.*")
+    excess = lambda i, k, expected: net(k, f"wins_{i}", f"total_{i}") - evidence_weight(F.col(f"total_{i}"), k) * expected
+    synergy = counted(pairs, ["low", "high"], "won").groupBy("match_id").agg(F.array(*[F.sum(sign * excess(i, k, 0.5 * F.col(rates[i]))) for i in each for k in k_pairs]).alias("synergy"))
 
     def versus(x, y):
         first = x.hero < y.hero
-        return F.struct(F.least(x.hero, y.hero).alias("low"), F.greatest(x.hero, y.hero).alias("high"), F.when(first, 1.0).otherwise(-1.0).alias("sign"), F.when(first, x.rate - y.rate).otherwise(y.rate - x.rate).alias("rates"), F.when(first, F.col("won")).otherwise(1 - F.col("won")).alias("low_won"))
+        return F.struct(F.least(x.hero, y.hero).alias("low"), F.greatest(x.hero, y.hero).alias("high"), F.when(first, 1.0).otherwise(-1.0).alias("sign"), *[F.when(first, x[r] - y[r]).otherwise(y[r] - x[r]).alias(r) for r in rates], F.when(first, F.col("won")).otherwise(1 - F.col("won")).alias("low_won"))
 
-    cross = match.select("match_id", "start_time", F.explode(F.flatten(F.transform("a", lambda x: F.transform("b", lambda y: versus(x, y))))).alias("x")).select("match_id", "start_time", "x.*")
-    cross = decayed(cross, ["low", "high"], "start_time", order, "low_won", h, t0)
-    counter = cross.groupBy("match_id").agg(F.sum(F.col("sign") * (net(config.k_pair) - evidence_weight(F.col("total"), config.k_pair) * F.col("rates"))).alias("counter_sum"))
+    cross = match.select("match_id", "start_time", F.explode(F.array(*[versus(at("a", i), at("b", j)) for i in range(5) for j in range(5)])).alias("x")).select("match_id", "start_time", "x.*")
+    counter = counted(cross, ["low", "high"], "low_won").groupBy("match_id").agg(F.array(*[F.sum(F.col("sign") * excess(i, k, F.col(rates[i]))) for i in each for k in k_pairs]).alias("counter"))
     warm = (F.col("games_a") >= config.min_team_games) & (F.col("games_b") >= config.min_team_games)
     base = both.select("match_id", F.when(F.col("first_a"), 1.0).when(~F.col("first_a"), -1.0).otherwise(0.0).alias("first_action"), F.when(warm, 1.0).otherwise(0.0).alias("both_warm"))
-    return base.join(match.select("match_id", "hero_diff", "team_hero_diff"), "match_id").join(synergy, "match_id").join(counter, "match_id").select("match_id", "hero_diff", "team_hero_diff", "synergy_diff", "counter_sum", "first_action", "both_warm")
+    out = base.join(match.drop("start_time", "a", "b", "won"), "match_id").join(synergy, "match_id").join(counter, "match_id")
+    n = len(k_pairs)
+    return out.select("match_id", F.array(*[F.array(F.col(f"hero_{i}"), F.col(f"team_hero_{i}"), F.col("synergy")[i * n + k], F.col("counter")[i * n + k], F.col("first_action"), F.col("both_warm")) for i in each for k in range(n)]).alias("grid"))
 
 
 FEATURES = ["anchor", "hero_diff", "team_hero_diff", "synergy_diff", "counter_sum", "first_action", "both_warm"]
@@ -121,38 +142,46 @@ class Combiner:
             self.theta[j] -= self.rate / math.sqrt(self.squares[j] + 1e-4) * g
 
 
-def _combined(configs: dict):
+def _combined(configs: dict, of_task: dict[int, list[int]]):
     def run(batches):
-        current, model = None, None
+        models: dict[int, Combiner] = {}
         for batch in batches:
-            out = []
-            for r in batch.to_pylist():
-                if r["config_id"] != current:
-                    current = r["config_id"]
-                    c = configs[current]
-                    model = Combiner(c.initial_intercept, c.learning_rate)
-                fallback = r["hero_diff"] is None
-                x = [r[f] for f in FEATURES]
-                if configs[current].disabled:
-                    p = r["prob"]
-                elif fallback:
-                    p = model.predict(x[:1])
-                else:
-                    p = model.predict(x)
-                    model.update(x, float(r["win"]), p)
-                out.append((current, r["match_id"], p, fallback))
-            columns = list(zip(*out, strict=True)) or [[], [], [], []]
-            yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int32()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.float64()), pa.array(columns[3], pa.bool_())], ["config_id", "match_id", "prob", "fallback"])
+            if not batch.num_rows:
+                continue
+            models = models or {k: Combiner(configs[k].initial_intercept, configs[k].learning_rate) for k in of_task[batch.column("task")[0].as_py()]}
+            matches, wins, probs, anchors, features = (batch.column(c).to_pylist() for c in ("match_id", "win", "prob", "anchor", "features"))
+            fallback = pa.array([x is None for x in features], pa.bool_())
+            for k, model in models.items():
+                out, off = [], configs[k].disabled
+                for win, prob, anchor, own in zip(wins, probs, anchors, features, strict=True):
+                    if off:
+                        out.append(prob)
+                    elif own is None:
+                        out.append(model.predict((anchor,)))
+                    else:
+                        x = (anchor, *own)
+                        p = model.predict(x)
+                        model.update(x, float(win), p)
+                        out.append(p)
+                yield pa.RecordBatch.from_arrays([pa.array([k] * len(out), pa.int32()), pa.array(matches, pa.int64()), pa.array(out, pa.float64()), fallback], ["config_id", "match_id", "prob", "fallback"])
 
     return run
 
 
-def combine(rows: DataFrame, configs: dict[int, DraftConfig]) -> DataFrame:
+def combine(rows: DataFrame, configs: dict[int, DraftConfig], place: dict[int, int]) -> DataFrame:
     """config_id, match_id, prob, fallback: the combiner's prediction before each map, folded in order.
 
-    rows: config_id, match_id, start_time, win, prob (of the ratings) and the features (null without a complete draft,
-    where the anchor and the side alone predict and nothing is learnt). Disabled: the ratings' prob as it is.
+    rows: match_id, start_time, win, prob (of the ratings) and grid, feature lists (see feature_grid; null without a
+    complete draft, where the anchor and the side alone predict and nothing is learnt), of which place says the one of
+    each configuration. Configurations of one list share tasks, so that a row is sent once a list and task, not once a
+    configuration. Disabled: the ratings' prob as it is.
     """
-    ready = rows.withColumn("anchor", logit(clamp(F.col("prob"))))
-    dealt = ready.select("config_id", "match_id", "start_time", "win", "prob", *FEATURES).repartition(max(1, len(configs)), "config_id").sortWithinPartitions("config_id", "start_time", "match_id")
-    return dealt.mapInArrow(_combined(configs), "config_id int, match_id long, prob double, fallback boolean")
+    lists: dict[int, list[int]] = {}
+    for k in sorted(configs):
+        lists.setdefault(place[k], []).append(k)
+    parts = max(1, rows.sparkSession.sparkContext.defaultParallelism // len(lists))
+    of_task = dict(enumerate((v, ids[i::parts]) for v, ids in lists.items() for i in range(min(parts, len(ids)))))
+    sent = F.explode(F.array(*[F.struct(F.lit(t).alias("task"), F.get("grid", F.lit(v)).alias("features")) for t, (v, _) in of_task.items()])).alias("x")
+    ready = rows.select("match_id", "start_time", "win", "prob", logit(clamp(F.col("prob"))).alias("anchor"), sent).select("x.task", "match_id", "start_time", "win", "prob", "anchor", "x.features")
+    dealt = ready.repartitionById(len(of_task), F.col("task")).sortWithinPartitions("task", "start_time", "match_id")
+    return dealt.mapInArrow(_combined(configs, {t: ids for t, (_, ids) in of_task.items()}), "config_id int, match_id long, prob double, fallback boolean")

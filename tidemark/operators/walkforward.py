@@ -7,9 +7,10 @@ from itertools import product
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .drafts import FEATURES, DraftConfig, combine, draft_features
-from .ratings import RatingConfig, replay
-from .rollups import numbered, running_games, scorecard, scorecard_by_day
+from ..sources.shared import materialize
+from .drafts import DraftConfig, combine, feature_grid
+from .ratings import RatingConfig, forecasts
+from .rollups import numbered, scorecard, scorecard_by_day
 
 GRID = {"tau": [0.3, 0.5], "idle_days": [15, 30], "patch_rd_boost": [None, 60.0], "roster_rd_boost": [None, 30.0]}
 DRAFT_GRID = {"half_life_days": [60.0, 120.0, 240.0], "k_pair": [50.0, 100.0, 200.0], "learning_rate": [0.02, 0.05, 0.1]}
@@ -34,10 +35,8 @@ def in_scope(rows: DataFrame, start_scoring: int | None = None, min_games: int =
 
 
 def predictions(maps: DataFrame, configs: dict[int, RatingConfig]) -> DataFrame:
-    """maps with config_id, prob and the games of both before each map."""
-    known = replay(maps, configs).where("side = 'a'").select("config_id", "match_id", "prob", "games")
-    games = running_games(maps, ["start_time", "match_id"])
-    return games.join(known.drop("games"), "match_id")
+    """maps with config_id, prob and the decided games of both before each map, all from one fold."""
+    return maps.join(forecasts(maps, configs), "match_id")
 
 
 def walk_forward(maps: DataFrame, configs: dict[int, RatingConfig], **scope) -> DataFrame:
@@ -54,16 +53,26 @@ def walk_forward_draft(maps: DataFrame, drafts: DataFrame, configs: dict[int, Dr
 
 
 def draft_predictions(base: DataFrame, drafts: DataFrame, configs: dict[int, DraftConfig]) -> DataFrame:
-    """base (maps with prob and games) with config_id, fallback and the combiner's prob."""
+    """base (maps with prob and games) with config_id, fallback and the combiner's prob.
+
+    base and the features are written once, as each is read several times. Configurations that differ in half-life or
+    k_pair share the shuffles of feature_grid, those that differ in the learning rate alone share their feature lists.
+    """
+    base = materialize(base, "rated-maps")
     shared: dict[tuple, list[int]] = {}
     for k, c in configs.items():
-        shared.setdefault((c.half_life_days, c.k_hero, c.k_team_hero, c.k_pair, c.min_team_games), []).append(k)
-    rows = None
-    for ids in shared.values():
-        features = draft_features(base.select("match_id", "start_time", "a", "b", "win", "games_a", "games_b"), drafts, configs[ids[0]])
-        part = base.join(features, "match_id", "left").select(F.explode(F.array(*[F.lit(i) for i in ids])).alias("config_id"), "match_id", "start_time", "win", "prob", *FEATURES[1:])
-        rows = part if rows is None else rows.union(part)
-    return base.drop("prob").join(combine(rows, configs), "match_id")
+        shared.setdefault((c.k_hero, c.k_team_hero, c.min_team_games), []).append(k)
+    maps, place, grids, size = base.select("match_id", "start_time", "a", "b", "win", "games_a", "games_b"), {}, [], 0
+    rows = base.select("match_id", "start_time", "win", "prob")
+    for n, ids in enumerate(shared.values()):
+        halves, ks = (list(dict.fromkeys(getattr(configs[k], f) for k in ids)) for f in ("half_life_days", "k_pair"))
+        found = materialize(feature_grid(maps, drafts, configs[ids[0]], halves, ks), "draft-features")
+        rows = rows.join(found.withColumnRenamed("grid", f"grid_{n}"), "match_id", "left")
+        place.update({k: size + halves.index(configs[k].half_life_days) * len(ks) + ks.index(configs[k].k_pair) for k in ids})
+        grids += [F.get(f"grid_{n}", F.lit(i)) for i in range(len(halves) * len(ks))]
+        size = len(grids)
+    rows = materialize(rows.select("match_id", "start_time", "win", "prob", F.array(*grids).alias("grid")), "draft-rows")
+    return base.drop("prob").join(combine(rows, configs, place), "match_id")
 
 
 def event_predictions_draft(maps: DataFrame, drafts: DataFrame, target: DataFrame, config: DraftConfig = DraftConfig(), rating: RatingConfig = RatingConfig()) -> DataFrame:
