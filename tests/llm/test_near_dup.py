@@ -1,10 +1,12 @@
+import math
 import random
+from collections import Counter
 
 import numpy as np
 
 from tests.llm.cases import docs, texts
 from tidemark.llm import near_dup
-from tidemark.llm.near_dup import SAMPLES, THRESHOLD, Sampler, Weights, components, content_key, frequent_shingles, near_duplicates, shingles, similarities
+from tidemark.llm.near_dup import SAMPLES, THRESHOLD, Sampler, Weights, components, content_key, document_idf, near_duplicates, shingles, similarities
 
 
 def jaccard(a, b, idf):
@@ -13,6 +15,13 @@ def jaccard(a, b, idf):
     return sum(min(x.get(k, 0), y.get(k, 0)) for k in keys) / max(sum(max(x.get(k, 0), y.get(k, 0)) for k in keys), 1e-300)
 
 
+def plain_idf(rows):
+    """idf of shingles by the definition: counts of documents by the first 20 bits of a shingle's hash."""
+    held = Counter(f for t in rows for f in {int(s) >> 44 for s in shingles(t)[0]})
+    of = lambda s: 0.8 + 0.2 * min(1, math.log(len(rows) / max(1, held[int(s) >> 44])) / math.log(min(1000, len(rows))))
+    return lambda own: np.array([of(s) for s in own])
+
+
 def brute(rows, idf):
     sets, keys, low = [shingles(t) for t in rows], [content_key(t) for t in rows], list(range(len(rows)))
 
@@ -48,7 +57,9 @@ def corpus(seed=0, n=40):
 def test_similarities_are_exact():
     rows = [t for t in corpus(3, 15) if t]
     few = shingles(rows[0])[0][:20]
-    idf = Weights(np.sort(few), np.linspace(0.8, 1, len(few)))
+    table = np.ones(1 << 20, dtype=np.float32)
+    table[near_dup.features_of(few)] = np.linspace(0.8, 1, len(few))
+    idf = Weights(table)
     sets = [(s, n, idf(s)) for s, n in map(shingles, rows)]
     got = similarities(sets[:20], sets[20:40])
     for i in range(20):
@@ -79,25 +90,64 @@ def test_components(spark):
     assert got == {x: r for x, r in low.items() if any(a != b and x in (a, b) for a, b in edges)}
 
 
-def test_frequent_shingles_are_counted_exactly(spark):
-    rows = [f"common words of every single text {i} and more of its own {i * i}" if i % 4 == 0 else f"alone {i} with nothing but its own words {i * 7}" for i in range(400)]
-    found, idf = frequent_shingles(docs(spark, rows).repartition(5), 0.05)
-    want = shingles("common words of every single text")[0]
-    assert set(want.tolist()) <= set(found.tolist()) and len(set(idf[np.isin(found, want)].tolist())) == 1
+def test_idf_is_exact_however_rows_are_dealt(spark):
+    """Chunks of 3,000 to 20 documents; a passage in one document of each small partition, 1 % of all."""
+    rows = [f"a passage of some few words {i}" if i % 100 == 0 else f"text {i} with words of {i} own {i * 3}" for i in range(3000)]
+    rows[7], rows[8] = None, ""
+    df = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    found = [document_idf(d) for d in (df.coalesce(1), df.repartition(7), df.repartition(50), df.repartitionByRange(150, "doc_id"))]
+    assert all(np.array_equal(found[0], x) for x in found)
+    want, own = plain_idf(rows), np.concatenate([shingles(t)[0] for t in rows])
+    assert np.allclose(Weights(found[0])(own), want(own), atol=1e-6)
+    passage = shingles("a passage of some few words")[0]
+    assert np.allclose(Weights(found[0])(passage), 0.8 + 0.2 * math.log(100) / math.log(1000), atol=1e-3)
+    assert (document_idf(df.limit(0)) == 1).all() and (document_idf(df.limit(1)) == 1).all()
+
+
+def test_classes_do_not_depend_on_partitions(spark):
+    rows = corpus(4, 30)
+    found = [{r.doc_id: r.class_id for r in near_duplicates(docs(spark, rows).repartition(n)).collect()} for n in (1, 7, 50)]
+    assert found[0] == found[1] == found[2] == brute(rows, plain_idf(rows))
 
 
 def test_matches_brute_force(spark, monkeypatch):
-    for seed, block in ((0, 400_000), (1, 900)):
+    for seed, block, few in ((0, 400_000, 2_000), (1, 900, 3)):
         monkeypatch.setattr(near_dup, "BLOCK_SHINGLES", block)
+        monkeypatch.setattr(near_dup, "BLOCK_TEXTS", few)
         rows = corpus(seed)
-        df = docs(spark, rows).repartition(6)
-        idf = Weights(*frequent_shingles(df))
-        out = near_duplicates(df).collect()
+        out = near_duplicates(docs(spark, rows).repartition(6)).collect()
         got = {r.doc_id: r.class_id for r in out}
-        assert got == brute(rows, idf) and len(out) == len(rows)
+        assert got == brute(rows, plain_idf(rows)) and len(out) == len(rows)
         assert all(r.kept == (r.doc_id == r.class_id) for r in out) and len(set(got.values())) < len(rows) - 30
 
 
+def test_groups_of_several_large_classes(spark, monkeypatch):
+    """Three known classes of one group, two larger than a block, and single texts: only links between classes count."""
+    monkeypatch.setattr(near_dup, "BLOCK_TEXTS", 4)
+    rnd = random.Random(8)
+    word = lambda: f"w{rnd.randint(0, 9000)}"
+    bases = [[word() for _ in range(60)] for _ in range(5)]
+    edit = lambda w: " ".join("edit" + word() if k == i else x for k in [rnd.randrange(60)] for i, x in enumerate(w))
+    rows, known = [], []
+    for k, (base, n) in enumerate(zip(bases, (11, 9, 3, 1, 1), strict=True)):
+        rows += [edit(base) for _ in range(n)]
+        known += [k] * n
+    rows += [" ".join(b) for b in bases[:4]]  # of no known class, but linked with four
+    known += [5, 6, 7, 8]
+    one = {k: known.index(k) for k in set(known)}
+    texts = spark.createDataFrame(list(enumerate(rows)), "doc long, text string")
+    groups = spark.createDataFrame([(i, 0, len(shingles(t)[0]), one[k]) for i, (t, k) in enumerate(zip(rows, known, strict=True))], "doc long, root long, n long, class long")
+    got = near_dup.group_edges(texts, groups, spark.sparkContext.broadcast(np.ones(1 << 20, dtype=np.float32)), THRESHOLD).collect()
+    low = {i: one[k] for i, k in enumerate(known)}
+    for _ in range(9):
+        for r in got:
+            a, b = low[r.a], low[r.b]
+            low = {i: min(a, b) if c in (a, b) else c for i, c in low.items()}
+    want = brute(rows, lambda own: np.ones(len(own)))
+    assert {i: sorted(j for j in low if low[j] == low[i]) for i in low} == {i: sorted(j for j in want if want[j] == want[i]) for i in want}
+    assert near_dup.group_edges(texts, groups.withColumn("class", near_dup.F.lit(0).cast("long")), spark.sparkContext.broadcast(np.ones(1 << 20, dtype=np.float32)), THRESHOLD).collect() == []
+
+
 def test_nulls_repeats_and_empty(spark):
     assert near_duplicates(docs(spark, []).limit(0)).collect() == []
     df = spark.createDataFrame([(None, "a b c"), (4, "a b c"), (2, "A, b c"), (2, "A, b c"), (7, None), (8, "")], "doc_id long, text string")
@@ -116,15 +166,6 @@ def test_bands_join_texts_on_opposite_sides_of_a_hub(spark):
         assert [int((samples[a] == samples[b]).sum()) for a, b in ((hub, close), (hub, far), (close, far))] == [48, 25, 37]
         rows += [(d, [k], x.astype("<u2").tobytes()) for d, x in samples.items()]
         want.append({close, far})
-    edges = near_dup.candidate_edges(spark.createDataFrame(rows, "doc long, bands array<long>, samples binary"))
+    edges = near_dup.candidate_edges(spark.createDataFrame(rows, "doc long, bands array<long>, samples binary")).select("a", "b")
     root = {r.node: r.root for r in components(edges).collect()}
     assert all(len({root.get(d, d) for d in pair}) == 1 for pair in want)
-
-
-def test_weights_do_not_depend_on_partitions(spark):
-    """A passage in one document of each small partition: 1 % of all, never twice in a partition."""
-    rows = [(i, f"a passage of some few words {i}" if i % 100 == 0 else f"text {i} with words of {i} own {i * 3}") for i in range(3000)]
-    df = spark.createDataFrame(rows, "doc_id long, text string")
-    one, many = (frequent_shingles(d, 0.0023) for d in (df.coalesce(1), df.repartitionByRange(150, "doc_id")))
-    passage = shingles("a passage of some few words")[0]
-    assert np.isin(passage, one[0]).all() and all(np.array_equal(a, b) for a, b in zip(one, many, strict=True))

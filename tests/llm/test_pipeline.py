@@ -6,10 +6,9 @@ import public_tokenizers as P
 import corpus_pipeline
 from tests.llm.test_line_dedup import brute as brute_lines
 from tests.llm.test_near_dup import brute as brute_classes
-from tests.llm.test_near_dup import corpus
+from tests.llm.test_near_dup import corpus, plain_idf
 from tidemark.llm.bpe_monoid import MonoidBPE
 from tidemark.llm.decontaminate import Benchmark
-from tidemark.llm.near_dup import Weights, frequent_shingles
 from tidemark.llm.quality_gam import features, train
 
 
@@ -29,8 +28,7 @@ def test_run_equals_brute_force(spark, tmp_path):
     ids = [i for i, t in enumerate(rows) if model.score(features(t)[None])[0] >= 0.7]
     texts = [rows[i] for i in ids]
     texts = [x[2] for _, x in sorted(brute_lines(texts).items())]
-    cut = spark.createDataFrame(list(zip(ids, texts, strict=True)), "doc_id long, text string")
-    classes = brute_classes(texts, Weights(*frequent_shingles(cut)))
+    classes = brute_classes(texts, plain_idf(texts))
     kept = [(ids[i], texts[i]) for i, c in classes.items() if i == c]
     check, bpe = Benchmark(bench), MonoidBPE(open(P.path("byte_bpe_50k.tiktoken"), "rb").read(), P.PATTERN)
     want = {}

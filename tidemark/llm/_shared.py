@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -17,21 +18,50 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir; a local one only where that is unset, as in tests."""
-    return (spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/checkpoints").rstrip("/")
+    """The folder that all executors share: spark.checkpoint.dir. Where that is unset, a local one on one machine, as in
+    tests; on a cluster an error, as tables written there would be lost."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    return (found or "file:///tmp/checkpoints").rstrip("/")
 
 
 def fresh_path(spark: SparkSession, tag: str) -> str:
     return f"{shared_dir(spark)}/tidemark/{tag}-{uuid.uuid4().hex}"
 
 
+#: The paths that materialize has written inside each open scratch block.
+_OPEN: list[list[str]] = []
+
+
 def materialize(df: DataFrame, tag: str, codec: str = "zstd") -> DataFrame:
     """Write df once as Parquet to the shared folder and read it back: lineage is cut there and survives lost executors."""
     path = fresh_path(df.sparkSession, tag)
+    if _OPEN:
+        _OPEN[-1].append(path)
     df.write.option("compression", codec).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+@contextlib.contextmanager
+def scratch(spark: SparkSession):
+    """A block whose intermediate tables go when it ends; it gives a materialize for the result, which stays."""
+    _OPEN.append([])
+
+    def kept(df: DataFrame, tag: str) -> DataFrame:
+        out = materialize(df, tag)
+        _OPEN[-1].pop()
+        return out
+
+    try:
+        yield kept
+    finally:
+        hadoop = spark._jvm.org.apache.hadoop.fs
+        for path in _OPEN.pop():
+            at = hadoop.Path(path)
+            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def ascii_lower(c: Column) -> Column:
     """Lower-case A-Z only."""
     return F.translate(c, UPPER, LOWER)

@@ -13,27 +13,30 @@ import re
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._shared import materialize, table
+from ._shared import materialize, scratch, table
 
 WORDS = 5
 THRESHOLD = 0.8
 BANDS, ROWS = 16, 4
 SAMPLES = BANDS * ROWS
-#: Shingles of less than this share of the documents have the full idf; a larger share is counted exactly.
+#: Documents are counted by hashed feature, the first bits of a shingle's hash: a table of 2^20 counts, whatever the input.
+FEATURE_BITS = 20
+#: Features of this share of the documents or less have the full idf.
 RARE = 1e-3
-#: Shingles that can be so frequent, at most (a bound on what is broadcast); RARE is raised where texts are too long.
-FREQUENT = 1 << 20
-#: idf falls from 1 (rare) to this (in every document), so that a few edits don't outweigh a text that many share.
+#: idf falls with the logarithm from 1 (RARE) to this (in every document). Unscaled, log(N / df) would give each shingle
+#: that an edit makes several times the weight of those that a large group of copies shares, and tear the group apart.
 IDF_FLOOR = 0.8
 #: Estimated similarity from which a text joins the candidates of a bucket's hub, and from which it needs no other hub.
 NEAR, CLOSE = 0.4, 0.9
 ROUNDS = 3
-#: Shingles of one block of a candidate group; a task compares two blocks.
+#: Shingles and texts of one block of a candidate group; a task compares two blocks.
 BLOCK_SHINGLES = 400_000
-CHUNK_SHINGLES = 1_000_000
+BLOCK_TEXTS = 2_000
+#: Features of one row of counts.
+COUNTED = 1 << 12
 
 _WORD = re.compile(r"\w+")
 _U = np.uint64
@@ -86,89 +89,76 @@ def content_key(text: str | None) -> bytes:
 # --- document frequencies -------------------------------------------------------------------------------------------
 
 
-def _locally_frequent(rare: float):
-    """Rows (shingle, count) of the shingles that rare / 2 of a chunk's documents hold."""
+def features_of(own: np.ndarray) -> np.ndarray:
+    """The hashed feature of each shingle."""
+    return (own >> _U(64 - FEATURE_BITS)).astype(np.int64)
 
-    def run(batches):
-        held, size, docs = [], 0, 0
-
-        def rows():
-            found, n = np.unique(np.concatenate(held), return_counts=True)
-            often = n >= math.ceil(rare / 2 * docs)
-            return pa.RecordBatch.from_arrays([pa.array(found[often].view(np.int64)), pa.array(n[often])], ["shingle", "n"])
 
-        for batch in batches:
-            for text in batch.column(0):
-                own, _ = shingles(text.as_py())
-                docs += 1
-                if len(own):
-                    held.append(own)
-                    size += len(own)
-                if size >= CHUNK_SHINGLES:
-                    yield rows()
-                    held, size, docs = [], 0, 0
+def _counted(batches):
+    """Rows (block, at, n) of a task: the number of its documents with each feature; block -1 has all its documents."""
+    total, docs = np.zeros(1 << FEATURE_BITS, dtype=np.int64), 0
+    for batch in batches:
+        held = []
+        for text in batch.column(0):
+            f = features_of(shingles(text.as_py())[0])
+            held.append(f[np.flatnonzero(np.diff(f, prepend=-1))])  # shingles are sorted, so equal features are neighbours
+        docs += batch.num_rows
         if held:
-            yield rows()
-
-    return run
-
-
-def _counted(chosen):
-    """Rows (at, count): how many documents of a task hold the chosen shingle at that place."""
+            total += np.bincount(np.concatenate(held), minlength=len(total))
+    rows = [(-1, [0], [docs])]
+    for k, part in enumerate(total.reshape(-1, COUNTED)):
+        at = np.flatnonzero(part)
+        if len(at):
+            rows.append((k, at, part[at]))
+    blocks, places, counts = zip(*rows, strict=True)
+    yield pa.RecordBatch.from_arrays([pa.array(blocks, pa.int32()), pa.array(places, pa.list_(pa.int32())), pa.array(counts, pa.list_(pa.int64()))], ["block", "at", "n"])
+
+
+def _summed(batches):
+    """The sum of all rows of a block; a task holds one array for each of its blocks, which FEATURE_BITS bounds."""
+    total: dict[int, np.ndarray] = {}
+    for batch in batches:
+        at, n = batch.column("at"), batch.column("n")
+        for k, block in enumerate(batch.column("block").to_pylist()):
+            np.add.at(total.setdefault(block, np.zeros(COUNTED, dtype=np.int64)), at[k].values.to_numpy(), n[k].values.to_numpy())
+    yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([x.tobytes() for x in total.values()], pa.binary())], ["block", "n"])
 
-    def run(batches):
-        wanted, total = chosen.value, np.zeros(len(chosen.value), dtype=np.int64)
-        for batch in batches:
-            for text in batch.column(0):
-                own, _ = shingles(text.as_py())
-                if len(own) and len(wanted):
-                    at = np.searchsorted(wanted, own)
-                    at[at == len(wanted)] = 0
-                    total[at[wanted[at] == own]] += 1
-        hit = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(hit, pa.int64()), pa.array(total[hit])], ["at", "n"])
 
-    return run
+def idf_of(counts: np.ndarray, docs: int) -> np.ndarray:
+    """idf by number of documents: IDF_FLOOR + (1 - IDF_FLOOR) log(N / df) / log(1 / RARE), 1 at most. A corpus of fewer
+    than 1 / RARE documents has its single ones as rarest."""
+    if docs < 2:
+        return np.ones(len(counts), dtype=np.float32)
+    share = np.log(docs / np.maximum(counts, 1)) / math.log(min(1 / RARE, docs))
+    return (IDF_FLOOR + (1 - IDF_FLOOR) * np.minimum(share, 1)).astype(np.float32)
 
 
-def frequent_shingles(docs: DataFrame, rare: float = RARE) -> tuple[np.ndarray, np.ndarray]:
-    """The shingles that rare of the documents or more hold, sorted, and their idf weights (see IDF_FLOOR).
+def document_idf(docs: DataFrame) -> np.ndarray:
+    """The idf of each hashed feature, of the exact number of all documents that hold it.
 
-    A shingle of rare x N documents has rare / 2 of the documents in chunks that together hold at least rare / 2 x N
-    of its occurrences, so that the sum of its counts over the chunks where it is that frequent passes rare / 2 x N.
-    A chunk of fewer than 2 / rare documents, as small partitions are, so gives all of its shingles.
-    As all counts sum up to N times the mean number of shingles m, at most 2 m / rare pass, a bound that doesn't grow
-    with the corpus; rare is raised to keep it within FREQUENT. Their documents are then counted exactly, over all
-    texts, so that weights don't depend on how rows are dealt out.
+    One pass over the texts; sums of counts don't depend on how rows are dealt out. What a task sends, what the driver
+    gets and what is broadcast is one table of 2^FEATURE_BITS numbers at most, whatever the corpus. Shingles of one
+    feature share its weight, so a rare one has a common one's idf with probability (common ones) / 2^FEATURE_BITS.
     """
-    spark = docs.sparkSession
-    n, chars = docs.agg(F.count("*"), F.coalesce(F.sum(F.char_length("text")), F.lit(0))).first()
-    rare = max(rare, 2 * (chars / 2) / max(n, 1) / FREQUENT)  # a text has no more shingles than half its characters
-    text = docs.select("text")
-    found = text.mapInArrow(_locally_frequent(rare), "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n")).where(F.col("n") >= max(2, rare / 2 * n))
-    wanted = np.sort(found.select("shingle").toArrow().column(0).to_numpy().view(np.uint64))
-    exact = text.mapInArrow(_counted(spark.sparkContext.broadcast(wanted)), "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).toArrow()
-    df = np.zeros(len(wanted))
-    df[exact.column(0).to_numpy()] = exact.column(1).to_numpy()
-    often = df >= max(2, rare * n)
-    idf = np.log(n / np.maximum(df[often], 1)) / math.log(1 / rare) if n else df[often]
-    return wanted[often], IDF_FLOOR + (1 - IDF_FLOOR) * np.minimum(idf, 1)
+    rows = docs.select("text").mapInArrow(_counted, "block int, at array<int>, n array<long>")
+    total, n = np.zeros(((1 << FEATURE_BITS) // COUNTED, COUNTED), dtype=np.int64), 0
+    for r in rows.repartition("block").mapInArrow(_summed, "block int, n binary").collect():
+        got = np.frombuffer(r.n, dtype=np.int64)
+        if r.block < 0:
+            n = int(got[0])
+        else:
+            total[r.block] = got
+    return idf_of(total.reshape(-1), n)
 
 
 class Weights:
-    """idf of any shingle: the given ones', else 1."""
+    """idf of any shingle by the table of its features."""
 
-    def __init__(self, frequent: np.ndarray, idf: np.ndarray):
-        self.frequent, self.idf = frequent, idf
+    def __init__(self, idf: np.ndarray):
+        self.idf = idf
 
     def __call__(self, own: np.ndarray) -> np.ndarray:
-        out = np.ones(len(own))
-        if len(self.frequent) and len(own):
-            at = np.searchsorted(self.frequent, own)
-            at[at == len(self.frequent)] = 0
-            hit = self.frequent[at] == own
-            out[hit] = self.idf[at[hit]]
-        return out
+        return self.idf[features_of(own)].astype(np.float64)
 
 
 # --- improved consistent weighted sampling --------------------------------------------------------------------------
@@ -227,7 +217,7 @@ def _signed(weights):
     """Batches of (doc_id, text) to (doc_id, content, n, bands, samples in 16 bits each)."""
 
     def run(batches):
-        sampler, idf = Sampler(), Weights(*weights.value)
+        sampler, idf = Sampler(), Weights(weights.value)
 
         def rows(ids, keys, sets):
             counts = np.array([len(s) for s, _ in sets], dtype=np.int64)
@@ -296,7 +286,8 @@ def _agreement(batches):
 
 
 def candidate_edges(reps: DataFrame) -> DataFrame:
-    """(a, b): edges that connect all texts which share a band and may be alike. reps: doc, bands, samples.
+    """(a, b, alike): edges that connect all texts which share a band and may be alike. reps: doc, bands, samples.
+    alike: the share of samples in which a and its hub b agree, -1 where it was not asked.
 
     In each bucket the text of the smallest hash is hub. A text whose samples say it is NEAR the hub gets an edge to
     it, and one that is CLOSE leaves the bucket. The rest elect the next hub, and what is left after ROUNDS gets edges
@@ -313,11 +304,10 @@ def candidate_edges(reps: DataFrame) -> DataFrame:
         met = materialize(members.join(hubs, "bucket").where("doc <> hub"), "bucket-members")
         pairs = met.select("doc", "hub").distinct()
         if k == ROUNDS:
-            edges = pairs.select(F.col("doc").alias("a"), F.col("hub").alias("b"))
-            return out.union(edges)
+            return out.union(pairs.select(F.col("doc").alias("a"), F.col("hub").alias("b"), F.lit(-1.0).alias("alike")))
         both = pairs.join(brief, "doc").join(brief.select(F.col("doc").alias("hub"), F.col("samples").alias("other")), "hub")
         judged = materialize(both.select("doc", "hub", "samples", "other").mapInArrow(_agreement, "doc long, hub long, alike double"), "agreement")
-        edges = judged.where(F.col("alike") >= NEAR).select(F.col("doc").alias("a"), F.col("hub").alias("b"))
+        edges = judged.where(F.col("alike") >= NEAR).select(F.col("doc").alias("a"), F.col("hub").alias("b"), "alike")
         out = edges if out is None else out.union(edges)
         far = judged.where(F.col("alike") < CLOSE).select("doc", "hub")
         members = materialize(met.join(far, ["doc", "hub"]).select("doc", "order", "bucket"), "bucket-rest")
@@ -360,7 +350,7 @@ def _linked(weights, threshold: float):
     """Edges of each group of texts to the smallest id that verified links connect it with inside the group."""
 
     def run(group: pa.Table) -> pa.Table:
-        idf = Weights(*weights.value)
+        idf = Weights(weights.value)
         one = bool(group.column("i")[0].as_py() == group.column("j")[0].as_py())
         ids, sides = group.column("doc").to_pylist(), group.column("side").to_pylist()
         sets = [(s, n, idf(s)) for s, n in (shingles(t.as_py()) for t in group.column("text"))]
@@ -389,20 +379,50 @@ def _linked(weights, threshold: float):
     return run
 
 
-def verified_edges(texts: DataFrame, groups: DataFrame, weights, threshold: float) -> DataFrame:
-    """(a, b): edges with the components of all pairs in one group whose similarity reaches threshold.
+def _blocks(total: str, members: str):
+    return F.ceil(F.greatest(F.col(total) / BLOCK_SHINGLES, F.col(members) / BLOCK_TEXTS)).cast("int")
 
-    texts: doc, text; groups: doc, root, n (shingles). A group is dealt into blocks of about BLOCK_SHINGLES; a task
-    holds two blocks at most, however large the group is, and gives edges, never pairs.
-    """
-    sizes = groups.groupBy("root").agg(F.sum("n").alias("total"), F.count("*").alias("members")).where("members > 1").select("root", F.ceil(F.col("total") / BLOCK_SHINGLES).cast("int").alias("blocks"))
-    dealt = groups.join(materialize(sizes, "group-sizes"), "root").withColumn("block", F.pmod(F.xxhash64("doc", F.lit(1)), F.col("blocks")).cast("int"))
-    turns = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least("block", o).alias("i"), F.greatest("block", o).alias("j"), (o < F.col("block")).cast("int").alias("side")))
-    placed = materialize(dealt.select("doc", "root", F.explode(turns).alias("t")).select("doc", "root", "t.*"), "blocks")
+
+def _compared(texts: DataFrame, placed: DataFrame, weights, threshold: float) -> DataFrame:
+    """(a, b): edges of the comparisons placed (doc, root, i, j, side): i = j: all with all, else side 0 with side 1."""
     rows = texts.join(placed, "doc").select("doc", "root", "i", "j", "side", "text")
     return rows.groupBy("root", "i", "j").applyInArrow(_linked(weights, threshold), "a long, b long")
 
 
+def star_edges(texts: DataFrame, stars: DataFrame, weights, threshold: float) -> DataFrame:
+    """(a, b): edges of the pairs of stars (doc, hub, n) whose similarity reaches threshold. The texts of a hub are dealt
+    into blocks, each of which meets the hub's text in a task of its own, however many they are."""
+    sizes = materialize(stars.groupBy("hub").agg(F.sum("n").alias("total"), F.count("*").alias("members")).select("hub", _blocks("total", "members").alias("blocks")), "star-sizes")
+    spokes = stars.join(sizes, "hub").select("doc", F.col("hub").alias("root"), F.pmod(F.xxhash64("doc"), F.col("blocks")).cast("int").alias("i"), F.lit(-1).alias("j"), F.lit(1).alias("side"))
+    hubs = sizes.select(F.col("hub").alias("doc"), F.col("hub").alias("root"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("i"), F.lit(-1).alias("j"), F.lit(0).alias("side"))
+    return _compared(texts, materialize(spokes.union(hubs), "stars"), weights, threshold)
+
+
+def group_edges(texts: DataFrame, groups: DataFrame, weights, threshold: float) -> DataFrame:
+    """(a, b): edges with the components of all pairs in one group whose similarity reaches threshold and that aren't of
+    one class already.
+
+    texts: doc, text; groups: doc, root (the group), n (shingles), class (of texts that are known to be connected).
+    A group of one class needs nothing. Else a class larger than a block has blocks of its own, which are not compared
+    with each other, and all others share blocks. A task holds two blocks at most, however large the group is.
+    """
+    of_class = groups.groupBy("root", "class").agg(F.sum("n").alias("total"), F.count("*").alias("members"))
+    of_class = of_class.withColumn("own", F.when((F.col("total") > BLOCK_SHINGLES) | (F.col("members") > BLOCK_TEXTS), _blocks("total", "members")))
+    of_class = materialize(of_class, "group-classes")
+    small = F.col("own").isNull()
+    pool = of_class.groupBy("root").agg(F.count("*").alias("classes"), F.coalesce(F.sum(F.when(small, F.col("total"))), F.lit(0)).alias("total"), F.coalesce(F.sum(F.when(small, F.col("members"))), F.lit(0)).alias("members"), F.coalesce(F.sum("own"), F.lit(0)).alias("large"))
+    pool = materialize(pool.where("classes > 1").select("root", _blocks("total", "members").alias("pool"), "large"), "group-sizes")
+    before = Window.partitionBy("root").orderBy("class").rowsBetween(Window.unboundedPreceding, -1)
+    large = of_class.where("own IS NOT NULL").withColumn("first", F.coalesce(F.sum("own").over(before), F.lit(0)).cast("int")).select("root", "class", "own", "first")
+    dealt = groups.join(pool, "root").join(materialize(large, "large-classes"), ["root", "class"], "left")
+    spread = lambda key, n: F.pmod(F.xxhash64(key, F.lit(1)), n).cast("int")
+    first, own = F.col("pool") + F.col("first"), F.col("own")
+    dealt = dealt.withColumn("block", F.when(own.isNull(), spread("class", F.col("pool"))).otherwise(first + spread("doc", own)))
+    others = F.filter(F.sequence(F.lit(0), (F.col("pool") + F.col("large") - 1).cast("int")), lambda o: own.isNull() | (o < first) | (o >= first + own))
+    turns = F.transform(others, lambda o: F.struct(F.least("block", o).alias("i"), F.greatest("block", o).alias("j"), (o < F.col("block")).cast("int").alias("side")))
+    return _compared(texts, materialize(dealt.select("doc", "root", F.explode(turns).alias("t")).select("doc", "root", "t.*"), "blocks"), weights, threshold)
+
+
 def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, class_id, kept of every row of docs (doc_id, text): class_id is the smallest doc_id of the class.
 
@@ -411,20 +431,34 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     doc_id is null stays by itself: class_id null, kept true. Rows that repeat a doc_id are one document: alike if any
     of their texts are, and all kept or none.
     """
-    spark = docs.sparkSession
-    weights = spark.sparkContext.broadcast(frequent_shingles(docs))
-    rows = docs.select("doc_id", "text")
+    with scratch(docs.sparkSession) as kept:
+        found = kept(_classes(docs.select("doc_id", "text"), threshold), "classes")
+    out = docs.select("doc_id").join(found, F.col("doc_id") == F.col("node"), "left").select("doc_id", F.coalesce("root", "doc_id").alias("class_id"))
+    return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("class_id"), F.lit(True)))
+
+
+def _classes(rows: DataFrame, threshold: float) -> DataFrame:
+    """(node, root): the class of each document that has another one in it.
+
+    Every text is first compared with the candidate hub that its samples agree with most; what that links is a class
+    already, so that a large group of near copies is not compared with itself. Then texts of a candidate group that are
+    of different classes are compared all with all.
+    """
+    weights = rows.sparkSession.sparkContext.broadcast(document_idf(rows))
     known = materialize(rows.where("doc_id IS NOT NULL").mapInArrow(_signed(weights), "doc_id long, content binary, n long, bands array<long>, samples binary"), "samples")
     same = known.groupBy("content").agg(F.min("doc_id").alias("doc"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("samples").alias("samples"))
     reps = materialize(same, "texts")
-    edges = candidate_edges(reps.where("n > 0").select("doc", "bands", "samples"))
-    groups = components(edges).select(F.col("node").alias("doc"), "root").join(reps.groupBy("doc").agg(F.sum("n").alias("n")), "doc")
+    size = reps.groupBy("doc").agg(F.sum("n").alias("n"))
+    edges = materialize(candidate_edges(reps.where("n > 0").select("doc", "bands", "samples")), "candidates")
+    groups = materialize(components(edges.select("a", "b")).select(F.col("node").alias("doc"), "root").join(size, "doc"), "candidate-groups")
     texts = rows.select(F.col("doc_id").alias("doc"), "text")
-    links = materialize(verified_edges(texts, groups, weights, threshold), "links")
+    stars = edges.groupBy(F.col("a").alias("doc")).agg(F.max_by("b", F.struct("alike", "b")).alias("hub")).join(size, "doc")
+    linked = materialize(star_edges(texts, stars, weights, threshold), "star-links")
+    classes = components(linked).select(F.col("node").alias("doc"), F.col("root").alias("class"))
+    groups = groups.join(classes, "doc", "left").withColumn("class", F.coalesce("class", "doc"))
+    links = materialize(group_edges(texts, materialize(groups, "group-members"), weights, threshold), "links")
     copies = known.join(reps.select("content", "doc"), "content").select(F.col("doc_id").alias("a"), F.col("doc").alias("b")).where("a <> b")
-    found = materialize(components(links.union(copies)), "classes")
-    out = docs.select("doc_id").join(found, F.col("doc_id") == F.col("node"), "left").select("doc_id", F.coalesce("root", "doc_id").alias("class_id"))
-    return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("class_id"), F.lit(True)))
+    return components(linked.union(links).union(copies))
 
 
 def op3_near_dup(spark, sf_dir: str) -> DataFrame:
