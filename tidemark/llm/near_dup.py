@@ -32,6 +32,8 @@ IDF_FLOOR = 0.8
 #: Estimated similarity from which a text joins the candidates of a bucket's hub, and from which it needs no other hub.
 NEAR, CLOSE = 0.4, 0.9
 ROUNDS = 3
+#: Estimated similarity from which a hub is taken for one that will be verified.
+SURE = 0.85
 #: Shingles and texts of one block of a candidate group; a task compares two blocks.
 BLOCK_SHINGLES = 400_000
 BLOCK_TEXTS = 2_000
@@ -260,6 +262,8 @@ def components(edges: DataFrame, most: int = 40) -> DataFrame:
     so that a node with very many neighbours is split over tasks. Every step is written to the shared folder.
     """
     now = materialize(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
+    if now.isEmpty():
+        return now.select(F.col("a").alias("node"), F.col("b").alias("root"))
     seen = None
     for _ in range(most):
         both = now.union(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -383,19 +387,42 @@ def _blocks(total: str, members: str):
     return F.ceil(F.greatest(F.col(total) / BLOCK_SHINGLES, F.col(members) / BLOCK_TEXTS)).cast("int")
 
 
-def _compared(texts: DataFrame, placed: DataFrame, weights, threshold: float) -> DataFrame:
-    """(a, b): edges of the comparisons placed (doc, root, i, j, side): i = j: all with all, else side 0 with side 1."""
-    rows = texts.join(placed, "doc").select("doc", "root", "i", "j", "side", "text")
-    return rows.groupBy("root", "i", "j").applyInArrow(_linked(weights, threshold), "a long, b long")
+def _starred(weights, threshold: float):
+    """(doc, hub) of the texts of a block whose similarity with the hub reaches threshold."""
+
+    def run(group: pa.Table) -> pa.Table:
+        idf, hub = Weights(weights.value), group.column("root")[0].as_py()
+        ids, sides = group.column("doc").to_pylist(), group.column("side").to_pylist()
+        sets = [(s, n, idf(s)) for s, n in (shingles(t.as_py()) for t in group.column("text"))]
+        spokes, hubs = ([k for k, s in enumerate(sides) if s == x] for x in (1, 0))
+        near = (similarities([sets[k] for k in spokes], [sets[k] for k in hubs]) >= threshold - 1e-9).any(axis=1) if spokes and hubs else []
+        found = sorted({ids[k] for k, hit in zip(spokes, near, strict=True) if hit})
+        return pa.table({"doc": pa.array(found, pa.int64()), "hub": pa.array([hub] * len(found), pa.int64())})
+
+    return run
 
 
-def star_edges(texts: DataFrame, stars: DataFrame, weights, threshold: float) -> DataFrame:
-    """(a, b): edges of the pairs of stars (doc, hub, n) whose similarity reaches threshold. The texts of a hub are dealt
+def star_links(texts: DataFrame, stars: DataFrame, weights, threshold: float) -> DataFrame:
+    """(doc, hub) of the pairs of stars (doc, hub, n) whose similarity reaches threshold. The texts of a hub are dealt
     into blocks, each of which meets the hub's text in a task of its own, however many they are."""
     sizes = materialize(stars.groupBy("hub").agg(F.sum("n").alias("total"), F.count("*").alias("members")).select("hub", _blocks("total", "members").alias("blocks")), "star-sizes")
-    spokes = stars.join(sizes, "hub").select("doc", F.col("hub").alias("root"), F.pmod(F.xxhash64("doc"), F.col("blocks")).cast("int").alias("i"), F.lit(-1).alias("j"), F.lit(1).alias("side"))
-    hubs = sizes.select(F.col("hub").alias("doc"), F.col("hub").alias("root"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("i"), F.lit(-1).alias("j"), F.lit(0).alias("side"))
-    return _compared(texts, materialize(spokes.union(hubs), "stars"), weights, threshold)
+    spokes = stars.join(sizes, "hub").select("doc", F.col("hub").alias("root"), F.pmod(F.xxhash64("doc"), F.col("blocks")).cast("int").alias("i"), F.lit(1).alias("side"))
+    hubs = sizes.select(F.col("hub").alias("doc"), F.col("hub").alias("root"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("i"), F.lit(0).alias("side"))
+    placed = materialize(spokes.union(hubs), "stars")
+    return texts.join(placed, "doc").select("doc", "root", "i", "side", "text").groupBy("root", "i").applyInArrow(_starred(weights, threshold), "doc long, hub long")
+
+
+def classes_of(docs: DataFrame, links: DataFrame, jumps: int = 3) -> DataFrame:
+    """(doc, class) of docs (doc, n): the last hub on the way from hub to hub along links (doc, hub, one for a doc).
+
+    Ways double at each jump; texts whose way is longer are in classes of their own, which costs comparisons and no
+    link. Hubs come before their texts in order, so that no way returns.
+    """
+    now = materialize(docs.select("doc", "n").join(links, "doc", "left").select("doc", "n", F.coalesce("hub", "doc").alias("class")), "classes-0")
+    for k in range(jumps):
+        ahead = now.select(F.col("doc").alias("class"), F.col("class").alias("last"))
+        now = materialize(now.join(ahead, "class").select("doc", "n", F.col("last").alias("class")), f"classes-{k + 1}")
+    return now
 
 
 def group_edges(texts: DataFrame, groups: DataFrame, weights, threshold: float) -> DataFrame:
@@ -420,7 +447,9 @@ def group_edges(texts: DataFrame, groups: DataFrame, weights, threshold: float)
     dealt = dealt.withColumn("block", F.when(own.isNull(), spread("class", F.col("pool"))).otherwise(first + spread("doc", own)))
     others = F.filter(F.sequence(F.lit(0), (F.col("pool") + F.col("large") - 1).cast("int")), lambda o: own.isNull() | (o < first) | (o >= first + own))
     turns = F.transform(others, lambda o: F.struct(F.least("block", o).alias("i"), F.greatest("block", o).alias("j"), (o < F.col("block")).cast("int").alias("side")))
-    return _compared(texts, materialize(dealt.select("doc", "root", F.explode(turns).alias("t")).select("doc", "root", "t.*"), "blocks"), weights, threshold)
+    placed = materialize(dealt.select("doc", "root", F.explode(turns).alias("t")).select("doc", "root", "t.*"), "blocks")
+    rows = texts.join(placed, "doc").select("doc", "root", "i", "j", "side", "text")
+    return rows.groupBy("root", "i", "j").applyInArrow(_linked(weights, threshold), "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -429,36 +458,49 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     Words are runs of letters, digits and underscores, in lower case; texts of the same words are copies and always
     one class, texts without words among them, null ones included. kept marks a class's smallest doc_id. A row whose
     doc_id is null stays by itself: class_id null, kept true. Rows that repeat a doc_id are one document: alike if any
-    of their texts are, and all kept or none.
+    of their texts are, and all kept or none. Further columns of docs are not looked at.
     """
+    rows = docs.select("doc_id", "text")
     with scratch(docs.sparkSession) as kept:
-        found = kept(_classes(docs.select("doc_id", "text"), threshold), "classes")
-    out = docs.select("doc_id").join(found, F.col("doc_id") == F.col("node"), "left").select("doc_id", F.coalesce("root", "doc_id").alias("class_id"))
-    return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("class_id"), F.lit(True)))
+        found = kept(_classes(rows, threshold), "classes")
+    alone = rows.where("doc_id IS NULL").select("doc_id", F.col("doc_id").alias("class_id"))
+    return found.union(alone).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("class_id"), F.lit(True)))
 
 
 def _classes(rows: DataFrame, threshold: float) -> DataFrame:
-    """(node, root): the class of each document that has another one in it.
+    """(doc_id, class_id) of every row that has a doc_id.
 
-    Every text is first compared with the candidate hub that its samples agree with most; what that links is a class
-    already, so that a large group of near copies is not compared with itself. Then texts of a candidate group that are
-    of different classes are compared all with all.
+    Every text is first compared with one candidate hub. What that links is a class already, so that a large group of
+    near copies is not compared with itself, and only candidates of different classes count from then on: texts of
+    classes that such candidates connect are compared all with all. Copies of a text follow it.
     """
     weights = rows.sparkSession.sparkContext.broadcast(document_idf(rows))
     known = materialize(rows.where("doc_id IS NOT NULL").mapInArrow(_signed(weights), "doc_id long, content binary, n long, bands array<long>, samples binary"), "samples")
     same = known.groupBy("content").agg(F.min("doc_id").alias("doc"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("samples").alias("samples"))
     reps = materialize(same, "texts")
-    size = reps.groupBy("doc").agg(F.sum("n").alias("n"))
-    edges = materialize(candidate_edges(reps.where("n > 0").select("doc", "bands", "samples")), "candidates")
-    groups = materialize(components(edges.select("a", "b")).select(F.col("node").alias("doc"), "root").join(size, "doc"), "candidate-groups")
     texts = rows.select(F.col("doc_id").alias("doc"), "text")
-    stars = edges.groupBy(F.col("a").alias("doc")).agg(F.max_by("b", F.struct("alike", "b")).alias("hub")).join(size, "doc")
-    linked = materialize(star_edges(texts, stars, weights, threshold), "star-links")
-    classes = components(linked).select(F.col("node").alias("doc"), F.col("root").alias("class"))
-    groups = groups.join(classes, "doc", "left").withColumn("class", F.coalesce("class", "doc"))
-    links = materialize(group_edges(texts, materialize(groups, "group-members"), weights, threshold), "links")
-    copies = known.join(reps.select("content", "doc"), "content").select(F.col("doc_id").alias("a"), F.col("doc").alias("b")).where("a <> b")
-    return components(linked.union(links).union(copies))
+    size = materialize(reps.groupBy("doc").agg(F.sum("n").alias("n")), "sizes")
+    edges = materialize(candidate_edges(reps.where("n > 0").select("doc", "bands", "samples")), "candidates")
+    sure = F.col("alike") >= SURE  # of such hubs the first in order, which most of a large group share; else the most alike
+    order = F.when(sure, F.bitwise_not(F.xxhash64("b"))).otherwise(F.lit(0).cast("long"))
+    stars = edges.groupBy(F.col("a").alias("doc")).agg(F.max_by("b", F.struct(sure.alias("s"), order.alias("o"), F.col("alike"), F.col("b"))).alias("hub"))
+    classes = classes_of(size, materialize(star_links(texts, stars.join(size, "doc"), weights, threshold), "star-links"))
+
+    of = lambda c: classes.select(F.col("doc").alias(c), F.col("class").alias(f"class_{c}"))
+    between = lambda e: e.join(of("a"), "a").join(of("b"), "b").where("class_a <> class_b").select(F.col("class_a").alias("a"), F.col("class_b").alias("b")).distinct()
+    groups = components(materialize(between(edges.select("a", "b")), "open-candidates")).select(F.col("node").alias("class"), "root")
+    members = materialize(classes.join(materialize(groups, "open-classes"), "class").where("n > 0"), "open-members")
+    links = materialize(between(materialize(group_edges(texts, members, weights, threshold), "links")), "class-links")
+
+    labelled = known.select("doc_id", "content").join(reps.select("content", "doc"), "content").join(classes.select("doc", "class"), "doc")
+    labelled = materialize(labelled.select("doc_id", "class"), "labels")
+    twice = materialize(labelled.groupBy("doc_id").agg(F.min("class").alias("lo"), F.max("class").alias("hi")).where("lo <> hi"), "repeated-ids")
+    repeats = labelled.join(twice, "doc_id").select(F.col("class").alias("a"), F.col("lo").alias("b"))
+    joined = materialize(components(links.union(repeats)), "joined-classes")
+    whole = labelled.join(joined, F.col("class") == F.col("node"), "left").select("doc_id", F.coalesce("root", "class").alias("label"))
+    whole = materialize(whole, "whole-classes")
+    least = materialize(whole.groupBy("label").agg(F.min("doc_id").alias("class_id")), "class-ids")
+    return whole.join(least, "label").select("doc_id", "class_id")
 
 
 def op3_near_dup(spark, sf_dir: str) -> DataFrame:
