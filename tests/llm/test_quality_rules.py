@@ -1,11 +1,14 @@
 import math
+import random
 import re
+import zlib
 from collections import Counter
 
 from pyspark.sql import functions as F
 
 from tests.llm.cases import docs, texts
-from tidemark.llm.quality_rules import binomial_cdf, judge
+from tidemark.llm._shared import UPPER
+from tidemark.llm.quality_rules import QUANTILES, RULES, binomial_cdf, judge
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -58,3 +61,72 @@ def test_certified_rules_reject_noise_and_spare_the_good(spark):
 def test_empty_tables(spark):
     assert judge(docs(spark, []).limit(0), labels(spark, [])).collect() == []
     assert all(r.kept != r.base_failed for r in judge(docs(spark), labels(spark, [(None, 1), (1, None)])).collect())
+
+
+def plain_cutoffs(rows, marks, stratum, alpha=0.05, delta=0.05):
+    """{(stratum, rule): cutoff} by the definition, from texts that pass the base."""
+    score = {
+        "symbols": lambda t, w, b: b[2] / max(b[1], 1), "capitals": lambda t, w, b: sum(c in UPPER for c in t) / max(b[1], 1), "exclaims": lambda t, w, b: t.count("!") / max(b[0], 1),
+        "long_words": lambda t, w, b: b[1] / max(b[0], 1), "dup_lines": lambda t, w, b: b[3] / len(t.split("\n")), "repeats": lambda t, w, b: b[4] / max(b[0], 1),
+    }
+    held, out = {}, {}
+    for i, t in enumerate(rows):
+        b = brute(t)
+        if i in marks and not b[5]:
+            held.setdefault(stratum(i), []).append((zlib.crc32(str(i).encode()) % 2 == 1, marks[i], {r: f(t, WORD.findall(t), b) for r, f in score.items()}))
+    paths = {}
+    for s, docs_ in held.items():
+        fine, bad, held_out = [x for h, g, x in docs_ if not h and g], [x for h, g, x in docs_ if not h and not g], [x for h, g, x in docs_ if h and g]
+        if not fine:
+            continue
+        cut = {r: [sorted(x[r] for x in fine)[max(math.ceil(q * len(fine)), 1) - 1] for q in QUANTILES] for r in RULES}
+        hit = lambda xs, rules, k: sum(any(x[r] > cut[r][k] for r in rules) for x in xs)
+        gain = lambda rules, k: hit(bad, rules, k) / max(len(bad), 1) - hit(fine, rules, k) / len(fine)
+        used = [r for r in RULES if max(gain([r], k) for k in range(len(QUANTILES))) > 0]
+        if used:
+            paths[s] = (cut, used, [(hit(held_out, used, k), len(held_out), gain(used, k)) for k in range(len(QUANTILES))])
+    for s, (cut, used, path) in paths.items():
+        best = None
+        for k, (bad_luck, n, g) in enumerate(path):
+            p = sum(math.comb(n, i) * alpha**i * (1 - alpha) ** (n - i) for i in range(bad_luck + 1)) if n and bad_luck < n * alpha else 1
+            if p > delta / len(paths):
+                break
+            if g > 0 and (best is None or g > best[0]):
+                best = (g, k)
+        if best:
+            out.update({(s, r): cut[r][best[1]] for r in used})
+    return out, score
+
+
+def test_cutoffs_equal_the_definition(spark):
+    rnd = random.Random(11)
+    word = lambda: "".join(rnd.choice("aeinrstlo") for _ in range(rnd.randint(2, 9)))
+    rows, marks = [], {}
+    for i in range(1400):
+        good = i % 5 > 0
+        w = [word() + ("!" if rnd.random() < (0.02 if good else 0.2) else "") for _ in range(70)]
+        if not good and i % 3:
+            w += ["###", "$$$"] * rnd.randint(1, 9)
+        if not good and i % 3 == 0:
+            w = [x.upper() if rnd.random() < 0.5 else x for x in w]
+        rows.append(" ".join(w) + ("\nsame line\nsame line" if rnd.random() < 0.05 else ""))
+        marks[i] = int(good)
+    stratum = lambda i: "tiny" if i % 70 == 0 else ("en", "de", "fr")[i % 3]
+    df = spark.createDataFrame([(i, t, stratum(i)) for i, t in enumerate(rows)], "doc_id long, text string, lang string").repartition(5)
+    out = {r.doc_id: r for r in judge(df, labels(spark, list(marks.items()))).collect()}
+    cut, score = plain_cutoffs(rows, marks, stratum)
+    assert {s for s, _ in cut} == {"en", "de", "fr"}  # 20 labels certify nothing, 300 do
+    lost = 0
+    for i, t in enumerate(rows):
+        b = brute(t)
+        failed = [r for r in RULES if (stratum(i), r) in cut and score[r](t, WORD.findall(t), b) > cut[stratum(i), r]]
+        assert (out[i].failed_rules, out[i].kept) == (",".join(failed), not b[5] and not failed), i
+        lost += marks[i] and not b[5] and bool(failed)
+    assert lost <= 0.05 * sum(marks.values()) and sum(not out[i].kept for i in marks if not marks[i]) > 0.6 * sum(not m for m in marks.values())
+
+
+def test_clashing_columns_and_repeated_rows(spark):
+    t = " ".join(f"w{j}" for j in range(60))
+    df = spark.createDataFrame([(1, t, "en", 5, "x", 2.0)] * 2 + [(None, t, None, 5, "x", 2.0)], "doc_id long, text string, lang string, n_words int, stratum string, good double")
+    marks = spark.createDataFrame([(1, 1, "x"), (1, 0, "y")], "doc_id long, quality int, stratum string")
+    assert [(r.doc_id, r.n_words, r.kept) for r in judge(df, marks).orderBy(F.desc("doc_id")).collect()] == [(1, 60, True), (1, 60, True), (None, 60, True)]
