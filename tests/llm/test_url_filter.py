@@ -30,7 +30,7 @@ def brute_rule(host, path):
     return max(fits, default=(0, None, None))[1:]
 
 
-def brute(urls, links, steps=20, d=0.85):
+def brute(urls, links, steps=200, d=0.85):
     parts = [brute_parts(u) for u in urls]
     n = Counter()
     for (h, _), ls in zip(parts, links, strict=True):
@@ -58,15 +58,18 @@ def brute(urls, links, steps=20, d=0.85):
     for (h, _), (_, v) in zip(parts, rules, strict=True):
         if h and v:
             seeds[v][h] += 1
-    scores = {}
+    scores, votes = {}, sum(sum(s.values()) for s in seeds.values())
     for v, s in seeds.items():
-        s = {h: k / sum(s.values()) for h, k in s.items()}
-        now = dict(s)
+        s = {h: k / votes for h, k in s.items()}
+        whole, now = sum(s.values()), dict(s)
         for _ in range(steps):
             new = defaultdict(float, {h: (1 - d) * k for h, k in s.items()})
             for (a, b), w in n.items():
                 a, b, share = (a, b, w / out[a]) if v == "allow" else (b, a, w / into[b])
                 new[b] += d * now.get(a, 0) * share
+            lost = whole - sum(new.values())  # of hosts without further edges: back to the seeds
+            for h, k in s.items():
+                new[h] += lost * k / whole
             now = new
         scores[v] = now
     verdicts = []
@@ -86,7 +89,7 @@ def test_matches_brute_force(spark):
     html = ["<p>" + "".join(f'<a HREF = "https://{t.upper()}/x">a</a><img src=//{t}>'.replace("<img src=//" + t + ">", "") for t in x) + '<a href="/own">b</a>' for x in links]
     html[3] = None
     df = spark.createDataFrame(list(zip(range(len(URLS)), URLS, html, strict=True)), "page_id long, url string, html string").repartition(3)
-    got = {r.page_id: (r.host, r.path, r.rule, r.verdict, r.distrust) for r in judge_pages(df).collect()}
+    got = {r.page_id: (r.host, r.path, r.rule, r.verdict, r.distrust) for r in judge_pages(df, tolerance=1e-9).collect()}
     want = dict(enumerate(brute(URLS, links)))
     for i, w in want.items():
         assert got[i][:4] == w[:4], (i, got[i], w)
@@ -101,3 +104,15 @@ def test_parts_and_empty(spark):
     assert judge_pages(none).collect() == []
     twice = spark.createDataFrame([(1, "http://a.org/", None), (1, "http://a.org/", None), (None, None, None)], none.schema)
     assert sorted((r.page_id or -1, r.verdict) for r in judge_pages(twice).collect()) == [(-1, "allow"), (1, "allow"), (1, "allow")]
+
+
+def test_votes_weigh_alike_and_scores_sum_to_their_seeds(spark):
+    pages = [(i, f"http://a{i}.example.com/en/7", "") for i in range(9)] + [(99, "http://b.example.net/de/8", "")] + [(k, f"http://new{k}.info/", '<a href="http://a0.example.com/x">a</a><a href="http://b.example.net/y">b</a>') for k in (100, 101)]
+    out = {r.page_id: r for r in judge_pages(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    assert out[0].verdict == "allow" and out[99].verdict == "block" and 0 < out[100].distrust <= 1
+    edges = spark.createDataFrame([("x", "y", 1.0), ("y", "z", 2.0), ("x", "z", 1.0)], "src string, dst string, n double")
+    seeds = spark.createDataFrame([("x", 0.5, 0.0), ("z", 0.2, 0.3)], "host string, trust double, distrust double")
+    from tidemark.llm.url_filter import propagate
+
+    got = propagate(edges, seeds, 1e-9).collect()
+    assert abs(sum(r.trust for r in got) - 0.7) < 1e-9 and abs(sum(r.distrust for r in got) - 0.3) < 1e-9

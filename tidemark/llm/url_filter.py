@@ -14,7 +14,7 @@ from ._shared import ascii_lower, materialize, table
 
 #: Verdicts and rules; a rule is a host and a path.
 RULES = [("block", "com/en/"), ("allow", "example.com/en/7"), ("allow", "net/de/"), ("block", "example.net/de/8"), ("block", "org/es/")]
-DAMPING, STEPS, THRESHOLD = 0.85, 20, 0.5
+DAMPING, TOLERANCE, THRESHOLD = 0.85, 1e-4, 0.5
 _LINK = r"""(?i)(?:href|src)\s*=\s*["']?\s*(?:[a-z][a-z0-9+.-]*:)?//([^/?#"'\s<>]*)"""
 
 
@@ -53,12 +53,14 @@ def host_edges(pages: DataFrame) -> DataFrame:
     return links.union(family).groupBy("src", "dst").agg(F.sum("n").alias("n"))
 
 
-def propagate(edges: DataFrame, seeds: DataFrame, steps: int = STEPS, damping: float = DAMPING) -> DataFrame:
-    """(host, trust, distrust) after so many steps. edges: src, dst, n; seeds: host, trust, distrust (each sums to 1).
+def propagate(edges: DataFrame, seeds: DataFrame, tolerance: float = TOLERANCE, damping: float = DAMPING) -> DataFrame:
+    """(host, trust, distrust), each summing to what its seeds sum to. edges: src, dst, n; seeds: host, trust, distrust.
 
     Both scores travel in one join and one sum a step: an edge carries trust forward by its share of what leaves src,
-    and distrust back by its share of what enters dst. What reaches a host without further edges stays there. Every
-    fifth step is written, so that lineage stays short; sums combine before the shuffle.
+    and distrust back by its share of what enters dst. What reaches a host without further edges goes back to the seeds
+    in their proportions; as that only scales the result, it is done once, at the end. Every fifth step is written, so
+    that lineage stays short, and the steps end when five of them change all scores by less than tolerance together,
+    which is after log(tolerance / 2) / log(damping) at the latest. Sums combine before the shuffle.
     """
     out_of = edges.groupBy("src").agg(F.sum("n").alias("total"))
     into = edges.groupBy("dst").agg(F.sum("n").alias("total"))
@@ -66,21 +68,27 @@ def propagate(edges: DataFrame, seeds: DataFrame, steps: int = STEPS, damping: f
     back = edges.join(into, "dst").select(F.lit("distrust").alias("kind"), F.col("dst").alias("at"), F.col("src").alias("to"), (F.col("n") / F.col("total")).alias("share"))
     moves = materialize(ahead.union(back), "host-moves")
     source = materialize(seeds.select("host", F.explode(F.create_map(F.lit("trust"), "trust", F.lit("distrust"), "distrust")).alias("kind", "score")).where("score > 0"), "host-seeds")
-    now = source
-    for k in range(steps):
-        came = moves.join(now.select("kind", F.col("host").alias("at"), "score"), ["kind", "at"]).select(F.col("to").alias("host"), "kind", (F.lit(damping) * F.col("score") * F.col("share")).alias("score"))
-        now = came.union(source.select("host", "kind", (1 - damping) * F.col("score"))).groupBy("host", "kind").agg(F.sum("score").alias("score"))
-        if k % 5 == 4:
-            now = materialize(now, "host-scores")
-    kind = lambda k: F.coalesce(F.sum(F.when(F.col("kind") == k, F.col("score"))), F.lit(0.0)).alias(k)
+    now, change = source, None
+    while change is None or change > tolerance:
+        before = now
+        for _ in range(5):
+            came = moves.join(now.select("kind", F.col("host").alias("at"), "score"), ["kind", "at"]).select(F.col("to").alias("host"), "kind", (F.lit(damping) * F.col("score") * F.col("share")).alias("score"))
+            now = came.union(source.select("host", "kind", (1 - damping) * F.col("score"))).groupBy("host", "kind").agg(F.sum("score").alias("score"))
+        now = materialize(now, "host-scores")
+        both = now.select("host", "kind", "score").union(before.select("host", "kind", -F.col("score"))).groupBy("host", "kind").agg(F.sum("score").alias("d"))
+        change = both.agg(F.coalesce(F.sum(F.abs("d")), F.lit(0.0))).first()[0]
+    given, got = ({r.kind: r.t for r in x.groupBy("kind").agg(F.sum("score").alias("t")).collect()} for x in (source, now))
+    kind = lambda k: (F.coalesce(F.sum(F.when(F.col("kind") == k, F.col("score"))), F.lit(0.0)) * F.lit(given.get(k, 0.0) / got.get(k, 1.0))).alias(k)
     return now.groupBy("host").agg(kind("trust"), kind("distrust"))
 
 
-def judge_pages(pages: DataFrame, rules=RULES, threshold: float = THRESHOLD, steps: int = STEPS) -> DataFrame:
+def judge_pages(pages: DataFrame, rules=RULES, threshold: float = THRESHOLD, tolerance: float = TOLERANCE) -> DataFrame:
     """page_id, host, path, rule, verdict, distrust (its share, null without any score) of every row of pages.
 
     Null urls and those without :// have no host; no rule fits them and they are allowed, as are hosts that no score
     reaches. Null html has no links. Rows that repeat a page_id are judged each and count each as a page of their host.
+    Every ruled page is one vote, for or against: trust and distrust start with their shares of all votes, so that few
+    blocked pages don't weigh as much as many allowed ones. Further columns of pages are not looked at.
     """
     host, path = host_and_path(F.col("url"))
     known = pages.select("page_id", host.alias("host"), path.alias("path")).withColumn("r", rule_of(F.col("host"), F.col("path"), rules)).select("page_id", "host", "path", "r.rule", F.col("r.verdict").alias("ruled"))
@@ -88,8 +96,8 @@ def judge_pages(pages: DataFrame, rules=RULES, threshold: float = THRESHOLD, ste
     votes = known.where("host <> ''").groupBy("host").agg(F.count_if(F.col("ruled") == "allow").alias("trust"), F.count_if(F.col("ruled") == "block").alias("distrust"))
     votes = materialize(votes, "host-votes")
     total = votes.agg(F.sum("trust"), F.sum("distrust")).first()
-    share = lambda c, n: (F.col(c) / F.lit(float(max(n or 0, 1)))).alias(c)
-    scores = propagate(edges, votes.select("host", share("trust", total[0]), share("distrust", total[1])), steps)
+    share = lambda c: (F.col(c) / F.lit(float(max((total[0] or 0) + (total[1] or 0), 1)))).alias(c)
+    scores = propagate(edges, votes.select("host", share("trust"), share("distrust")), tolerance)
     scores = materialize(scores.select("host", F.round(F.col("distrust") / (F.col("trust") + F.col("distrust")), 9).alias("distrust")), "host-verdicts")
     return known.join(scores, "host", "left").select(
         "page_id", "host", "path", "rule", F.coalesce("ruled", F.when(F.col("distrust") >= threshold, F.lit("block")).otherwise(F.lit("allow"))).alias("verdict"), "distrust",
