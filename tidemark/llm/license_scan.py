@@ -26,6 +26,14 @@ TEMPLATES = [
     ("gpl-3", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation"),
     ("bsd-3", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
     ("mpl-2", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
+    ("lgpl", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation"),
+    ("agpl-3", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation"),
+    ("isc", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies"),
+    ("unlicense", "This is free and unencumbered software released into the public domain."),
+    ("cc-by", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
+    ("cc0", "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work."),
+    ("epl-2", "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0"),
+    ("bsl-1", "Distributed under the Boost Software License, Version 1.0."),
 ]
 
 
@@ -87,8 +95,10 @@ def scan(docs: DataFrame, templates=TEMPLATES, threshold: float = 0.8, across_li
     meet a template of n words, needing c = ceil(threshold n), if it holds c template words at all (length filter),
     one of the template's n - c + 1 rarest (prefix filter), and enough words from its first shared one on in both
     orders (positional filter); what passes is verified on the whole sets. Runs are looked at only in texts that hold c
-    of the template's words at all, from one template word on, and only with a word of the prefix in them. Null texts are empty: no words, no labels.
-    Rows that repeat a doc_id are scanned each.
+    of the template's words at all, from one template word on, and only with a word of the prefix in them. Only prefix
+    words leave a block, and they meet the templates' prefixes where they are: these are broadcast, a table that the
+    templates bound whatever the documents, so that a common word's blocks needn't meet in one task. Null texts are
+    empty: no words, no labels. Rows that repeat a doc_id are scanned each; further columns are not looked at.
     """
     sets = [(label, list(dict.fromkeys(words_of(text)))) for label, text in templates]
     need = lambda ws: -int(-threshold * len(ws) // 1)
@@ -111,7 +121,9 @@ def scan(docs: DataFrame, templates=TEMPLATES, threshold: float = 0.8, across_li
     wanted = docs.sparkSession.createDataFrame(prefixes, "template int, label string, t_words array<string>, word string, t_pos int, least int")
     by_rank = F.array(*[F.lit(w) for w in order]).cast("array<string>")
     held = parsed.select("row", F.explode("blocks").alias("b")).select("row", "b.line", F.array_intersect(by_rank, F.col("b.words")).alias("words"))
-    near = held.select("row", "line", "words", F.posexplode("words").alias("pos", "word")).join(wanted, "word").where(
+    first = [w for w in order if any(w == p[3] for p in prefixes)]
+    placed = held.select("row", "words", F.posexplode("words").alias("pos", "word")).where(F.col("word").isin(first) if first else F.lit(False))
+    near = placed.join(F.broadcast(wanted), "word").where(
         (F.size("words") >= F.col("least")) & (F.least(F.size("t_words") - F.col("t_pos"), F.size("words") - F.col("pos")) >= F.col("least"))
     )
     share = F.size(F.array_intersect("words", "t_words")) / F.size("t_words")
