@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import table
+from ._shared import materialize, table
 from .near_dup import word_hashes, words_of
 
 MIN_MATCH = 5
@@ -124,14 +124,19 @@ def _blocks(benchmark: DataFrame, min_match: int):
         yield Benchmark([(r.item_id, r.text) for r in rows.where(F.pmod(F.xxhash64("item_id"), F.lit(n)) == k).distinct().collect()], min_match)
 
 
-def _judged(shared, coverage: float):
+FOUND = "items array<long>, coverage double, n_tiles long"
+
+
+def _judged(shared, coverage: float, schema):
+    """Rows with what the items of one block add to FOUND, their last columns."""
+
     def run(batches):
         for batch in batches:
             found = [shared.value.covered(t.as_py(), coverage) for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([sorted({i for i, _, _ in x}) for x in found], pa.list_(pa.int64())), pa.array([max((s for _, s, _ in x), default=0.0) for x in found], pa.float64()), pa.array([sum(n for *_, n in x) for x in found], pa.int64())],
-                ["doc_id", "items", "coverage", "n_tiles"],
-            )
+            before = zip(*[batch.column(c).to_pylist() for c in ("items", "coverage", "n_tiles")], strict=True)
+            now = [(sorted({*i, *(x for x, _, _ in new)}), max([c, *(s for _, s, _ in new)]), n + sum(k for *_, k in new)) for (i, c, n), new in zip(before, found, strict=True)]
+            items, share, n = zip(*now, strict=True) if now else ([], [], [])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(items, pa.list_(pa.int64())), pa.array(share, pa.float64()), pa.array(n, pa.int64())], schema)
 
     return run
 
@@ -141,32 +146,29 @@ def contamination(docs: DataFrame, benchmark: DataFrame, coverage: float = COVER
     words in tiles), n_tiles, of every row of docs.
 
     Null and empty texts hold nothing; items without words and rows of benchmark with a null are left out; rows that
-    repeat an item's id are items each. Rows that repeat a doc_id are judged each (together where the benchmark needs
-    several blocks). Texts never leave their task.
+    repeat an item's id are items each. Rows that repeat a doc_id, or have none, are judged each. A benchmark of several
+    blocks is met block by block: rows keep what they have found so far and are written in between, so that a worker
+    holds one block at a time and the result is the same for any size of blocks. Further columns of docs are not
+    looked at.
     """
-    parts = []
-    for block in _blocks(benchmark, min_match):
+    found = docs.select("doc_id", "text", F.array().cast("array<bigint>").alias("items"), F.lit(0.0).alias("coverage"), F.lit(0).cast("long").alias("n_tiles"))
+    for k, block in enumerate(_blocks(benchmark, min_match)):
         shared = docs.sparkSession.sparkContext.broadcast(block)
-        parts.append(docs.select("doc_id", "text").mapInArrow(_judged(shared, coverage), "doc_id long, items array<long>, coverage double, n_tiles long"))
-    out = parts[0]
-    if len(parts) > 1:
-        for x in parts[1:]:
-            out = out.union(x)
-        out = out.groupBy("doc_id").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), F.max("coverage").alias("coverage"), F.sum("n_tiles").alias("n_tiles"))
-    return out.select("doc_id", (F.size("items") > 0).alias("contaminated"), "items", "coverage", "n_tiles")
+        found = (materialize(found, "judged") if k else found).mapInArrow(_judged(shared, coverage, ["doc_id", "text", "items", "coverage", "n_tiles"]), f"doc_id long, text string, {FOUND}")
+    return found.select("doc_id", (F.size("items") > 0).alias("contaminated"), "items", "coverage", "n_tiles")
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE, min_match: int = MIN_MATCH) -> DataFrame:
-    """The rows of docs that hold no test item, with all their columns."""
+    """The rows of docs that hold no test item, with all their columns, whatever they are called. Blocks as above."""
     at, schema = docs.columns.index("text"), docs.schema
-    for block in _blocks(benchmark, min_match):
+    for k, block in enumerate(_blocks(benchmark, min_match)):
         shared = docs.sparkSession.sparkContext.broadcast(block)
 
         def run(batches, shared=shared):
             for batch in batches:
                 yield batch.filter(pa.array([not shared.value.covered(t.as_py(), coverage) for t in batch.column(at)], pa.bool_()))
 
-        docs = docs.mapInArrow(run, schema)
+        docs = (materialize(docs, "uncontaminated") if k else docs).mapInArrow(run, schema)
     return docs
 
 
