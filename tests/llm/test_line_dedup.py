@@ -1,8 +1,7 @@
-import hashlib
 from collections import defaultdict
 
 from tests.llm.cases import docs, texts
-from tidemark.llm.line_dedup import dedup_lines, op7_line_dedup  # noqa: F401
+from tidemark.llm.line_dedup import dedup_lines
 
 
 def brute(rows, min_chars=10, min_docs=2):
@@ -41,5 +40,9 @@ def test_empty_table_nulls_and_repeated_rows(spark):
     assert got == [(-1, "a long enough line"), (1, "a long enough line"), (1, "a long enough line"), (2, "")]
 
 
-def test_digest():
-    assert hashlib.sha256(b"").hexdigest().startswith("e3b0")
+def test_columns_called_like_temporaries(spark):
+    names = ["__id", "__th", "__drop", "__out", "__row", "__h", "__l", "__pos", "n_lines", "n_dropped", "a.b", "line"]
+    df = spark.createDataFrame([(i, "a long enough line\nown", *range(len(names))) for i in (1, 2)], ", ".join(["doc_id long", "text string", *[f"`{n}` int" for n in names]]))
+    out = dedup_lines(df)
+    assert out.columns == ["doc_id", "text", *[n for n in names if n not in ("n_lines", "n_dropped")], "n_lines", "n_dropped"]
+    assert {(r.doc_id, r.text, r["__id"], r["__out"], r["a.b"], r.n_lines, r.n_dropped) for r in out.collect()} == {(1, "a long enough line\nown", 0, 3, 10, 2, 0), (2, "own", 0, 3, 10, 2, 1)}

@@ -47,18 +47,20 @@ def dedup_lines(docs: DataFrame, min_chars: int = 10, min_docs: int = 2) -> Data
 
     Null and empty texts are one empty line. A row whose doc_id is null is never compared and keeps all its lines.
     Rows that repeat a doc_id count as one document; each keeps its own text. Lines of fewer than min_chars code
-    points stay. Columns of docs beside text pass through; an own n_lines or n_dropped is replaced.
+    points stay. Columns of docs beside text pass through, whatever they are called, as they travel inside one column
+    of their own; an own n_lines or n_dropped is replaced.
     """
-    drops = dropped_positions(docs, min_chars, min_docs)
+    drops = dropped_positions(docs.select("doc_id", "text"), min_chars, min_docs)
     own = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
-    joined = docs.select(*[F.col(f"`{c}`") for c in own], F.col("doc_id").alias("__id"), F.xxhash64("text").alias("__th")).join(drops, ["__id", "__th"], "left")
+    row = F.struct(*[F.col(f"`{c}`") for c in own]).alias("__row")
+    joined = docs.select(row).withColumns({"__id": F.col("__row.doc_id"), "__th": F.xxhash64("__row.text")}).join(drops, ["__id", "__th"], "left")
     keep = lambda lines: F.when(F.col("__drop").isNull(), lines).otherwise(
         F.transform(F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("__drop")), lambda i: F.get(lines, i))
     )
-    out = let(lines_of(F.col("text")), lambda x: F.struct(F.array_join(keep(x), "\n").alias("t"), F.size(x).cast("long").alias("n")))
+    out = let(lines_of(F.col("__row.text")), lambda x: F.struct(F.array_join(keep(x), "\n").alias("t"), F.size(x).cast("long").alias("n")))
     cut = joined.withColumn("__out", out)
     return cut.select(
-        *[F.col("__out.t").alias("text") if c == "text" else F.col(f"`{c}`") for c in own],
+        *[F.col("__out.t").alias("text") if c == "text" else F.col("__row").getField(c).alias(c) for c in own],
         F.col("__out.n").alias("n_lines"),
         F.coalesce(F.size("__drop"), F.lit(0)).cast("long").alias("n_dropped"),
     )
