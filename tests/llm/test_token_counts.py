@@ -17,6 +17,30 @@ def test_chunks_equal_the_library():
         assert counts.count(t) == len(sp.encode(t)), repr(t)
 
 
+def test_normalised_texts_share_a_count(spark, tmp_path):
+    rows = ["a b", "a▁b", "a▁b", " x▁ y"]
+    out = {r.doc_id: r for r in count_tokens(docs(spark, rows), MODEL, f"file://{tmp_path}/c").collect()}
+    sp = sentencepiece.SentencePieceProcessor(model_file=MODEL)
+    assert [(out[i].n_tokens, out[i].n_bytes) for i in range(4)] == [(len(sp.encode(t)), len(t.encode())) for t in rows]
+    assert spark.read.parquet(f"file://{tmp_path}/c").count() == 2
+
+
+def test_a_model_with_a_map_of_characters_is_encoded_whole():
+    from sentencepiece import sentencepiece_model_pb2
+
+    m = sentencepiece_model_pb2.ModelProto.FromString(open(MODEL, "rb").read())
+    m.normalizer_spec.remove_extra_whitespaces = True
+    counts = ChunkCounts(m.SerializeToString())
+    assert counts.whole and counts.count("a  b ") == counts.count("a b")
+
+
+def test_hits_are_reported(spark, tmp_path):
+    cache = f"file://{tmp_path}/hits"
+    first = count_tokens(docs(spark, ["a", "b", "a"]), MODEL, cache).collect()
+    again = {r.doc_id: r.cached for r in count_tokens(docs(spark, ["a", "c", "a", None]), MODEL, cache).collect()}
+    assert not any(r.cached for r in first) and again == {0: True, 1: False, 2: True, 3: False}
+
+
 def test_operator_and_cache(spark, tmp_path, monkeypatch):
     sp, rows = sentencepiece.SentencePieceProcessor(model_file=MODEL), texts()
     want = {i: (len((t or "").encode()), len(sp.encode(t or "")), len(sp.encode(t or "")) > 100) for i, t in enumerate(rows)}
