@@ -36,3 +36,9 @@ def test_operator(spark):
         assert got[i] == (len(ids), np.asarray(ids, "<u4").tobytes(), (t or "").encode())
         assert hashed[i] == tuple(hashlib.sha256(x).hexdigest() for x in got[i][1:])
     assert code(docs(spark, []).limit(0), P.path("byte_bpe_50k.tiktoken"), P.PATTERN).collect() == []
+
+
+def test_other_patterns_make_one_leaf():
+    bpe = MonoidBPE(open(P.path("byte_bpe_50k.tiktoken"), "rb").read(), r"(?s:.{1,7})", 16)
+    text = "some words and  more of them\n" * 20
+    assert bpe.encode(text) == bpe.leaf.encode_ordinary(text)

@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import sys
 
 import numpy as np
 import pyarrow as pa
@@ -28,13 +29,17 @@ def read_ranks(blob: bytes) -> dict[bytes, int]:
 
 
 class MonoidBPE:
-    """encode and decode of whole texts; pattern and ranks are those of the tokenizer."""
+    """encode and decode of whole texts; pattern and ranks are those of the tokenizer.
+
+    Cuts are proven for the pattern of public_tokenizers; with any other, a text is one leaf.
+    """
 
     def __init__(self, ranks: bytes, pattern: str, leaf_chars: int = LEAF_CHARS):
+        import public_tokenizers
         import tiktoken
 
         self.leaf = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=read_ranks(ranks), special_tokens={})
-        self.leaf_chars = leaf_chars
+        self.leaf_chars = leaf_chars if pattern == public_tokenizers.PATTERN else sys.maxsize
 
     @staticmethod
     def _cut_before(text: str, at: int, low: int) -> int:
