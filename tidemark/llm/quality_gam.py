@@ -173,7 +173,8 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> PairwiseG
 
     Which ones, a hash of the id says, so that any size of input and any partitioning gives a fair draw; only their ids
     (bounded by sample) are broadcast to pick their texts, and only their features go to the driver. Where labels
-    differ for one id, the smaller counts; null labels and ids are left out.
+    differ for one id, the smaller counts; null labels and ids are left out. Rows that repeat a doc_id count each. Of
+    docs only doc_id and text, of labels only doc_id and quality are looked at.
     """
     marked = labels.where("quality IS NOT NULL AND doc_id IS NOT NULL").where(~_held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.min("quality").alias("good"))
     picked = [(r.doc_id, r.good) for r in marked.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).collect()]
@@ -197,7 +198,8 @@ def _scored(model):
 
 
 def score(docs: DataFrame, model: PairwiseGAM) -> DataFrame:
-    """doc_id and score (0 to 1, null and empty texts too) of every row of docs (doc_id, text)."""
+    """doc_id and score (0 to 1, null and empty texts too) of every row of docs (doc_id, text), repeated ones each.
+    Further columns of docs are not looked at, whatever they are called."""
     return docs.select("doc_id", "text").mapInArrow(_scored(docs.sparkSession.sparkContext.broadcast(model)), "doc_id long, score double")
 
 
