@@ -1,5 +1,6 @@
 import json
 import math
+import os
 from glob import glob
 
 import pytest
@@ -65,3 +66,30 @@ def test_backtest_holds_out_the_event(spark, root, capsys):
         assert "holdout: none\n34 " in capsys.readouterr().out
         run(spark, root, *argv, "--league", "cup")
         assert f"holdout: nothing at or after {40 * DAY}\n30 " in capsys.readouterr().out
+
+
+def test_bet_finds_teams_series_and_heroes(spark, root, tmp_path):
+    with open(f"{tmp_path}/teams.json", "w") as f:
+        json.dump({"teams": [{"team_id": 1, "name": "Alpha", "aliases": ["A"]}, {"team_id": 2, "name": "Beta"}, {"team_id": 9, "name": "Ninth"}]}, f)
+    with open(f"{tmp_path}/heroes.json", "w") as f:
+        json.dump([{"id": k, "name": f"npc_dota_hero_h{k}", "localized_name": n} for k, n in enumerate(["Anti-Mage", "Zeus", *[f"H {x}" for x in "abcdefgh"]], 1)], f)
+    ask = lambda *argv: cli.parser().parse_args(["--root", root, "bet", "--aliases", f"{tmp_path}/teams.json", "--log", "x", "--heroes", f"{tmp_path}/heroes.json", *argv])
+    assert cli._fixture(spark, ask("--team-a", "alpha", "--team-b", "2")) == (901, 1, 2)
+    assert cli._fixture(spark, ask("--series", "900")) == (900, 1, 2) and cli._fixture(spark, ask("--series", "900", "--team-a", "Beta")) == (900, 2, 1)
+    for bad in (["--team-a", "alpha"], ["--team-a", "alpha", "--team-b", "Gamma"], ["--team-a", "alpha", "--team-b", "ninth"], ["--series", "12345"]):
+        with pytest.raises(SystemExit):
+            cli._fixture(spark, ask(*bad))
+    assert cli._heroes(spark, ask("--heroes-a", "am", "h a", "4", "h c", "6", "--heroes-b", "zuus", "h e", "8", "9", "10")) == ([1, 3, 4, 5, 6], [2, 7, 8, 9, 10])
+    assert cli._heroes(spark, ask()) == ([], [])
+    for bad in (["--heroes-a", "1"], ["--heroes-a", *"12345", "--heroes-b", *"56789"], ["--heroes-a", *"1234x", "--heroes-b", *"56789"]):
+        with pytest.raises(SystemExit):
+            cli._heroes(spark, ask(*bad))
+
+
+def test_a_table_put_aside_is_still_read(spark, tmp_path):
+    df = spark.createDataFrame([(1, "x", 5)], TABLES["teams"])
+    cli.store(df, str(tmp_path), "teams")
+    cli.store(df.union(df), str(tmp_path), "teams")
+    assert sorted(p for p in os.listdir(tmp_path)) == ["teams"] and cli.readers.table(spark, str(tmp_path), "teams").count() == 2
+    os.rename(f"{tmp_path}/teams", f"{tmp_path}/teams.old")
+    assert cli.readers.table(spark, str(tmp_path), "teams").count() == 2

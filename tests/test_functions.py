@@ -67,3 +67,15 @@ def test_scores_and_stakes(spark):
     assert one(spark, fn.kelly_stake(F.lit(0.6), F.lit(2.0), 1000, 50)) == 50.0 and one(spark, fn.kelly_stake(F.lit(0.4), F.lit(2.0), 1000, 50)) == 0.0
     assert one(spark, fn.pnl(F.lit(1), F.lit(100.0), F.lit(1.5))) == 50.0
     assert one(spark, fn.day_of(F.lit(86400 * 365))) == "1971-01-01"
+
+
+def test_kelly_at_odds_of_one(spark):
+    df = spark.createDataFrame([(0.9, 1.0), (1.0, 1.0), (0.6, 2.0), (None, 2.0), (0.5, None)], "p double, o double")
+    got = [r.s for r in df.select(fn.kelly_stake(F.col("p"), F.col("o"), 1000, 50).alias("s")).collect()]
+    assert got[:3] == [0.0, 0.0, 50.0]
+
+
+def test_shin_book_is_closed_for_two_and_bisected_for_more(spark):
+    df = spark.createDataFrame([([1.5, 2.5],), ([2.1, 2.1],), ([2.5, 3.2, 3.4],)], "o array<double>")
+    for r in df.select("o", fn.shin_book(F.col("o")).alias("b"), fn.shin_z(F.col("o")).alias("z"), fn.devig_shin(F.col("o")).alias("p")).collect():
+        assert r.b.probs == pytest.approx(r.p, abs=1e-6) and (r.b.z is None) == (r.z is None) and (r.z is None or r.b.z == pytest.approx(r.z, abs=1e-6))

@@ -70,3 +70,12 @@ def test_period_report_has_all_metrics(spark):
     got = same(spark, "period_report_whole")
     assert sum(r.pulled_s > 0 for r in got) > 1 and len({r.last_limit for r in got} - {None}) > 1
     assert same(spark, "period_report")
+
+
+def test_queries_over_the_real_operators_equal_sql(spark):
+    from tidemark.plans import source_queries
+
+    assert len(source_queries.OWN) == len(source_queries.OWN_SQL) >= 18
+    for name in source_queries.OWN:
+        assert len(same(spark, name)) > 0, name
+    same(spark, "draft_features")

@@ -113,6 +113,56 @@ def test_resolve_events(spark):
     assert links.alias_clashes(aliases.union(spark.createDataFrame([("alpha", 9)], "key string, team_id long"))).count() == 1
 
 
+def test_resolve_report_and_quoted_names(spark):
+    aliases = spark.createDataFrame([("team a", 1), ("team b", 2), ("team c", 3)], "key string, team_id long")
+    rows = [(1, "s", "1", None, "Team A", "Team B", "2026-08-14T08:00:00Z", 10), (2, "s", "1", None, "TEAM A", "Team B", "2026-08-14T08:00:00Z", 20), (3, "s", "2", None, "Nobody (Kills)", "Team B", None, 5), (4, "s", "2", None, "Nobody (Kills)", "Team B", None, 6), (5, "s", "3", None, "Team A", "Team C", "2026-08-14T08:00:00Z", 7)]
+    snaps = spark.createDataFrame(rows, "id long, source string, event_id string, units string, home string, away string, start_time string, captured_at long")
+    series = spark.createDataFrame([(555, 1, 2, 1786694400)], "series_id long, team_a long, team_b long, start long")
+    out = links.resolve_events(snaps, aliases, series, spark.createDataFrame([], "event_id string, parent_event_id string"))
+    report = {k: [tuple(r) for r in v.collect()] for k, v in links.resolve_report(snaps, out).items()}
+    assert [(n.strip(), k) for n, k in report["unresolved"]] == [("Nobody", 2)] and [r[0] for r in report["unjoined"]] == ["3"] and report["ambiguous"] == []
+    assert {(r.series_id, r.team_id, r.name) for r in links.quoted_names(snaps, out).collect()} == {(555, 1, "TEAM A"), (555, 2, "Team B")}
+
+
+def test_last_before_is_strict_breaks_ties_and_keeps_null_groups(spark):
+    rows = [("k", None, 1, 1, 5.0), ("k", None, 3, 2, 6.0), ("k", None, 3, 3, 7.0), ("k", "x", 4, 4, 8.0), ("k", "y", 9, 5, 9.0), ("j", "x", 1, 6, None)]
+    h = spark.createDataFrame(rows, "k string, g string, at long, id long, price double")
+    bounds = spark.createDataFrame([("k", 4, "p"), ("k", 5, "q"), ("j", 2, "r"), ("z", 9, "s")], "k string, bound long, what string")
+    got = {(r.k, r.bound, r.what, r.g): (r.price, r.at) for r in links.last_before(bounds, h, ["k"], "bound", "at", ["g"], ["at", "id"], ["price", "at"]).collect()}
+    assert got == {("k", 4, "p", None): (7.0, 3), ("k", 5, "q", None): (7.0, 3), ("k", 5, "q", "x"): (8.0, 4), ("j", 2, "r", "x"): (None, 1)}
+
+
+def test_nearest_within_equals_all_pairs(spark):
+    rnd = random.Random(3)
+    left = [(i, rnd.randint(0, 2), rnd.choice([None, rnd.randint(-500, 500)])) for i in range(80)]
+    right = [(i, rnd.randint(0, 3), rnd.randint(-500, 500)) for i in range(40)]
+    for tolerance in (0, 7, 100):
+        got = links.nearest_within(spark.createDataFrame(left, "id long, k long, at long"), spark.createDataFrame(right, "series long, k long, start long"), ["k"], ["id"], "at", "start", "series", tolerance)
+        want = {}
+        for i, k, at in left:
+            same = [(s, t) for s, q, t in right if q == k]
+            near = sorted((abs(at - t), s, t) for s, t in same if abs(at - t) <= tolerance) if at is not None else []
+            want[i] = (near[0][1], at - near[0][2], len(near) > 1) if near else (same[0][0] if at is None and len(same) == 1 else None, None, False)
+        assert {r.id: (r.series, r.skew, r.ambiguous) for r in got.collect()} == want
+
+
+def test_patches_come_from_a_literal_timeline(spark):
+    df = spark.createDataFrame([(1, 0, None), (2, 5, None), (3, 99, None), (4, 99, 7), (5, None, None)], "id int, at long, patch int")
+    timeline = spark.createDataFrame([(5, 50), (5, 51), (80, 60), (None, 70)], "released_at long, patch_id int")
+    assert {r.id: r.patch for r in links.patch_of(df, timeline, "at").collect()} == {1: None, 2: 51, 3: 60, 4: 7, 5: None}
+    assert "Join" not in links.patch_of(df, timeline, "at")._jdf.queryExecution().executedPlan().toString()
+
+
+def test_a_grid_is_bounded_by_the_end(spark):
+    df, _ = maps_df(spark, 120)
+    cut = df.where("start_time < 150000")
+    same = lambda x, y: [(r.config_id, r.n, round(r.log_loss, 9)) for r in x.collect()] == [(r.config_id, r.n, round(r.log_loss, 9)) for r in y.collect()]
+    configs = {0: RatingConfig(), 1: RatingConfig(tau=1.2)}
+    assert 0 < cut.count() < 120 and same(walkforward.walk_forward(df, configs, end=150000), walkforward.walk_forward(cut, configs))
+    none = spark.createDataFrame([], "match_id long, heroes_a array<int>, heroes_b array<int>, first_a boolean")
+    assert same(walkforward.walk_forward_draft(df, none, {0: DraftConfig()}, end=150000), walkforward.walk_forward_draft(cut, none, {0: DraftConfig()}))
+
+
 # --- ratings and drafts ---
 
 

@@ -1,3 +1,5 @@
+import gzip
+import os
 import json
 
 import pytest
@@ -129,3 +131,59 @@ def test_recorder_stream_equals_the_batch(spark, tmp_path):
         recorder.run(spark.readStream.schema(schema).parquet(f"{tmp_path}/in"), sink, f"{tmp_path}/state").awaitTermination()
         got = sorted((r.line_key, r.captured_at, r.price, r.status) for r in spark.read.parquet(stored).collect() if r.status)
     assert sorted(got, key=str) == sorted([("a", 1, 1.5, "open"), ("b", 1, 2.0, "open"), ("b", 2, None, "gone"), ("a", 3, 1.6, "open"), ("b", 3, 2.0, "open")], key=str)
+
+
+def test_archive_is_read_back(spark, tmp_path):
+    """The later capture counts, whatever the files are called; landed files count too, broken ones don't."""
+    link = lambda *pairs: json.dumps({"matchups": [{"id": i, "parentId": p} for i, p in pairs]}, indent=1)
+    rows = [("book", 9_000_000_000, link((1, 10), (2, None))), ("book", 1_000_000_000, link((1, 99), (3, 30))), ("other", 9_500_000_000, link((1, 77)))]
+    root = f"{tmp_path}/archive"
+    for r in rows:
+        writers.archive(spark.createDataFrame([r], "source string, captured_at long, payload string"), f"file://{root}")
+    links = lambda: {r.event_id: r.parent_event_id for r in readers.parent_links(spark, f"file://{root}", "book").collect()}
+    assert links() == {"1": "10", "3": "30"}
+    os.makedirs(f"{root}/book/2286-01-01")
+    with gzip.open(f"{root}/book/2286-01-01/9999999999.json.gz", "wt") as f:
+        f.write(link((3, 31)))
+    with open(f"{root}/book/2286-01-01/9999999998.json.gz", "wb") as f:
+        f.write(b"no gzip")
+    assert links() == {"1": "10", "3": "31"}
+    assert readers.parent_links(spark, f"file://{root}", "nobody").collect() == []
+
+
+def test_slices_are_pruned_and_named(spark):
+    plain, full = readers.slice_sql("matches", 5, 9), readers.slice_sql("matches", 5, 9, True)
+    assert "*" not in plain and "gold_adv" not in plain and "m.radiant_gold_adv, m.radiant_xp_adv FROM" in full
+    assert "radiant_team_name AS radiant_name" in plain and "start_time >= 5 AND m.start_time < 9" in readers.slice_sql("picks_bans", 5, 9)
+
+
+def test_patch_constants(spark, tmp_path):
+    with open(f"{tmp_path}/patch.json", "w") as f:
+        json.dump([{"id": 59, "name": "7.40", "date": "2025-12-15T00:00:00Z"}, {"id": 60, "name": "7.41", "date": "bad"}, {"id": 61, "date": "2026-01-01T00:00:00Z"}, {"name": "7.42"}], f)
+    constants = readers.json_documents(spark, f"{tmp_path}/patch.json", "id int, name string, date string")
+    assert {(r.patch, r.patch_id) for r in flatten.patch_ids(constants).collect()} == {("7.40", 59), ("7.41", 60)}
+    assert [(r.released_at, r.patch_id) for r in flatten.patch_timeline(constants).collect()] == [(1765756800, 59), (1767225600, 61)]
+
+
+def test_short_hero_names(spark):
+    known = spark.createDataFrame([(1, "npc_dota_hero_antimage", "Anti-Mage"), (5, "npc_dota_hero_crystal_maiden", "Crystal Maiden"), (22, "npc_dota_hero_zuus", "Zeus")], "id int, name string, localized_name string")
+    lookup = readers.hero_lookup(known, readers.hero_aliases(known))
+    asked = spark.createDataFrame([("am",), ("CM",), ("5",), ("99",), ("zuus",), ("nobody",)], "q string")
+    assert {r.q: r.hero_id for r in readers.resolve_heroes(asked, "q", known, lookup).collect()} == {"am": 1, "CM": 5, "5": 5, "99": None, "zuus": 22, "nobody": None}
+
+
+def test_recorder_keeps_the_last_rows_and_numbers_new_ones(spark, tmp_path):
+    schema = "source string, line_key string, captured_at long, id long, price double, status string"
+    polls = [[("s", "a", 1, None, 1.5, "open"), ("s", "b", 1, None, 2.0, "open")], [("s", "a", 2, None, 1.5, "open")], [("s", "a", 3, None, 1.6, "open"), ("s", "b", 3, None, 2.0, "open")]]
+    held = {"latest": spark.createDataFrame([], schema), "all": spark.createDataFrame([], schema)}
+    put = lambda k: lambda df: held.update({k: spark.createDataFrame(df.collect(), schema)})
+    sink = recorder.Recorder(lambda: held["latest"], lambda df: put("all")(held["all"].union(df)), ["source", "line_key"], ["price", "status"], ["price"], ["captured_at", "id"], put("latest"))
+    for n, p in enumerate([*polls, polls[1]]):  # a poll that comes again is skipped
+        sink(spark.createDataFrame(p, schema), n)
+    got = sorted((r.id, r.line_key, r.captured_at, r.price, r.status) for r in held["all"].collect())
+    assert got == [(1, "a", 1, 1.5, "open"), (2, "b", 1, 2.0, "open"), (3, "b", 2, None, "gone"), (4, "a", 3, 1.6, "open"), (5, "b", 3, 2.0, "open")]
+    assert {(r.line_key, r.id) for r in held["latest"].collect()} == {("a", 4), ("b", 5)}
+
+
+def test_sorted_json(spark):
+    assert spark.range(1).selectExpr("1 AS b", "'x' AS a", "CAST(NULL AS INT) AS c").select(writers.sorted_json("b", "c", "a").alias("j")).first().j == '{"a":"x","b":1}'

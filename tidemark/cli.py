@@ -9,9 +9,11 @@ import time
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .functions import scalars
 from .operators import closing, drafts, history, links, ratings, rollups, spans, walkforward
 from .schemas import KEYS, TABLES, TRACKED
 from .sources import flatten, readers, writers
+from .sources.shared import materialize
 from .streaming import recorder
 
 LINE = ["source", "line_key"]
@@ -22,14 +24,19 @@ def session() -> SparkSession:
 
 
 def store(df: DataFrame, root: str, name: str) -> None:
-    """Replace a table: the new files are complete before the old ones go."""
+    """Replace a table: the new files are complete before the old ones step aside, and these go last. A run that
+    ends between the two leaves the old table aside, where readers.table finds it."""
     spark, path = df.sparkSession, f"{root}/{name}"
-    df.write.mode("overwrite").parquet(f"{path}.new")
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
-    at = hadoop.Path(path)
+    at, new, old = (hadoop.Path(path + end) for end in ("", ".new", ".old"))
     fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    fs.delete(at, True)
-    fs.rename(hadoop.Path(f"{path}.new"), at)
+    df.write.mode("overwrite").parquet(f"{path}.new")
+    if fs.exists(old) and fs.exists(at):
+        fs.delete(old, True)
+    if fs.exists(at):
+        fs.rename(at, old)
+    fs.rename(new, at)
+    fs.delete(old, True)
 
 
 def merge(spark: SparkSession, root: str, rows: dict[str, DataFrame]) -> None:
@@ -74,11 +81,12 @@ def bulkfill(spark, a):
     """Slices of a remote database; a slice that fails is halved down to a day, then skipped and counted."""
     until, failed = a.until or int(time.time()), 0
     known = readers.table(spark, a.root, "matches").select("match_id")
-    ids = spark.createDataFrame([(str(k), k) for k in range(200)], "patch string, patch_id int")
-    timeline = flatten.patch_timeline(readers.json_documents(spark, a.patches, "id int, date string")) if a.patches else spark.createDataFrame([], "released_at long, patch_id int")
+    constants = readers.json_documents(spark, a.patches, "id int, name string, date string")
+    ids, timeline = flatten.patch_ids(constants), flatten.patch_timeline(constants)
 
     def read(lo, hi):
-        got = {n: readers.remote(spark, a.url, q.format(lo=lo, hi=hi)) for n, q in readers.SLICE_QUERIES.items()}
+        # written here, so that a query that fails does so inside the slice, which is then halved
+        got = {n: materialize(readers.remote(spark, a.url, readers.slice_sql(n, lo, hi, a.with_timeseries)), f"slice-{n}") for n in readers.SLICE_QUERIES}
         return flatten.bulk_rows(*(flatten.known_only(got[n], known)[0] for n in ("matches", "picks_bans", "player_matches")), F.lit(until), ids, timeline)
 
     for _, _, rows in readers.slices(a.since, until, a.slice_days * 86400, read):
@@ -91,7 +99,9 @@ def bulkfill(spark, a):
 def record_odds(spark, a):
     stream = spark.readStream.schema(TABLES["odds_snapshots"]).parquet(a.path)
     write = lambda df: df.write.mode("append").parquet(f"{a.root}/odds_snapshots")
-    sink = recorder.Recorder(lambda: readers.table(spark, a.root, "odds_snapshots"), write, LINE, TRACKED, ["price_american", "price_decimal", "limit_amount"], ["captured_at", "id"])
+    if not readers.table(spark, a.root, "odds_latest").take(1):
+        store(history.latest(readers.table(spark, a.root, "odds_snapshots"), LINE, ["captured_at", "id"]), a.root, "odds_latest")
+    sink = recorder.Recorder(lambda: readers.table(spark, a.root, "odds_latest"), write, LINE, TRACKED, ["price_american", "price_decimal", "limit_amount"], ["captured_at", "id"], lambda df: store(df, a.root, "odds_latest"))
     recorder.run(stream, sink, f"{a.root}/_recorder", None if a.once else a.interval).awaitTermination()
 
 
@@ -102,7 +112,12 @@ def resolve(spark, a):
     series = series.select("series_id", F.least("team_a", "team_b").alias("team_a"), F.greatest("team_a", "team_b").alias("team_b"), "start").groupBy("series_id", "team_a", "team_b").agg(F.min("start").alias("start"))
     parents = readers.parent_links(spark, a.archive, a.source) if a.archive else spark.createDataFrame([], "event_id string, parent_event_id string")
     out = links.resolve_events(snaps, readers.alias_file(spark, a.aliases), series, parents, a.tolerance)
-    out.agg(F.count("*").alias("events"), F.count("series_id").alias("mapped_series"), F.count_if("ambiguous").alias("ambiguous")).show()
+    out = materialize(out, "resolved")
+    named = F.col("home_team_id").isNotNull() & F.col("away_team_id").isNotNull()
+    out.agg(F.count("*").alias("events"), F.count_if(named).alias("mapped_teams"), F.count("series_id").alias("mapped_series"), F.count_if("ambiguous").alias("ambiguous")).show()
+    for what, rows in links.resolve_report(snaps, out).items():
+        print(what)
+        rows.show(1000, truncate=False)
     if not a.dry_run:
         rows = out.select(*[F.col(c) if c in out.columns else F.lit(int(time.time())).alias(c) for c in TABLES["event_series_map"].names])
         store(writers.merge_map(readers.table(spark, a.root, "event_series_map"), rows), a.root, "event_series_map")
@@ -176,6 +191,64 @@ def predict(spark, a):
     out.orderBy("series_id", "period", "selection").show(100, truncate=False)
 
 
+def _team(spark, a, text: str | None) -> int | None:
+    """The team of a name or alias; ids are taken as they are."""
+    if text is None or text.isdigit():
+        return None if text is None else int(text)
+    known = readers.alias_file(spark, a.aliases)
+    found = links.resolve_names(spark.createDataFrame([(text,)], "given string"), "given", known, "team").first().team
+    if found is None:
+        near = scalars.suggestions(text, {r.key: r.name for r in known.select("key", "name").collect()})
+        sys.exit(f"unknown team {text!r}" + (f"; did you mean {', '.join(near)}?" if near else ""))
+    return found
+
+
+def _fixture(spark, a) -> tuple[int, int, int]:
+    """(series, team a, team b): the series of two teams, by the newest event of the source, else by their last map; of a
+    given series, teams that aren't named are those of its first map."""
+    one, two, series = _team(spark, a, a.team_a), _team(spark, a, a.team_b), a.series
+    m = readers.table(spark, a.root, "matches")
+    pair = lambda x, y: (F.least(x, y) == min(one, two)) & (F.greatest(x, y) == max(one, two))
+    if series is None:
+        if one is None or two is None:
+            sys.exit("give --series, or both --team-a and --team-b")
+        events = readers.table(spark, a.root, "event_series_map").where((F.col("source") == a.source) & pair("home_team_id", "away_team_id"))
+        series = events.where("series_id IS NOT NULL").agg(F.max_by("series_id", "event_id").alias("s")).first().s
+        if series is None:
+            series = m.where(pair("radiant_team_id", "dire_team_id") & F.col("series_id").isNotNull()).agg(F.max_by("series_id", F.struct("start_time", "match_id")).alias("s")).first().s
+        if series is None:
+            sys.exit(f"no series of {one} and {two}")
+    elif one is None or two is None:
+        first = m.where(F.col("series_id") == series).agg(F.min_by(F.struct("radiant_team_id", "dire_team_id"), F.struct("start_time", "match_id")).alias("t")).first().t
+        known = [] if first is None else [t for t in first if t]
+        one = one or next((t for t in known if t != two), None)
+        two = two or next((t for t in known if t != one), None)
+    if one is None or two is None or one == two:
+        sys.exit(f"no two teams for series {series}")
+    return series, one, two
+
+
+def _heroes(spark, a) -> tuple[list[int], list[int]]:
+    """The ids of five and five heroes given by id, name or short name; both empty without a draft."""
+    given = (a.heroes_a or []) + (a.heroes_b or [])
+    if not given:
+        return [], []
+    if len(a.heroes_a or []) != 5 or len(a.heroes_b or []) != 5:
+        sys.exit("a draft is five and five heroes")
+    if a.heroes:
+        known = readers.heroes(spark, a.heroes)
+        lookup = readers.hero_lookup(known, readers.hero_aliases(known))
+        asked = spark.createDataFrame(list(enumerate(given)), "at int, asked string")
+        ids = [r.hero_id for r in readers.resolve_heroes(asked, "asked", known, lookup).orderBy("at").collect()]
+    else:
+        ids = [int(x) if x.isdigit() else None for x in given]
+    if None in ids:
+        sys.exit(f"unknown hero {given[ids.index(None)]!r}")
+    if len(set(ids)) != 10:
+        sys.exit(f"a draft names ten heroes; twice: {', '.join(sorted({g for g, i in zip(given, ids, strict=True) if ids.count(i) > 1}))}")
+    return ids[:5], ids[5:]
+
+
 def bet(spark, a):
     """Settle recorded trades, or price a map now: ratings and draft models up to now against the newest fresh quote."""
     if a.settle:
@@ -187,11 +260,12 @@ def bet(spark, a):
     now = a.now or int(time.time())
     maps = maps_of(spark, a.root, before=now)
     own = drafts.complete_drafts(readers.table(spark, a.root, "draft_events"))
-    if a.heroes_a and len(set(a.heroes_a + a.heroes_b)) != 10:
-        sys.exit("a draft is five and five distinct heroes")
+    a.series, a.team_a, a.team_b = _fixture(spark, a)
+    a.heroes_a, a.heroes_b = _heroes(spark, a)
+    first = {"a": True, "b": False}.get(a.first_action)
     columns = {"match_id": F.lit(1 << 62), "start_time": F.lit(now).cast("long"), "a": F.lit(a.team_a).cast("long"), "b": F.lit(a.team_b).cast("long"), "win": F.lit(0)}
     extra = spark.range(1).select(*[columns.get(c, F.lit(None)).cast(maps.schema[c].dataType).alias(c) for c in maps.columns])
-    drafted = spark.createDataFrame([(1 << 62, a.heroes_a, a.heroes_b, None)], own.schema) if a.heroes_a else own.limit(0)
+    drafted = spark.createDataFrame([(1 << 62, a.heroes_a, a.heroes_b, first)], own.schema) if a.heroes_a else own.limit(0)
     base = walkforward.predictions(maps.union(extra), {0: rating_config(a)}).drop("config_id")
     p = walkforward.draft_predictions(base, own.union(drafted), {0: draft_config(a)}).where(F.col("match_id") == (1 << 62)).first().prob
     events = readers.table(spark, a.root, "event_series_map").where(F.col("parent_event_id").isNull() & (F.col("series_id") == a.series)).select("event_id")
@@ -236,7 +310,7 @@ def windows(spark, a):
 
 
 def open_now(spark, a):
-    history.open_lines(readers.table(spark, a.root, "odds_snapshots"), LINE, ["captured_at", "id"]).show(100, truncate=False)
+    history.open_lines(readers.table(spark, a.root, "odds_snapshots"), LINE, ["captured_at", "id"], source_prefix=a.source).show(100, truncate=False)
 
 
 def parser() -> argparse.ArgumentParser:
@@ -261,19 +335,19 @@ def parser() -> argparse.ArgumentParser:
     names = o("--aliases", required=True)
     command("backfill", backfill, o("--path", required=True))
     command("detail", detail, o("--path", required=True), o("--limit", type=int, default=100))
-    command("bulkfill", bulkfill, o("--url", required=True), o("--since", type=int, required=True), o("--until", type=int), o("--slice-days", type=int, default=14), o("--with-timeseries", action="store_true"), o("--patches"))
+    command("bulkfill", bulkfill, o("--url", required=True), o("--since", type=int, required=True), o("--until", type=int), o("--slice-days", type=int, default=14), o("--with-timeseries", action="store_true"), o("--patches", required=True, help="landed patch constants: id, name, date"))
     command("record-odds", record_odds, o("--path", required=True), o("--interval", type=int, default=60), o("--once", action="store_true"))
     command("resolve", resolve, source, names, o("--archive"), o("--tolerance", type=int, default=8 * 3600), o("--dry-run", action="store_true"))
     command("eval", evaluate, source, names, *method, o("--predictions", required=True), o("--before-draft", type=int))
     command("backtest", backtest, o("--model", default="ratings", choices=["ratings", "draft"]), o("--tune", action="store_true"), o("--score", default="all", choices=["all", "elite"]), o("--min-games", type=int, default=20), o("--burn-in", type=int, default=1727740800), o("--league"), model=True)
     command("predict", predict, o("--league", required=True), o("--out"), o("--model", default="ratings", choices=["ratings", "draft"]), model=True)
     command(
-        "bet", bet, source, names, *method, o("--settle", action="store_true"), o("--log", required=True), o("--series", type=int), o("--period", type=int, default=1), o("--team-a", type=int), o("--team-b", type=int),
-        o("--heroes-a", type=int, nargs=5), o("--heroes-b", type=int, nargs=5), o("--bankroll", type=float, default=1000.0), o("--max-stake", type=float, default=50.0), o("--fresh", type=int, default=300), o("--now", type=int), o("--rehearse", action="store_true"), model=True,
+        "bet", bet, source, names, *method, o("--settle", action="store_true"), o("--log", required=True), o("--series", type=int), o("--period", type=int, default=1), o("--team-a", help="id, name or alias"), o("--team-b"),
+        o("--heroes", help="landed hero list, to give heroes by name"), o("--heroes-a", nargs="*"), o("--heroes-b", nargs="*"), o("--first-action", default="unknown", choices=["a", "b", "unknown"]), o("--bankroll", type=float, default=1000.0), o("--max-stake", type=float, default=50.0), o("--fresh", type=int, default=300), o("--now", type=int), o("--rehearse", action="store_true"), model=True,
     )
     command("status", status)
     command("windows", windows, o("--draft-window", type=int, default=600), o("--format", default="md", choices=["md", "tsv"]))
-    command("open", open_now)
+    command("open", open_now, o("--source", default="", help="prefix of the sources"))
     return p
 
 

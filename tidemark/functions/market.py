@@ -53,7 +53,7 @@ def devig_shin(odds: Column, steps: int = 100) -> Column:
 
 def devig(odds: Column, method: str = "shin") -> Column:
     if method == "shin":
-        return devig_shin(odds)
+        return shin_book(odds)["probs"]
     if method == "proportional":
         return devig_proportional(odds)
     raise ValueError(f"unknown method: {method}")
@@ -71,6 +71,15 @@ def shin_two_way(a: Column, b: Column) -> tuple[Column, Column, Column]:
     return F.when(s > 1, F.least(raw, F.lit(0.5))), p, 1 - p
 
 
+def shin_book(odds: Column) -> Column:
+    """Struct (z, probs) of a book: in closed form if it is two-way, else by one bisection that both share."""
+    z, a, b = shin_two_way(F.get(odds, F.lit(0)), F.get(odds, F.lit(1)))
+    fair = lambda q: _let(_sum(q), lambda t: F.transform(q, lambda x: x / t))
+    with_z = lambda z: F.when(z.isNull(), devig_proportional(odds)).otherwise(_let(implied(odds), lambda p: _let(_sum(p), lambda s: fair(_shin_probs(p, s, z)))))
+    many = _let(shin_z(odds), lambda z: F.struct(z.alias("z"), with_z(z).alias("probs")))
+    return F.when(F.size(odds) == 2, F.struct(z.alias("z"), F.array(a, b).alias("probs"))).otherwise(many)
+
+
 def edge(prob: Column, close: Column) -> Column:
     return prob - close
 
@@ -80,7 +89,8 @@ def clv(price: Column, close: Column) -> Column:
 
 
 def kelly_fraction(prob: Column, odds: Column) -> Column:
-    return F.greatest(F.lit(0.0), (prob * odds - 1) / (odds - 1))
+    """The share of the bankroll to stake; 0 without an edge, and at odds of 1, which pay nothing."""
+    return F.greatest(F.lit(0.0), F.coalesce(F.try_divide(prob * odds - 1, odds - 1), F.when(odds == 1, F.lit(0.0))))
 
 
 def kelly_stake(prob: Column, odds: Column, bankroll: float, most: float) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.market import brier, clv, devig, overround, shin_z
+from ..functions.market import brier, clv, devig, overround, shin_book
 from ..functions.scalars import norm_name, parse_ts
 from .links import last_before
 from .rollups import first_in, numbered
@@ -36,7 +36,7 @@ def closing_lines(snapshots: DataFrame, bounds: DataFrame, market_type: str = "m
     """
     rows = snapshots.where((F.col("market_type") == market_type) & (F.col("status") == "open") & (F.col("is_live").isNull() | (F.col("is_live") == 0)))
     rows = rows.select("source", "event_id", "period", "selection", "points", "price_decimal", "captured_at", "id", "cutoff_at")
-    last = last_before(bounds, rows, ["source", "event_id", "period"], "bound", "captured_at", ["selection", "points"], ["captured_at", "id"], ["price_decimal", "captured_at", "cutoff_at"])
+    last = last_before(bounds.select("series_id", "period", "source", "event_id", "bound"), rows, ["source", "event_id", "period"], "bound", "captured_at", ["selection", "points"], ["captured_at", "id"], ["price_decimal", "captured_at", "cutoff_at"])
     priced = last.where("price_decimal <> 0")
     quote = F.struct("selection", F.col("price_decimal").alias("price"))
     stale = F.coalesce(F.coalesce(parse_ts(F.nullif("cutoff_at", F.lit(""))), F.when(F.nullif("cutoff_at", F.lit("")).isNotNull(), F.lit(0).cast("long"))) < F.col("captured_at"), F.lit(False))
@@ -45,7 +45,9 @@ def closing_lines(snapshots: DataFrame, bounds: DataFrame, market_type: str = "m
     value = ["points", "book", "captured_at", "stale_cutoff"]
     main = books.groupBy(*keys).agg(F.max_by(F.struct(*value), F.struct("captured_at", "points")).alias("b")).select(*keys, *[F.col(f"b.{c}").alias(c) for c in value])
     odds = F.transform("book", lambda q: q.price)
-    return main.where(F.size("book") >= 2).withColumns({"odds": odds}).withColumns({"probs": devig(F.col("odds"), method), "overround": overround(F.col("odds")), "z": shin_z(F.col("odds"))})
+    whole = main.where(F.size("book") >= 2).withColumns({"odds": odds}).withColumns({"__shin": shin_book(F.col("odds")), "overround": overround(F.col("odds"))})
+    probs = F.col("__shin.probs") if method == "shin" else devig(F.col("odds"), method)
+    return whole.withColumns({"probs": probs, "z": F.col("__shin.z")}).drop("__shin")
 
 
 def quoted(lines: DataFrame) -> DataFrame:

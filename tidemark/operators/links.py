@@ -10,13 +10,17 @@ from ..sources.shared import materialize
 
 
 def last_before(bounds: DataFrame, rows: DataFrame, on: list[str], bound: str, at: str, per: list[str], order: list[str], value: list[str]) -> DataFrame:
-    """Strict as-of: for each row of bounds and each value of per, the last row of rows with at < bound.
+    """Strict as-of: for each row of bounds and each value of per, the last row of rows (by order) with at < bound.
 
-    An equality join on the keys, then one aggregate that combines on the map side; per may be null.
+    Each bound is repeated for the values of per that its key has at all, which is what comes out, and meets the
+    history in one sorted stream (merge_asof): no pairs of bounds and rows are formed. per may be null.
     """
-    both = bounds.join(rows, on).where(F.col(at) < F.col(bound))
-    row = F.max_by(F.struct(*value), F.struct(*order)).alias("__row")
-    return both.groupBy(*bounds.columns, *per).agg(row).select(*bounds.columns, *per, *[F.col(f"__row.{c}").alias(c) for c in value])
+    keys = [f"__k{i}" for i in range(len(per))]
+    marked = rows.withColumns({k: F.struct(F.col(p)) for k, p in zip(keys, per, strict=True)})  # a struct is never null
+    wanted = bounds.join(marked.select(*on, *keys).distinct(), on)
+    out = merge_asof(wanted, marked.select(*on, *keys, F.col(at).alias("__at"), *[F.col(c).alias(f"__o{i}") for i, c in enumerate(order)], F.struct(*[F.col(c).alias(f"v{i}") for i, c in enumerate(value)]).alias("__value")), [*on, *keys], bound, "__at", ["__value"], order=[f"__o{i}" for i in range(len(order))])
+    found = out.where(F.col("__value").isNotNull())
+    return found.select(*bounds.columns, *[F.col(k)[p].alias(p) for k, p in zip(keys, per, strict=True)], *[F.col(f"__value.v{i}").alias(c) for i, c in enumerate(value)])
 
 
 def asof_previous(df: DataFrame, keys: list[str], order: list[str], value: Column, name: str) -> DataFrame:
@@ -25,16 +29,18 @@ def asof_previous(df: DataFrame, keys: list[str], order: list[str], value: Colum
     return df.withColumn(name, F.last(value, ignorenulls=True).over(w))
 
 
-def merge_asof(left: DataFrame, right: DataFrame, on: list[str], left_at: str, right_at: str, value: list[str], strict: bool = True) -> DataFrame:
-    """left with the values of the last row of right before (strict) or at its time; null without one.
+def merge_asof(left: DataFrame, right: DataFrame, on: list[str], left_at: str, right_at: str, value: list[str], strict: bool = True, order: list[str] = ()) -> DataFrame:
+    """left with the values of the last row of right before (strict) or at its time, ties by order; null without one.
 
     Both sides are laid in one sorted stream by key and time and values carried forward: one shuffle and one sort,
     however many rows of right precede a row of left, where an inequality join would form all pairs.
     """
     row_type, value_type = left.select(F.struct(*left.columns).alias("x")).schema["x"].dataType, right.select(F.struct(*value).alias("x")).schema["x"].dataType
-    first = left.select(*on, F.col(left_at).alias("__t"), F.lit(0 if strict else 1).alias("__side"), F.struct(*left.columns).alias("__row"), F.lit(None).cast(value_type).alias("__v"))
-    other = right.select(*on, F.col(right_at).alias("__t"), F.lit(1 if strict else 0).alias("__side"), F.lit(None).cast(row_type).alias("__row"), F.struct(*value).alias("__v"))
-    w = Window.partitionBy(*on).orderBy("__t", "__side").rowsBetween(Window.unboundedPreceding, 0)
+    ties = [F.col(c).alias(f"__tie{i}") for i, c in enumerate(order)]
+    none = [F.lit(None).cast(right.schema[c].dataType).alias(f"__tie{i}") for i, c in enumerate(order)]
+    first = left.select(*on, F.col(left_at).alias("__t"), F.lit(0 if strict else 1).alias("__side"), F.struct(*left.columns).alias("__row"), F.lit(None).cast(value_type).alias("__v"), *none)
+    other = right.select(*on, F.col(right_at).alias("__t"), F.lit(1 if strict else 0).alias("__side"), F.lit(None).cast(row_type).alias("__row"), F.struct(*value).alias("__v"), *ties)
+    w = Window.partitionBy(*on).orderBy("__t", "__side", *[f"__tie{i}" for i in range(len(order))]).rowsBetween(Window.unboundedPreceding, 0)
     out = first.union(other).withColumn("__last", F.last("__v", ignorenulls=True).over(w)).where(F.col("__row").isNotNull())
     return out.select("__row.*", *[F.col(f"__last.{c}").alias(c) for c in value])
 
@@ -42,9 +48,13 @@ def merge_asof(left: DataFrame, right: DataFrame, on: list[str], left_at: str, r
 def nearest_within(left: DataFrame, right: DataFrame, on: list[str], left_id: list[str], left_at: str, right_at: str, right_id: str, tolerance: int) -> DataFrame:
     """left's rows with right_id, skew (left_at - right_at) and ambiguous of the nearest row of right with equal keys and
     at most tolerance between; ties go to the smaller right_id; ambiguous: more than one lies inside. Rows of left with
-    a null time take the only row of right with their keys, if there is just one (skew null). Others get nulls."""
-    gap = F.abs(F.col(left_at) - F.col(right_at))
-    both = left.join(right.select(*on, right_id, right_at), on)
+    a null time take the only row of right with their keys, if there is just one (skew null). Others get nulls.
+
+    Times are cut into steps of the tolerance, so that a row of left only meets those of right in its own step and in
+    the two beside it, however long the history of its keys is."""
+    gap, step = F.abs(F.col(left_at) - F.col(right_at)), F.lit(max(1, tolerance))
+    near = F.explode(F.transform(F.array(*[F.lit(d) for d in (-1, 0, 1)]), lambda d: F.floor(F.col(left_at) / step) + d)).alias("__step")
+    both = left.where(F.col(left_at).isNotNull()).select("*", near).join(right.select(*on, right_id, right_at, F.floor(F.col(right_at) / step).alias("__step")), [*on, "__step"])
     timed = both.where(gap <= tolerance).groupBy(*left_id).agg(F.min(F.struct(gap.alias("d"), F.col(right_id), F.col(right_at))).alias("__best"), F.count("*").alias("__n"))
     lone = right.groupBy(*on).agg(F.count("*").alias("__k"), F.min(right_id).alias("__only")).where("__k = 1")
     out = left.join(timed, left_id, "left").join(lone, on, "left")
@@ -72,12 +82,21 @@ def inherit(df: DataFrame, node: str, parent: str, value: str, depth: int = 30)
     return df.drop(value).join(state.select(F.col("__n").alias(node), F.col("__v").alias(value)), node).select(*df.columns)
 
 
+#: Releases that a timeline may hold; it has a few a year.
+RELEASES = 10_000
+
+
 def patch_of(df: DataFrame, timeline: DataFrame, at: str, label: str = "patch") -> DataFrame:
     """df with the patch in force: its own label, else the last of timeline (released_at, patch_id) released by its
-    start. A start of null or 0 has none. The timeline, a few rows a year, is broadcast by its size."""
-    starts = df.select(at).distinct().where(F.col(at).isNotNull() & (F.col(at) != 0))
-    found = starts.join(timeline, F.col("released_at") <= F.col(at)).groupBy(at).agg(F.max_by("patch_id", F.struct("released_at", "patch_id")).alias("__patch"))
-    return df.join(found, at, "left").withColumn(label, F.coalesce(label, "__patch")).drop("__patch").select(*df.columns)
+    start. A start of null or 0 has none. The timeline, RELEASES rows at most, becomes a literal: nothing is joined."""
+    known = [(r.released_at, r.patch_id) for r in timeline.select("released_at", "patch_id").where("released_at IS NOT NULL").limit(RELEASES + 1).collect()]
+    if len(known) > RELEASES:
+        raise ValueError(f"a patch timeline of more than {RELEASES} rows")
+    releases = F.array(*[F.struct(F.lit(t).cast("long").alias("t"), F.lit(p).cast("int").alias("p")) for t, p in sorted(known, key=lambda r: (r[0], r[1] is not None, r[1]))])
+    if not known:
+        return df
+    found = F.array_max(F.filter(releases, lambda r: r.t <= F.nullif(F.col(at), F.lit(0)))).p
+    return df.withColumn(label, F.coalesce(F.col(label), found.cast(df.schema[label].dataType)))
 
 
 def resolve_names(df: DataFrame, name: str, aliases: DataFrame, out: str) -> DataFrame:
@@ -92,6 +111,32 @@ def alias_clashes(aliases: DataFrame) -> DataFrame:
     return aliases.groupBy("key").agg(F.countDistinct("team_id").alias("n")).where("n > 1")
 
 
+def resolve_report(events: DataFrame, resolved: DataFrame) -> dict[str, DataFrame]:
+    """What a human must look at after resolve_events: unresolved (name without its kills suffix, snapshots), unjoined
+    and ambiguous (event_id, home, away), each in order.
+
+    events: event_id, home, away; resolved: of resolve_events.
+    """
+    both = events.select("event_id", "home", "away").dropDuplicates(["event_id"]).join(resolved, "event_id")
+    sides = F.array(*[F.struct(F.col(n).alias("raw"), F.col(f"{n}_team_id").alias("team")) for n in ("home", "away")])
+    names = both.select("snapshots", F.explode(sides).alias("x")).where("x.team IS NULL AND x.raw <> ''")
+    unresolved = names.select(strip_kills(F.col("x.raw"))[0].alias("name"), "snapshots").groupBy("name").agg(F.sum("snapshots").alias("snapshots"))
+    named = F.col("home_team_id").isNotNull() & F.col("away_team_id").isNotNull()
+    return {
+        "unresolved": unresolved.orderBy(F.desc("snapshots"), "name"),
+        "unjoined": both.where(named & F.col("series_id").isNull()).select("event_id", "home", "away").orderBy("event_id"),
+        "ambiguous": both.where("ambiguous").select("event_id", "home", "away").orderBy("event_id"),
+    }
+
+
+def quoted_names(snapshots: DataFrame, events: DataFrame) -> DataFrame:
+    """(series_id, team_id, name): what the book calls a series' teams, in the newest quote of its parentless event."""
+    mine = events.where(F.col("series_id").isNotNull() & (F.col("is_kills") == 0) & F.col("parent_event_id").isNull()).select("source", "event_id", "series_id", "home_team_id", "away_team_id")
+    sides = F.array(*[F.struct(F.col(f"{n}_team_id").alias("team_id"), F.col(n).alias("name")) for n in ("home", "away")])
+    last = snapshots.join(mine, ["source", "event_id"]).groupBy("series_id").agg(F.max_by(sides, F.struct("captured_at", "id")).alias("sides"))
+    return last.select("series_id", F.explode("sides").alias("x")).select("series_id", "x.*").where("team_id IS NOT NULL AND name <> ''")
+
+
 def resolve_events(snapshots: DataFrame, aliases: DataFrame, series: DataFrame, parents: DataFrame, tolerance: int = 8 * 3600) -> DataFrame:
     """event_series_map rows of a source's events: teams by alias, the series of the same unordered pair nearest to the
     start, else the parent's. snapshots: source, event_id, units, home, away, start_time; series: series_id, team_a,

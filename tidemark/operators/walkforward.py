@@ -12,14 +12,14 @@ from .drafts import DraftConfig, combine, feature_grid
 from .ratings import RatingConfig, forecasts
 from .rollups import numbered, scorecard, scorecard_by_day
 
-GRID = {"tau": [0.3, 0.5], "idle_days": [15, 30], "patch_rd_boost": [None, 60.0], "roster_rd_boost": [None, 30.0]}
-DRAFT_GRID = {"half_life_days": [60.0, 120.0, 240.0], "k_pair": [50.0, 100.0, 200.0], "learning_rate": [0.02, 0.05, 0.1]}
+#: The grids that are tuned over.
+GRID = {"patch_rd_boost": [None, 30.0, 60.0, 100.0], "roster_rd_boost": [None, 30.0, 60.0, 100.0]}
+DRAFT_GRID = {"half_life_days": [60.0, 120.0, 240.0], "k_pair": [50.0, 100.0, 200.0], "learning_rate": [0.01, 0.05, 0.1]}
 
 
 def rating_grid(grid: dict = GRID) -> dict[int, RatingConfig]:
     """All combinations (16 by default), numbered in order."""
-    rows = [dict(zip(grid, v, strict=True)) for v in product(*grid.values())]
-    return {k: RatingConfig(**{n: v for n, v in r.items() if n != "idle_days"}, idle_period_s=r["idle_days"] * 86400.0 if r.get("idle_days") else None) for k, r in enumerate(rows)}
+    return {k: RatingConfig(**dict(zip(grid, v, strict=True))) for k, v in enumerate(product(*grid.values()))}
 
 
 def draft_grid(grid: dict = DRAFT_GRID) -> dict[int, DraftConfig]:
@@ -27,6 +27,11 @@ def draft_grid(grid: dict = DRAFT_GRID) -> dict[int, DraftConfig]:
     return {k: DraftConfig(**dict(zip(grid, v, strict=True))) for k, v in enumerate(product(*grid.values()))}
 
 
+def bounded(maps: DataFrame, end: int | None) -> DataFrame:
+    """The maps that start before end, so that nothing of the period that is predicted trains or chooses a configuration."""
+    return maps if end is None else maps.where(F.col("start_time") < end)
+
+
 def in_scope(rows: DataFrame, start_scoring: int | None = None, min_games: int = 0, leagues: DataFrame | None = None) -> DataFrame:
     """What is measured: from a start, between teams of min_games or more, in given leagues. All rows train."""
     out = rows.where((F.col("games_a") >= min_games) & (F.col("games_b") >= min_games))
@@ -39,16 +44,15 @@ def predictions(maps: DataFrame, configs: dict[int, RatingConfig]) -> DataFrame:
     return maps.join(forecasts(maps, configs), "match_id")
 
 
-def walk_forward(maps: DataFrame, configs: dict[int, RatingConfig], **scope) -> DataFrame:
-    """config_id and its score card, best log-loss first (null last)."""
-    rows = in_scope(predictions(maps, configs), **scope)
+def walk_forward(maps: DataFrame, configs: dict[int, RatingConfig], end: int | None = None, **scope) -> DataFrame:
+    """config_id and its score card, best log-loss first (null last), from maps before end."""
+    rows = in_scope(predictions(bounded(maps, end), configs), **scope)
     return scorecard(rows, ["config_id"], outcome="win").orderBy(F.asc_nulls_last("log_loss"), "config_id")
 
 
-def walk_forward_draft(maps: DataFrame, drafts: DataFrame, configs: dict[int, DraftConfig], rating: RatingConfig = RatingConfig(), **scope) -> DataFrame:
-    """config_id and its score card with the number of fallbacks. Features depend on half-life, k_pair and the like but
-    not on the learning rate: a grid computes each set of windows once."""
-    base = predictions(maps, {0: rating}).drop("config_id")
+def walk_forward_draft(maps: DataFrame, drafts: DataFrame, configs: dict[int, DraftConfig], rating: RatingConfig = RatingConfig(), end: int | None = None, **scope) -> DataFrame:
+    """config_id and its score card with the number of fallbacks, from maps before end."""
+    base = predictions(bounded(maps, end), {0: rating}).drop("config_id")
     return scorecard(in_scope(draft_predictions(base, drafts, configs), **scope), ["config_id"], outcome="win", fallback="fallback").orderBy(F.asc_nulls_last("log_loss"), "config_id")
 
 

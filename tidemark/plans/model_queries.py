@@ -463,7 +463,7 @@ sk AS (SELECT *, CASE WHEN team IS NULL THEN 'unresolved selection' WHEN maps IS
   CASE WHEN team IS NULL THEN 'unresolved' WHEN outcome IS NOT NULL THEN 'settled' WHEN why IN ('series undecided', 'map undecided or team not in match', 'map not played') THEN 'pending' ELSE 'unresolved' END AS status FROM rs)"""
 
 
-@query(f"""WITH {SERIES} SELECT series_id, CAST(period AS INTEGER) AS period, t AS selected, round(c, 7) AS close_prob, CASE WHEN skip IS NULL THEN round(prob - c, 7) END AS edge, CASE WHEN skip IS NULL THEN round(2 * c - 1, 7) END AS clv,
+@query(f"""WITH {SERIES} SELECT series_id, CAST(period AS INTEGER) AS period, t AS selected, round(c, 7) AS close_prob, CASE WHEN skip IS NULL THEN round(prob - c, 7) END AS edge, CASE WHEN skip IS NULL THEN round(2 * c - 1, 7) + 0e0 END AS clv,
   CASE WHEN skip IS NULL THEN round((prob - outcome) * (prob - outcome), 7) END AS brier, outcome, skip AS reason FROM sk""")
 def clv_series(spark, sf_dir):
     m, found, preds = _series(spark, sf_dir)
@@ -472,7 +472,7 @@ def clv_series(spark, sf_dir):
 
 
 @query(f"""WITH {SERIES} SELECT series_id, CAST(period AS INTEGER) AS period, t AS selected, status, outcome, CASE WHEN status = 'settled' THEN CASE WHEN outcome = 1 THEN 1e1 ELSE -1e1 END END AS pnl,
-  CASE WHEN team IS NOT NULL THEN round(2 * c - 1, 7) END AS clv, CASE WHEN team IS NULL THEN 'unresolved selection' WHEN status <> 'settled' THEN why END AS reason FROM sk""")
+  CASE WHEN team IS NOT NULL THEN round(2 * c - 1, 7) + 0e0 END AS clv, CASE WHEN team IS NULL THEN 'unresolved selection' WHEN status <> 'settled' THEN why END AS reason FROM sk""")
 def settle_series(spark, sf_dir):
     m, found, preds = _series(spark, sf_dir)
     out = closing.settle(preds, found, m)
@@ -601,9 +601,26 @@ def _drafts(spark, sf_dir):
     return maps(spark, sf_dir).select("match_id", side(0).alias("heroes_a"), side(1).alias("heroes_b"), (k % 2 == 0).alias("first_a")).where("size(array_distinct(concat(heroes_a, heroes_b))) = 10")
 
 
-@query()
+FEATURES = f"""WITH {MAPS}, g AS (SELECT *, power(2e0, (start_time - (SELECT min(start_time) FROM maps)) / CAST({HALF_LIFE} AS DOUBLE)) AS g FROM maps),
+h AS (SELECT match_id, start_time, g, s, CASE WHEN s = 0 THEN a ELSE b END AS team, CASE WHEN s = 0 THEN win ELSE 1 - win END AS won, (match_id * 7 + i * 11 + s * 61) % 127 AS hero FROM g, (SELECT unnest(range(0, 5)) AS i), (SELECT unnest([0, 1]) AS s)),
+r AS (SELECT *, (coalesce(sum(won * g) OVER w, 0) / g + 10) / (coalesce(sum(g) OVER w, 0) / g + 20) - 5e-1 AS rate, (coalesce(sum(won * g) OVER t, 0) / g + 5) / (coalesce(sum(g) OVER t, 0) / g + 10) - 5e-1 AS trate FROM h
+  WINDOW w AS (PARTITION BY hero ORDER BY start_time, match_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), t AS (PARTITION BY team, hero ORDER BY start_time, match_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+hd AS (SELECT match_id, sum(CASE s WHEN 0 THEN rate ELSE -rate END) AS hero_diff, sum(CASE s WHEN 0 THEN trate ELSE -trate END) AS team_hero_diff FROM r GROUP BY match_id),
+pr AS (SELECT x.match_id, x.start_time, x.g, x.s, x.won, x.hero AS lo, y.hero AS hi, (x.rate + y.rate) / 2 AS base FROM r x JOIN r y ON x.match_id = y.match_id AND x.s = y.s AND x.hero < y.hero),
+cr AS (SELECT x.match_id, x.start_time, x.g, CASE WHEN x.hero < y.hero THEN 1 ELSE -1 END AS sg, CASE WHEN x.hero < y.hero THEN x.won ELSE 1 - x.won END AS won, least(x.hero, y.hero) AS lo, greatest(x.hero, y.hero) AS hi,
+  CASE WHEN x.hero < y.hero THEN x.rate - y.rate ELSE y.rate - x.rate END AS base FROM r x JOIN r y ON x.match_id = y.match_id AND x.s = 0 AND y.s = 1),
+pw AS (SELECT match_id, CASE s WHEN 0 THEN 1 ELSE -1 END AS sg, base, coalesce(sum(won * g) OVER w, 0) / g AS wins, coalesce(sum(g) OVER w, 0) / g AS total FROM pr WINDOW w AS (PARTITION BY lo, hi ORDER BY start_time, match_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+cw AS (SELECT match_id, sg, base, coalesce(sum(won * g) OVER w, 0) / g AS wins, coalesce(sum(g) OVER w, 0) / g AS total FROM cr WINDOW w AS (PARTITION BY lo, hi ORDER BY start_time, match_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+sy AS (SELECT match_id, sum(sg * ((wins + 50) / (total + 100) - 5e-1 - total / (total + 100) * base)) AS synergy_diff FROM pw GROUP BY match_id),
+co AS (SELECT match_id, sum(sg * ((wins + 50) / (total + 100) - 5e-1 - total / (total + 100) * base)) AS counter_sum FROM cw GROUP BY match_id),
+gm AS (SELECT match_id, min(n) AS n FROM (SELECT match_id, count(*) OVER (PARTITION BY team ORDER BY start_time, match_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS n FROM (SELECT match_id, start_time, a AS team FROM maps UNION ALL SELECT match_id, start_time, b FROM maps)) GROUP BY match_id)"""
+
+
+@query(FEATURES + """ SELECT match_id, round(hero_diff, 6) + 0e0 AS hero_diff, round(team_hero_diff, 6) + 0e0 AS team_hero_diff, round(synergy_diff, 6) + 0e0 AS synergy_diff, round(counter_sum, 6) + 0e0 AS counter_sum,
+  CASE WHEN match_id % 2 = 0 THEN 1e0 ELSE -1e0 END AS first_action, CASE WHEN n >= 5 THEN 1e0 ELSE 0e0 END AS both_warm FROM hd JOIN sy USING (match_id) JOIN co USING (match_id) JOIN gm USING (match_id)""")
 def draft_features(spark, sf_dir):
-    return drafts.draft_features(rollups.running_games(maps(spark, sf_dir), ["start_time", "match_id"]), _drafts(spark, sf_dir))
+    out = drafts.draft_features(rollups.running_games(maps(spark, sf_dir), ["start_time", "match_id"]), _drafts(spark, sf_dir))
+    return out.select("match_id", *[(_r(c, 6) + 0.0).alias(c) for c in ("hero_diff", "team_hero_diff", "synergy_diff", "counter_sum")], "first_action", "both_warm")
 
 
 @query()

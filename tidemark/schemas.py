@@ -35,7 +35,7 @@ KEYS = {
 }
 TABLES = {
     "matches": MATCHES, "draft_events": DRAFT_EVENTS, "match_players": MATCH_PLAYERS, "match_timeseries": MATCH_TIMESERIES, "teams": TEAMS,
-    "rosters": ROSTERS, "odds_snapshots": ODDS_SNAPSHOTS, "event_series_map": EVENT_SERIES_MAP,
+    "rosters": ROSTERS, "odds_snapshots": ODDS_SNAPSHOTS, "odds_latest": ODDS_SNAPSHOTS, "event_series_map": EVENT_SERIES_MAP,
 }
 #: Columns whose change makes a new row of a line's history.
 TRACKED = ["price_american", "points", "limit_amount", "status", "is_live", "cutoff_at"]

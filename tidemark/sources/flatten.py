@@ -111,6 +111,11 @@ def known_only(rows: DataFrame, known: DataFrame, on: str = "match_id") -> tuple
     return rows.dropDuplicates().join(known, on, "left_semi"), rows.join(known, on, "left_anti").agg(F.count("*").alias("skipped"))
 
 
+def patch_ids(constants: DataFrame) -> DataFrame:
+    """(patch, patch_id): the ids of patch names of entries (id, name)."""
+    return constants.select(F.col("name").alias("patch"), F.col("id").cast("int").alias("patch_id")).dropna().dropDuplicates(["patch"])
+
+
 def patch_timeline(constants: DataFrame) -> DataFrame:
     """(released_at, patch_id) of entries (id, date) with both, in order of release; unreadable dates drop out."""
     return constants.select(F.unix_seconds(F.col("date").try_cast("timestamp")).alias("released_at"), F.col("id").cast("int").alias("patch_id")).dropna().orderBy("released_at", "patch_id")

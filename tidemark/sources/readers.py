@@ -16,19 +16,21 @@ from ..schemas import PREDICTIONS, TABLES
 
 
 def table(spark: SparkSession, root: str, name: str) -> DataFrame:
-    """A stored table with its declared schema; a missing one is empty."""
-    try:
-        return spark.read.schema(TABLES[name]).parquet(f"{root}/{name}")
-    except AnalysisException as e:
-        if e.getCondition() != "PATH_NOT_FOUND":
-            raise
-        return spark.createDataFrame([], TABLES[name])
+    """A stored table with its declared schema; a missing one is empty. One whose replacement was cut short is read from
+    where it was put aside."""
+    for path in (f"{root}/{name}", f"{root}/{name}.old"):
+        try:
+            return spark.read.schema(TABLES[name]).parquet(path)
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":
+                raise
+    return spark.createDataFrame([], TABLES[name])
 
 
-def json_documents(spark: SparkSession, path: str, schema: str, whole_file: bool = True) -> DataFrame:
+def json_documents(spark: SparkSession, path: str, schema: str, whole_file: bool = True, **options) -> DataFrame:
     """Landed payloads (gzip is transparent); a missing path is empty, as a 404 is for some sources."""
     try:
-        return spark.read.schema(schema).option("multiLine", whole_file).json(path)
+        return spark.read.schema(schema).options(**options).option("multiLine", whole_file).json(path)
     except AnalysisException as e:
         if e.getCondition() != "PATH_NOT_FOUND":
             raise
@@ -36,12 +38,17 @@ def json_documents(spark: SparkSession, path: str, schema: str, whole_file: bool
 
 
 def parent_links(spark: SparkSession, root: str, source: str) -> DataFrame:
-    """(event_id, parent_event_id) of an archive of payloads: of each child the link in the last file by name.
-    Unreadable files are skipped."""
-    schema = "matchups array<struct<id: long, parentId: long>>"
-    raw = spark.read.schema(schema).option("multiLine", True).option("ignoreCorruptFiles", True).option("recursiveFileLookup", True).json(f"{root}/{source}")
-    rows = raw.select(F.input_file_name().alias("file"), F.explode("matchups").alias("m")).where("m.parentId IS NOT NULL")
-    return rows.groupBy(F.col("m.id").cast("string").alias("event_id")).agg(F.max_by(F.col("m.parentId").cast("string"), "file").alias("parent_event_id"))
+    """(event_id, parent_event_id) of an archive of payloads: of each child the link in the payload captured last.
+
+    Reads what writers.archive writes (source=.../day=.../captured_at=...) and landed files (source/day/EPOCH.json.gz, one
+    document each). Unreadable files are skipped, a missing archive is empty.
+    """
+    links, found = "matchups array<struct<id: long, parentId: long>>", []
+    for folder, whole in ((f"{root}/source={source}", False), (f"{root}/{source}", True)):
+        raw = json_documents(spark, folder, links, whole, ignoreCorruptFiles=True, recursiveFileLookup=True)
+        at = F.regexp_extract(F.input_file_name(), "(?:captured_at=([0-9]+)|/([0-9]+)[.]json)", 0)
+        found.append(raw.select(F.regexp_replace(at, "[^0-9]", "").try_cast("long").alias("at"), F.explode("matchups").alias("m")).where("m.parentId IS NOT NULL"))
+    return found[0].union(found[1]).groupBy(F.col("m.id").cast("string").alias("event_id")).agg(F.max_by(F.col("m.parentId").cast("string"), F.struct("at", "m.parentId")).alias("parent_event_id"))
 
 
 def predictions(spark: SparkSession, path: str) -> DataFrame:
@@ -81,6 +88,28 @@ def heroes(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema("id int, name string, localized_name string").option("multiLine", True).json(path)
 
 
+#: Community short names of heroes, by normalised query.
+HERO_ALIASES = {
+    "aa": "Ancient Apparition", "alch": "Alchemist", "am": "Anti-Mage", "bara": "Spirit Breaker", "bat": "Batrider", "beast": "Beastmaster", "bh": "Bounty Hunter", "brew": "Brewmaster",
+    "bristle": "Bristleback", "brood": "Broodmother", "cent": "Centaur Warrunner", "centaur": "Centaur Warrunner", "ck": "Chaos Knight", "clock": "Clockwerk", "cm": "Crystal Maiden",
+    "cotl": "Keeper of the Light", "cw": "Clockwerk", "dark seer": "Dark Seer", "dawn": "Dawnbreaker", "dk": "Dragon Knight", "dp": "Death Prophet", "drow": "Drow Ranger", "ds": "Dark Seer",
+    "dw": "Dark Willow", "ench": "Enchantress", "es": "Earthshaker", "et": "Elder Titan", "furion": "Nature's Prophet", "fv": "Faceless Void", "grim": "Grimstroke", "gyro": "Gyrocopter",
+    "invo": "Invoker", "kaolin": "Earth Spirit", "kotl": "Keeper of the Light", "kunkka": "Kunkka", "lc": "Legion Commander", "leoric": "Wraith King", "ls": "Lifestealer", "mag": "Magnus",
+    "mk": "Monkey King", "naix": "Lifestealer", "necro": "Necrophos", "np": "Nature's Prophet", "od": "Outworld Destroyer", "omni": "Omniknight", "pa": "Phantom Assassin",
+    "pl": "Phantom Lancer", "potm": "Mirana", "qop": "Queen of Pain", "rhasta": "Shadow Shaman", "sb": "Spirit Breaker", "sd": "Shadow Demon", "sf": "Shadow Fiend", "shaker": "Earthshaker",
+    "sk": "Sand King", "sky": "Skywrath Mage", "snap": "Snapfire", "spec": "Spectre", "ss": "Shadow Shaman", "storm": "Storm Spirit", "ta": "Templar Assassin", "tb": "Terrorblade",
+    "timber": "Timbersaw", "tide": "Tidehunter", "tp": "Treant Protector", "treant": "Treant Protector", "troll": "Troll Warlord", "underlord": "Underlord", "venge": "Vengeful Spirit",
+    "veno": "Venomancer", "voker": "Invoker", "void": "Faceless Void", "wd": "Witch Doctor", "wind": "Windranger", "wisp": "Io", "wk": "Wraith King", "wr": "Windranger", "ww": "Winter Wyvern",
+    "willow": "Dark Willow", "zeus": "Zeus", "zuus": "Zeus",
+}
+
+
+def hero_aliases(heroes: DataFrame, aliases: dict[str, str] = HERO_ALIASES) -> DataFrame:
+    """(key, hero_id) of the short names whose hero is known."""
+    named = heroes.sparkSession.createDataFrame(list(aliases.items()), "key string, localized_name string")
+    return named.join(heroes.select("localized_name", F.col("id").alias("hero_id")), "localized_name").select("key", "hero_id")
+
+
 def hero_lookup(heroes: DataFrame, extra: DataFrame | None = None, short_prefix: str = "^npc_[a-z0-9]+_hero_") -> DataFrame:
     """(key, hero_id): normalised localized, internal and short names; an alias (key, hero_id) only where free."""
     internal = F.col("name")
@@ -103,12 +132,23 @@ def resolve_heroes(df: DataFrame, query: str, heroes: DataFrame, lookup: DataFra
 
 #: What a bulk import asks of a remote PostgreSQL, by time slice [lo, hi).
 SLICE_QUERIES = {
-    "matches": "SELECT m.*, p.patch FROM matches m LEFT JOIN match_patch p USING (match_id) WHERE m.start_time >= {lo} AND m.start_time < {hi}",
+    "matches": (
+        "SELECT m.match_id, m.leagueid, m.series_id, m.series_type, m.start_time, m.duration, m.radiant_team_id, m.radiant_team_name AS radiant_name, m.dire_team_id, m.dire_team_name AS dire_name, "
+        "m.radiant_win, m.radiant_score, m.dire_score, p.patch{series} FROM matches m LEFT JOIN match_patch p USING (match_id) WHERE m.start_time >= {lo} AND m.start_time < {hi}"
+    ),
     "picks_bans": 'SELECT b.match_id, b.is_pick, b.hero_id, b.team, b.ord AS "order" FROM picks_bans b JOIN matches m USING (match_id) WHERE m.start_time >= {lo} AND m.start_time < {hi}',
     "player_matches": "SELECT q.match_id, q.player_slot, q.account_id, q.hero_id, q.kills, q.deaths, q.assists, q.gold_per_min, q.xp_per_min, q.lane_role FROM player_matches q JOIN matches m USING (match_id) WHERE m.start_time >= {lo} AND m.start_time < {hi}",
 }
 
 
+#: The minute arrays, asked for only where they are wanted.
+SERIES_COLUMNS = ", m.radiant_gold_adv, m.radiant_xp_adv"
+
+
+def slice_sql(table: str, lo: int, hi: int, with_timeseries: bool = False) -> str:
+    return SLICE_QUERIES[table].format(lo=lo, hi=hi, series=SERIES_COLUMNS if with_timeseries else "")
+
+
 def remote(spark: SparkSession, url: str, sql: str, **options) -> DataFrame:
     """A query that the remote database answers as a whole."""
     return spark.read.format("jdbc").options(url=url, query=sql, **options).load()

@@ -8,8 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir; a local folder only where that is unset, as in tests."""
-    return (spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/checkpoints").rstrip("/")
+    """spark.checkpoint.dir. Where that is unset, a local folder on one machine, as in tests; on a cluster an error, as
+    tables written there would be lost."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    return (found or "file:///tmp/checkpoints").rstrip("/")
 
 
 def materialize(df: DataFrame, tag: str) -> DataFrame:

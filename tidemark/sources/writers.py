@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import day_of
@@ -51,9 +51,10 @@ def with_ids(rows: DataFrame, after: int, order: list[str]) -> DataFrame:
 
 
 def archive(payloads: DataFrame, root: str) -> None:
-    """Raw payloads (source, captured_at, payload) as gzip text under source and UTC day."""
-    rows = payloads.select("source", day_of(F.col("captured_at")).alias("day"), F.col("captured_at"), F.col("payload").alias("value"))
-    rows.drop("captured_at").write.mode("append").partitionBy("source", "day").option("compression", "gzip").text(root)
+    """Raw JSON payloads (source, captured_at, payload) as gzip text under source, UTC day and time, one to a line, for
+    readers.parent_links. Line ends between the tokens of a payload become spaces."""
+    rows = payloads.select("source", day_of(F.col("captured_at")).alias("day"), "captured_at", F.regexp_replace("payload", "[\r\n]+", " ").alias("value"))
+    rows.write.mode("append").partitionBy("source", "day", "captured_at").option("compression", "gzip").text(root)
 
 
 def should_archive(written: int, last_archived: int | None, now: int, heartbeat_s: int = 3600) -> bool:
@@ -80,6 +81,11 @@ def odds_view(snapshots: DataFrame, event_map: DataFrame, name: str = "v_odds_se
     return out
 
 
+def sorted_json(*columns: str) -> Column:
+    """The columns as one JSON object with its keys in order, nulls left out."""
+    return F.to_json(F.struct(*sorted(columns)))
+
+
 def markdown(rows: DataFrame) -> str:
     """A small report as a table; null is -."""
     show = lambda v: "-" if v is None else f"{v:.4g}" if isinstance(v, float) else str(v)

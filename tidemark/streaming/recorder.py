@@ -9,7 +9,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..operators.history import append_changes, tombstones
+from ..operators.history import append_changes, latest, tombstones
+from ..sources.shared import materialize
+from ..sources.writers import with_ids
 
 
 def stream_changes(stream: DataFrame, keys: list[str], order: list[str], tracked: list[str]) -> DataFrame:
@@ -41,12 +43,15 @@ class Recorder:
     """foreachBatch sink that stores each poll: changed quotes first, then tombstones of lines that it no longer sees.
 
     read and write give and append the stored table. A batch is one or more whole successful polls (source,
-    captured_at), taken in order; a failed poll makes no rows and so no tombstones. replay-safe: a batch number that
-    was stored is skipped, as polls not after the newest stored capture of their source are.
+    captured_at), taken in order; a failed poll makes no rows and so no tombstones. A batch that comes again is safe:
+    polls not after the newest stored capture of their source are skipped.
+
+    With keep, a function that replaces the table of each line's last row, read need only give that table: a poll then
+    costs as much as there are lines, not as there is history. New rows are numbered on from the largest id.
     """
 
-    def __init__(self, read: Callable[[], DataFrame], write: Callable[[DataFrame], None], keys: list[str], tracked: list[str], cleared: list[str], order: list[str]):
-        self.read, self.write, self.keys, self.tracked, self.cleared, self.order = read, write, keys, tracked, cleared, order
+    def __init__(self, read: Callable[[], DataFrame], write: Callable[[DataFrame], None], keys: list[str], tracked: list[str], cleared: list[str], order: list[str], keep: Callable[[DataFrame], None] | None = None):
+        self.read, self.write, self.keys, self.tracked, self.cleared, self.order, self.keep = read, write, keys, tracked, cleared, order, keep
 
     def __call__(self, batch: DataFrame, epoch: int) -> None:
         polls = batch.select("source", "captured_at").distinct().orderBy("captured_at", "source").collect()
@@ -55,10 +60,17 @@ class Recorder:
             if newest.get(p.source) is not None and p.captured_at <= newest[p.source]:
                 continue
             seen = batch.where((F.col("source") == p.source) & (F.col("captured_at") == p.captured_at))
-            stored = self.read().where(F.col("source") == p.source)
+            table = self.read()
+            stored = table.where(F.col("source") == p.source)
             written, _ = append_changes(stored, seen, self.keys, self.tracked, self.order)
             gone = tombstones(stored, seen, self.keys, self.order, F.lit(p.captured_at).cast(stored.schema["captured_at"].dataType), self.cleared)
-            self.write(written.select(*stored.columns).union(gone))
+            new = materialize(written.select(*stored.columns).union(gone), "poll")
+            if "id" in new.columns:
+                most = table.agg(F.max("id")).first()[0] or 0
+                new = materialize(with_ids(new.drop("id"), most, ["source", "line_key"]).select(*stored.columns), "poll-rows")
+            self.write(new)
+            if self.keep is not None:
+                self.keep(latest(table.unionByName(new), self.keys, self.order))
 
 
 def run(stream: DataFrame, recorder: Recorder, checkpoint: str, interval_s: int | None = None):
