@@ -143,3 +143,29 @@ def scan(docs: DataFrame, templates=TEMPLATES, threshold: float = 0.8, across_li
 
 def op5_license_scan(spark, sf_dir: str) -> DataFrame:
     return scan(table(spark, sf_dir, "documents").select("doc_id", "text"), across_lines=True)
+
+
+def _sql(templates=TEMPLATES, threshold: float = 0.8) -> str:
+    """The scan of op5_license_scan in DuckDB's SQL: every line and every run of words with every template, unfiltered but
+    for texts that don't hold enough of its words at all."""
+    listed = lambda ws: "[" + ", ".join(f"'{w}'" for w in ws) + "]"
+    words = f"'[^{SEPARATOR}]+'"
+    known = ", ".join(f"('{label}', {listed(dict.fromkeys(words_of(text)))}, {-int(-threshold * len(set(words_of(text))) // 1)}, {-int(-len(words_of(text)) / threshold // 1)})" for label, text in templates)
+    phrases = ", ".join(f"('{label}', {listed(p.split())})" for p, label in PHRASES.items())
+    return f"""
+WITH tpl(label, x, need, longest) AS (VALUES {known}), ph(label, p) AS (VALUES {phrases}),
+dw AS (SELECT row_number() OVER () AS r, doc_id, t, regexp_extract_all(t, {words}) AS w
+  FROM (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents)),
+pl AS (SELECT r, label, i - 1 AS place FROM (SELECT r, w, unnest(range(1, len(w) + 1)) AS i FROM dw), ph WHERE w[i] = p[1] AND list_slice(w, i, i + len(p) - 1) = p),
+ba AS (SELECT r, count(*) AS n_base, min(place) AS first_word, max(place) AS last_word, list(DISTINCT label) AS base FROM pl GROUP BY r),
+ca AS (SELECT r, t, w, label, x, need, longest FROM dw, tpl WHERE len(list_intersect(list_distinct(w), x)) >= need),
+bl AS (SELECT r, label, x, need, regexp_extract_all(l, {words}) AS b FROM (SELECT r, label, x, need, unnest(string_split(t, chr(10))) AS l FROM ca)
+  UNION ALL SELECT r, label, x, need, list_slice(w, i, i + longest - 1) FROM (SELECT *, unnest(range(1, len(w) + 1)) AS i FROM ca)),
+mt AS (SELECT r, list(DISTINCT label) AS found, max(k / m) AS share FROM (SELECT r, label, need, len(list_intersect(list_distinct(b), x)) AS k, len(x) AS m FROM bl) WHERE k >= need GROUP BY r)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_base, 0) AS BIGINT) AS n_base, CAST(first_word AS BIGINT) AS first_word, CAST(last_word AS BIGINT) AS last_word,
+  coalesce(array_to_string(list_sort(base), ','), '') AS base_labels, coalesce(array_to_string(list_sort(list_distinct(list_concat(base, found))), ','), '') AS labels,
+  CASE WHEN base IS NOT NULL THEN 1e0 ELSE coalesce(share, 0e0) END AS score
+FROM dw LEFT JOIN ba USING (r) LEFT JOIN mt USING (r)"""
+
+
+OP5_SQL = _sql()

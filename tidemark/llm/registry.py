@@ -17,5 +17,6 @@ QUERIES = {
     "op10_token_files": token_files.op10_token_files,
 }
 ORACLES = {
+    "op5_license_scan": license_scan.OP5_SQL,
     "op7_line_dedup": line_dedup.OP7_SQL,
 }
