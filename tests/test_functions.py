@@ -75,7 +75,7 @@ def test_kelly_at_odds_of_one(spark):
     assert got[:3] == [0.0, 0.0, 50.0]
 
 
-def test_shin_book_is_closed_for_two_and_bisected_for_more(spark):
+def test_shin_book_shares_one_bisection(spark):
     df = spark.createDataFrame([([1.5, 2.5],), ([2.1, 2.1],), ([2.5, 3.2, 3.4],)], "o array<double>")
     for r in df.select("o", fn.shin_book(F.col("o")).alias("b"), fn.shin_z(F.col("o")).alias("z"), fn.devig_shin(F.col("o")).alias("p")).collect():
         assert r.b.probs == pytest.approx(r.p, abs=1e-6) and (r.b.z is None) == (r.z is None) and (r.z is None or r.b.z == pytest.approx(r.z, abs=1e-6))

@@ -72,12 +72,10 @@ def shin_two_way(a: Column, b: Column) -> tuple[Column, Column, Column]:
 
 
 def shin_book(odds: Column) -> Column:
-    """Struct (z, probs) of a book: in closed form if it is two-way, else by one bisection that both share."""
-    z, a, b = shin_two_way(F.get(odds, F.lit(0)), F.get(odds, F.lit(1)))
+    """Struct (z, probs) of a book, by one bisection that both share."""
     fair = lambda q: _let(_sum(q), lambda t: F.transform(q, lambda x: x / t))
     with_z = lambda z: F.when(z.isNull(), devig_proportional(odds)).otherwise(_let(implied(odds), lambda p: _let(_sum(p), lambda s: fair(_shin_probs(p, s, z)))))
-    many = _let(shin_z(odds), lambda z: F.struct(z.alias("z"), with_z(z).alias("probs")))
-    return F.when(F.size(odds) == 2, F.struct(z.alias("z"), F.array(a, b).alias("probs"))).otherwise(many)
+    return _let(shin_z(odds), lambda z: F.struct(z.alias("z"), with_z(z).alias("probs")))
 
 
 def edge(prob: Column, close: Column) -> Column:
