@@ -424,7 +424,7 @@ def _series(spark, sf_dir):
     played = rollups.numbered(m.where("series_id > 0"), ["series_id"], ["start_time", "match_id"]).join(books(spark, sf_dir), "match_id")
     first = played.where("period = 1").drop("period")
     quoted = played.unionByName(first.withColumn("period", F.lit(0)))
-    name = lambda t: F.concat(F.lit("Team "), t.cast("string"))
+    name = lambda t: F.concat(F.lit("Team "), F.lpad(t.cast("string"), 2, "0"))
     side = lambda n, c: F.struct(name(F.col(n)).alias("selection"), F.col(c).alias("price_decimal"))
     late = F.array(F.struct(F.lit(-60).alias("d"), F.lit(1.0).alias("f")), F.struct(F.lit(-600).alias("d"), F.lit(1.5).alias("f")), F.struct(F.lit(60).alias("d"), F.lit(2.0).alias("f")))
     q = quoted.select("series_id", "period", "start_time", F.explode(F.array(side("radiant_team_id", "odds_a"), side("dire_team_id", "odds_b"))).alias("x")).select("series_id", "period", "start_time", "x.*", F.explode(late).alias("l"))
@@ -441,7 +441,7 @@ def _series(spark, sf_dir):
     own = played.select("series_id", "period", F.explode(F.array("radiant_team_id", "dire_team_id")).alias("t"))
     away = played.join(known.select("series_id", "b"), "series_id").where("b <> dire_team_id").select("series_id", "period", F.col("b").alias("t"))
     p = ends.union(own).union(away)
-    preds = p.select("series_id", "period", F.concat(F.lit("team  "), F.col("t").cast("string")).alias("selection"), F.nullif("t", F.lit(0)).alias("team"), F.round(1 / (1 + F.exp(-((k * 7 + F.col("period") * 3 + F.col("t")) % 41 - 20) / 8)), 9).alias("prob"), F.lit(2.0).alias("price_taken"), F.lit(10.0).alias("stake"))
+    preds = p.select("series_id", "period", F.concat(F.lit("team  "), F.lpad(F.col("t").cast("string"), 2, "0")).alias("selection"), F.nullif("t", F.lit(0)).alias("team"), F.round(1 / (1 + F.exp(-((k * 7 + F.col("period") * 3 + F.col("t")) % 41 - 20) / 8)), 9).alias("prob"), F.lit(2.0).alias("price_taken"), F.lit(10.0).alias("stake"))
     return m, closing.closing_lines(snaps, bounds), preds
 
 
