@@ -70,3 +70,26 @@ def ascii_lower(c: Column) -> Column:
 def let(value: Column, body) -> Column:
     """body(value) with value computed once: lambda variables are bound, not inlined as Catalyst may do with projections."""
     return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def long_array(values) -> Column:
+    """A literal array of longs; one string is parsed once, when the plan is optimised."""
+    return F.split(F.lit(",".join(map(str, values))), ",").cast("array<bigint>")
+
+
+def numbered(df: DataFrame, tag: str, name: str = "number", order: tuple = ()) -> tuple[DataFrame, int]:
+    """df, written, with a dense number from 0 (in the given order, if there is one), and the number of rows.
+
+    An order is a range-partitioned sort, so that no key's rows need fit one task. The written rows hold their place
+    inside their part; the driver sees a count for each part alone.
+    """
+    placed = df.orderBy(*order) if order else df
+    rows = materialize(placed.withColumn("__at", F.monotonically_increasing_id()), tag)
+    part = F.shiftright("__at", 33)
+    counts = {r[0]: r[1] for r in rows.groupBy(part.alias("p")).count().collect()}
+    before, total = [], 0
+    for p in range(max(counts, default=-1) + 1):
+        before.append(total)
+        total += counts.get(p, 0)
+    number = F.get(long_array(before), part.cast("int")) + F.col("__at").bitwiseAND((1 << 33) - 1) if before else F.lit(None).cast("long")
+    return rows.withColumn(name, number).drop("__at"), total

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe_monoid, decontaminate, license_scan, line_dedup, near_dup, quality_gam, quality_rules, token_counts, token_files, url_filter
+from . import bpe_monoid, decontaminate, importance, license_scan, line_dedup, near_dup, prefix_trie, quality_gam, quality_rules, token_counts, token_files, url_filter
 
 QUERIES = {
     "op1_quality_rules": quality_rules.op1_quality_rules,
@@ -15,8 +15,12 @@ QUERIES = {
     "op8_token_counts": token_counts.op8_token_counts,
     "op9_quality_gam": quality_gam.op9_quality_gam,
     "op10_token_files": token_files.op10_token_files,
+    "op11_prefix_trie": prefix_trie.op11_prefix_trie,
+    "op13_importance_resampling": importance.op13_importance_resampling,
 }
 ORACLES = {
     "op5_license_scan": license_scan.OP5_SQL,
     "op7_line_dedup": line_dedup.OP7_SQL,
+    "op11_prefix_trie": prefix_trie.OP11_SQL,
+    "op13_importance_resampling": importance.OP13_SQL,
 }
