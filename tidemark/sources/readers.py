@@ -187,16 +187,16 @@ def pages(fetch: Callable[[int | None], list[dict]], most: int, before: int | No
         before = min(r[key] for r in rows)
 
 
-def with_retries(call: Callable[[], object], attempts: int = 7, base: float = 5.0, most: float = 300.0, sleep=time.sleep, wait_of: Callable[[Exception], float | None] = lambda e: None):
-    """call(), tried again after base 2^n seconds, at most `most`; what the error asks for (wait_of) counts instead."""
+def with_retries(call: Callable[[], object], attempts: int = 7, base: float = 5.0, most: float = 300.0, sleep=time.sleep, wait_of: Callable[[Exception], float | None] = lambda e: None, again: Callable[[Exception], bool] = lambda e: True):
+    """call(), tried again after base 2^n seconds, at most `most`, and not before what the error asks for (wait_of); an
+    error that again refuses is raised at once."""
     for n in range(attempts):
         try:
             return call()
         except Exception as e:
-            if n == attempts - 1:
+            if n == attempts - 1 or not again(e):
                 raise
-            asked = wait_of(e)
-            sleep(min(most, base * 2**n) if asked is None else asked)
+            sleep(max(min(most, base * 2**n), wait_of(e) or 0.0))
 
 
 class Sources:
