@@ -34,10 +34,16 @@ def latest(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     return df.groupBy(*keys).agg(row).select(*keys, *[F.col(f"__row.{c}").alias(c) for c in rest]).select(*df.columns)
 
 
+def of_source(prefix: str, source: str = "source") -> Column:
+    """Whether a source begins with prefix, in upper or lower case of A-Z alike."""
+    small = lambda c: F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    return F.startswith(small(F.col(source)), small(F.lit(prefix)))
+
+
 def open_lines(df: DataFrame, keys: list[str], order: list[str], status: str = "status", source_prefix: str = "") -> DataFrame:
     """Latest rows but tombstones; a null status is not one. A prefix takes the sources that begin with it, as those of
     an aggregator do that has one for each book."""
-    mine = df.where(F.startswith("source", F.lit(source_prefix))) if source_prefix else df
+    mine = df.where(of_source(source_prefix)) if source_prefix else df
     return latest(mine, keys, order).where(~F.col(status).eqNullSafe(GONE))
 
 

@@ -257,9 +257,10 @@ def stream_changes(spark, sf_dir):
     """line_changes as a stream over the files that are there, with keyed state; its result is the batch's."""
     import uuid
 
+    from ..sources.shared import shared_dir
     from ..streaming import recorder
 
-    root = f"{(spark.conf.get('spark.checkpoint.dir', None) or 'file:///tmp/checkpoints').rstrip('/')}/stream-{uuid.uuid4().hex}"
+    root = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
     rows = lines(spark, sf_dir).select("seq", "line_key", "t", "status")
     rows.write.parquet(f"{root}/in")
     found = recorder.stream_changes(spark.readStream.schema(rows.schema).parquet(f"{root}/in"), KEY, ORDER, ["status"])

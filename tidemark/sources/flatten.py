@@ -130,8 +130,9 @@ def line_key(*parts: Column) -> Column:
     return F.concat_ws("|", *[F.coalesce(p.cast("string"), F.lit("")) for p in parts])
 
 
-def two_endpoint_quotes(matchups: DataFrame, markets: DataFrame, source: str, league_filter: str = "") -> DataFrame:
-    """Quotes of a book with matchups (MATCHUPS) and straight markets (MARKETS), joined by id; orphans drop out.
+def two_endpoint_quotes(matchups: DataFrame, markets: DataFrame, source: str, league_filter: str = "", by: tuple[str, ...] = ()) -> DataFrame:
+    """Quotes of a book with matchups (MATCHUPS) and straight markets (MARKETS), joined by id; orphans drop out. Columns in
+    by, as the time of the poll, are joined on too and come last.
 
     A selection is its designation (home and away as team names), else the participant whose rank among the market's
     ids is that of the id; team totals carry their team. The limit is the first of type maxRiskStake.
@@ -139,10 +140,10 @@ def two_endpoint_quotes(matchups: DataFrame, markets: DataFrame, source: str, le
     picked = matchups if not league_filter else matchups.where(F.contains(F.lower(F.coalesce("league.name", F.lit(""))), F.lit(league_filter.lower())))
     named = lambda side: F.try_element_at(F.filter("participants", lambda p: p["alignment"] == side), F.lit(1))["name"]
     ordered = F.transform(F.array_sort(F.transform("participants", lambda p: F.struct(p["order"].alias("o"), p["name"].alias("n")))), lambda p: p["n"])
-    games = picked.select(F.col("id").alias("matchupId"), F.col("league.name").alias("league"), named("home").alias("home"), named("away").alias("away"), ordered.alias("ordered"), "startTime", "units", F.coalesce(flag(F.col("isLive")), F.lit(0)).alias("is_live"))
+    games = picked.select(*by, F.col("id").alias("matchupId"), F.col("league.name").alias("league"), named("home").alias("home"), named("away").alias("away"), ordered.alias("ordered"), "startTime", "units", F.coalesce(flag(F.col("isLive")), F.lit(0)).alias("is_live"))
     ids = F.array_sort(F.array_distinct(F.filter(F.transform("prices", lambda p: p["participantId"]), lambda x: x.isNotNull())))
     limit = F.try_element_at(F.filter("limits", lambda x: x["type"] == "maxRiskStake"), F.lit(1))["amount"]
-    rows = markets.join(games, "matchupId").withColumns({"ids": ids, "limit_amount": limit}).withColumn("p", F.explode("prices"))
+    rows = markets.join(games, [*by, "matchupId"]).withColumns({"ids": ids, "limit_amount": limit}).withColumn("p", F.explode("prices"))
     given = F.col("p.designation")
     ranked = F.coalesce(F.get("ordered", (F.array_position("ids", F.col("p.participantId")) - 1).cast("int")), F.col("p.participantId").cast("string"))
     plain = F.when(given == "home", or_else(F.col("home"), given)).when(given == "away", or_else(F.col("away"), given)).when(given.isNotNull(), given).otherwise(F.when(F.col("p.participantId").isNotNull(), ranked))
@@ -153,16 +154,16 @@ def two_endpoint_quotes(matchups: DataFrame, markets: DataFrame, source: str, le
         "price_decimal": american_to_decimal(F.col("price_american")),
         "line_key": line_key(F.col("event_id"), or_else(F.col("units"), F.lit("Regular")), F.col("market_type"), F.col("period"), F.col("selection"), _text(F.col("points"))),
     })
-    return out.select("source", "line_key", "event_id", "league", "home", "away", "start_time", "market_type", "period", "units", "selection", "points", "price_american", "price_decimal", "limit_amount", "is_live", "status", "cutoff_at")
+    return out.select("source", "line_key", "event_id", "league", "home", "away", "start_time", "market_type", "period", "units", "selection", "points", "price_american", "price_decimal", "limit_amount", "is_live", "status", "cutoff_at", *by)
 
 
-def many_book_quotes(events: DataFrame, source: str) -> DataFrame:
-    """Quotes of an aggregator (BOOKS): events x books x markets x outcomes. Status is unknown: null."""
+def many_book_quotes(events: DataFrame, source: str, by: tuple[str, ...] = ()) -> DataFrame:
+    """Quotes of an aggregator (BOOKS): events x books x markets x outcomes, with the columns in by. Status is unknown: null."""
     x = events.withColumn("b", F.explode("bookmakers")).withColumn("m", F.explode("b.markets")).withColumn("o", F.explode("m.outcomes"))
     x = x.withColumns({"source": F.concat_ws(":", F.lit(source), F.col("b.key")), "market_type": F.col("m.key"), "selection": F.col("o.name"), "points": F.col("o.point"), "price_decimal": F.col("o.price"), "period": F.lit(0)})
     none = lambda kind: F.lit(None).cast(kind)
     x = x.withColumns({"price_american": decimal_to_american(F.col("price_decimal")), "line_key": line_key(F.col("id"), F.col("b.key"), F.col("market_type"), F.col("period"), F.col("selection"), _text(F.col("points")))})
     return x.select(
         "source", "line_key", F.col("id").alias("event_id"), F.col("sport_title").alias("league"), F.col("home_team").alias("home"), F.col("away_team").alias("away"), F.col("commence_time").alias("start_time"), "market_type", "period",
-        none("string").alias("units"), "selection", "points", "price_american", "price_decimal", none("double").alias("limit_amount"), F.lit(0).alias("is_live"), none("string").alias("status"), none("string").alias("cutoff_at"),
+        none("string").alias("units"), "selection", "points", "price_american", "price_decimal", none("double").alias("limit_amount"), F.lit(0).alias("is_live"), none("string").alias("status"), none("string").alias("cutoff_at"), *by,
     )
