@@ -20,6 +20,9 @@ COLUMNS = {
     "op8_token_counts": "doc_id bigint, n_bytes bigint, n_tokens bigint, over_limit boolean",
     "op9_quality_gam": "doc_id bigint, held_out boolean, score double, predicted int",
     "op10_token_files": "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint",
+    "op11_prefix_trie": "conv_id bigint, depth bigint, parent_conv_id bigint, n_convs bigint, n_children bigint, n_leaves bigint, saved_tokens bigint, ends_sha256 string",
+    "op12_suffix_tree": "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double",
+    "op13_importance_resampling": "doc_id bigint, n_features bigint, weight bigint, score bigint, rank bigint",
 }
 
 
@@ -35,10 +38,12 @@ def sf_dir(spark, tmp_path_factory):
     spark.createDataFrame([(1, "one two three four five six seven")], "item_id long, text string").write.parquet(f"{root}/benchmark.parquet")
     urls = ["http://a.example.com/en/7", "http://b.net/de/1", None, "x", "http://c.info/"]
     spark.createDataFrame([(i, u, '<a href="http://b.net/">b</a>') for i, u in enumerate(urls)], "page_id long, url string, html string").write.parquet(f"{root}/pages.parquet")
+    turns = [(c, t, "user", f"turn {t} of {c % 2}") for c in range(7) for t in range(c % 4 + 1)]
+    spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").write.parquet(f"{root}/conversations.parquet")
     return root
 
 
-def test_all_ten_are_registered():
+def test_all_are_registered():
     assert sorted(registry.QUERIES) == sorted(COLUMNS)
 
 
@@ -49,6 +54,9 @@ def test_query(spark, sf_dir, name):
     assert df.dtypes[: len(want)] == want
     key, table = ("page_id", "pages") if name == "op2_url_filter" else ("doc_id", "documents")
     got = df.collect()
+    if name == "op11_prefix_trie":
+        assert [(r.n_convs, r.parent_conv_id) for r in got if r.depth == 0] == [(7, None)]
+        return
     ids = sorted(r[key] for r in spark.read.parquet(f"{sf_dir}/{table}.parquet").select(key).collect())
     assert sorted(r[key] for r in got) == ids
     by_id = {r[key]: r for r in got}

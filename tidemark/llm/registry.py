@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe_monoid, decontaminate, importance, license_scan, line_dedup, near_dup, prefix_trie, quality_gam, quality_rules, token_counts, token_files, url_filter
+from . import bpe_monoid, decontaminate, importance, license_scan, line_dedup, near_dup, prefix_trie, quality_gam, quality_rules, suffix_tree, token_counts, token_files, url_filter
 
 QUERIES = {
     "op1_quality_rules": quality_rules.op1_quality_rules,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_quality_gam": quality_gam.op9_quality_gam,
     "op10_token_files": token_files.op10_token_files,
     "op11_prefix_trie": prefix_trie.op11_prefix_trie,
+    "op12_suffix_tree": suffix_tree.op12_suffix_tree,
     "op13_importance_resampling": importance.op13_importance_resampling,
 }
 ORACLES = {
