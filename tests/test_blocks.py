@@ -1,0 +1,56 @@
+import random
+
+from pyspark.sql import functions as F
+
+from tidemark.operators import drafts
+from tidemark.operators.blocks import Blocks, blocks
+from tidemark.operators.links import merge_asof
+
+
+def test_blocks_part_rows_evenly_and_never_equal_times(spark):
+    df = spark.range(10000).select((F.col("id") * F.col("id")).alias("t"))
+    cuts = blocks(df, "t", 16)
+    sizes = [r["count"] for r in df.groupBy(cuts.of(F.col("t").cast("double")).alias("b")).count().collect()]
+    assert len(sizes) == 16 and max(sizes) < 2 * 10000 / 16
+    starts = {r.b: (r.low, r.s) for r in df.withColumn("b", cuts.of(F.col("t").cast("double"))).groupBy("b").agg(F.min("t").alias("low"), F.first(cuts.start(F.col("b"))).alias("s")).collect()}
+    assert all(low >= s for low, s in starts.values())
+    assert blocks(df.limit(0), "t") == Blocks(0.0, ()) and blocks(spark.range(5).select(F.lit(3).alias("t")), "t").bounds == ()
+    wide = blocks(spark.createDataFrame([(0,), (10,), (1000,)], "t int"), "t", 2, 100)
+    assert max(b - a for a, b in zip([0, *wide.bounds], [*wide.bounds, 1000], strict=True)) <= 100
+
+
+def rows_of(spark, n=4000):
+    """One key holds nine tenths of the rows; times repeat."""
+    rnd = random.Random(3)
+    return [(rnd.choice(["hot"] * 9 + ["a", "b", None]), rnd.randint(0, n // 2), i, rnd.random() < 0.5) for i in range(n)]
+
+
+def test_decayed_counts_of_a_hot_key(spark):
+    rows = [(k, t * 40.0, i, float(w)) for k, t, i, w in rows_of(spark)]
+    df = spark.createDataFrame(rows, "k string, t double, i int, won double")
+    halves = [50.0, 7000.0]
+    got = {r.i: r for r in drafts.decayed(df, ["k"], "t", ["t", "i"], "won", halves).collect()}
+    held = {}
+    for k, t, i, won in sorted(rows, key=lambda r: (r[1], r[2])):
+        for n, h in enumerate(halves):
+            was, wins, total = held.get((k, n), (t, 0.0, 0.0))
+            f = 2 ** (-(t - was) / h)
+            wins, total = wins * f, total * f
+            assert abs(got[i][f"wins_{n}"] - wins) < 1e-9 and abs(got[i][f"total_{n}"] - total) < 1e-9
+            held[(k, n)] = (t, wins + won, total + 1)
+    assert len(got) == len(rows)
+
+
+def test_asof_of_a_hot_key_in_balanced_tasks(spark):
+    rows = rows_of(spark)
+    right = spark.createDataFrame([(k, t, i) for k, t, i, _ in rows], "k string, at int, v int")
+    left = spark.createDataFrame([(k, t, i) for k, t, i, _ in rows_of(spark)[::3]] + [("new", 5, -1), ("hot", None, -2)], "k string, t int, i int")
+    for strict in (True, False):
+        out = merge_asof(left, right, ["k"], "t", "at", ["v", "at"], strict=strict, order=["v"])
+        got = {r.i: r.v for r in out.collect()}
+        for k, t, i in [tuple(r) for r in left.collect()]:
+            found = [(a, v) for kk, a, v, _ in rows if kk == k and t is not None and (a < t or not strict and a == t)]
+            assert got[i] == (max(found)[1] if found else None)
+    by_key = blocks(right, "at", 64)
+    sizes = sorted(r["count"] for r in right.where("k = 'hot'").groupBy(by_key.of(F.col("at").cast("double"))).count().collect())
+    assert len(sizes) > 50 and sizes[-1] <= 2 * sizes[len(sizes) // 2]

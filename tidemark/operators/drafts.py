@@ -1,7 +1,7 @@
 """Draft statistics as windows, and the combiner that learns from them online.
 
 A decayed count sum(win 2^(-(t - t_i) / h)) over earlier maps needs no fold: with g = 2^((t - t0) / h) it is a running
-sum of win g divided by the current g. Frames are ROWS over (time, match), so that maps of one time see each other in
+sum of win g divided by the current g, t0 being the beginning of the row's block of time. Frames are ROWS over (time, match), so that maps of one time see each other in
 order.
 """
 
@@ -15,6 +15,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import clamp, evidence_weight, logit, shrunk_rate
+from ..sources.shared import materialize
+from .blocks import Blocks, blocks, number_of
 
 
 @dataclass(frozen=True)
@@ -33,23 +35,43 @@ class DraftConfig:
         return self.half_life_days * 86400
 
 
-def decayed(df: DataFrame, keys: list[str], at: str, order: list[str], won: str, half_life: float, origin: float) -> DataFrame:
-    """df with wins and total: decayed counts of the rows before each row of its key.
+def decayed(df: DataFrame, keys: list[str], at: str, order: list[str], won: str, half_lives: list[float], cuts: Blocks | None = None) -> DataFrame:
+    """df with wins_0, total_0, wins_1, ...: for each half-life, decayed counts of the rows before each row of its key.
 
-    origin: the smallest time, from which exponents count. Histories of more than 1,000 half-lives overflow and are
-    refused by origin_of.
+    Time is cut into blocks, at most 500 half-lives wide: a block of a key is a window of its own, whose powers count
+    from its beginning, so that a key with most of the rows is many tasks and no history is too long. Each block gets
+    the decayed sums of the blocks before it, folded over one small array per key of one entry per block. df is read
+    twice, and a third time for its blocks where they aren't given (decay_blocks).
     """
-    g = F.pow(F.lit(2.0), (F.col(at) - origin) / half_life)
-    w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    before = lambda x: F.coalesce(F.sum(x).over(w), F.lit(0.0)) / g
-    return df.withColumns({"wins": before(F.col(won) * g), "total": before(g)})
-
-
-def origin_of(df: DataFrame, at: str, half_life: float) -> float:
-    lo, hi = df.agg(F.min(at), F.max(at)).first()
-    if lo is not None and (hi - lo) / half_life > 1000:
-        raise ValueError("the history spans more than 1,000 half-lives")
-    return float(lo or 0)
+    cuts, x = cuts or decay_blocks(df, at, half_lives), number_of(df, at)
+    rows, start = df.withColumn("__block", cuts.of(x)), cuts.start
+    power = lambda seconds, h: F.pow(F.lit(2.0), seconds / F.lit(float(h)))
+    grown = [power(x - start(F.col("__block")), h) for h in half_lives]
+    sums = F.array(*[F.sum(v) for g in grown for v in (F.col(won) * g, g)])
+    local = rows.groupBy(*keys, "__block").agg(sums.alias("sums"))
+    listed = local.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(F.col("__block").alias("block"), "sums"))).alias("blocks"))
+    ages = lambda seconds: [power(-seconds, h) for h in half_lives for _ in (0, 1)]
+
+    def fold(acc, b):
+        """acc: the sums as of the beginning of the block before, with that block's own; and what came before each block."""
+        faded = F.array(*[acc.sums[i] * a for i, a in enumerate(ages(start(b.block) - start(acc.block)))])
+        return F.struct(b.block.alias("block"), F.zip_with(faded, b.sums, lambda u, v: u + v).alias("sums"), F.concat(acc.before, F.array(F.struct(b.block.alias("block"), faded.alias("sums")))).alias("before"))
+
+    none = F.array(*[F.lit(0.0)] * (2 * len(half_lives)))
+    empty = F.struct(F.lit(0).alias("block"), none.alias("sums"), F.array().cast("array<struct<block:int,sums:array<double>>>").alias("before"))
+    came = listed.select(*keys, F.explode(F.aggregate("blocks", empty, fold, lambda acc: acc.before)).alias("x")).select(*[F.col(k).alias(f"__key_{i}") for i, k in enumerate(keys)], F.col("x.block").alias("__of"), F.col("x.sums").alias("__came"))
+    same = F.col("__block") == F.col("__of")
+    for i, k in enumerate(keys):
+        same = same & F.col(k).eqNullSafe(F.col(f"__key_{i}"))
+    w = Window.partitionBy(*keys, "__block").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    before = lambda v, i, g: (F.coalesce(F.sum(v).over(w), F.lit(0.0)) + F.col("__came")[i]) / g
+    counts = [(f"{name}_{i}", before(v, 2 * i + j, g)) for i, g in enumerate(grown) for j, (name, v) in enumerate((("wins", F.col(won) * g), ("total", g)))]
+    return rows.join(came, same, "left").withColumns(dict(counts)).select(*df.columns, *[c for c, _ in counts])
+
+
+def decay_blocks(df: DataFrame, at: str, half_lives: list[float], n: int = 64) -> Blocks:
+    """Blocks of times for decayed: as even as they can be with none over 500 half-lives wide."""
+    return blocks(df, at, n, 500 * min(half_lives))
 
 
 def net(k: float, wins: str = "wins", total: str = "total") -> Column:
@@ -78,42 +100,43 @@ def draft_features(maps: DataFrame, drafts: DataFrame, config: DraftConfig = Dra
 def feature_grid(maps: DataFrame, drafts: DataFrame, config: DraftConfig, half_lives_days: list[float], k_pairs: list[float]) -> DataFrame:
     """match_id and grid, the feature lists (FEATURES behind the anchor) of each half-life with each k_pair, in order.
 
-    Three shuffles by hero, pair and matchup whatever the size of the grid: each sorts once and sums for all half-lives,
-    and k_pair only enters into what is made of the sums. Drafts hold five and five heroes, so that pairs and matchups
-    are arrays of fixed places. Nothing is looked up from outside.
+    One decayed() by hero, team and hero, pair, and matchup, whatever the size of the grid: each sums for all half-lives
+    at once, and k_pair only enters into what is made of the sums. Nothing is looked up from outside.
     """
     order, halves = ["start_time", "match_id"], [d * 86400 for d in half_lives_days]
-    both = maps.join(drafts, "match_id")
-    t0 = origin_of(both, "start_time", min(halves))
+    both = materialize(maps.join(drafts, "match_id"), "drafted-maps")
+    cuts = decay_blocks(both, "start_time", halves)
     each = range(len(halves))
     rates = [f"rate_{i}" for i in each]
 
     def counted(df, keys, won):
-        for i in each:
-            df = decayed(df, keys, "start_time", order, won, halves[i], t0).withColumnsRenamed({"wins": f"wins_{i}", "total": f"total_{i}"})
-        return df
+        return decayed(df, keys, "start_time", order, won, halves, cuts)
 
     drafted = [F.struct(F.lit(s).alias("side"), F.col(s).alias("team"), F.get(f"heroes_{s}", F.lit(k)).alias("hero"), (F.col("win") if s == "a" else 1 - F.col("win")).cast("double").alias("won")) for s in "ab" for k in range(5)]
     heroes = both.select("match_id", "start_time", F.explode(F.array(*drafted)).alias("x")).select("match_id", "start_time", "x.*")
     rated = counted(heroes, ["hero"], "won").select("match_id", "start_time", "side", "team", "hero", "won", *[net(config.k_hero, f"wins_{i}", f"total_{i}").alias(rates[i]) for i in each])
-    rated = counted(rated, ["team", "hero"], "won")
+    rated = counted(materialize(rated, "rated-heroes"), ["team", "hero"], "won")
     pick = lambda s: F.array_sort(F.collect_list(F.when(F.col("side") == s, F.struct("hero", *rates)))).alias(s)
     sign = F.when(F.col("side") == "a", 1.0).otherwise(-1.0)
     match = rated.groupBy("match_id", "start_time").agg(
         pick("a"), pick("b"), F.max(F.when(F.col("side") == "a", F.col("won"))).alias("won"),
         *[F.sum(sign * F.col(rates[i])).alias(f"hero_{i}") for i in each], *[F.sum(sign * net(config.k_team_hero, f"wins_{i}", f"total_{i}")).alias(f"team_hero_{i}") for i in each],
     )
-    at = lambda s, k: F.get(s, F.lit(k))
-    pair = lambda s, i, j: F.struct(F.lit(s).alias("side"), at(s, i).hero.alias("low"), at(s, j).hero.alias("high"), *[(at(s, i)[r] + at(s, j)[r]).alias(r) for r in rates], (F.col("won") if s == "a" else 1 - F.col("won")).alias("won"))
-    pairs = match.select("match_id", "start_time", F.explode(F.array(*[pair(s, i, j) for s in "ab" for j in range(5) for i in range(j)])).alias("x")).select("match_id", "start_time", "x.*")
+    match = materialize(match, "rated-maps")
+    # exploded twice rather than listed, so that the code of a stage doesn't grow with the number of pairs
+    sides = F.explode(F.array(F.struct(F.lit("a").alias("side"), F.col("a").alias("picks"), F.col("won").alias("won")), F.struct(F.lit("b").alias("side"), F.col("b").alias("picks"), (1 - F.col("won")).alias("won")))).alias("s")
+    high = match.select("match_id", "start_time", sides).select("match_id", "start_time", "s.side", "s.won", "s.picks", F.posexplode("s.picks").alias("j", "y"))
+    low = high.select("match_id", "start_time", "side", "won", "y", F.explode(F.slice("picks", 1, F.col("j"))).alias("x"))
+    pairs = low.select("match_id", "start_time", "side", F.col("x.hero").alias("low"), F.col("y.hero").alias("high"), *[(F.col(f"x.{r}") + F.col(f"y.{r}")).alias(r) for r in rates], "won")
     excess = lambda i, k, expected: net(k, f"wins_{i}", f"total_{i}") - evidence_weight(F.col(f"total_{i}"), k) * expected
     synergy = counted(pairs, ["low", "high"], "won").groupBy("match_id").agg(F.array(*[F.sum(sign * excess(i, k, 0.5 * F.col(rates[i]))) for i in each for k in k_pairs]).alias("synergy"))
 
-    def versus(x, y):
-        first = x.hero < y.hero
-        return F.struct(F.least(x.hero, y.hero).alias("low"), F.greatest(x.hero, y.hero).alias("high"), F.when(first, 1.0).otherwise(-1.0).alias("sign"), *[F.when(first, x[r] - y[r]).otherwise(y[r] - x[r]).alias(r) for r in rates], F.when(first, F.col("won")).otherwise(1 - F.col("won")).alias("low_won"))
-
-    cross = match.select("match_id", "start_time", F.explode(F.array(*[versus(at("a", i), at("b", j)) for i in range(5) for j in range(5)])).alias("x")).select("match_id", "start_time", "x.*")
+    met = match.select("match_id", "start_time", "won", "b", F.explode("a").alias("x")).select("match_id", "start_time", "won", "x", F.explode("b").alias("y"))
+    first = F.col("x.hero") < F.col("y.hero")
+    cross = met.select(
+        "match_id", "start_time", F.least("x.hero", "y.hero").alias("low"), F.greatest("x.hero", "y.hero").alias("high"), F.when(first, 1.0).otherwise(-1.0).alias("sign"),
+        *[F.when(first, F.col(f"x.{r}") - F.col(f"y.{r}")).otherwise(F.col(f"y.{r}") - F.col(f"x.{r}")).alias(r) for r in rates], F.when(first, F.col("won")).otherwise(1 - F.col("won")).alias("low_won"),
+    )
     counter = counted(cross, ["low", "high"], "low_won").groupBy("match_id").agg(F.array(*[F.sum(F.col("sign") * excess(i, k, F.col(rates[i]))) for i in each for k in k_pairs]).alias("counter"))
     warm = (F.col("games_a") >= config.min_team_games) & (F.col("games_b") >= config.min_team_games)
     base = both.select("match_id", F.when(F.col("first_a"), 1.0).when(~F.col("first_a"), -1.0).otherwise(0.0).alias("first_action"), F.when(warm, 1.0).otherwise(0.0).alias("both_warm"))

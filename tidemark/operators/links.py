@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import norm_name, parse_ts, strip_kills
 from ..sources.shared import materialize
+from .blocks import blocks, number_of
 
 
 def last_before(bounds: DataFrame, rows: DataFrame, on: list[str], bound: str, at: str, per: list[str], order: list[str], value: list[str]) -> DataFrame:
@@ -29,19 +30,30 @@ def asof_previous(df: DataFrame, keys: list[str], order: list[str], value: Colum
     return df.withColumn(name, F.last(value, ignorenulls=True).over(w))
 
 
-def merge_asof(left: DataFrame, right: DataFrame, on: list[str], left_at: str, right_at: str, value: list[str], strict: bool = True, order: list[str] = ()) -> DataFrame:
+def merge_asof(left: DataFrame, right: DataFrame, on: list[str], left_at: str, right_at: str, value: list[str], strict: bool = True, order: list[str] = (), n_blocks: int = 64) -> DataFrame:
     """left with the values of the last row of right before (strict) or at its time, ties by order; null without one.
 
     Both sides are laid in one sorted stream by key and time and values carried forward: one shuffle and one sort,
-    however many rows of right precede a row of left, where an inequality join would form all pairs.
+    however many rows of right precede a row of left, where an inequality join would form all pairs. Streams are cut at
+    quantiles of right's times into n_blocks blocks, so that a key with most of the rows is as many tasks; each block of
+    a key begins with the last value of those before it, which one small row per key and block works out.
     """
+    cuts = blocks(right, right_at, n_blocks)
     row_type, value_type = left.select(F.struct(*left.columns).alias("x")).schema["x"].dataType, right.select(F.struct(*value).alias("x")).schema["x"].dataType
     ties = [F.col(c).alias(f"__tie{i}") for i, c in enumerate(order)]
     none = [F.lit(None).cast(right.schema[c].dataType).alias(f"__tie{i}") for i, c in enumerate(order)]
-    first = left.select(*on, F.col(left_at).alias("__t"), F.lit(0 if strict else 1).alias("__side"), F.struct(*left.columns).alias("__row"), F.lit(None).cast(value_type).alias("__v"), *none)
-    other = right.select(*on, F.col(right_at).alias("__t"), F.lit(1 if strict else 0).alias("__side"), F.lit(None).cast(row_type).alias("__row"), F.struct(*value).alias("__v"), *ties)
-    w = Window.partitionBy(*on).orderBy("__t", "__side", *[f"__tie{i}" for i in range(len(order))]).rowsBetween(Window.unboundedPreceding, 0)
-    out = first.union(other).withColumn("__last", F.last("__v", ignorenulls=True).over(w)).where(F.col("__row").isNotNull())
+    block = lambda df, at: cuts.of(number_of(df, at)).alias("__block")
+    first = left.select(*on, block(left, left_at), F.col(left_at).alias("__t"), F.lit(1 if strict else 2).alias("__side"), F.struct(*left.columns).alias("__row"), F.lit(None).cast(value_type).alias("__v"), *none)
+    other = right.select(*on, block(right, right_at), F.col(right_at).alias("__t"), F.lit(2 if strict else 1).alias("__side"), F.lit(None).cast(row_type).alias("__row"), F.struct(*value).alias("__v"), *ties)
+    # what each block of a key hands over: its last value; and what comes to each in which a row of left stands
+    last = F.max_by("__v", F.struct("__t", *[f"__tie{i}" for i in range(len(order))]))
+    held = other.groupBy(*on, "__block").agg(last.alias("__v")).select(*on, "__block", "__v", F.lit(False).alias("__asks"))
+    asked = first.select(*on, "__block").distinct().select(*on, "__block", F.lit(None).cast(value_type).alias("__v"), F.lit(True).alias("__asks"))
+    back = Window.partitionBy(*on).orderBy("__block").rangeBetween(Window.unboundedPreceding, -1)
+    came = held.union(asked).withColumn("__v", F.last("__v", ignorenulls=True).over(back)).where(F.col("__asks") & F.col("__v").isNotNull() & F.col("__block").isNotNull())
+    came = came.select(*on, "__block", F.lit(None).cast(right.schema[right_at].dataType).alias("__t"), F.lit(0).alias("__side"), F.lit(None).cast(row_type).alias("__row"), "__v", *none)
+    w = Window.partitionBy(*on, "__block").orderBy("__t", "__side", *[f"__tie{i}" for i in range(len(order))]).rowsBetween(Window.unboundedPreceding, 0)
+    out = first.union(other).union(came).withColumn("__last", F.last("__v", ignorenulls=True).over(w)).where(F.col("__row").isNotNull())
     return out.select("__row.*", *[F.col(f"__last.{c}").alias(c) for c in value])
 
 

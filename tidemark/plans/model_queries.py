@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .. import functions as fn
 from ..operators import closing, drafts, links, ratings, rollups, walkforward
+from ..sources.shared import materialize
 from ..sources import writers
 from . import views
 from .views import BOOKS, MAPS, PICKS, books, maps, picks, read
@@ -497,7 +498,8 @@ t0 AS (SELECT min(start_time) AS t0 FROM h), g AS (SELECT h.*, power(2e0, (start
 def _heroes(spark, sf_dir):
     m = maps(spark, sf_dir).select("match_id", "start_time", "a", "b", "win")
     h = picks(spark, sf_dir).where("is_pick = 1").join(m, "match_id")
-    return h.select("match_id", "hero", "side", "start_time", "a", "b", F.when(F.col("side") == 0, F.col("win")).otherwise(1 - F.col("win")).alias("won")).distinct()
+    h = h.select("match_id", "hero", "side", "start_time", "a", "b", F.when(F.col("side") == 0, F.col("win")).otherwise(1 - F.col("win")).alias("won")).distinct()
+    return materialize(h, "heroes")
 
 
 @query(f"""WITH {HEROES}, d AS (SELECT match_id, hero, side, coalesce(sum(won * g) OVER w, 0) / g AS wins, coalesce(sum(g) OVER w, 0) / g AS total FROM g
@@ -505,7 +507,7 @@ def _heroes(spark, sf_dir):
 SELECT match_id, hero, side, round(wins, 6) AS wins, round(total, 6) AS total, round((wins + 10) / (total + 20) - 5e-1, 6) AS rate FROM d""")
 def decayed_rates(spark, sf_dir):
     h = _heroes(spark, sf_dir)
-    d = drafts.decayed(h, ["hero"], "start_time", ["start_time", "match_id", "side"], "won", HALF_LIFE, drafts.origin_of(h, "start_time", HALF_LIFE))
+    d = drafts.decayed(h, ["hero"], "start_time", ["start_time", "match_id", "side"], "won", [HALF_LIFE], drafts.decay_blocks(h, "start_time", [HALF_LIFE])).withColumnsRenamed({"wins_0": "wins", "total_0": "total"})
     return d.select("match_id", "hero", "side", _r("wins", 6).alias("wins"), _r("total", 6).alias("total"), _r(drafts.net(20), 6).alias("rate"))
 
 
@@ -518,7 +520,7 @@ def pair_synergy(spark, sf_dir):
     side = h.groupBy("match_id", "side", "start_time", "won").agg(F.array_sort(F.collect_list("hero")).alias("hs"))
     pair = F.flatten(F.transform("hs", lambda x, i: F.transform(F.slice("hs", i + 2, F.size("hs")), lambda y: F.struct(x.alias("low"), y.alias("high")))))
     p = side.select("match_id", "side", "start_time", "won", F.explode(pair).alias("p")).select("match_id", "side", "start_time", "won", "p.*")
-    d = drafts.decayed(p, ["low", "high"], "start_time", ["start_time", "match_id", "side"], "won", HALF_LIFE, drafts.origin_of(h, "start_time", HALF_LIFE))
+    d = drafts.decayed(p, ["low", "high"], "start_time", ["start_time", "match_id", "side"], "won", [HALF_LIFE], drafts.decay_blocks(h, "start_time", [HALF_LIFE])).withColumnsRenamed({"wins_0": "wins", "total_0": "total"})
     return d.select("match_id", "side", "low", "high", _r(drafts.net(100), 6).alias("net"))
 
 
@@ -533,7 +535,7 @@ def matchup_edge(spark, sf_dir):
     both = h.groupBy("match_id", "start_time").agg(hs(0), hs(1))
     pair = F.flatten(F.transform("s0", lambda x: F.transform(F.filter("s1", lambda y: y.hero != x.hero), lambda y: F.struct(F.least(x.hero, y.hero).alias("low"), F.greatest(x.hero, y.hero).alias("high"), x.hero.alias("ha"), F.when(x.hero < y.hero, x.won).otherwise(1 - x.won).alias("low_won")))))
     p = both.select("match_id", "start_time", F.explode(pair).alias("p")).select("match_id", "start_time", "p.*")
-    d = drafts.decayed(p, ["low", "high"], "start_time", ["start_time", "match_id", "ha"], "low_won", HALF_LIFE, drafts.origin_of(h, "start_time", HALF_LIFE))
+    d = drafts.decayed(p, ["low", "high"], "start_time", ["start_time", "match_id", "ha"], "low_won", [HALF_LIFE], drafts.decay_blocks(h, "start_time", [HALF_LIFE])).withColumnsRenamed({"wins_0": "wins", "total_0": "total"})
     return d.select("match_id", "low", "high", "ha", (_r(F.when(F.col("ha") == F.col("low"), 1).otherwise(-1) * drafts.net(100), 6) + 0.0).alias("edge"))
 
 

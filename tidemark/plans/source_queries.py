@@ -200,6 +200,44 @@ def closes_of_events(spark, sf_dir):
     return closing.closing_lines(rows, bounds).select("series_id", "period", F.size("book").alias("sides"), F.round("overround", 9).alias("overround"), "captured_at")
 
 
+@query("""WITH o AS (SELECT o_orderkey AS k, 'Home ' || o_custkey AS home, 'Away ' || o_custkey AS away FROM orders),
+m AS (SELECT k, CASE WHEN k % 2 = 0 THEN home ELSE away END AS one, CASE WHEN k % 2 = 0 THEN away ELSE home END AS two, CASE WHEN k % 3 = 0 THEN home ELSE away END AS team FROM o),
+q AS (SELECT k, 'moneyline' AS market_type, one AS selection, CAST(NULL AS DOUBLE) AS points FROM m UNION ALL SELECT k, 'moneyline', two, NULL FROM m
+  UNION ALL SELECT k, 'moneyline', CAST(k * 10 + 9 AS VARCHAR), NULL FROM m WHERE k % 7 = 0
+  UNION ALL SELECT k, 'team_total', team || ':' || unnest(['over', 'under']), 5e-1 + k % 2 / 2e0 FROM m)
+SELECT CAST(k AS VARCHAR) AS event_id, market_type, selection, points,
+  k || '|Regular|' || market_type || '|1|' || selection || '|' || CASE WHEN points IS NULL THEN '' WHEN points = 1 THEN '1' ELSE '0.5' END AS line_key FROM q""")
+def team_total_lines(spark, sf_dir):
+    """Moneylines whose prices name participants by ids in falling order, some one too many; and totals of one team."""
+    o, k = read(spark, sf_dir, "orders"), F.col("o_orderkey")
+    none = lambda kind, n: F.lit(None).cast(kind).alias(n)
+    side = lambda n, first: F.struct(F.lit(n.lower()).alias("alignment"), F.concat(F.lit(n + " "), F.col("o_custkey")).alias("name"), F.when(k % 2 == first, 0).otherwise(1).alias("order"))
+    games = o.select(k.alias("id"), none("string", "startTime"), F.lit(False).alias("isLive"), none("long", "parentId"), none("string", "units"), F.lit(3).alias("bestOfX"), F.struct(F.lit("cup").alias("name")).alias("league"), F.array(side("Home", 0), side("Away", 1)).alias("participants"))
+    price = lambda d, i, points: F.struct(F.lit(d).cast("string").alias("designation"), i.cast("long").alias("participantId"), points.cast("double").alias("points"), F.lit(-110.0).alias("price"))
+    nobody, nothing = F.lit(None), F.lit(None)
+    named = F.array(price(None, k * 10 + 5, nothing), price(None, k * 10 + 2, nothing))
+    more = F.when(k % 7 == 0, F.concat(named, F.array(price(None, k * 10 + 9, nothing)))).otherwise(named)
+    total = 0.5 + (k % 2) / 2
+    market = lambda kind, of, prices: F.struct(F.lit(kind).alias("type"), of.alias("side"), prices.alias("prices"))
+    both = F.array(market("moneyline", F.lit(None).cast("string"), more), market("team_total", F.when(k % 3 == 0, "home").otherwise("away"), F.array(price("over", nobody, total), price("under", nobody, total))))
+    markets = o.select(k.alias("matchupId"), F.lit(1).alias("period"), F.explode(both).alias("m"), F.lit("open").alias("status"), none("string", "cutoffAt"), F.lit("m").alias("key"), F.array().cast("array<struct<amount: double, type: string>>").alias("limits"))
+    markets = markets.select("matchupId", "period", "m.type", "status", "cutoffAt", "key", "m.side", "limits", "m.prices")
+    return flatten.two_endpoint_quotes(games, markets, "book").select("event_id", "market_type", "selection", "points", "line_key")
+
+
+@query(f"""WITH {QUOTED}, p AS (SELECT *, id % 3 / 2e0 AS points FROM q), b AS (SELECT c_custkey, CAST(c_custkey AS VARCHAR) AS event_id, CAST(p AS INTEGER) AS period, 880000000 + c_custkey % 1000 * 10000 AS bound FROM customer, (SELECT unnest([0, 1]) AS p)),
+x AS (SELECT b.*, selection, points, price, captured_at, id FROM b JOIN p USING (event_id, period) WHERE status = 'open' AND is_live = 0 AND captured_at < bound QUALIFY row_number() OVER (PARTITION BY event_id, period, selection, points ORDER BY captured_at DESC, id DESC) = 1),
+k AS (SELECT c_custkey, period, points, count(*) AS sides, sum(1 / price) - 1 AS overround, max(captured_at) AS captured_at FROM x GROUP BY c_custkey, period, points),
+m AS (SELECT * FROM k QUALIFY row_number() OVER (PARTITION BY c_custkey, period ORDER BY captured_at DESC, points DESC) = 1)
+SELECT c_custkey AS series_id, period, points, CAST(sides AS INTEGER) AS sides, round(overround, 9) AS overround, captured_at FROM m WHERE sides >= 2""")
+def closes_of_totals(spark, sf_dir):
+    """Closing lines of markets with three points: the book that was quoted last is the main line, if it has two sides."""
+    c = F.col("c_custkey")
+    bounds = read(spark, sf_dir, "customer").select(c.alias("series_id"), F.explode(F.array(F.lit(0), F.lit(1))).alias("period"), F.lit("book").alias("source"), c.cast("string").alias("event_id"), (880000000 + c % 1000 * 10000).alias("bound"))
+    rows = _quoted(spark, sf_dir).withColumns({"market_type": F.lit("total"), "points": (F.col("id") % 3) / 2, "cutoff_at": F.lit(None).cast("string")})
+    return closing.closing_lines(rows, bounds, "total").select("series_id", "period", "points", F.size("book").alias("sides"), F.round("overround", 9).alias("overround"), "captured_at")
+
+
 # --- resolution ---
 
 
