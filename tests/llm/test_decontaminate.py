@@ -1,13 +1,16 @@
 import random
+import tracemalloc
 
 from tests.llm.cases import docs, texts
 from tidemark.llm import decontaminate
 from tidemark.llm.decontaminate import COVERAGE, MIN_MATCH, contamination, drop_contaminated, tiles
-from tidemark.llm.near_dup import words_of
+from tidemark.llm.near_dup import word_hashes, words_of
 
 
 def plain_tiles(p, t, k):
     """Greedy string tiling by its definition."""
+    if not set(zip(*(p[i:] for i in range(k)))) & set(zip(*(t[i:] for i in range(k)))):
+        return []  # no run of k words is common
     used_p, used_t, out = set(), set(), []
     while True:
         best = (0, 0, 0)
@@ -31,8 +34,18 @@ def test_tiles_equal_the_definition():
     for _ in range(150):
         p, t = ([rnd.choice("abc") for _ in range(rnd.randint(0, 40))] for _ in range(2))
         k = rnd.choice([2, 3])
-        pairs = [(i, j) for i in range(len(p) - k + 1) for j in range(len(t) - k + 1) if p[i : i + k] == t[j : j + k]]
-        assert sorted(n for *_, n in tiles(p, t, pairs, k)) == sorted(n for *_, n in plain_tiles(p, t, k))
+        assert tiles(word_hashes(p), word_hashes(t), k) == plain_tiles(p, t, k)
+
+
+def test_long_repetitive_texts_in_bounded_memory():
+    """As many tiles as the item holds, however often the document repeats its words: no place pairs are formed."""
+    for words, item, want in ((["a"], 300, [300]), (["a", "b"], 1200, [1200]), (["a", "b", "c", "x"], 50, [50])):
+        doc, test = word_hashes((words * 200_000)[:200_000]), word_hashes((words * 1200)[:item])
+        tracemalloc.start()
+        assert [n for *_, n in tiles(doc, test, 5)] == want and tracemalloc.get_traced_memory()[1] < 60e6
+        tracemalloc.stop()
+    doc = word_hashes((["a"] * 37 + ["x"]) * 5000)
+    assert [n for *_, n in tiles(doc, word_hashes(["a"] * 300), 5)] == [37] * 8
 
 
 def fixture(spark):
@@ -47,7 +60,7 @@ def fixture(spark):
     want = {}
     for d, t in enumerate(rows):
         p = words_of(t)
-        want[d] = [] if len(p) > 5000 else [i for i, x in enumerate(items) if (w := words_of(x)) and sum(n for *_, n in plain_tiles(p, w, min(MIN_MATCH, len(w)))) >= COVERAGE * len(w)]
+        want[d] = [i for i, x in enumerate(items) if (w := words_of(x)) and sum(n for *_, n in plain_tiles(p, w, min(MIN_MATCH, len(w)))) >= COVERAGE * len(w)]
     return rows, bench, want
 
 
@@ -57,9 +70,19 @@ def test_matches_brute_force(spark, monkeypatch):
     assert got == want and sum(map(bool, want.values())) >= 10
     kept = drop_contaminated(docs(spark, rows), bench)
     assert kept.columns == docs(spark, rows).columns and {r.doc_id for r in kept.collect()} == {d for d, x in want.items() if not x}
-    monkeypatch.setattr(decontaminate, "BLOCK_CHARS", 100)
-    assert {r.doc_id: r["items"] for r in contamination(docs(spark, rows), bench).collect()} == want
-    assert drop_contaminated(docs(spark, rows), bench).count() == kept.count()
+    monkeypatch.setattr(decontaminate, "FILTER_BITS", 7)  # a filter that lets nearly all pass
+    assert {r.doc_id: r["items"] for r in contamination(docs(spark, rows).repartition(5), bench.repartition(2)).collect()} == want
+
+
+def test_very_long_and_repeated_texts_and_clashing_columns(spark):
+    long = " ".join(["w1 w2 w3"] * 40_000 + ["one two three four five six seven eight"] + ["w1"] * 1000)
+    rows = [(1, long), (1, long), (None, long), (None, None), (2, ""), (3, "one two three four nine five six seven eight")]
+    df = spark.createDataFrame([(i, t, "x", b"y", 1) for i, t in rows], "doc_id long, text string, items string, digest binary, coverage int")
+    bench = spark.createDataFrame([(5, "one two three four five six seven eight"), (6, "w1 w2 w3 w1 w2 w3 w1"), (6, "x y")], "item_id long, text string")
+    got = sorted((str(r.doc_id), r["items"]) for r in contamination(df, bench).collect())
+    assert got == [("1", [5, 6]), ("1", [5, 6]), ("2", []), ("3", []), ("None", []), ("None", [5, 6])]
+    kept = drop_contaminated(df, bench)
+    assert kept.columns == df.columns and sorted(str(r.doc_id) for r in kept.collect()) == ["2", "3", "None"]
 
 
 def test_empty_tables(spark):

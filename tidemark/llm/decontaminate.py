@@ -7,169 +7,206 @@ and again while one of min_match words is left. Tiles lie anywhere in either tex
 
 from __future__ import annotations
 
-import heapq
-from collections import defaultdict
-
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import materialize, table
+from ._shared import materialize, numbered, scratch, table
 from .near_dup import word_hashes, words_of
 
 MIN_MATCH = 5
 COVERAGE = 0.5
-#: Characters of test items that go to the executors at once; a larger benchmark is taken in blocks of about this size.
-BLOCK_CHARS = 8_000_000
+#: Bits of the filter that documents' seeds pass before they are joined: its size is fixed, whatever the benchmark's.
+FILTER_BITS = 27
 _BASE = 0x9E3779B97F4A7C15
+_INVERSE = pow(_BASE, -1, 1 << 64)
+
+
+def _powers(base: int, n: int) -> np.ndarray:
+    return np.concatenate([np.ones(1, np.uint64), np.multiply.accumulate(np.full(max(0, n - 1), base, np.uint64))])[:n]
+
+
+class Runs:
+    """Karp-Rabin fingerprints, modulo 2^64, of all runs of any length of a sequence, from one running sum."""
 
+    def __init__(self, hashes: np.ndarray):
+        self.n = len(hashes)
+        self.sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(hashes * _powers(_BASE, self.n), dtype=np.uint64)])
+        self.scale = _powers(_INVERSE, self.n)
 
-def fingerprints(hashes: np.ndarray, k: int) -> np.ndarray:
-    """The polynomial fingerprint, modulo 2^64, of each run of k words."""
-    n = len(hashes) - k + 1
-    if n < 1:
-        return np.zeros(0, dtype=np.uint64)
-    out, power = np.zeros(n, dtype=np.uint64), 1
-    for j in range(k):
-        out += hashes[j : j + n] * np.uint64(power)
-        power = power * _BASE % (1 << 64)
-    return out ^ (out >> np.uint64(32))
-
-
-def tiles(doc: list[str], item: list[str], pairs: list[tuple[int, int]], k: int) -> list[tuple[int, int, int]]:
-    """Greedy tiles (start in doc, start in item, words); pairs: where runs of k words may be equal."""
-    runs, by_diagonal = [], defaultdict(set)
-    for p, t in pairs:
-        if doc[p : p + k] == item[t : t + k]:
-            by_diagonal[t - p].add(p)
-    for diagonal, starts in by_diagonal.items():
-        ordered, first = sorted(starts), None
-        for p in ordered:
-            if p - 1 not in starts:
-                first = p
-            if p + 1 not in starts:
-                heapq.heappush(runs, (-(p - first + k), first, first + diagonal))
-    used_doc, used_item, out = set(), set(), []
-    while runs:
-        n, p, t = heapq.heappop(runs)
-        free, start = [], None
-        for o in range(-n + 1):
-            if o < -n and p + o not in used_doc and t + o not in used_item:
-                start = o if start is None else start
-            elif start is not None:
-                free.append((start, o - start))
-                start = None
-        if free == [(0, -n)]:
-            out.append((p, t, -n))
-            used_doc.update(range(p, p - n))
-            used_item.update(range(t, t - n))
-        else:
-            for o, m in free:
-                if m >= k:
-                    heapq.heappush(runs, (-m, p + o, t + o))
+    def of(self, k: int) -> np.ndarray:
+        if k > self.n:
+            return np.zeros(0, np.uint64)
+        f = (self.sums[k:] - self.sums[:-k]) * self.scale[: self.n - k + 1]
+        return f ^ (f >> np.uint64(32))
+
+
+def tiles(doc: np.ndarray, item: np.ndarray, k: int) -> list[tuple[int, int, int]]:
+    """Greedy tiles (start in doc, start in item, words) of two sequences of word hashes: the longest match of words that
+    no tile covers, of equal ones the first in doc, then in item, while it has k words.
+
+    A length is searched by fingerprints of all its runs, in time and memory of the two lengths; a match of some length
+    means one of every shorter length, so that the longest is found by halving, and it never grows from tile to tile.
+    """
+    runs, used, out = (Runs(doc), Runs(item)), (np.zeros(len(doc), bool), np.zeros(len(item), bool)), []
+
+    def free(side: int, n: int) -> np.ndarray:
+        covered = np.concatenate([[0], np.cumsum(used[side])])
+        return np.flatnonzero(covered[n:] == covered[:-n]) if n < len(covered) else np.zeros(0, np.int64)
+
+    def first(n: int) -> tuple[int, int] | None:
+        at, there = free(0, n), free(1, n)
+        if not len(at) or not len(there):
+            return None
+        known, places = np.unique(runs[1].of(n)[there], return_index=True)
+        wanted = runs[0].of(n)[at]
+        found = np.minimum(np.searchsorted(known, wanted), len(known) - 1)
+        for x in np.flatnonzero(known[found] == wanted):
+            p, t = int(at[x]), int(there[places[found[x]]])
+            if (doc[p : p + n] == item[t : t + n]).all():
+                return p, t
+        return None
+
+    n = min(len(doc), len(item))
+    while n >= k:
+        match = first(n)
+        if match is None:
+            low, high = k - 1, n - 1  # a match of low words exists (or low < k), none of more than high
+            while low < high:
+                middle = (low + high + 1) // 2
+                low, high = (middle, high) if first(middle) else (low, middle - 1)
+            n = low
+            continue
+        p, t = match
+        out.append((p, t, n))
+        used[0][p : p + n] = used[1][t : t + n] = True
     return out
 
 
-class Benchmark:
-    """Seeds of test items. Items of fewer than min_match words are seeds as a whole; empty ones match nothing."""
-
-    def __init__(self, items: list[tuple[int, str]], min_match: int = MIN_MATCH):
-        self.items = [(i, w) for i, w in ((i, words_of(t)) for i, t in items) if w]
-        self.places: dict[int, dict[int, list]] = defaultdict(lambda: defaultdict(list))
-        for n, (_, w) in enumerate(self.items):
-            k = min(min_match, len(w))
-            for t, f in enumerate(fingerprints(word_hashes(w), k).tolist()):
-                self.places[k][f].append((n, t))
-        self.places = {k: dict(v) for k, v in self.places.items()}
-        self.sorted = {k: np.sort(np.array(list(v), dtype=np.uint64)) for k, v in self.places.items()}
-        self.near = {}
-        for k, v in self.sorted.items():
-            self.near[k] = np.zeros(1 << 20, dtype=bool)
-            self.near[k][(v >> np.uint64(44)).astype(np.int64)] = True
-
-    def covered(self, text: str | None, coverage: float) -> list[tuple[int, float, int]]:
-        """(item_id, share of its words in tiles, tiles) of the items of which text holds coverage or more."""
-        doc = words_of(text)
-        if not doc or not self.items:
-            return []
-        hashes, pairs = word_hashes(doc), defaultdict(list)
-        for k, known in self.sorted.items():
-            f = fingerprints(hashes, k)
-            at = np.flatnonzero(self.near[k][(f >> np.uint64(44)).astype(np.int64)])
-            if len(at):
-                at = at[known[np.minimum(np.searchsorted(known, f[at]), len(known) - 1)] == f[at]]
-            for p in at.tolist():
-                for n, t in self.places[k][int(f[p])]:
-                    pairs[n].append((p, t, k))
-        out = []
-        for n, found in pairs.items():
-            item_id, item = self.items[n]
-            k = found[0][2]
-            if len({t + o for _, t, _ in found for o in range(k)}) < coverage * len(item):
-                continue  # tiles cover no more than the seeds do
-            got = tiles(doc, item, [(p, t) for p, t, _ in found], k)
-            share = sum(m for _, _, m in got) / len(item)
-            if share >= coverage:
-                out.append((item_id, share, len(got)))
-        return out
-
-
-def _blocks(benchmark: DataFrame, min_match: int):
-    """Benchmark objects of about BLOCK_CHARS each: what is held or sent at once is bounded, whatever their number."""
-    rows = benchmark.where("item_id IS NOT NULL AND text IS NOT NULL").select("item_id", "text")
-    chars = rows.agg(F.coalesce(F.sum(F.char_length("text")), F.lit(0))).first()[0]
-    n = max(1, -(-chars // BLOCK_CHARS))
-    for k in range(n):
-        yield Benchmark([(r.item_id, r.text) for r in rows.where(F.pmod(F.xxhash64("item_id"), F.lit(n)) == k).distinct().collect()], min_match)
-
-
-FOUND = "items array<long>, coverage double, n_tiles long"
-
-
-def _judged(shared, coverage: float, schema):
-    """Rows with what the items of one block add to FOUND, their last columns."""
+def _seed_length(n_words: int, min_match: int) -> int:
+    """Items of fewer than min_match words are one seed as a whole."""
+    return min(min_match, n_words)
+
+
+def _marked(f: np.ndarray, k: int) -> np.ndarray:
+    """Fingerprints of runs of k words, told from those of other lengths."""
+    return (f ^ np.uint64(k * 0x51)) * np.uint64(_BASE)
+
+
+def _item_seeds(min_match: int):
+    """(seed, item, times, k, words) of each distinct seed of items (item, text)."""
 
     def run(batches):
         for batch in batches:
-            found = [shared.value.covered(t.as_py(), coverage) for t in batch.column(1)]
-            before = zip(*[batch.column(c).to_pylist() for c in ("items", "coverage", "n_tiles")], strict=True)
-            now = [(sorted({*i, *(x for x, _, _ in new)}), max([c, *(s for _, s, _ in new)]), n + sum(k for *_, k in new)) for (i, c, n), new in zip(before, found, strict=True)]
-            items, share, n = zip(*now, strict=True) if now else ([], [], [])
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(items, pa.list_(pa.int64())), pa.array(share, pa.float64()), pa.array(n, pa.int64())], schema)
+            for item, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                words = words_of(text)
+                if words:
+                    k = _seed_length(len(words), min_match)
+                    seed, times = np.unique(_marked(Runs(word_hashes(words)).of(k), k), return_counts=True)
+                    n = len(seed)
+                    yield pa.RecordBatch.from_arrays([pa.array(seed.view(np.int64)), pa.array([item] * n, pa.int64()), pa.array(times, pa.int64()), pa.array([k] * n, pa.int64()), pa.array([len(words)] * n, pa.int64())], ["seed", "item", "times", "k", "words"])
 
     return run
 
 
+def _doc_seeds(shared):
+    """(digest, seeds): of each text the distinct seeds that pass the filter; texts with none give no row."""
+
+    def run(batches):
+        bits, lengths = shared.value
+        for batch in batches:
+            digests, seeds = [], []
+            for digest, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                words = words_of(text.as_py())
+                if not words:
+                    continue
+                runs = Runs(word_hashes(words))
+                f = np.concatenate([_marked(runs.of(k), k) for k in lengths])
+                at = f >> np.uint64(64 - FILTER_BITS)
+                f = f[(bits[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1) == 1]
+                if len(f):
+                    digests.append(digest)
+                    seeds.append(np.unique(f).view(np.int64))
+            if digests:
+                yield pa.RecordBatch.from_arrays([pa.array(digests, pa.binary()), pa.array(seeds, pa.list_(pa.int64()))], ["digest", "seeds"])
+
+    return run
+
+
+def _tiled(coverage: float, min_match: int):
+    """(digest, item_id, share, n_tiles) of the pairs (digest, text, item_id, item_text) with coverage or more."""
+
+    def run(batches):
+        for batch in batches:
+            out = []
+            for digest, text, item_id, item_text in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+                doc, item = word_hashes(words_of(text)), word_hashes(words_of(item_text))
+                got = tiles(doc, item, _seed_length(len(item), min_match))
+                share = sum(n for *_, n in got) / len(item)
+                if share >= coverage:
+                    out.append((digest, item_id, share, len(got)))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.binary(), pa.int64(), pa.float64(), pa.int64()), strict=True)], ["digest", "item_id", "share", "n_tiles"])
+
+    return run
+
+
+def digest_of(text: Column) -> Column:
+    return F.unhex(F.md5(text.cast("binary")))
+
+
+def contaminated_texts(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE, min_match: int = MIN_MATCH) -> DataFrame:
+    """(digest, items, coverage, n_tiles) of each different text of docs that holds test items.
+
+    Seeds of documents pass a filter of fixed size (2^FILTER_BITS bits, set by the benchmark's seeds) and are joined with
+    those of items; pairs whose shared seeds can't cover enough drop out by a count, which combines before the shuffle,
+    and only texts of the pairs that are left are read again, once for each different text, and tiled. The benchmark is
+    neither collected nor broadcast; a larger one fills the filter and leaves more to the join.
+    """
+    spark = docs.sparkSession
+    named, _ = numbered(benchmark.where("item_id IS NOT NULL AND text IS NOT NULL").select("item_id", "text").distinct(), "items", "item")
+    seeds = materialize(named.select("item", "text").mapInArrow(_item_seeds(min_match), "seed long, item long, times long, k long, words long"), "item-seeds")
+    bit = F.shiftrightunsigned("seed", 64 - FILTER_BITS)
+    filled = seeds.select(bit.alias("bit")).groupBy(F.shiftright("bit", 6).alias("at")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("bit").bitwiseAND(63).cast("int"))).alias("bits")).collect()
+    bits = np.zeros(1 << (FILTER_BITS - 6), np.uint64)
+    for r in filled:
+        bits[r["at"]] = r["bits"] % (1 << 64)
+    lengths = sorted(r.k for r in seeds.select("k").distinct().collect())
+    texts = docs.where("text IS NOT NULL").select(digest_of(F.col("text")).alias("digest"), "text")
+    if lengths:
+        passed = texts.mapInArrow(_doc_seeds(spark.sparkContext.broadcast((bits, lengths))), "digest binary, seeds array<long>")
+    else:
+        passed = spark.createDataFrame([], "digest binary, seeds array<long>")
+    shared = passed.select("digest", F.explode("seeds").alias("seed")).distinct().join(seeds, "seed")
+    enough = F.sum("times") * F.max("k") >= coverage * F.max("words")
+    pairs = materialize(shared.groupBy("digest", "item").agg(enough.alias("enough")).where("enough").select("digest", "item"), "seeded-pairs")
+    wanted = texts.join(pairs.select("digest").distinct(), "digest", "left_semi").dropDuplicates(["digest"])
+    whole = wanted.join(pairs, "digest").join(named.select("item", "item_id", F.col("text").alias("item_text")), "item")
+    found = whole.select("digest", "text", "item_id", "item_text").mapInArrow(_tiled(coverage, min_match), "digest binary, item_id long, share double, n_tiles long")
+    return found.groupBy("digest").agg(F.sort_array(F.collect_set("item_id")).alias("items"), F.max("share").alias("coverage"), F.sum("n_tiles").alias("n_tiles"))
+
+
 def contamination(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE, min_match: int = MIN_MATCH) -> DataFrame:
     """doc_id, contaminated, items (ids of the test items that the document holds), coverage (the largest share of one's
     words in tiles), n_tiles, of every row of docs.
 
     Null and empty texts hold nothing; items without words and rows of benchmark with a null are left out; rows that
-    repeat an item's id are items each. Rows that repeat a doc_id, or have none, are judged each. A benchmark of several
-    blocks is met block by block: rows keep what they have found so far and are written in between, so that a worker
-    holds one block at a time and the result is the same for any size of blocks. Further columns of docs are not
-    looked at.
+    repeat an item's id are items each. Rows that repeat a doc_id, or have none, are judged each. Further columns of
+    docs are not looked at, whatever they are called.
     """
-    found = docs.select("doc_id", "text", F.array().cast("array<bigint>").alias("items"), F.lit(0.0).alias("coverage"), F.lit(0).cast("long").alias("n_tiles"))
-    for k, block in enumerate(_blocks(benchmark, min_match)):
-        shared = docs.sparkSession.sparkContext.broadcast(block)
-        found = (materialize(found, "judged") if k else found).mapInArrow(_judged(shared, coverage, ["doc_id", "text", "items", "coverage", "n_tiles"]), f"doc_id long, text string, {FOUND}")
-    return found.select("doc_id", (F.size("items") > 0).alias("contaminated"), "items", "coverage", "n_tiles")
+    with scratch(docs.sparkSession) as kept:
+        found = materialize(contaminated_texts(docs.select("text"), benchmark, coverage, min_match), "contaminated")
+        out = docs.select("doc_id", digest_of(F.col("text")).alias("digest")).join(found, "digest", "left")
+        none = F.array().cast("array<bigint>")
+        return kept(out.select("doc_id", F.col("items").isNotNull().alias("contaminated"), F.coalesce("items", none).alias("items"), F.coalesce("coverage", F.lit(0.0)).alias("coverage"), F.coalesce("n_tiles", F.lit(0).cast("long")).alias("n_tiles")), "contamination")
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE, min_match: int = MIN_MATCH) -> DataFrame:
-    """The rows of docs that hold no test item, with all their columns, whatever they are called. Blocks as above."""
-    at, schema = docs.columns.index("text"), docs.schema
-    for k, block in enumerate(_blocks(benchmark, min_match)):
-        shared = docs.sparkSession.sparkContext.broadcast(block)
-
-        def run(batches, shared=shared):
-            for batch in batches:
-                yield batch.filter(pa.array([not shared.value.covered(t.as_py(), coverage) for t in batch.column(at)], pa.bool_()))
-
-        docs = (materialize(docs, "uncontaminated") if k else docs).mapInArrow(run, schema)
-    return docs
+    """The rows of docs that hold no test item, with all their columns, whatever they are called."""
+    with scratch(docs.sparkSession) as kept:
+        found = kept(contaminated_texts(docs.select("text"), benchmark, coverage, min_match).select(F.col("digest").alias("__contaminated_text")), "contaminated")
+    return docs.join(found, digest_of(docs["text"]) == F.col("__contaminated_text"), "left_anti")
 
 
 def op6_decontaminate(spark, sf_dir: str) -> DataFrame:
