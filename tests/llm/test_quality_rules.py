@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from tests.llm.cases import docs, texts
 from tidemark.llm._shared import UPPER
-from tidemark.llm.quality_rules import QUANTILES, RULES, binomial_cdf, judge
+from tidemark.llm.quality_rules import BAD_UPPER, MARGINS, QUANTILES, RULES, binomial_cdf, judge
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -79,12 +79,17 @@ def plain_cutoffs(rows, marks, stratum, alpha=0.05, delta=0.05):
         fine, bad, held_out = [x for h, g, x in docs_ if not h and g], [x for h, g, x in docs_ if not h and not g], [x for h, g, x in docs_ if h and g]
         if not fine:
             continue
-        cut = {r: [sorted(x[r] for x in fine)[max(math.ceil(q * len(fine)), 1) - 1] for q in QUANTILES] for r in RULES}
+        at = lambda xs, r, q: sorted(x[r] for x in xs)[max(math.ceil(q * len(xs)), 1) - 1]
+        cut = {}
+        for r in RULES:
+            most = at(fine, r, 1)
+            far = at(bad, r, BAD_UPPER) if bad else most
+            cut[r] = [most + m * (far - most) if far > most else math.inf for m in MARGINS] + [at(fine, r, q) for q in QUANTILES]
         hit = lambda xs, rules, k: sum(any(x[r] > cut[r][k] for r in rules) for x in xs)
         gain = lambda rules, k: hit(bad, rules, k) / max(len(bad), 1) - hit(fine, rules, k) / len(fine)
-        used = [r for r in RULES if max(gain([r], k) for k in range(len(QUANTILES))) > 0]
+        used = [r for r in RULES if max(gain([r], k) for k in range(len(cut[r]))) > 0]
         if used:
-            paths[s] = (cut, used, [(hit(held_out, used, k), len(held_out), gain(used, k)) for k in range(len(QUANTILES))])
+            paths[s] = (cut, used, [(hit(held_out, used, k), len(held_out), gain(used, k)) for k in range(len(MARGINS) + len(QUANTILES))])
     for s, (cut, used, path) in paths.items():
         best = None
         for k, (bad_luck, n, g) in enumerate(path):
@@ -125,6 +130,27 @@ def test_cutoffs_equal_the_definition(spark):
     assert lost <= 0.05 * sum(marks.values()) and sum(not out[i].kept for i in marks if not marks[i]) > 0.6 * sum(not m for m in marks.values())
 
 
+def test_strata_of_few_labels_are_certified(spark):
+    """85 to 160 good holdout rows in each of four strata whose good documents differ: each gets a cutoff that rejects
+    nearly all of its bad documents."""
+    rnd = random.Random(8)
+    rows, marks = [], {}
+    for s, n in (("a", 180), ("b", 220), ("c", 270), ("d", 330)):
+        for k in range(n + 60):
+            good = k < n
+            w = ["w" * max(1, int(rnd.gauss(6, 2))) + str(rnd.randint(0, 10**6)) + ("!" if rnd.random() < 0.03 else "") for _ in range(70)]
+            w = [x.upper() if rnd.random() < 0.05 else x for x in w] + (["#"] * int(rnd.expovariate(1)))
+            rows.append((len(rows), " ".join(w if good else [*w, *(["###"] * rnd.randint(10, 30))]), s))
+            marks[len(rows) - 1] = int(good)
+    out = {r.doc_id: r for r in judge(spark.createDataFrame(rows, "doc_id long, text string, lang string"), labels(spark, list(marks.items()))).collect()}
+    for s in "abcd":
+        mine = [(marks[i], out[i].kept) for i, _, lang in rows if lang == s]
+        held = sum(marks[i] and zlib.crc32(str(i).encode()) % 2 == 1 for i, _, lang in rows if lang == s)
+        assert 75 <= held <= 180, held
+        assert sum(g and not k for g, k in mine) <= 0.05 * sum(g for g, _ in mine), s
+        assert sum(not g and not k for g, k in mine) >= 0.95 * sum(not g for g, _ in mine), s
+
+
 def test_clashing_columns_and_repeated_rows(spark):
     t = " ".join(f"w{j}" for j in range(60))
     df = spark.createDataFrame([(1, t, "en", 5, "x", 2.0)] * 2 + [(None, t, None, 5, "x", 2.0)], "doc_id long, text string, lang string, n_words int, stratum string, good double")

@@ -22,7 +22,12 @@ RULES: dict[str, Column | str] = {
     "dup_lines": "n_dup_lines / greatest(n_lines, 1L)",
     "repeats": "n_repeat_words / greatest(n_words, 1L)",
 }
-#: Upper quantiles of the good documents of the choosing half that are tried as cutoffs, from the mildest.
+#: Steps above the largest good score of the choosing half that are tried as cutoffs, from the mildest, as shares of its
+#: distance to the bad documents' upper scores; rules whose bad documents don't lie above it reject nothing there.
+MARGINS = (1.0, 0.75, 0.5, 0.35, 0.25, 0.15, 0.1, 0.05)
+#: The quantile that stands for the bad documents' upper scores.
+BAD_UPPER = 0.95
+#: Upper quantiles of the good documents of the choosing half that are tried next, from the mildest.
 QUANTILES = (1.0, 0.9995, 0.999, 0.9975, 0.995, 0.9925, 0.99, 0.985, 0.98, 0.97, 0.96, 0.95)
 
 
@@ -73,8 +78,11 @@ def certified_cutoffs(scored: DataFrame, labels: DataFrame, rules: list[str], al
     """(stratum, rule, cutoff): the certified cutoffs. scored: doc_id, stratum, a column for each rule.
 
     Labelled rows are split in two halves by a hash of doc_id. The choosing half makes a path of joint cutoffs for each
-    stratum: at each step, every rule that tells its bad from its good documents at all has the step's upper quantile
-    of the good ones as cutoff, so that what any rule rejects only grows along the path. The holdout half tests the
+    stratum: at each step, every rule that tells its bad from its good documents at all has the step's margin above the
+    largest good score as cutoff (none, where bad documents don't lie above it), and later the step's upper quantile of
+    the good ones, so that what any rule rejects only grows along the path from a joint cutoff that is mild: each rule's
+    largest good score is passed by about one good document of a holdout of equal size, so that a union of rules needs to
+    begin above it. The holdout half tests the
     path as a whole: with k of n good documents rejected by any rule, "more than alpha of the good are rejected" is
     refused if P(Bin(n, alpha) <= k) <= delta / strata, the exact (Clopper-Pearson) bound with Bonferroni's correction
     over strata. Steps are tested in a fixed sequence from the mildest up to the first that fails, which needs no
@@ -83,11 +91,19 @@ def certified_cutoffs(scored: DataFrame, labels: DataFrame, rules: list[str], al
     scored (judge scores those that pass the base). Of the certified steps that one is taken that parts the choosing
     half's bad from its good documents best, the mildest of equals; without gain, or with too few labels, none.
     """
-    steps = len(QUANTILES)
+    steps = len(MARGINS) + len(QUANTILES)
     marked = labels.where("quality IS NOT NULL AND doc_id IS NOT NULL").groupBy(F.col("doc_id").alias("__id")).agg(F.min("quality").alias("good"))
     both = scored.join(marked, F.col("doc_id") == F.col("__id")).withColumn("holdout", F.crc32(F.col("doc_id").cast("string").cast("binary")) % 2 == 1)
     both = materialize(both.select("stratum", "good", "holdout", *rules), "rule-scores")
-    tried = both.where("NOT holdout AND good = 1").groupBy("stratum").agg(*[F.percentile_approx(r, [float(q) for q in QUANTILES], 10000).alias(f"q_{r}") for r in rules])
+    quantile = lambda r, good, q: F.percentile_approx(F.when(F.col("good") == good, F.col(r)), q, 10000)
+    known = both.where("NOT holdout").groupBy("stratum").agg(*[x for r in rules for x in (quantile(r, 1, list(map(float, QUANTILES))).alias(f"good_{r}"), quantile(r, 0, BAD_UPPER).alias(f"bad_{r}"))])
+
+    def path(r):
+        largest, far = F.get(f"good_{r}", F.lit(0)), F.col(f"bad_{r}")
+        above = [F.when(far > largest, largest + m * (far - largest)).otherwise(F.lit(float("inf"))) for m in MARGINS]
+        return F.concat(F.array(*above), F.col(f"good_{r}"))
+
+    tried = known.where(F.col(f"good_{rules[0]}").isNotNull()).select("stratum", *[path(r).alias(f"q_{r}") for r in rules])
     tried = materialize(tried, "rule-cutoffs")
     place = lambda r: F.array_position(F.transform(f"q_{r}", lambda q: F.col(r) > q), True)
     first = lambda r: F.when(place(r) > 0, place(r) - 1).otherwise(F.lit(steps))
