@@ -84,7 +84,7 @@ def plain_cutoffs(rows, marks, stratum, alpha=0.05, delta=0.05):
         for r in RULES:
             most = at(fine, r, 1)
             far = at(bad, r, BAD_UPPER) if bad else most
-            cut[r] = [most + m * (far - most) if far > most else math.inf for m in MARGINS] + [at(fine, r, q) for q in QUANTILES]
+            cut[r] = [most + m * (far - most) if far - most > most - at(fine, r, 0.5) else math.inf for m in MARGINS] + [at(fine, r, q) for q in QUANTILES]
         hit = lambda xs, rules, k: sum(any(x[r] > cut[r][k] for r in rules) for x in xs)
         gain = lambda rules, k: hit(bad, rules, k) / max(len(bad), 1) - hit(fine, rules, k) / len(fine)
         used = [r for r in RULES if max(gain([r], k) for k in range(len(cut[r]))) > 0]

@@ -23,7 +23,8 @@ RULES: dict[str, Column | str] = {
     "repeats": "n_repeat_words / greatest(n_words, 1L)",
 }
 #: Steps above the largest good score of the choosing half that are tried as cutoffs, from the mildest, as shares of its
-#: distance to the bad documents' upper scores; rules whose bad documents don't lie above it reject nothing there.
+#: distance to the bad documents' upper scores; rules whose bad documents don't lie further above it than it lies above
+#: the median of the good reject nothing there.
 MARGINS = (1.0, 0.75, 0.5, 0.35, 0.25, 0.15, 0.1, 0.05)
 #: The quantile that stands for the bad documents' upper scores.
 BAD_UPPER = 0.95
@@ -79,7 +80,7 @@ def certified_cutoffs(scored: DataFrame, labels: DataFrame, rules: list[str], al
 
     Labelled rows are split in two halves by a hash of doc_id. The choosing half makes a path of joint cutoffs for each
     stratum: at each step, every rule that tells its bad from its good documents at all has the step's margin above the
-    largest good score as cutoff (none, where bad documents don't lie above it), and later the step's upper quantile of
+    largest good score as cutoff (none, where bad documents don't lie well above it), and later the step's upper quantile of
     the good ones, so that what any rule rejects only grows along the path from a joint cutoff that is mild: each rule's
     largest good score is passed by about one good document of a holdout of equal size, so that a union of rules needs to
     begin above it. The holdout half tests the
@@ -96,12 +97,12 @@ def certified_cutoffs(scored: DataFrame, labels: DataFrame, rules: list[str], al
     both = scored.join(marked, F.col("doc_id") == F.col("__id")).withColumn("holdout", F.crc32(F.col("doc_id").cast("string").cast("binary")) % 2 == 1)
     both = materialize(both.select("stratum", "good", "holdout", *rules), "rule-scores")
     quantile = lambda r, good, q: F.percentile_approx(F.when(F.col("good") == good, F.col(r)), q, 10000)
-    known = both.where("NOT holdout").groupBy("stratum").agg(*[x for r in rules for x in (quantile(r, 1, list(map(float, QUANTILES))).alias(f"good_{r}"), quantile(r, 0, BAD_UPPER).alias(f"bad_{r}"))])
+    known = both.where("NOT holdout").groupBy("stratum").agg(*[x for r in rules for x in (quantile(r, 1, [*map(float, QUANTILES), 0.5]).alias(f"good_{r}"), quantile(r, 0, BAD_UPPER).alias(f"bad_{r}"))])
 
     def path(r):
-        largest, far = F.get(f"good_{r}", F.lit(0)), F.col(f"bad_{r}")
-        above = [F.when(far > largest, largest + m * (far - largest)).otherwise(F.lit(float("inf"))) for m in MARGINS]
-        return F.concat(F.array(*above), F.col(f"good_{r}"))
+        largest, median, far = F.get(f"good_{r}", F.lit(0)), F.get(f"good_{r}", F.lit(len(QUANTILES))), F.col(f"bad_{r}")
+        above = [F.when(far - largest > largest - median, largest + m * (far - largest)).otherwise(F.lit(float("inf"))) for m in MARGINS]
+        return F.concat(F.array(*above), F.slice(f"good_{r}", 1, len(QUANTILES)))
 
     tried = known.where(F.col(f"good_{rules[0]}").isNotNull()).select("stratum", *[path(r).alias(f"q_{r}") for r in rules])
     tried = materialize(tried, "rule-cutoffs")
