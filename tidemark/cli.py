@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from .functions import scalars
 from .operators import closing, drafts, history, links, ratings, rollups, spans, walkforward
 from .schemas import KEYS, TABLES, TRACKED
-from .sources import flatten, readers, writers
+from .sources import flatten, parts, readers, writers
 from .sources.shared import materialize
 from .streaming import recorder
 
@@ -40,10 +40,15 @@ def store(df: DataFrame, root: str, name: str) -> None:
 
 
 def merge(spark: SparkSession, root: str, rows: dict[str, DataFrame]) -> None:
-    """Upsert flattened tables: matches keep what is known, rosters keep the first sight, others are replaced by key."""
+    """Upsert flattened tables: matches keep what is known, rosters keep the first sight, others are replaced by key. Only
+    the parts of a table that the new keys lie in are rewritten; a plain table is dealt into parts first."""
     for name, new in rows.items():
         how = {"matches": writers.upsert_coalesce, "rosters": writers.insert_ignore}.get(name, writers.upsert_replace)
-        store(how(readers.table(spark, root, name), new, KEYS[name]), root, name)
+        path = f"{root}/{name}"
+        table = parts.Parts(spark, path, TABLES[name], KEYS[name], parts.WIDTHS[name])
+        if not table.version():
+            parts.adopt(table, materialize(readers.table(spark, root, name), "adopted"))
+        table.merge(new, how)
 
 
 def maps_of(spark: SparkSession, root: str, lineups: bool = True, before: int | None = None) -> DataFrame:

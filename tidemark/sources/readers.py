@@ -12,12 +12,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.scalars import norm_hero, norm_name
-from ..schemas import PREDICTIONS, TABLES
+from ..schemas import KEYS, PREDICTIONS, TABLES
+from . import parts
 
 
 def table(spark: SparkSession, root: str, name: str) -> DataFrame:
     """A stored table with its declared schema; a missing one is empty. One whose replacement was cut short is read from
-    where it was put aside."""
+    where it was put aside; one dealt in parts, through its manifest."""
+    if parts.is_parted(spark, f"{root}/{name}"):
+        return parts.Parts(spark, f"{root}/{name}", TABLES[name], KEYS[name], parts.WIDTHS[name]).read()
     for path in (f"{root}/{name}", f"{root}/{name}.old"):
         try:
             return spark.read.schema(TABLES[name]).parquet(path)
