@@ -5,6 +5,7 @@ from glob import glob
 
 import pytest
 
+from tests.test_http import Remote
 from tidemark import cli
 from tidemark.operators import drafts, walkforward
 from tidemark.schemas import TABLES
@@ -93,3 +94,73 @@ def test_a_table_put_aside_is_still_read(spark, tmp_path):
     assert sorted(p for p in os.listdir(tmp_path)) == ["teams"] and cli.readers.table(spark, str(tmp_path), "teams").count() == 2
     os.rename(f"{tmp_path}/teams", f"{tmp_path}/teams.old")
     assert cli.readers.table(spark, str(tmp_path), "teams").count() == 2
+
+
+class Pages(Remote):
+    """Summaries of maps in pages, details, and SQL slices."""
+
+    def answer(self, path, query):
+        if path == "/proMatches":
+            below = int(query.get("less_than_match_id", 10**9))
+            return 200, [{"match_id": k, "leagueid": 2 - k % 2, "start_time": k * DAY, "radiant_team_id": 1, "dire_team_id": 2, "radiant_win": True} for k in range(40, 0, -1) if k < below][:9], {}
+        if path.startswith("/matches/"):
+            return 200, {"match_id": int(path.rsplit("/", 1)[1]), "duration": 60, "radiant_win": True}, {}
+        if "FROM matches" in query.get("sql", ""):
+            return 200, {"rows": [{"match_id": 7, "start_time": 7 * DAY, "radiant_win": True, "patch": "7.41"}]}, {}
+        return 200, {"rows": []}, {}
+
+
+@pytest.fixture
+def remote():
+    out = Pages()
+    yield out
+    out.server.shutdown()
+
+
+def test_backfill_resume_detail_and_bulk_slices(spark, remote, tmp_path, capsys):
+    root = str(tmp_path)
+    stored = lambda: {r.match_id: r for r in cli.readers.table(spark, root, "matches").collect()}
+    away = ["--url", remote.url, "--delay", "0"]
+    run(spark, root, "backfill", *away, "--max-matches", "10")
+    assert set(stored()) == set(range(31, 41))
+    run(spark, root, "backfill", *away, "--max-matches", "5", "--resume")
+    assert set(stored()) == set(range(26, 41))
+    run(spark, root, "backfill", *away, "--before-match-id", "9", "--league-id", "1")
+    assert set(stored()) == {*range(26, 41), 1, 3, 5, 7}
+    run(spark, root, "detail", *away, "--limit", "4")
+    assert sum(r.detail_fetched_at is not None and r.duration == 60 for r in stored().values()) == 4
+    with open(f"{root}/patch.json", "w") as f:
+        json.dump([{"id": 61, "name": "7.41", "date": "1970-01-01T00:00:00Z"}], f)
+    run(spark, root, "bulkfill", "--url", remote.url, "--patches", f"{root}/patch.json", "--slice-days", "100")
+    assert stored()[7].patch == 61 and "failed slices: 0" in capsys.readouterr().out
+
+
+def test_quoted_names(spark, root):
+    quotes = [("b", "l", "e", h, a, t) for h, a, t in (("Spirit", "Other", 5), ("Old", "Other", 1))]
+    snaps = spark.createDataFrame([tuple(dict(zip(("source", "line_key", "event_id", "home", "away", "captured_at"), q, strict=True)).get(f.name) for f in TABLES["odds_snapshots"].fields) for q in quotes], TABLES["odds_snapshots"])
+    events = spark.createDataFrame([("book", "e", None, 0, None, 2, 1, 900, 0, 0)], TABLES["event_series_map"])
+    snaps.selectExpr("*").withColumn("source", cli.F.lit("book")).write.parquet(f"{root}/odds_snapshots")
+    events.write.parquet(f"{root}/event_series_map")
+    for model in ("ratings", "draft"):
+        run(spark, root, "predict", "--league", "cup", "--model", model, "--out", f"{root}/{model}")
+        assert {s for series, _, s in written(f"{root}/{model}") if series == 900} == ({"Spirit", "Other"} if model == "ratings" else {"Spirit", "Other", "3", "4"})
+
+
+def test_record_odds_once_by_sources(spark, tmp_path, capsys):
+    from tests.test_supervisor import Books
+
+    books, root = Books(), str(tmp_path)
+    with open(f"{root}/settings.json", "w") as f:
+        json.dump({"two_endpoint": {"url": books.url, "delay": 0}, "many_books": {}}, f)
+    argv = ["record-odds", "--once", "--settings", f"{root}/settings.json", "--sources", "two_endpoint"]
+    run(spark, root, *argv, "many_books")
+    assert "'written': 2" in capsys.readouterr().out
+    assert sorted((r.id, r.selection, r.price_american) for r in cli.readers.table(spark, root, "odds_snapshots").collect()) == [(1, "A", 150.0), (2, "B", -170.0)]
+    assert len(glob(f"{root}/archive/source=two_endpoint/*/*/*.gz")) == 1
+    with pytest.raises(SystemExit):
+        run(spark, root, *argv, "nobody")
+    with pytest.raises(SystemExit):
+        run(spark, root, "record-odds", "--once")
+    run(spark, root, "status")
+    assert "moneyline" in capsys.readouterr().out
+    books.server.shutdown()

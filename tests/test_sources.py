@@ -74,8 +74,8 @@ def test_many_book_quotes(spark):
 def test_predictions_and_aliases(spark, tmp_path):
     (tmp_path / "p.jsonl").write_text('{"series_id": 1, "period": 2, "selection": "A", "prob": 0.5}\n\n{"series_id": 2, "selection": "B", "prob": 0.25, "price_taken": 2.0}\n')
     assert sorted((r.series_id, r.period, r.market_type) for r in readers.predictions(spark, f"file://{tmp_path}/p.jsonl").collect()) == [(1, 2, "moneyline"), (2, 0, "moneyline")]
-    (tmp_path / "q.jsonl").write_text('{"series_id": 1, "odd": 1}\n')
-    with pytest.raises(Exception, match="unknown keys odd"):
+    (tmp_path / "q.jsonl").write_text('{"series_id": 1}\n\n{"series_id": 1, "odd": 1}\n')
+    with pytest.raises(ValueError, match="q.jsonl:3: unknown keys odd"):
         readers.predictions(spark, f"file://{tmp_path}/q.jsonl").collect()
     teams = [{"team_id": 1, "name": "Alpha", "aliases": ["The  ALPHA"]}, {"team_id": 2, "name": "Beta"}]
     assert {r.key for r in readers.aliases(spark, teams).collect()} == {"alpha", "the alpha", "beta"}

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import argparse
+import json
+import signal
 import sys
 import time
 
@@ -12,9 +14,9 @@ from pyspark.sql import functions as F
 from .functions import scalars
 from .operators import closing, drafts, history, links, ratings, rollups, spans, walkforward
 from .schemas import KEYS, TABLES, TRACKED
-from .sources import flatten, parts, readers, writers
+from .sources import flatten, http, parts, polls, readers, writers
 from .sources.shared import materialize
-from .streaming import recorder
+from .streaming import recorder, supervisor
 
 LINE = ["source", "line_key"]
 
@@ -71,43 +73,95 @@ def draft_config(a) -> drafts.DraftConfig:
     return drafts.DraftConfig(half_life_days=a.half_life, k_pair=a.k_pair, learning_rate=a.learning_rate, disabled=a.no_draft)
 
 
+def _keys(a) -> dict:
+    return {"delay": a.delay, "given": json.dumps({"api_key": a.api_key} if a.api_key else {})}
+
+
 def backfill(spark, a):
-    raw = readers.json_documents(spark, a.path, flatten.SUMMARY)
+    """Match summaries from landed files, or from a list that is read backward: the newest, those before an id, or those
+    before the oldest stored."""
+    if a.path:
+        raw = readers.json_documents(spark, a.path, flatten.SUMMARY)
+    else:
+        http.register(spark)
+        oldest = readers.table(spark, a.root, "matches").agg(F.min("match_id")).first()[0] if a.resume and a.before_match_id is None else None
+        before = a.before_match_id or oldest
+        bound = {} if before is None else {"before": before}
+        pages = spark.read.format("keyset_json").options(url=a.url, pages_at="/proMatches", most=a.max_matches, **bound, **_keys(a)).load()
+        raw = pages.select(F.from_json("body", flatten.SUMMARY).alias("r")).select("r.*")
+    raw = materialize(raw if a.league_id is None else raw.where(F.col("leagueid") == a.league_id), "summaries")
     merge(spark, a.root, {"matches": flatten.match_summaries(raw)})
+    print(f"stored: {raw.count()}")
 
 
 def detail(spark, a):
-    raw = readers.json_documents(spark, a.path, flatten.DETAIL)
     wanted = rollups.needing_detail(readers.table(spark, a.root, "matches"), a.limit).select("match_id")
-    merge(spark, a.root, flatten.match_details(raw.join(wanted, "match_id", "left_semi"), F.lit(int(time.time()))))
+    if a.path:
+        raw = readers.json_documents(spark, a.path, flatten.DETAIL).join(wanted, "match_id", "left_semi")
+    else:
+        got = http.fetch_each(wanted, "/matches/{id}", a.lanes, url=a.url, **_keys(a))
+        raw = materialize(got, "details").select(F.from_json("body", flatten.DETAIL).alias("r")).select("r.*")
+    merge(spark, a.root, flatten.match_details(raw, F.lit(int(time.time()))))
 
 
 def bulkfill(spark, a):
-    """Slices of a remote database; a slice that fails is halved down to a day, then skipped and counted."""
-    until, failed = a.until or int(time.time()), 0
-    known = readers.table(spark, a.root, "matches").select("match_id")
+    """Slices of a remote database over the span of the maps without detail; a slice that fails is halved down to a day,
+    then skipped and counted."""
+    http.register(spark)
+    stored, failed = readers.table(spark, a.root, "matches"), 0
+    first, last = rollups.unfetched_span(stored)
+    since, until = a.since if a.since is not None else first, a.until or (int(time.time()) if last is None else last + 1)
+    if since is None:
+        print("no maps without detail")
+        return
+    known = stored.select("match_id")
     constants = readers.json_documents(spark, a.patches, "id int, name string, date string")
     ids, timeline = flatten.patch_ids(constants), flatten.patch_timeline(constants)
 
     def read(lo, hi):
         # written here, so that a query that fails does so inside the slice, which is then halved
-        got = {n: materialize(readers.remote(spark, a.url, readers.slice_sql(n, lo, hi, a.with_timeseries)), f"slice-{n}") for n in readers.SLICE_QUERIES}
+        got = {n: materialize(readers.remote_slice(spark, a.url, n, lo, hi, a.with_timeseries), f"slice-{n}") for n in readers.SLICE_QUERIES}
         return flatten.bulk_rows(*(flatten.known_only(got[n], known)[0] for n in ("matches", "picks_bans", "player_matches")), F.lit(until), ids, timeline)
 
-    for _, _, rows in readers.slices(a.since, until, a.slice_days * 86400, read):
+    for _, _, rows in readers.slices(since, until, a.slice_days * 86400, read):
         failed += rows is None
         if rows is not None:
             merge(spark, a.root, {n: df for n, df in rows.items() if n != "match_timeseries" or a.with_timeseries})
     print(f"failed slices: {failed}")
 
 
+def recorder_of(spark, root: str) -> recorder.Recorder:
+    """The recorder of the stored tables: history appended, last rows kept beside it, a journal between the two."""
+    write = lambda df: df.write.mode("append").parquet(f"{root}/odds_snapshots")
+    if not readers.table(spark, root, "odds_latest").take(1):
+        store(history.latest(readers.table(spark, root, "odds_snapshots"), LINE, ["captured_at", "id"]), root, "odds_latest")
+    return recorder.Recorder(
+        lambda: readers.table(spark, root, "odds_latest"), write, LINE, TRACKED, ["price_american", "price_decimal", "limit_amount"], ["captured_at", "id"],
+        lambda df: store(df, root, "odds_latest"), f"{root}/_journal", lambda: readers.table(spark, root, "odds_snapshots"),
+    )
+
+
 def record_odds(spark, a):
-    stream = spark.readStream.schema(TABLES["odds_snapshots"]).parquet(a.path)
-    write = lambda df: df.write.mode("append").parquet(f"{a.root}/odds_snapshots")
-    if not readers.table(spark, a.root, "odds_latest").take(1):
-        store(history.latest(readers.table(spark, a.root, "odds_snapshots"), LINE, ["captured_at", "id"]), a.root, "odds_latest")
-    sink = recorder.Recorder(lambda: readers.table(spark, a.root, "odds_latest"), write, LINE, TRACKED, ["price_american", "price_decimal", "limit_amount"], ["captured_at", "id"], lambda df: store(df, a.root, "odds_latest"))
-    recorder.run(stream, sink, f"{a.root}/_recorder", None if a.once else a.interval).awaitTermination()
+    """Landed quotes as a stream, or configured sources, polled until a signal comes."""
+    sink = recorder_of(spark, a.root)
+    if a.path:
+        stream = spark.readStream.schema(TABLES["odds_snapshots"]).parquet(a.path)
+        return recorder.run(stream, sink, f"{a.root}/_recorder", None if a.once else a.interval).awaitTermination()
+    settings = json.loads(spark.read.text(a.settings, wholetext=True).first()[0]) if a.settings else {}
+    try:
+        sources = polls.registry(spark, settings).build(a.sources)
+    except ValueError as e:
+        sys.exit(str(e))
+    if not sources:
+        sys.exit("no source is configured")
+    watch = supervisor.Supervisor(spark, sources, sink, None if a.no_archive else a.archive_root or f"{a.root}/archive", a.interval, a.live_interval, a.archive_heartbeat)
+    if a.once:
+        for name, report in watch.once().items():
+            print(name, report or "failed")
+        return
+    for which in (signal.SIGINT, signal.SIGTERM):
+        signal.signal(which, watch.stop)
+    watch.run(f"{a.root}/_recorder")
 
 
 def resolve(spark, a):
@@ -171,15 +225,15 @@ def backtest(spark, a):
 def predict(spark, a):
     m = readers.table(spark, a.root, "matches")
     config = rating_config(a)
-    league = rollups.league_id_for(m, a.league)
-    mine = m.join(league, "league_id", "left_semi").where("series_id > 0 AND start_time IS NOT NULL")
-    first = rollups.first_in(m.join(mine.select("series_id").distinct(), "series_id", "left_semi").where("start_time IS NOT NULL"), ["series_id"], ["start_time", "match_id"], ["series_type", "radiant_team_id", "dire_team_id", "radiant_name", "dire_name", "patch"])
-    when = mine.groupBy("series_id").agg(F.min("start_time").alias("when"), F.count("*").alias("n_maps"))
-    series = first.join(when, "series_id").where("radiant_team_id IS NOT NULL AND dire_team_id IS NOT NULL").withColumnsRenamed({"radiant_team_id": "a", "dire_team_id": "b"})
-    series = series.withColumns({"name_a": F.coalesce(F.nullif("radiant_name", F.lit("")), F.col("a").cast("string")), "name_b": F.coalesce(F.nullif("dire_name", F.lit("")), F.col("b").cast("string"))})
+    quoted = links.quoted_names(*(readers.table(spark, a.root, n).where(F.col("source") == a.source) for n in ("odds_snapshots", "event_series_map")))
+    series = rollups.event_series(m, a.league, quoted)
     if a.model == "draft":
+        league = rollups.league_id_for(m, a.league)
         named = m.join(league, "league_id", "left_semi").where("series_id IS NOT NULL AND start_time IS NOT NULL AND radiant_team_id IS NOT NULL AND dire_team_id IS NOT NULL")
-        named = named.select("match_id", "series_id", "start_time", *[F.coalesce(F.nullif(f"{side}_name", F.lit("")), F.col(f"{side}_team_id").cast("string")).alias(n) for side, n in (("radiant", "name_a"), ("dire", "name_b"))])
+        for side, n in (("radiant", "name_a"), ("dire", "name_b")):
+            book = quoted.select("series_id", F.col("team_id").alias(f"{side}_team_id"), F.col("name").alias(n)).dropDuplicates(["series_id", f"{side}_team_id"])
+            named = named.join(book, ["series_id", f"{side}_team_id"], "left").withColumn(n, F.coalesce(n, F.nullif(f"{side}_name", F.lit("")), F.col(f"{side}_team_id").cast("string")))
+        named = named.select("match_id", "series_id", "start_time", "name_a", "name_b")
         rows = walkforward.event_predictions_draft(maps_of(spark, a.root), drafts.complete_drafts(readers.table(spark, a.root, "draft_events")), named, draft_config(a), config)
         n = walkforward.prediction_counts(rows).first()
         print(f"maps: {n.n_maps}; without a usable draft: {n.n_fallback}")
@@ -297,6 +351,7 @@ def bet(spark, a):
 
 def status(spark, a):
     rollups.status_report({n: readers.table(spark, a.root, n) for n in ("matches", "odds_snapshots")}).show(vertical=True)
+    rollups.odds_coverage(readers.table(spark, a.root, "odds_snapshots")).show(truncate=False)
     rollups.coverage_report(*(readers.table(spark, a.root, n) for n in ("matches", "draft_events", "match_players"))).show()
 
 
@@ -338,14 +393,18 @@ def parser() -> argparse.ArgumentParser:
 
     source, method = o("--source", default="book"), [o("--market", default="moneyline"), o("--method", default="shin", choices=["shin", "proportional"])]
     names = o("--aliases", required=True)
-    command("backfill", backfill, o("--path", required=True))
-    command("detail", detail, o("--path", required=True), o("--limit", type=int, default=100))
-    command("bulkfill", bulkfill, o("--url", required=True), o("--since", type=int, required=True), o("--until", type=int), o("--slice-days", type=int, default=14), o("--with-timeseries", action="store_true"), o("--patches", required=True, help="landed patch constants: id, name, date"))
-    command("record-odds", record_odds, o("--path", required=True), o("--interval", type=int, default=60), o("--once", action="store_true"))
+    remote = [o("--path", help="landed files, in place of a url"), o("--url"), o("--delay", type=float, default=1.2, help="seconds between requests"), o("--api-key")]
+    command("backfill", backfill, *remote, o("--max-matches", type=int, default=500), o("--before-match-id", type=int), o("--resume", action="store_true"), o("--league-id", type=int))
+    command("detail", detail, *remote, o("--limit", type=int, default=100), o("--lanes", type=int, default=4))
+    command("bulkfill", bulkfill, o("--url", required=True, help="of JDBC, or an HTTP endpoint that takes sql"), o("--since", type=int), o("--until", type=int), o("--slice-days", type=int, default=14), o("--with-timeseries", action="store_true"), o("--patches", required=True, help="landed patch constants: id, name, date"))
+    command(
+        "record-odds", record_odds, o("--path", help="landed quotes, in place of sources"), o("--sources", nargs="+", default=["two_endpoint"]), o("--settings", help="JSON: the options of each source"), o("--interval", type=int, default=60), o("--live-interval", type=int, default=20),
+        o("--archive-root"), o("--archive-heartbeat", type=int, default=3600), o("--no-archive", action="store_true"), o("--once", action="store_true"),
+    )
     command("resolve", resolve, source, names, o("--archive"), o("--tolerance", type=int, default=8 * 3600), o("--dry-run", action="store_true"))
     command("eval", evaluate, source, names, *method, o("--predictions", required=True), o("--before-draft", type=int))
     command("backtest", backtest, o("--model", default="ratings", choices=["ratings", "draft"]), o("--tune", action="store_true"), o("--score", default="all", choices=["all", "elite"]), o("--min-games", type=int, default=20), o("--burn-in", type=int, default=1727740800), o("--league"), model=True)
-    command("predict", predict, o("--league", required=True), o("--out"), o("--model", default="ratings", choices=["ratings", "draft"]), model=True)
+    command("predict", predict, source, o("--league", required=True), o("--out"), o("--model", default="ratings", choices=["ratings", "draft"]), model=True)
     command(
         "bet", bet, source, names, *method, o("--settle", action="store_true"), o("--log", required=True), o("--series", type=int), o("--period", type=int, default=1), o("--team-a", help="id, name or alias"), o("--team-b"),
         o("--heroes", help="landed hero list, to give heroes by name"), o("--heroes-a", nargs="*"), o("--heroes-b", nargs="*"), o("--first-action", default="unknown", choices=["a", "b", "unknown"]), o("--bankroll", type=float, default=1000.0), o("--max-stake", type=float, default=50.0), o("--fresh", type=int, default=300), o("--now", type=int), o("--rehearse", action="store_true"), model=True,

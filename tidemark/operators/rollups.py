@@ -114,6 +114,33 @@ def status_report(tables: dict[str, DataFrame]) -> DataFrame:
     return head.join(lines)
 
 
+def odds_coverage(snapshots: DataFrame, k: int = 10) -> DataFrame:
+    """league, market_type, n (snapshots), events: the k with the most snapshots, ties in order of the names."""
+    each = snapshots.groupBy("league", "market_type").agg(F.count("*").alias("n"), F.countDistinct("event_id").alias("events"))
+    return top_k(each, k, F.desc("n"), F.asc_nulls_first("league"), F.asc_nulls_first("market_type"))
+
+
+def unfetched_span(matches: DataFrame) -> tuple[int | None, int | None]:
+    """The first and the last start of maps without detail."""
+    return tuple(matches.where("detail_fetched_at IS NULL").agg(F.min("start_time"), F.max("start_time")).first())
+
+
+def event_series(matches: DataFrame, league: str, quoted: DataFrame) -> DataFrame:
+    """Every real series of a league: series_id, series_type, when, n_maps, a, b, name_a, name_b, patch.
+
+    Teams are those of its first map, also of another league, and without both it is left out. Names are what the book
+    calls them (quoted: series_id, team_id, name), else the map's, else the id. a and b may stand on either side there.
+    """
+    mine = matches.join(league_id_for(matches, league), "league_id", "left_semi").where("series_id > 0 AND start_time IS NOT NULL")
+    when = mine.groupBy("series_id").agg(F.min("start_time").alias("when"), F.count("*").alias("n_maps"))
+    first = first_in(matches.join(when.select("series_id"), "series_id", "left_semi").where("start_time IS NOT NULL"), ["series_id"], ["start_time", "match_id"], ["series_type", "radiant_team_id", "dire_team_id", "radiant_name", "dire_name", "patch"])
+    out = first.join(when, "series_id").where("radiant_team_id IS NOT NULL AND dire_team_id IS NOT NULL").withColumnsRenamed({"radiant_team_id": "a", "dire_team_id": "b"})
+    for side, name in (("a", "radiant_name"), ("b", "dire_name")):
+        names = quoted.select("series_id", F.col("team_id").alias(side), F.col("name").alias(f"__quoted_{side}")).dropDuplicates(["series_id", side])
+        out = out.join(names, ["series_id", side], "left").withColumn(f"name_{side}", F.coalesce(f"__quoted_{side}", F.nullif(name, F.lit("")), F.col(side).cast("string")))
+    return out.select("series_id", "series_type", "when", "n_maps", "a", "b", "name_a", "name_b", "patch")
+
+
 def coverage_report(matches: DataFrame, drafts: DataFrame, players: DataFrame) -> DataFrame:
     """total, detail, patch, draft (any event) and players (ten rows), and the percentage of detail."""
     d = drafts.select("match_id").distinct().withColumn("__d", F.lit(True))

@@ -2,6 +2,7 @@
 
 keyset_json   rows of a list that is read backward page by page; as a stream its offset is the newest id
 polled_json   one poll of one or more endpoints: all of them under one capture stamp, or an error and no poll
+sql_json      rows of a remote SQL endpoint
 """
 
 from __future__ import annotations
@@ -195,8 +196,35 @@ class PolledSource(DataSource):
         return PollReader(self.options)
 
 
+class SqlReader(DataSourceReader):
+    def __init__(self, options: dict):
+        self.options = dict(options)
+
+    def partitions(self) -> list[InputPartition]:
+        return [InputPartition(0)]
+
+    def read(self, _partition) -> Iterator[tuple]:
+        for row in _client(self.options).sql(self.options.get("sql_at", ""), self.options["sql"]):
+            yield (json.dumps(row),)
+
+
+class SqlSource(DataSource):
+    """(body): rows, as JSON, that a remote SQL endpoint gives for one statement; an error in its answer is an error here.
+    Options: url, sql_at (its path), sql and those of Client."""
+
+    @classmethod
+    def name(cls) -> str:
+        return "sql_json"
+
+    def schema(self) -> str:
+        return "body string"
+
+    def reader(self, schema) -> SqlReader:
+        return SqlReader(self.options)
+
+
 def register(spark: SparkSession) -> None:
-    for source in (KeysetSource, PolledSource):
+    for source in (KeysetSource, PolledSource, SqlSource):
         spark.dataSource.register(source)
 
 

@@ -56,12 +56,15 @@ def parent_links(spark: SparkSession, root: str, source: str) -> DataFrame:
 
 def predictions(spark: SparkSession, path: str) -> DataFrame:
     """Prediction records, one JSON object a line; blank lines are skipped, an unknown key or a broken line is an error
-    with the line's text."""
-    lines = spark.read.text(path).where(F.trim("value") != "")
-    allowed = F.array(*[F.lit(f.name) for f in PREDICTIONS.fields])
-    extra = F.array_except(F.json_object_keys("value"), allowed)
-    checked = lines.select(F.when(F.json_object_keys("value").isNull(), F.raise_error(F.concat(F.lit("not a JSON object: "), "value"))).when(F.size(extra) > 0, F.raise_error(F.concat(F.lit("unknown keys "), F.array_join(extra, ","), F.lit(" in "), F.col("value")))).otherwise(F.col("value")).alias("value"))
-    return checked.select(F.from_json("value", PREDICTIONS, {"mode": "FAILFAST"}).alias("r")).select("r.*").withColumns({"period": F.coalesce("period", F.lit(0)), "market_type": F.coalesce("market_type", F.lit("moneyline"))})
+    that names the file and the number of the line."""
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file")).where(F.trim("value") != "")
+    keys, allowed = F.json_object_keys("value"), F.array(*[F.lit(f.name) for f in PREDICTIONS.fields])
+    extra = F.array_join(F.array_sort(F.array_except(keys, allowed)), ",")
+    fault = F.when(keys.isNull(), F.lit("not a JSON object")).when(extra != "", F.concat(F.lit("unknown keys "), extra))
+    for bad in lines.where(fault.isNotNull()).select("value", "file", fault.alias("fault")).take(1):
+        whole = spark.read.text(bad.file, wholetext=True).select(F.posexplode(F.split("value", "\r?\n")))
+        raise ValueError(f"{bad.file}:{whole.where(F.col('col') == bad.value).agg(F.min('pos')).first()[0] + 1}: {bad.fault}")
+    return lines.select(F.from_json("value", PREDICTIONS, {"mode": "FAILFAST"}).alias("r")).select("r.*").withColumns({"period": F.coalesce("period", F.lit(0)), "market_type": F.coalesce("market_type", F.lit("moneyline"))})
 
 
 def aliases(spark: SparkSession, teams: list[dict]) -> DataFrame:
@@ -148,6 +151,17 @@ SLICE_QUERIES = {
 SERIES_COLUMNS = ", m.radiant_gold_adv, m.radiant_xp_adv"
 
 
+#: Schemas of what the slices give over HTTP.
+SLICE_SCHEMAS = {
+    "matches": (
+        "match_id long, leagueid long, series_id long, series_type int, start_time long, duration int, radiant_team_id long, radiant_name string, dire_team_id long, dire_name string, "
+        "radiant_win boolean, radiant_score int, dire_score int, patch string, radiant_gold_adv array<int>, radiant_xp_adv array<int>"
+    ),
+    "picks_bans": "match_id long, is_pick boolean, hero_id int, team int, `order` int",
+    "player_matches": "match_id long, player_slot int, account_id long, hero_id int, kills int, deaths int, assists int, gold_per_min int, xp_per_min int, lane_role int",
+}
+
+
 def slice_sql(table: str, lo: int, hi: int, with_timeseries: bool = False) -> str:
     return SLICE_QUERIES[table].format(lo=lo, hi=hi, series=SERIES_COLUMNS if with_timeseries else "")
 
@@ -157,6 +171,17 @@ def remote(spark: SparkSession, url: str, sql: str, **options) -> DataFrame:
     return spark.read.format("jdbc").options(url=url, query=sql, **options).load()
 
 
+def remote_slice(spark: SparkSession, url: str, name: str, lo: int, hi: int, with_timeseries: bool = False, **options) -> DataFrame:
+    """A table's slice in its declared schema, over JDBC or from an HTTP endpoint that takes SQL."""
+    sql, schema = slice_sql(name, lo, hi, with_timeseries), T.StructType.fromDDL(SLICE_SCHEMAS[name])
+    if url.startswith("http"):
+        rows = spark.read.format("sql_json").options(url=url, sql=sql, **options).load().select(F.from_json("body", schema).alias("r")).select("r.*")
+    else:
+        rows = remote(spark, url, sql, **options)
+    fields = [f for f in schema.fields if with_timeseries or not f.name.endswith("_adv")]
+    return rows.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in fields])
+
+
 def slices(lo: int, hi: int, width: int, read: Callable[[int, int], object], least: int = 86400) -> Iterator[tuple[int, int, object]]:
     """(lo, hi, result or None) of read over consecutive slices; a slice that fails is halved, down to least seconds,
     and then skipped, with None as its result."""
