@@ -164,3 +164,12 @@ def test_record_odds_once_by_sources(spark, tmp_path, capsys):
     run(spark, root, "status")
     assert "moneyline" in capsys.readouterr().out
     books.server.shutdown()
+
+
+def test_predict_from_a_snapshot(spark, root, monkeypatch):
+    folded = []
+    replay = cli.ratings.replay
+    monkeypatch.setattr(cli.ratings, "replay", lambda maps, *a: (folded.append(maps.count()), replay(maps, *a))[1])
+    run(spark, root, "predict", "--league", "cup", "--out", f"{root}/first")
+    run(spark, root, "predict", "--league", "cup", "--out", f"{root}/second")
+    assert written(f"{root}/first") == written(f"{root}/second") and folded[1] < folded[0]

@@ -222,6 +222,22 @@ def backtest(spark, a):
         print(r.n, r.brier, r.log_loss, r.n_fallback, configs[r.config_id])
 
 
+def _history(spark, root: str, config: ratings.RatingConfig, series: DataFrame) -> DataFrame:
+    """States for predictions frozen at the starts of series: from the last valid snapshot before the first of them, which
+    is saved there for the next time, to the last."""
+    maps = materialize(maps_of(spark, root), "maps")
+    first, last = series.agg(F.min("when"), F.max("when")).first()
+    saved = ratings.Snapshots(spark, f"{root}/_snapshots", config)
+    if first is None:
+        return ratings.replay(maps.limit(0), {0: config})
+    found = saved.newest(maps, first)
+    after = maps.where(F.col("start_time") < last) if found is None else maps.where((F.col("start_time") >= found[1]) & (F.col("start_time") < last))
+    past = materialize(saved.joined(None if found is None else found[0], ratings.replay(after, {0: config}, None if found is None else found[0])), "states")
+    if found is None or found[1] < first:
+        saved.save(maps, past, first)
+    return past
+
+
 def predict(spark, a):
     m = readers.table(spark, a.root, "matches")
     config = rating_config(a)
@@ -239,7 +255,7 @@ def predict(spark, a):
         print(f"maps: {n.n_maps}; without a usable draft: {n.n_fallback}")
         out = rows.drop("match_id", "fallback")
     else:
-        frozen = ratings.frozen(ratings.replay(maps_of(spark, a.root), {0: config}), series, config)
+        frozen = ratings.frozen(_history(spark, a.root, config, series), series, config)
         played = m.select("series_id", "start_time", F.col("radiant_team_id").alias("a"), F.col("dire_team_id").alias("b"), F.col("radiant_win").alias("win"))
         whole, by_day = walkforward.match_report(frozen, played)
         whole.show()
