@@ -151,6 +151,28 @@ def test_archive_is_read_back(spark, tmp_path):
     assert readers.parent_links(spark, f"file://{root}", "nobody").collect() == []
 
 
+def test_compacted_archive(spark, tmp_path):
+    link = lambda *pairs: json.dumps({"matchups": [{"id": i, "parentId": p} for i, p in pairs]})
+    root, day = f"file://{tmp_path}/archive", 86400
+    rows = [("book", 10 * day, link((1, 10), (2, None))), ("book", 10 * day + 5, link((1, 11))), ("book", 12 * day, link((1, 12), (4, 40))), ("other", 10 * day, link((1, 77)))]
+    for r in rows:
+        writers.archive(spark.createDataFrame([r], "source string, captured_at long, payload string"), root)
+    links = lambda **k: {r.event_id: r.parent_event_id for r in readers.parent_links(spark, root, "book", **k).collect()}
+    want, after = links(), links(since="1970-01-12")
+    assert want == {"1": "12", "4": "40"} and after == want
+    assert writers.compact(spark, root, "book", "1970-01-12") == ["1970-01-11"] and links() == want
+    assert not os.path.exists(f"{tmp_path}/archive/source=book/day=1970-01-11") and os.path.exists(f"{tmp_path}/archive/source=other")
+    writers.archive(spark.createDataFrame([("book", 10 * day + 9, link((3, 30)))], "source string, captured_at long, payload string"), root)
+    assert writers.compact(spark, root, "book", "1970-01-13") == ["1970-01-11"] and writers.compact(spark, root, "book", "1971-01-01") == ["1970-01-13"]
+    assert writers.compact(spark, root, "book", "1971-01-01") == []
+    assert links() == {**want, "3": "30"} and links(since="1970-01-13") == {"1": "12", "4": "40"}
+    payloads = spark.read.parquet(f"{root}/_compacted/payloads")
+    assert payloads.count() == 4 and payloads.where("day = '1970-01-11'").count() == 3
+    links_read = writers.compacted(spark, root, "links", writers.LINKS).where("source = 'book' AND day >= '1970-01-13'")
+    assert "PartitionFilters: [isnotnull(source" in links_read._jdf.queryExecution().executedPlan().toString()
+    assert writers.compact(spark, f"{root}-none", "book", "1971-01-01") == []
+
+
 def test_slices_are_pruned_and_named(spark):
     plain, full = readers.slice_sql("matches", 5, 9), readers.slice_sql("matches", 5, 9, True)
     assert "*" not in plain and "gold_adv" not in plain and "m.radiant_gold_adv, m.radiant_xp_adv FROM" in full

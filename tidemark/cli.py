@@ -381,10 +381,18 @@ def windows(spark, a):
     seen = rows.groupBy("series_id", "period").agg(F.min("at").alias("seen"), F.max("at").alias("until"))
     periods = played.join(before, ["series_id", "period"], "left").join(seen, ["series_id", "period"]).select("series_id", "period", F.coalesce("lo", "seen").alias("lo"), F.col("start_time").alias("hi"), "until")
     report = spans.period_report(rows, periods, ["series_id", "period"], a.draft_window)
-    print(writers.tsv(report) if a.format == "tsv" else writers.markdown(report))
+    report = materialize(report, "windows")
+    if a.out:
+        report.write.mode("overwrite").parquet(a.out)
+    top = rollups.top_k(report, a.top, "series_id", "period")
+    print(writers.tsv(top) if a.format == "tsv" else writers.markdown(top))
     print(writers.markdown(spans.summarise(report, ["period"])))
 
 
+def compact(spark, a):
+    print("compacted days:", ", ".join(writers.compact(spark, a.archive, a.source, a.before)) or "none")
+
+
 def open_now(spark, a):
     history.open_lines(readers.table(spark, a.root, "odds_snapshots"), LINE, ["captured_at", "id"], source_prefix=a.source).show(100, truncate=False)
 
@@ -426,7 +434,8 @@ def parser() -> argparse.ArgumentParser:
         o("--heroes", help="landed hero list, to give heroes by name"), o("--heroes-a", nargs="*"), o("--heroes-b", nargs="*"), o("--first-action", default="unknown", choices=["a", "b", "unknown"]), o("--bankroll", type=float, default=1000.0), o("--max-stake", type=float, default=50.0), o("--fresh", type=int, default=300), o("--now", type=int), o("--rehearse", action="store_true"), model=True,
     )
     command("status", status)
-    command("windows", windows, o("--draft-window", type=int, default=600), o("--format", default="md", choices=["md", "tsv"]))
+    command("windows", windows, o("--draft-window", type=int, default=600), o("--format", default="md", choices=["md", "tsv"]), o("--out", help="folder for the whole table"), o("--top", type=int, default=1000, help="rows to print"))
+    command("compact", compact, source, o("--archive", required=True), o("--before", required=True, help="day, yyyy-MM-dd"))
     command("open", open_now, o("--source", default="", help="prefix of the sources"))
     return p
 

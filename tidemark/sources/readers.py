@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import logging
 import time
 from collections.abc import Callable, Iterable, Iterator
 
@@ -13,7 +14,10 @@ from pyspark.sql import types as T
 
 from ..functions.scalars import norm_hero, norm_name
 from ..schemas import KEYS, PREDICTIONS, TABLES
-from . import parts
+from . import parts, writers
+
+
+log = logging.getLogger(__name__)
 
 
 def table(spark: SparkSession, root: str, name: str) -> DataFrame:
@@ -40,10 +44,11 @@ def json_documents(spark: SparkSession, path: str, schema: str, whole_file: bool
         return spark.createDataFrame([], T.StructType.fromDDL(schema))
 
 
-def parent_links(spark: SparkSession, root: str, source: str) -> DataFrame:
-    """(event_id, parent_event_id) of an archive of payloads: of each child the link in the payload captured last.
+def parent_links(spark: SparkSession, root: str, source: str, since: str | None = None) -> DataFrame:
+    """(event_id, parent_event_id) of an archive of payloads: of each child the link in the payload captured last, from a
+    day (yyyy-MM-dd) on. Of compacted days only the links of this source and time are read.
 
-    Reads what writers.archive writes (source=.../day=.../captured_at=...) and landed files (source/day/EPOCH.json.gz, one
+    Else reads what writers.archive writes (source=.../day=.../captured_at=...) and landed files (source/day/EPOCH.json.gz, one
     document each). Unreadable files are skipped, a missing archive is empty.
     """
     links, found = "matchups array<struct<id: long, parentId: long>>", []
@@ -51,7 +56,11 @@ def parent_links(spark: SparkSession, root: str, source: str) -> DataFrame:
         raw = json_documents(spark, folder, links, whole, ignoreCorruptFiles=True, recursiveFileLookup=True)
         at = F.regexp_extract(F.input_file_name(), "(?:captured_at=([0-9]+)|/([0-9]+)[.]json)", 0)
         found.append(raw.select(F.regexp_replace(at, "[^0-9]", "").try_cast("long").alias("at"), F.explode("matchups").alias("m")).where("m.parentId IS NOT NULL"))
-    return found[0].union(found[1]).groupBy(F.col("m.id").cast("string").alias("event_id")).agg(F.max_by(F.col("m.parentId").cast("string"), F.struct("at", "m.parentId")).alias("parent_event_id"))
+    if since is not None:
+        found = [f.where(F.date_format(F.timestamp_seconds("at"), "yyyy-MM-dd") >= since) for f in found]
+    links = writers.compacted(spark, root, "links", writers.LINKS).where((F.col("source") == source) & F.col("parent_event_id").isNotNull() & (F.lit(True) if since is None else F.col("day") >= since))
+    found.append(links.select(F.col("captured_at").alias("at"), F.struct(F.col("event_id").cast("long").alias("id"), F.col("parent_event_id").cast("long").alias("parentId")).alias("m")))
+    return found[0].union(found[1]).union(found[2]).groupBy(F.col("m.id").cast("string").alias("event_id")).agg(F.max_by(F.col("m.parentId").cast("string"), F.struct("at", "m.parentId")).alias("parent_event_id"))
 
 
 def predictions(spark: SparkSession, path: str) -> DataFrame:
@@ -192,7 +201,8 @@ def slices(lo: int, hi: int, width: int, read: Callable[[int, int], object], lea
             try:
                 yield lo, end, read(lo, end)
                 break
-            except Exception:
+            except Exception as e:
+                log.warning("slice from %s to %s failed: %s", lo, end, e)
                 if size <= least:
                     yield lo, end, None
                     break

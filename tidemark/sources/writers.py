@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import day_of
+from .shared import delete, materialize
 
 
 def upsert_replace(stored: DataFrame, new: DataFrame, keys: list[str], seq: str | None = None) -> DataFrame:
@@ -57,6 +59,62 @@ def archive(payloads: DataFrame, root: str) -> None:
     rows.write.mode("append").partitionBy("source", "day", "captured_at").option("compression", "gzip").text(root)
 
 
+ARCHIVED = "source string, day string, captured_at long, payload string"
+
+
+def archived(spark: SparkSession, root: str, source: str) -> DataFrame:
+    """ARCHIVED rows of a source that aren't compacted yet; their folders' names give all but the payload."""
+    none = spark.createDataFrame([], ARCHIVED)
+    try:
+        raw = spark.read.option("basePath", root).text(f"{root}/source={source}")
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return none
+    if "day" not in raw.columns:
+        return none  # an empty folder
+    return raw.select(F.lit(source).alias("source"), F.col("day").cast("string").alias("day"), F.col("captured_at").cast("long").alias("captured_at"), F.col("value").alias("payload"))
+
+
+def compact(spark: SparkSession, root: str, source: str, before: str) -> list[str]:
+    """Turn a source's archived payloads of days before a day into few sorted files; the days that were taken.
+
+    Payloads go to _compacted/payloads, sorted by capture, and what they say of events to _compacted/links (event_id,
+    parent_event_id, captured_at), sorted by event; both by source and day, so that a reader meets no other source or
+    time. Small files go when both are written; a run that ends in between leaves payloads in both places, which counts
+    them twice nowhere, and the next run takes what is new of a day into its files.
+    """
+    small = f"{root}/source={source}"
+    raw = archived(spark, root, source)
+    fresh = materialize(raw.where(F.col("day") < before), "payloads")
+    days = sorted(r.day for r in fresh.select("day").distinct().collect())
+    if not days:
+        return []
+    known = compacted(spark, root, "payloads", fresh.schema).where((F.col("source") == source) & F.col("day").isin(days))
+    rows = materialize(fresh.unionByName(known).distinct(), "payloads")
+    seen = F.explode(F.from_json("payload", "matchups array<struct<id: long, parentId: long>>")["matchups"])
+    links = rows.select("source", "day", "captured_at", seen.alias("m")).where("m.id IS NOT NULL").select("source", "day", F.col("m.id").cast("string").alias("event_id"), F.col("m.parentId").cast("string").alias("parent_event_id"), "captured_at")
+    for name, table, order in (("payloads", rows, ["day", "captured_at"]), ("links", links, ["day", "event_id", "captured_at"])):
+        dealt = table.repartitionByRange(*order).sortWithinPartitions(*order)
+        dealt.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("source", "day").parquet(f"{root}/_compacted/{name}")
+    for day in days:
+        delete(spark, f"{small}/day={day}")
+    return days
+
+
+LINKS = "event_id string, parent_event_id string, captured_at long, source string, day string"
+
+
+def compacted(spark: SparkSession, root: str, name: str, schema) -> DataFrame:
+    """What compact has written of an archive; empty if it never ran."""
+    try:
+        return spark.read.schema(schema).parquet(f"{root}/_compacted/{name}")
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], schema)
+
+
 def should_archive(written: int, last_archived: int | None, now: int, heartbeat_s: int = 3600) -> bool:
     """Archive on change, or once a heartbeat without one."""
     return written > 0 or last_archived is None or now - last_archived >= heartbeat_s

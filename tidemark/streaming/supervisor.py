@@ -7,14 +7,13 @@ import threading
 import time
 from collections.abc import Callable
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.listener import StreamingQueryListener
 
 from ..sources.polls import Source
 from ..sources.shared import materialize
-from ..sources.writers import archive, should_archive
+from ..sources.writers import ARCHIVED, archive, archived, compacted, should_archive
 from .recorder import Recorder, poll_interval
 
 log = logging.getLogger(__name__)
@@ -57,13 +56,9 @@ class Supervisor:
         self.storing, self.polling = threading.Lock(), {n: threading.Lock() for n in sources}
 
     def last_archived(self, name: str) -> int | None:
-        try:
-            rows = self.spark.read.schema("value string, source string, captured_at long").option("basePath", self.archive_root).text(f"{self.archive_root}/source={name}")
-        except AnalysisException as e:
-            if e.getCondition() != "PATH_NOT_FOUND":
-                raise
-            return None
-        return rows.agg(F.max("captured_at")).first()[0]
+        newest = archived(self.spark, self.archive_root, name).agg(F.max("captured_at")).first()[0]
+        known = compacted(self.spark, self.archive_root, "payloads", ARCHIVED).where(F.col("source") == name)
+        return newest if newest is not None else known.agg(F.max("captured_at")).first()[0]
 
     def poll(self, name: str) -> dict | None:
         """One poll of a source: what it stored, or None if it failed."""
