@@ -204,7 +204,8 @@ def score(docs: DataFrame, model: PairwiseGAM) -> DataFrame:
 
 
 def keep_good(docs: DataFrame, model: PairwiseGAM, threshold: float = 0.7) -> DataFrame:
-    """The rows of docs whose text scores threshold or more, with all their columns."""
+    """The rows of docs whose text scores threshold or more, with all their columns, whatever they are called. Null texts
+    score as empty ones; rows that repeat a doc_id, or have none, are judged each by their own text."""
     at, cut, shared = docs.columns.index("text"), threshold, docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
