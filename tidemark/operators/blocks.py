@@ -38,10 +38,11 @@ def number_of(df: DataFrame, at: str) -> Column:
     return F.unix_micros(F.col(at).cast("timestamp")).cast("double") if kind.startswith(("timestamp", "date")) else F.col(at).cast("double")
 
 
-def blocks(df: DataFrame, at: str, n: int = 64, widest: float | None = None) -> Blocks:
+def blocks(df: DataFrame, at: str, n: int | None = None, widest: float | None = None) -> Blocks:
     """About n blocks with equally many rows of df (by an approximate quantile sketch), none wider than widest. The driver
-    holds the bounds alone; equal numbers are never parted."""
-    x = number_of(df, at)
+    holds the bounds alone; equal numbers are never parted. Unless n is given, there are two for each core, 16 to 1,024:
+    as many tasks as a key with all of the rows can use."""
+    x, n = number_of(df, at), n or min(1024, max(16, 2 * df.sparkSession.sparkContext.defaultParallelism))
     low, high, cuts = df.agg(F.min(x), F.max(x), F.percentile_approx(x, [k / n for k in range(1, n)], 2000)).first()
     if low is None:
         return Blocks(0.0, ())

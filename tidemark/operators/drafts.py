@@ -59,17 +59,18 @@ def decayed(df: DataFrame, keys: list[str], at: str, order: list[str], won: str,
 
     none = F.array(*[F.lit(0.0)] * (2 * len(half_lives)))
     empty = F.struct(F.lit(0).alias("block"), none.alias("sums"), F.array().cast("array<struct<block:int,sums:array<double>>>").alias("before"))
-    came = listed.select(*keys, F.explode(F.aggregate("blocks", empty, fold, lambda acc: acc.before)).alias("x")).select(*[F.col(k).alias(f"__key_{i}") for i, k in enumerate(keys)], F.col("x.block").alias("__of"), F.col("x.sums").alias("__came"))
-    same = F.col("__block") == F.col("__of")
-    for i, k in enumerate(keys):
-        same = same & F.col(k).eqNullSafe(F.col(f"__key_{i}"))
-    w = Window.partitionBy(*keys, "__block").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    before = lambda v, i, g: (F.coalesce(F.sum(v).over(w), F.lit(0.0)) + F.col("__came")[i]) / g
-    counts = [(f"{name}_{i}", before(v, 2 * i + j, g)) for i, g in enumerate(grown) for j, (name, v) in enumerate((("wins", F.col(won) * g), ("total", g)))]
-    return rows.join(came, same, "left").withColumns(dict(counts)).select(*df.columns, *[c for c, _ in counts])
-
-
-def decay_blocks(df: DataFrame, at: str, half_lives: list[float], n: int = 64) -> Blocks:
+    came = listed.select(*keys, F.explode(F.aggregate("blocks", empty, fold, lambda acc: acc.before)).alias("x"))
+    # what came stands in the window's stream as the first row of its block, so that no join is needed
+    parts = [f"__{name}_{i}" for i in range(len(half_lives)) for name in ("wins", "total")]
+    own = rows.select(*df.columns, "__block", F.lit(1).alias("__after"), *[v.alias(p) for p, v in zip(parts, (v for g in grown for v in (F.col(won) * g, g)), strict=True)])
+    first = came.select(*[F.col(c) if c in keys else F.lit(None).cast(df.schema[c].dataType).alias(c) for c in df.columns], F.col("x.block").alias("__block"), F.lit(0).alias("__after"), *[F.col("x.sums")[i].alias(p) for i, p in enumerate(parts)])
+    w = Window.partitionBy(*keys, "__block").orderBy("__after", *order).rowsBetween(Window.unboundedPreceding, -1)
+    counted = own.unionByName(first).withColumns({f"{p}_before": F.sum(p).over(w) for p in parts}).where("__after = 1")
+    given = [(F.coalesce(F.col(f"__{name}_{i}_before"), F.lit(0.0)) / F.col(f"__total_{i}")).alias(f"{name}_{i}") for i in range(len(half_lives)) for name in ("wins", "total")]
+    return counted.select(*df.columns, *given)
+
+
+def decay_blocks(df: DataFrame, at: str, half_lives: list[float], n: int | None = None) -> Blocks:
     """Blocks of times for decayed: as even as they can be with none over 500 half-lives wide."""
     return blocks(df, at, n, 500 * min(half_lives))
 

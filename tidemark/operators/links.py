@@ -30,12 +30,12 @@ def asof_previous(df: DataFrame, keys: list[str], order: list[str], value: Colum
     return df.withColumn(name, F.last(value, ignorenulls=True).over(w))
 
 
-def merge_asof(left: DataFrame, right: DataFrame, on: list[str], left_at: str, right_at: str, value: list[str], strict: bool = True, order: list[str] = (), n_blocks: int = 64) -> DataFrame:
+def merge_asof(left: DataFrame, right: DataFrame, on: list[str], left_at: str, right_at: str, value: list[str], strict: bool = True, order: list[str] = (), n_blocks: int | None = None) -> DataFrame:
     """left with the values of the last row of right before (strict) or at its time, ties by order; null without one.
 
     Both sides are laid in one sorted stream by key and time and values carried forward: one shuffle and one sort,
     however many rows of right precede a row of left, where an inequality join would form all pairs. Streams are cut at
-    quantiles of right's times into n_blocks blocks, so that a key with most of the rows is as many tasks; each block of
+    quantiles of right's times into n_blocks blocks (see blocks), so that a key with most of the rows is as many tasks; each block of
     a key begins with the last value of those before it, which one small row per key and block works out.
     """
     cuts = blocks(right, right_at, n_blocks)
