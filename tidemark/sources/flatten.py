@@ -158,12 +158,13 @@ def two_endpoint_quotes(matchups: DataFrame, markets: DataFrame, source: str, le
 
 
 def many_book_quotes(events: DataFrame, source: str, by: tuple[str, ...] = ()) -> DataFrame:
-    """Quotes of an aggregator (BOOKS): events x books x markets x outcomes, with the columns in by. Status is unknown: null."""
+    """Quotes of an aggregator (BOOKS): events x books x markets x outcomes, with the columns in by. Units are the
+    regular ones and the cutoff is the start; whether it is live, the limit and the status are unknown: null."""
     x = events.withColumn("b", F.explode("bookmakers")).withColumn("m", F.explode("b.markets")).withColumn("o", F.explode("m.outcomes"))
     x = x.withColumns({"source": F.concat_ws(":", F.lit(source), F.col("b.key")), "market_type": F.col("m.key"), "selection": F.col("o.name"), "points": F.col("o.point"), "price_decimal": F.col("o.price"), "period": F.lit(0)})
     none = lambda kind: F.lit(None).cast(kind)
     x = x.withColumns({"price_american": decimal_to_american(F.col("price_decimal")), "line_key": line_key(F.col("id"), F.col("b.key"), F.col("market_type"), F.col("period"), F.col("selection"), _text(F.col("points")))})
     return x.select(
         "source", "line_key", F.col("id").alias("event_id"), F.col("sport_title").alias("league"), F.col("home_team").alias("home"), F.col("away_team").alias("away"), F.col("commence_time").alias("start_time"), "market_type", "period",
-        none("string").alias("units"), "selection", "points", "price_american", "price_decimal", none("double").alias("limit_amount"), F.lit(0).alias("is_live"), none("string").alias("status"), none("string").alias("cutoff_at"), *by,
+        F.lit("Regular").alias("units"), "selection", "points", "price_american", "price_decimal", none("double").alias("limit_amount"), none("int").alias("is_live"), none("string").alias("status"), F.col("commence_time").alias("cutoff_at"), *by,
     )
