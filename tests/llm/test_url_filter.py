@@ -1,8 +1,9 @@
+import zlib
 from collections import Counter, defaultdict
 
 from pyspark.sql import functions as F
 
-from tidemark.llm.url_filter import RULES, host_and_path, judge_pages
+from tidemark.llm.url_filter import RULES, held_out, host_and_path, judge_pages
 
 URLS = [
     "http://a.example.com/en/700?x", "https://A.EXAMPLE.COM/en/12#y", "http://b.example.net/de/80/", "http://b.example.net/de/70", "ftp://x.org/es/", "http://x.org/fr/1",
@@ -58,9 +59,9 @@ def brute(urls, links, steps=200, d=0.85):
     for (h, _), (_, v) in zip(parts, rules, strict=True):
         if h and v:
             seeds[v][h] += 1
-    scores, votes = {}, sum(sum(s.values()) for s in seeds.values())
+    scores = {}
     for v, s in seeds.items():
-        s = {h: k / votes for h, k in s.items()}
+        s = {h: k / sum(seeds[v].values()) for h, k in s.items()}
         whole, now = sum(s.values()), dict(s)
         for _ in range(steps):
             new = defaultdict(float, {h: (1 - d) * k for h, k in s.items()})
@@ -76,7 +77,7 @@ def brute(urls, links, steps=200, d=0.85):
     for (h, p), (rule, v) in zip(parts, rules, strict=True):
         t, b = scores["allow"].get(h, 0), scores["block"].get(h, 0)
         share = round(b / (t + b), 9) if t + b else None
-        verdicts.append((h, p, rule, v or ("block" if share is not None and share >= 0.5 else "allow"), share))
+        verdicts.append((h, p, rule, v or ("block" if share is not None and share > 0.5 else "allow"), share))
     return verdicts
 
 
@@ -106,13 +107,39 @@ def test_parts_and_empty(spark):
     assert sorted((r.page_id or -1, r.verdict) for r in judge_pages(twice).collect()) == [(-1, "allow"), (1, "allow"), (1, "allow")]
 
 
-def test_votes_weigh_alike_and_scores_sum_to_their_seeds(spark):
-    pages = [(i, f"http://a{i}.example.com/en/7", "") for i in range(9)] + [(99, "http://b.example.net/de/8", "")] + [(k, f"http://new{k}.info/", '<a href="http://a0.example.com/x">a</a><a href="http://b.example.net/y">b</a>') for k in (100, 101)]
-    out = {r.page_id: r for r in judge_pages(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
-    assert out[0].verdict == "allow" and out[99].verdict == "block" and 0 < out[100].distrust <= 1
+def test_distrust_is_compared_with_its_part_of_all_votes(spark):
+    """The links are the same and so is each host's distrust, whichever kind has more votes."""
+    found = set()
+    for allowed, blocked in ((9, 1), (1, 9), (3, 3)):
+        pages = [(i, "http://a.example.com/en/7", "") for i in range(allowed)] + [(100 + i, "http://b.example.net/de/8", "") for i in range(blocked)]
+        pages += [(200, "http://near.info/", '<a href="http://b.example.net/">b</a>'), (201, "http://far.info/", '<a href="http://near.info/y">b</a>')]
+        pages[0] = (0, "http://a.example.com/en/7", '<a href="http://near.info/">a</a><a href="http://good.info/">a</a>')
+        pages += [(202, "http://good.info/", "")]
+        out = {r.page_id: r for r in judge_pages(spark.createDataFrame(pages, "page_id long, url string, html string"), tolerance=1e-9).collect()}
+        assert [out[i].verdict for i in (0, 100, 201, 202)] == ["allow", "block", "block", "allow"]
+        found.add(round(out[200].distrust, 6))
+    assert len(found) == 1
+
+
+def test_scores_sum_to_their_seeds(spark):
     edges = spark.createDataFrame([("x", "y", 1.0), ("y", "z", 2.0), ("x", "z", 1.0)], "src string, dst string, n double")
     seeds = spark.createDataFrame([("x", 0.5, 0.0), ("z", 0.2, 0.3)], "host string, trust double, distrust double")
     from tidemark.llm.url_filter import propagate
 
     got = propagate(edges, seeds, 1e-9).collect()
     assert abs(sum(r.trust for r in got) - 0.7) < 1e-9 and abs(sum(r.distrust for r in got) - 0.3) < 1e-9
+
+
+def test_hosts_left_out_of_the_seeds(spark):
+    pages = [(i, f"http://h{i}.bad.example.net/de/8", f'<a href="http://h{(i + 1) % 30}.bad.example.net/">a</a>') for i in range(30)]
+    pages += [(100 + i, f"http://h{i}.good.example.com/en/7", f'<a href="http://h{(i + 1) % 30}.good.example.com/">a</a>') for i in range(30)]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string")
+    left = [i for _, u, _ in pages for i in [u.split("/")[2]] if zlib.crc32(i.encode()) % 5 == 0]
+    got = {(r.ruled, r.verdict): r.pages for r in held_out(df).collect()}
+    assert got == Counter(("block", "block") if "bad" in h else ("allow", "allow") for h in left)
+    assert held_out(df.limit(0)).collect() == []
+
+
+def test_columns_called_like_outputs(spark):
+    df = spark.createDataFrame([(1, "http://a.org/es/1", "", "x", "y", 2.0)], "page_id long, url string, html string, host string, rule string, distrust double")
+    assert [(r.host, r.rule, r.verdict) for r in judge_pages(df).collect()] == [("a.org", "org/es/", "block")]

@@ -2,7 +2,7 @@
 
 Pages that a rule fits are judged by it. For the others, trust spreads by personalised PageRank from the hosts of
 allowed pages along links, and distrust from the hosts of blocked pages against them: who links to bad hosts is bad.
-A host whose share of distrust reaches a threshold is blocked.
+A host where distrust weighs more, against all of it, than trust does is blocked.
 """
 
 from __future__ import annotations
@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import ascii_lower, materialize, table
+from ._shared import ascii_lower, materialize, scratch, table
 
 #: Verdicts and rules; a rule is a host and a path.
 RULES = [("block", "com/en/"), ("allow", "example.com/en/7"), ("allow", "net/de/"), ("block", "example.net/de/8"), ("block", "org/es/")]
@@ -82,27 +82,54 @@ def propagate(edges: DataFrame, seeds: DataFrame, tolerance: float = TOLERANCE,
     return now.groupBy("host").agg(kind("trust"), kind("distrust"))
 
 
-def judge_pages(pages: DataFrame, rules=RULES, threshold: float = THRESHOLD, tolerance: float = TOLERANCE) -> DataFrame:
-    """page_id, host, path, rule, verdict, distrust (its share, null without any score) of every row of pages.
+def host_scores(edges: DataFrame, votes: DataFrame, tolerance: float = TOLERANCE) -> DataFrame:
+    """(host, distrust) of every host that a score reaches. votes: host, trust, distrust (numbers of its ruled pages).
 
-    Null urls and those without :// have no host; no rule fits them and they are allowed, as are hosts that no score
-    reaches. Null html has no links. Rows that repeat a page_id are judged each and count each as a page of their host.
-    Every ruled page is one vote, for or against: trust and distrust start with their shares of all votes, so that few
-    blocked pages don't weigh as much as many allowed ones. Further columns of pages are not looked at.
+    Trust and distrust each sum to 1, and a host's distrust is its part of both: 0.5 where blocked pages weigh there as
+    much as among all votes, more where they weigh more. With votes of one kind alone it is 0 or 1.
     """
+    total = votes.agg(F.sum("trust"), F.sum("distrust")).first()
+    share = lambda c, n: (F.col(c) / F.lit(float(max(n or 0, 1)))).alias(c)
+    scores = propagate(edges, votes.select("host", share("trust", total[0]), share("distrust", total[1])), tolerance)
+    return scores.select("host", F.round(F.col("distrust") / (F.col("trust") + F.col("distrust")), 9).alias("distrust"))
+
+
+def _known(pages: DataFrame, rules) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The pages with host, path, rule and ruled; edges; votes."""
     host, path = host_and_path(F.col("url"))
     known = pages.select("page_id", host.alias("host"), path.alias("path")).withColumn("r", rule_of(F.col("host"), F.col("path"), rules)).select("page_id", "host", "path", "r.rule", F.col("r.verdict").alias("ruled"))
     edges = materialize(host_edges(pages.select(host.alias("host"), "html")), "host-edges")
     votes = known.where("host <> ''").groupBy("host").agg(F.count_if(F.col("ruled") == "allow").alias("trust"), F.count_if(F.col("ruled") == "block").alias("distrust"))
-    votes = materialize(votes, "host-votes")
-    total = votes.agg(F.sum("trust"), F.sum("distrust")).first()
-    share = lambda c: (F.col(c) / F.lit(float(max((total[0] or 0) + (total[1] or 0), 1)))).alias(c)
-    scores = propagate(edges, votes.select("host", share("trust"), share("distrust")), tolerance)
-    scores = materialize(scores.select("host", F.round(F.col("distrust") / (F.col("trust") + F.col("distrust")), 9).alias("distrust")), "host-verdicts")
+    return known, edges, materialize(votes.where("trust > 0 OR distrust > 0"), "host-votes")
+
+
+def judge_pages(pages: DataFrame, rules=RULES, threshold: float = THRESHOLD, tolerance: float = TOLERANCE) -> DataFrame:
+    """page_id, host, path, rule, verdict, distrust (see host_scores; null without any score) of every row of pages.
+
+    A page without a rule is blocked if its host's distrust is above threshold: as blocked pages are compared with their
+    part of all votes, a host that trust and distrust reach alike is allowed, however many votes are for blocking.
+    Null urls and those without :// have no host; no rule fits them and they are allowed, as are hosts that no score
+    reaches. Null html has no links. Rows that repeat a page_id are judged each and count each as a page of their host:
+    every ruled page is one vote. Further columns of pages are not looked at.
+    """
+    known, edges, votes = _known(pages, rules)
+    scores = materialize(host_scores(edges, votes, tolerance), "host-verdicts")
     return known.join(scores, "host", "left").select(
-        "page_id", "host", "path", "rule", F.coalesce("ruled", F.when(F.col("distrust") >= threshold, F.lit("block")).otherwise(F.lit("allow"))).alias("verdict"), "distrust",
+        "page_id", "host", "path", "rule", F.coalesce("ruled", F.when(F.col("distrust") > threshold, F.lit("block")).otherwise(F.lit("allow"))).alias("verdict"), "distrust",
     )
 
 
+def held_out(pages: DataFrame, rules=RULES, folds: int = 5, fold: int = 0, threshold: float = THRESHOLD, tolerance: float = TOLERANCE) -> DataFrame:
+    """ruled, verdict (null where no score reaches), pages: how the method judges the ruled pages of hosts left out of
+    the seeds, those whose crc32(host) mod folds is fold. All links and domains stay. Empty without such hosts."""
+    known, edges, votes = _known(pages, rules)
+    out = F.crc32(F.col("host").cast("binary")) % folds == fold
+    scores = host_scores(edges, votes.where(~out), tolerance)
+    judged = known.where(out & F.col("ruled").isNotNull()).join(scores, "host", "left")
+    verdict = F.when(F.col("distrust") > threshold, F.lit("block")).when(F.col("distrust").isNotNull(), F.lit("allow"))
+    return judged.groupBy("ruled", verdict.alias("verdict")).agg(F.count("*").alias("pages"))
+
+
 def op2_url_filter(spark, sf_dir: str) -> DataFrame:
-    return judge_pages(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    with scratch(spark) as kept:
+        return kept(judge_pages(table(spark, sf_dir, "pages").select("page_id", "url", "html")), "url-verdicts")
