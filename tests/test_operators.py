@@ -405,3 +405,28 @@ def test_merges(spark):
     assert key(writers.insert_ignore(s, n, ["k"], "seq")) == [(1, "a", 1), (2, "b", None), (3, "c", 3)]
     ids = writers.with_ids(s.repartition(3), 10, ["k"]).orderBy("k").collect()
     assert [r.id for r in ids] == [11, 12]
+
+
+def test_a_grid_is_folded_without_a_join_and_equals_books(spark, monkeypatch):
+    """Packed folds, with teams that play themselves, empty and missing lineups, against the plain book."""
+    from dataclasses import asdict
+
+    monkeypatch.setattr(ratings, "PACK", 3)
+    monkeypatch.setattr(ratings, "FOLDED", 2)
+    rnd = random.Random(7)
+    five = lambda: rnd.choice([None, [], rnd.sample(range(9), 5), rnd.sample(range(9), 5)])
+    rows = [(i, i // 2 * 40000, rnd.randrange(4), rnd.randrange(4), rnd.randrange(2), rnd.choice([None, 1, 2, 3]), five(), five()) for i in range(80)]
+    df = spark.createDataFrame(rows, "match_id long, start_time long, a long, b long, win int, patch int, lineup_a array<long>, lineup_b array<long>")
+    configs = {0: RatingConfig(), 3: RatingConfig(patch_rd_boost=40.0, roster_rd_boost=30.0), 4: RatingConfig(roster_rd_boost=60.0, idle_period_s=None)}
+    got = {(r.config_id, r.match_id): (r.prob, r.games_a, r.games_b) for r in ratings.forecasts(df.repartition(5), configs).collect()}
+    history = {(r.config_id, r.match_id, r.side): r for r in ratings.replay(df, configs).collect()}
+    for k, c in configs.items():
+        book = Book(asdict(c))
+        for m, when, a, b, win, patch, one, two in rows:
+            p, x, y = book.play(when, a, b, win, patch, frozenset(one or []) or None, frozenset(two or []) or None)
+            assert got[k, m][0] == pytest.approx(p, abs=1e-11) and got[k, m][1:] == (x, y)
+            r, (mu, phi, sigma, games, _, newest, lineup) = history[k, m, "b"], book.teams[b]
+            assert (r.mu, r.phi, r.sigma) == pytest.approx((mu, phi, sigma), abs=1e-11)
+            assert (r.last_patch, r.lineup) == (newest, sorted(lineup) if lineup else None)
+    card = walkforward.walk_forward(df, configs)
+    assert "Join" not in card.drop("x")._jdf.queryExecution().optimizedPlan().toString() and card.count() == 3

@@ -41,12 +41,16 @@ def in_scope(rows: DataFrame, start_scoring: int | None = None, min_games: int =
 
 def predictions(maps: DataFrame, configs: dict[int, RatingConfig]) -> DataFrame:
     """maps with config_id, prob and the decided games of both before each map, all from one fold."""
-    return maps.join(forecasts(maps, configs), "match_id")
+    return maps.join(forecasts(maps, configs).drop("start_time", "win"), "match_id")
 
 
 def walk_forward(maps: DataFrame, configs: dict[int, RatingConfig], end: int | None = None, **scope) -> DataFrame:
     """config_id and its score card, best log-loss first (null last), from maps before end."""
-    rows = in_scope(predictions(bounded(maps, end), configs), **scope)
+    maps = bounded(maps, end)
+    rows = forecasts(maps, configs)  # has all that a card needs, so that no row is shuffled once a configuration
+    if scope.get("leagues") is not None:
+        rows = rows.join(maps.select("match_id", "league_id"), "match_id")
+    rows = in_scope(rows, **scope)
     return scorecard(rows, ["config_id"], outcome="win").orderBy(F.asc_nulls_last("log_loss"), "config_id")
 
 
