@@ -1,7 +1,7 @@
 from collections import defaultdict
 
 from tests.llm.cases import docs, texts
-from tidemark.llm.line_dedup import dedup_lines
+from tidemark.llm.line_dedup import dedup_lines, dropped_positions
 
 
 def brute(rows, min_chars=10, min_docs=2):
@@ -46,3 +46,11 @@ def test_columns_called_like_temporaries(spark):
     out = dedup_lines(df)
     assert out.columns == ["doc_id", "text", *[n for n in names if n not in ("n_lines", "n_dropped")], "n_lines", "n_dropped"]
     assert {(r.doc_id, r.text, r["__id"], r["__out"], r["a.b"], r.n_lines, r.n_dropped) for r in out.collect()} == {(1, "a long enough line\nown", 0, 3, 10, 2, 0), (2, "own", 0, 3, 10, 2, 1)}
+
+
+def test_lines_are_hashed_once(spark):
+    """The hashes are stored, so that what counts and what joins them read no text."""
+    docs = spark.createDataFrame([(1, "a line of words\nx"), (2, "A line of words ")], "doc_id long, text string")
+    out = dropped_positions(docs)
+    assert "md5" not in out._jdf.queryExecution().optimizedPlan().toString()
+    assert [(r[0], r[2]) for r in out.collect()] == [(2, [0])]

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import BLANKS, ascii_lower, let, table
+from ._shared import BLANKS, ascii_lower, let, materialize, table
 
 
 def line_key(line: Column) -> Column:
@@ -32,6 +32,7 @@ def dropped_positions(docs: DataFrame, min_chars: int = 10, min_docs: int = 2) -
         .where(F.col("__id").isNotNull() & (F.char_length(key) >= min_chars))
         .select("__id", "__th", "__pos", F.unhex(F.md5(key.cast("binary"))).alias("__h"))
     )
+    lines = materialize(lines, "line-hashes")  # 16 bytes a line, so that texts are split and hashed once
     if min_docs <= 2:
         counted = lines.groupBy("__h").agg(F.min("__id").alias("__keeper"), F.max("__id").alias("__last"))
         repeated = counted.where((F.col("__keeper") < F.col("__last")) | F.lit(min_docs < 2))
