@@ -430,3 +430,12 @@ def test_a_grid_is_folded_without_a_join_and_equals_books(spark, monkeypatch):
             assert (r.last_patch, r.lineup) == (newest, sorted(lineup) if lineup else None)
     card = walkforward.walk_forward(df, configs)
     assert "Join" not in card.drop("x")._jdf.queryExecution().optimizedPlan().toString() and card.count() == 3
+
+
+def test_closing_lines_shuffle_quotes_once(spark):
+    """Quotes meet the bound of their event and are grouped by supersets of its keys: no stream of both sides, no window."""
+    snaps = spark.createDataFrame([(1, "s", "1", 1, n, None, 2.0, 5, None, "moneyline", "open", 0) for n in "ab"], "id long, source string, event_id string, period int, selection string, points double, price_decimal double, captured_at long, cutoff_at string, market_type string, status string, is_live int")
+    bounds = spark.createDataFrame([(7, 1, "s", "1", 9), (8, 1, "s", "1", 5)], "series_id long, period int, source string, event_id string, bound long")
+    lines = closing.closing_lines(snaps, bounds)
+    assert "Window" not in lines._jdf.queryExecution().optimizedPlan().toString()
+    assert [(r.series_id, r.captured_at, len(r.book)) for r in lines.collect()] == [(7, 5, 2)]
