@@ -79,3 +79,9 @@ def test_queries_over_the_real_operators_equal_sql(spark):
     for name in source_queries.OWN:
         assert len(same(spark, name)) > 0, name
     same(spark, "draft_features")
+
+
+def test_frozen_predictions_fold_once(spark):
+    """The history is stored before it is joined, so that no join folds all maps again."""
+    out = plans.QUERIES["frozen_series_prob"](spark, ROOT)
+    assert "MapInArrow" not in out._jdf.queryExecution().optimizedPlan().toString() and out.limit(1).count() == 1
