@@ -345,6 +345,31 @@ def test_combiner_step():
     assert m.predict(x) > p and m.theta[2] == 0
 
 
+def test_draft_streams_take_no_map_apart(spark):
+    """No row for each pair or matchup, no window by hero, and nothing joined once a configuration."""
+    df, _ = maps_df(spark, 40)
+    d = spark.createDataFrame([(m, [1, 2, 3, 4, 5 + m % 3], [11, 12, 13, 14, 15], True) for m in range(0, 40, 2)], "match_id long, heroes_a array<int>, heroes_b array<int>, first_a boolean")
+    plan = lambda out: out._jdf.queryExecution().optimizedPlan().toString()
+    out = plan(drafts.draft_features(rollups.running_games(df, ["start_time", "match_id"]), d))
+    assert "Window" not in out and "Generate" not in out and "Join" not in out
+    base = rollups.running_games(df, ["start_time", "match_id"]).withColumn("prob", F.lit(0.5))
+    rows = walkforward.draft_predictions(base, d, walkforward.draft_grid())
+    assert "Join" not in plan(rows) and rows.count() == 27 * 40 and rows.where("fallback").count() == 27 * 20
+
+
+def test_combiner_folds_as_it_predicts_and_updates():
+    rnd = random.Random(3)
+    maps = [(rnd.randrange(2), rnd.random() < 0.7, [rnd.gauss(0, 20 if k == 50 else 1) for _ in range(7)]) for k in range(200)]
+    plain, want = Combiner(), []
+    for won, known, x in maps:
+        want.append(plain.predict(x if known else x[:1]))
+        if known:
+            plain.update(x, float(won), want[-1])
+    folded = Combiner()
+    parts = [folded.fold([m[0] for m in part], [m[1] for m in part], *zip(*[m[2] for m in part], strict=True)) for part in (maps[:90], maps[90:])]
+    assert sum(parts, []) == pytest.approx(want, abs=1e-12) and folded.theta == pytest.approx(plain.theta, abs=1e-12)
+
+
 # --- closing lines, outcomes, settlement ---
 
 

@@ -7,8 +7,7 @@ from itertools import product
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..sources.shared import materialize
-from .drafts import DraftConfig, combine, feature_grid
+from .drafts import DRAFT, DraftConfig, combine, with_features
 from .ratings import RatingConfig, forecasts
 from .rollups import numbered, scorecard, scorecard_by_day
 
@@ -56,31 +55,29 @@ def walk_forward(maps: DataFrame, configs: dict[int, RatingConfig], end: int | N
 
 def walk_forward_draft(maps: DataFrame, drafts: DataFrame, configs: dict[int, DraftConfig], rating: RatingConfig = RatingConfig(), end: int | None = None, **scope) -> DataFrame:
     """config_id and its score card with the number of fallbacks, from maps before end."""
-    base = predictions(bounded(maps, end), {0: rating}).drop("config_id")
-    return scorecard(in_scope(draft_predictions(base, drafts, configs), **scope), ["config_id"], outcome="win", fallback="fallback").orderBy(F.asc_nulls_last("log_loss"), "config_id")
+    maps = bounded(maps, end)
+    rows = draft_predictions(predictions(maps, {0: rating}), drafts, configs)
+    if scope.get("leagues") is not None:
+        rows = rows.join(maps.select("match_id", "league_id"), "match_id")
+    return scorecard(in_scope(rows, **scope), ["config_id"], outcome="win", fallback="fallback").orderBy(F.asc_nulls_last("log_loss"), "config_id")
 
 
 def draft_predictions(base: DataFrame, drafts: DataFrame, configs: dict[int, DraftConfig]) -> DataFrame:
-    """base (maps with prob and games) with config_id, fallback and the combiner's prob.
+    """PREDICTED of each map of base (maps with prob and games) and configuration: the combiner's prob and fallback.
 
-    base and the features are written once, as each is read several times. Configurations that differ in half-life or
-    k_pair share the shuffles of feature_grid, those that differ in the learning rate alone share their feature lists.
+    Features and what a score card needs travel with the maps, so that nothing is joined once a configuration.
+    Configurations that differ in half-life or k_pair share a pass for features, those that differ in the learning rate
+    alone share their feature lists.
     """
-    base = materialize(base, "rated-maps")
     shared: dict[tuple, list[int]] = {}
     for k, c in configs.items():
         shared.setdefault((c.k_hero, c.k_team_hero, c.min_team_games), []).append(k)
-    maps, place, grids, size = base.select("match_id", "start_time", "a", "b", "win", "games_a", "games_b"), {}, [], 0
-    rows = base.select("match_id", "start_time", "win", "prob")
+    rows, place = base.select("match_id", "start_time", "a", "b", "win", "games_a", "games_b", "prob").join(drafts.select("match_id", *DRAFT), "match_id", "left"), {}
     for n, ids in enumerate(shared.values()):
         halves, ks = (list(dict.fromkeys(getattr(configs[k], f) for k in ids)) for f in ("half_life_days", "k_pair"))
-        found = materialize(feature_grid(maps, drafts, configs[ids[0]], halves, ks), "draft-features")
-        rows = rows.join(found.withColumnRenamed("grid", f"grid_{n}"), "match_id", "left")
-        place.update({k: size + halves.index(configs[k].half_life_days) * len(ks) + ks.index(configs[k].k_pair) for k in ids})
-        grids += [F.get(f"grid_{n}", F.lit(i)) for i in range(len(halves) * len(ks))]
-        size = len(grids)
-    rows = materialize(rows.select("match_id", "start_time", "win", "prob", F.array(*grids).alias("grid")), "draft-rows")
-    return base.drop("prob").join(combine(rows, configs, place), "match_id")
+        rows = with_features(rows, configs[ids[0]], halves, ks, f"grid_{n}")
+        place.update({k: (f"grid_{n}", halves.index(configs[k].half_life_days) * len(ks) + ks.index(configs[k].k_pair)) for k in ids})
+    return combine(rows, configs, place)
 
 
 def event_predictions_draft(maps: DataFrame, drafts: DataFrame, target: DataFrame, config: DraftConfig = DraftConfig(), rating: RatingConfig = RatingConfig()) -> DataFrame:
