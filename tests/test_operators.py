@@ -345,6 +345,23 @@ def test_combiner_step():
     assert m.predict(x) > p and m.theta[2] == 0
 
 
+def test_only_rows_without_a_value_are_joined_to_ancestors(spark, monkeypatch):
+    """Rows without a link, or with a value, aren't sent to the task of a null key at every step; none is lost."""
+    written = []
+    monkeypatch.setattr(links, "materialize", lambda df, tag: written.append(df.localCheckpoint()) or written[-1])
+    rows = [(i, i - 1 if i % 5 else None, i if i % 7 == 0 else None) for i in range(60)] + [(100, 101, None), (101, 100, None), (102, 999, None), (None, 7, None)]
+    df = spark.createDataFrame(rows, "id long, up long, v long")
+    got = {(r.id, r.up): r.v for r in links.inherit(df, "id", "up", "v").collect()}
+    parent, value = {i: p for i, p, _ in rows}, {i: v for i, _, v in rows}
+
+    def nearest(i, steps=0):
+        return None if i is None or steps > 9 else value[i] if value.get(i) is not None else nearest(parent.get(i), steps + 1)
+
+    assert got == {(i, p): nearest(i) for i, p, _ in rows}  # a row without a name is kept, unfilled
+    opened = sum(v is None and p is not None for _, p, v in rows)
+    assert [w.count() <= opened for w in written[1:]] == [True] * (len(written) - 1) and len(written) > 2
+
+
 def test_draft_streams_take_no_map_apart(spark):
     """No row for each pair or matchup, no window by hero, and nothing joined once a configuration."""
     df, _ = maps_df(spark, 40)

@@ -81,17 +81,27 @@ def unordered_pair(a: str, b: str) -> list[Column]:
 
 def inherit(df: DataFrame, node: str, parent: str, value: str, depth: int = 30) -> DataFrame:
     """df with value taken from the nearest ancestor that has one. Links double at every step, so that chains of 2^depth
-    are reached; every step is written, and it ends when a step fills nothing more. Rows on a loop stay unfilled."""
-    state, left = df.select(F.col(node).alias("__n"), F.col(parent).alias("__p"), F.col(value).alias("__v")), None
+    are reached; every step is written, and it ends when a step fills nothing more. Rows on a loop stay unfilled, and
+    so do rows whose node is null.
+
+    Only rows that still look for a value are joined to their ancestors, and only what was filled to df: rows without a
+    link would all meet in one task, as their key is null."""
+    open_, left = F.col("__v").isNull() & F.col("__p").isNotNull(), None
+    state = materialize(df.select(F.col(node).alias("__n"), F.col(parent).alias("__p"), F.col(value).alias("__v")), "ancestors")
+    settled, pending = state.where(~open_), state.where(open_)
+    found = pending.limit(0)
     for _ in range(depth):
-        up = state.select(F.col("__n").alias("__p"), F.col("__p").alias("__pp"), F.col("__v").alias("__pv"))
-        state = state.join(up, "__p", "left").select("__n", F.when(F.col("__v").isNull() & F.col("__pv").isNull(), F.col("__pp")).alias("__p"), F.coalesce("__v", "__pv").alias("__v"))
-        state = materialize(state, "ancestors")
-        now = state.where("__v IS NULL AND __p IS NOT NULL").count()
+        up = settled.unionByName(pending).select(F.col("__n").alias("__p"), F.col("__p").alias("__pp"), F.col("__v").alias("__pv"))
+        step = pending.join(up.where("__p IS NOT NULL"), "__p", "left").select("__n", F.when(F.col("__pv").isNull(), F.col("__pp")).alias("__p"), F.col("__pv").alias("__v"))
+        step = materialize(step, "ancestors")
+        filled, pending = step.where(~open_), step.where(open_)
+        settled, found = settled.unionByName(filled), found.unionByName(filled)
+        now = pending.count()
         if now in (0, left):
             break
         left = now
-    return df.drop(value).join(state.select(F.col("__n").alias(node), F.col("__v").alias(value)), node).select(*df.columns)
+    filled = found.where("__v IS NOT NULL").select(F.col("__n").alias(node), "__v")
+    return df.join(filled, node, "left").withColumn(value, F.coalesce(value, "__v")).select(*df.columns)
 
 
 #: Releases that a timeline may hold; it has a few a year.
