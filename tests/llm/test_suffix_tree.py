@@ -119,3 +119,14 @@ def test_repeats_nulls_clashes_and_empty(spark):
     only_held = next(i for i in range(100) if zlib.crc32(str(i).encode()) % 7 == 2)
     one = spark.createDataFrame([(only_held, "a b")], "doc_id long, text string")
     assert scored(one) == [(only_held, True, 3, 0, 0, 0.0, 0.0)]
+
+
+def test_runs_that_occur_twice_count_in_a_large_corpus(spark):
+    train = [i for i in range(9) if zlib.crc32(str(i).encode()) % 7 != 2][:3]
+    filler = 4_400_000
+    df = spark.createDataFrame(list(zip(train, ["z " * filler, "a b", "A b"], strict=True)), "doc_id long, text string").coalesce(1)
+    below = filler + 7 + 4 + 1
+    want = math.log10(3 / below * (2 + 3 / below) / 3 * (2 + 4 / below) / 3)
+    got = {r.doc_id: r for r in score(df).collect()}
+    assert [round(got[i].score, 9) for i in train[1:]] == [round(want, 9)] * 2 and got[train[0]].n_tokens == filler + 1
+    assert {(r.n_known - r.n_tokens, r.train_tokens) for r in got.values()} == {(0, filler + 7)}
