@@ -1,8 +1,11 @@
 import math
 import random
+import re
+import tracemalloc
 from collections import Counter
 
 import numpy as np
+import pytest
 
 from tests.llm.cases import docs, texts
 from tidemark.llm import near_dup
@@ -67,6 +70,47 @@ def test_similarities_are_exact():
             assert abs(got[i, j] - jaccard(shingles(rows[i]), shingles(rows[20 + j]), idf)) < 1e-9
 
 
+def test_few_texts_are_compared_in_little_memory():
+    """The table of shared shingles is as wide as there are such shingles, not as a whole block's."""
+    rows = [" ".join(f"w{i * k}" for i in range(200)) for k in (1, 1, 3)]
+    sets = [(s, n, np.ones(len(s))) for s, n in map(shingles, rows)]
+    tracemalloc.start()
+    got = similarities(sets[:1], sets[1:])
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert got.tolist() == [[1, 0]] and peak < 1_000_000
+
+
+@pytest.mark.parametrize("section", [1 << 16, 1 << 8, 7])
+def test_hashes_stand_for_words(section, monkeypatch):
+    """Across texts, sections and words longer than those, for ASCII and other letters; 1 to 4 words are one shingle."""
+    monkeypatch.setattr(near_dup, "SECTION", section)
+    rows = [t for t in corpus(9, 20)] + ["", None, "\u0130stanbul \u03a3\u03a3 \u00e9t\u00e9_1 \u0663 x" * 3, "ab" * 20000 + " ba" * 3, "a", "b a", "a b", "a\u2028b", "\U00010400 x"]
+    for part in (rows, [t for t in rows if t and t.isascii()], [], [None]):
+        hashes, at = near_dup.hashed_words(part)
+        words = [re.findall(r"\w+", (t or "").lower()) for t in part]
+        assert np.diff(at).tolist() == [len(w) for w in words]
+        pairs = set(zip(hashes.tolist(), (x for w in words for x in w), strict=True))
+        assert len(pairs) == len({h for h, _ in pairs}) == len({w for _, w in pairs})
+        own, n, bounds, keys = near_dup.shingle_sets(part)
+        for i, w in enumerate(words):
+            want = Counter(tuple(w[j : j + 5]) for j in range(max(len(w) and 1, len(w) - 4)))
+            assert (np.diff(own[bounds[i] : bounds[i + 1]].view(np.uint64).astype(object)) > 0).all()
+            assert sorted(n[bounds[i] : bounds[i + 1]].tolist()) == sorted(want.values())
+            assert np.array_equal(shingles(part[i])[0], own[bounds[i] : bounds[i + 1]]) and content_key(part[i]) == keys[i]
+
+
+def test_samples_are_least_of_all_shingles():
+    """What is left out of the computation of weights other than 1 changes no sample."""
+    rng, sampler = np.random.default_rng(7), Sampler()
+    for share in (0, 0.1, 1):
+        own = rng.integers(0, 2**63, 500, dtype=np.uint64)
+        weight = np.where(rng.random(500) < share, rng.choice([0.8, 0.93, 2.0, 7.0], 500), 1.0)
+        starts = np.array([0, 1, 3, 90, 400])
+        alone = sampler(own, weight, np.arange(500))
+        assert np.array_equal(sampler(own, weight, starts), np.minimum.reduceat(alone, starts))
+
+
 def test_samples_estimate_similarity():
     rng = np.random.default_rng(5)
     sampler = Sampler(2048)

@@ -7,8 +7,11 @@ what becomes a class is decided on exact similarities.
 
 from __future__ import annotations
 
+import functools
+import itertools
 import math
 import re
+import sys
 
 import numpy as np
 import pyarrow as pa
@@ -39,6 +42,8 @@ BLOCK_SHINGLES = 400_000
 BLOCK_TEXTS = 2_000
 #: Features of one row of counts.
 COUNTED = 1 << 12
+#: Characters whose words are hashed at once, and of the texts (or the one text) that are worked on at once.
+SECTION, PORTION = 1 << 16, 1 << 18
 
 _WORD = re.compile(r"\w+")
 _U = np.uint64
@@ -72,20 +77,87 @@ def _mixed(x: np.ndarray) -> np.ndarray:
 _POWERS = [pow(0x9E3779B97F4A7C15, j, 1 << 64) for j in range(WORDS)]
 
 
+_BASE = 0xD6E8FEB86659FD93
+_THERE, _BACK = (np.multiply.accumulate(np.array([1, *[x] * (SECTION - 1)], dtype=np.uint64)) for x in (_BASE, pow(_BASE, -1, 1 << 64)))
+
+
+@functools.cache
+def _letters() -> np.ndarray:
+    """A random odd number for each code point of \\w, 0 for others."""
+    codes = range(sys.maxunicode + 1)
+    inside = np.fromiter((c.isalnum() or c == "_" for c in map(chr, codes)), bool, len(codes))
+    return np.where(inside, _mixed(np.arange(1, len(codes) + 1, dtype=np.uint64)) | _U(1), _U(0))
+
+
+def hashed_words(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words of all texts in a row, and the texts' bounds among them. A word's is the sum of its letters'
+    numbers times powers of a base; two of V words share one with a probability of V^2 / 2^64."""
+    low = [t.lower() if t else "" for t in texts]
+    joined = "\n".join(low)
+    codes = np.frombuffer(joined.encode(), np.uint8) if joined.isascii() else np.frombuffer(joined.encode("utf-32-le"), np.uint32)
+    letters, words, starts, inside = _letters(), [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], False
+    for low_end in range(0, len(codes), SECTION):
+        value = letters[codes[low_end : low_end + SECTION]]
+        full = value != 0
+        begins = full.copy()
+        begins[1:] &= ~full[:-1]
+        begins[0] &= not inside
+        first = np.flatnonzero(begins)
+        value *= _THERE[: len(value)]
+        if inside and full[0]:  # the rest of a word that began in a section before
+            rest = int(value[: first[0] if len(first) else None].sum()) * pow(_BASE, low_end - int(starts[-1][-1]), 1 << 64)
+            words[-1][-1] = (int(words[-1][-1]) + rest) % (1 << 64)
+        if len(first):
+            words.append(np.add.reduceat(value, first) * _BACK[first])
+            starts.append(first + low_end)
+        inside = bool(full[-1])
+    ends = np.cumsum([0] + [len(t) + 1 for t in low])
+    return _mixed(np.concatenate(words)), np.searchsorted(np.concatenate(starts), ends)
+
+
+def shingle_sets(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[bytes]]:
+    """Of all texts in a row: their distinct shingles, sorted inside each text; how often each occurs; the texts' bounds
+    among them; the texts' content keys. A text of 1 to 4 words is one shingle."""
+    words, at = hashed_words(texts)
+    n = np.diff(at)
+    sizes = np.where(n < WORDS, np.minimum(n, 1), n - WORDS + 1)
+    bounds = np.concatenate([[0], np.cumsum(sizes)])
+    full = np.zeros(len(words), np.uint64)
+    for j in range(WORDS):
+        full[: max(0, len(words) - WORDS + 1)] += words[j : j + max(0, len(words) - WORDS + 1)] * _U(_POWERS[j])
+    own = _mixed(full[np.repeat(at[:-1] - bounds[:-1], sizes) + np.arange(bounds[-1])])
+    for i in np.flatnonzero((n > 0) & (n < WORDS)).tolist():
+        own[bounds[i]] = _mixed((words[at[i] : at[i + 1]] * np.array(_POWERS[: n[i]], dtype=np.uint64)).sum(keepdims=True) + _U(n[i]))[0]
+    for a, b in itertools.pairwise(bounds.tolist()):
+        own[a:b].sort()
+    new = np.ones(len(own), bool)
+    new[1:] = own[1:] != own[:-1]
+    new[bounds[:-1][sizes > 0]] = True
+    places = np.flatnonzero(new)
+    keys = [xxhash.xxh128_digest(words[a:b].tobytes()) for a, b in itertools.pairwise(at.tolist())]
+    return own[places], np.diff(np.append(places, len(own))), np.searchsorted(places, bounds), keys
+
+
 def shingles(text: str | None) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct shingles of a text, sorted, and how often each occurs. A text of 1 to 4 words is one shingle."""
-    w = word_hashes(words_of(text))
-    if not len(w):
-        return w, np.zeros(0, dtype=np.int64)
-    n = max(1, len(w) - WORDS + 1)
-    h = np.full(n, _U(len(w) if len(w) < WORDS else 0))
-    for j in range(min(WORDS, len(w))):
-        h += w[j : j + n] * _U(_POWERS[j])
-    return np.unique(_mixed(h), return_counts=True)
+    """Distinct shingles of a text, sorted, and how often each occurs."""
+    return shingle_sets([text])[:2]
 
 
 def content_key(text: str | None) -> bytes:
-    return xxhash.xxh128_digest(" ".join(words_of(text)))
+    return shingle_sets([text])[3][0]
+
+
+def _portions(texts: pa.Array):
+    """(begin, texts) of about PORTION characters each, or of one text."""
+    held, size, begin = [], 0, 0
+    for i, text in enumerate(texts):
+        held.append(text.as_py())
+        size += len(held[-1] or "")
+        if size >= PORTION:
+            yield begin, held
+            held, size, begin = [], 0, i + 1
+    if held:
+        yield begin, held
 
 
 # --- document frequencies -------------------------------------------------------------------------------------------
@@ -101,9 +173,12 @@ def _counted(batches):
     total, docs = np.zeros(1 << FEATURE_BITS, dtype=np.int64), 0
     for batch in batches:
         held = []
-        for text in batch.column(0):
-            f = features_of(shingles(text.as_py())[0])
-            held.append(f[np.flatnonzero(np.diff(f, prepend=-1))])  # shingles are sorted, so equal features are neighbours
+        for _, texts in _portions(batch.column(0)):
+            own, _, bounds, _ = shingle_sets(texts)
+            f = features_of(own)
+            new = np.diff(f, prepend=-1) != 0  # shingles are sorted, so equal features are neighbours
+            new[bounds[:-1][np.diff(bounds) > 0]] = True
+            held.append(f[new])
         docs += batch.num_rows
         if held:
             total += np.bincount(np.concatenate(held), minlength=len(total))
@@ -172,7 +247,8 @@ class Sampler:
     Of each shingle and sample number k, r and c ~ Gamma(2, 1) and beta ~ U(0, 1) are read by 16 hash bits from a
     fixed table; t = floor(ln w / r + beta), ln y = r (t - beta), and the smallest ln a = ln c - ln y - r wins. The
     table is sorted by ln a at w = 1, the weight of nearly all shingles, where a plain minimum of hashes so finds the
-    winner; other weights are computed and ranked in the same order. Further hash bits break ties, the last 8 hold t.
+    winner; other weights are computed and ranked in the same order, as far as ln a >= ln c - r - ln w doesn't already
+    lose to the plain minimum. Further hash bits break ties, the last 8 hold t.
     """
 
     def __init__(self, samples: int = SAMPLES, seed: int = 20):
@@ -181,28 +257,32 @@ class Sampler:
         order = np.argsort(np.log(c) + r * beta - r, kind="stable")
         self.r, self.log_c, self.beta = r[order], np.log(c)[order], beta[order]
         self.at_one = self.log_c + self.r * self.beta - self.r
+        self.least, self.bar = self.log_c - self.r, np.append(self.at_one[:-1], np.inf) + 1e-9
         self.xors = rng.integers(0, 1 << 63, samples, dtype=np.uint64)
         self.factors = rng.integers(0, 1 << 63, samples, dtype=np.uint64) * _U(2) + _U(1)
 
     def __call__(self, own: np.ndarray, weight: np.ndarray, starts: np.ndarray) -> np.ndarray:
         """A row of samples for each text; own and weight: shingles of all texts, one text after the other."""
         other = np.flatnonzero(weight != 1)
-        log_w = np.log(weight[other])
-        out = np.empty((len(starts), len(self.xors)), dtype=np.uint64)
+        text, log_w = np.searchsorted(starts, other, "right") - 1, np.log(weight[other])
+        out, x, y = np.empty((len(starts), len(self.xors)), dtype=np.uint64), np.empty_like(own), np.empty_like(own)
         for k, (a, b) in enumerate(zip(self.xors, self.factors, strict=True)):
-            x = (own ^ a) * b
-            x ^= x >> _U(31)
+            np.bitwise_xor(own, a, out=x)
+            x *= b
+            x ^= np.right_shift(x, _U(31), out=y)
             x *= _U(0xD6E8FEB86659FD93)
-            key = (x & _U(0xFFFFFFFFFFFFFF00)) | _U(128)
+            theirs = x[other]
+            x[other] = _U(0xFFFFFFFFFFFFFFFF)
+            key = (np.minimum.reduceat(x, starts) & _U(0xFFFFFFFFFFFFFF00)) | _U(128)
             if len(other):
-                y = x[other]
-                at = (y >> _U(48)).astype(np.int64)
+                at, bar = (theirs >> _U(48)).astype(np.int64), self.bar[(key >> _U(48)).astype(np.int64)]
+                may = np.flatnonzero(self.least[at] - log_w <= bar[text])
+                at, z, w = at[may], theirs[may], log_w[may]
                 r, beta = self.r[at], self.beta[at]
-                t = np.floor(log_w / r + beta)
-                log_a = self.log_c[at] - r * (t - beta) - r
-                rank = np.minimum(np.searchsorted(self.at_one, log_a), 65535).astype(np.uint64)
-                key[other] = (rank << _U(48)) | (y & _U(0x0000FFFFFFFFFF00)) | (np.clip(t, -127, 127) + 128).astype(np.uint64)
-            out[:, k] = np.minimum.reduceat(key, starts)
+                t = np.floor(w / r + beta)
+                rank = np.minimum(np.searchsorted(self.at_one, self.log_c[at] - r * (t - beta) - r), 65535).astype(np.uint64)
+                np.minimum.at(key, text[may], (rank << _U(48)) | (z & _U(0x0000FFFFFFFFFF00)) | (np.clip(t, -127, 127) + 128).astype(np.uint64))
+            out[:, k] = key
         return out
 
 
@@ -221,32 +301,19 @@ def _signed(weights):
     def run(batches):
         sampler, idf = Sampler(), Weights(weights.value)
 
-        def rows(ids, keys, sets):
-            counts = np.array([len(s) for s, _ in sets], dtype=np.int64)
-            full = np.flatnonzero(counts)
-            bands, brief = [None] * len(ids), [None] * len(ids)
-            if len(full):
-                own = np.concatenate([sets[i][0] for i in full])
-                weight = idf(own) * np.concatenate([sets[i][1] for i in full])
-                got = sampler(own, weight, np.concatenate([[0], np.cumsum(counts[full])[:-1]]))
-                short = (got * _U(_POWERS[1]) >> _U(48)).astype("<u2")
-                for i, b, s in zip(full.tolist(), bands_of(got).view(np.int64).tolist(), short, strict=True):
-                    bands[i], brief[i] = b, s.tobytes()
-            return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(keys, pa.binary()), pa.array(counts), pa.array(bands, pa.list_(pa.int64())), pa.array(brief, pa.binary())], ["doc_id", "content", "n", "bands", "samples"])
-
         for batch in batches:
-            ids, keys, sets, size = [], [], [], 0
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                t = text.as_py()
-                ids.append(doc)
-                keys.append(content_key(t))
-                sets.append(shingles(t))
-                size += len(sets[-1][0])
-                if size >= 200_000:
-                    yield rows(ids, keys, sets)
-                    ids, keys, sets, size = [], [], [], 0
-            if ids:
-                yield rows(ids, keys, sets)
+            for begin, texts in _portions(batch.column(1)):
+                own, n, bounds, keys = shingle_sets(texts)
+                counts = np.diff(bounds)
+                full = np.flatnonzero(counts)
+                bands, brief = [None] * len(texts), [None] * len(texts)
+                if len(full):
+                    got = sampler(own, idf(own) * n, bounds[:-1][full])
+                    short = (got * _U(_POWERS[1]) >> _U(48)).astype("<u2")
+                    for i, b, s in zip(full.tolist(), bands_of(got).view(np.int64).tolist(), short, strict=True):
+                        bands[i], brief[i] = b, s.tobytes()
+                columns = [batch.column(0).slice(begin, len(texts)), pa.array(keys, pa.binary()), pa.array(counts, pa.int64()), pa.array(bands, pa.list_(pa.int64())), pa.array(brief, pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "content", "n", "bands", "samples"])
 
     return run
 
@@ -341,8 +408,9 @@ def similarities(left: list, right: list) -> np.ndarray:
     row, column, weight = row[use], shared[inverse[use]], weight[use]
     order = np.argsort(column, kind="stable")
     row, column, weight = row[order], column[order], weight[order]
-    common, width = np.zeros((len(left), len(right))), max(256, 4_000_000 // max(1, len(sets)))
-    for start in range(0, int(column[-1]) + 1 if len(column) else 0, width):
+    columns = int(column[-1]) + 1 if len(column) else 0
+    common, width = np.zeros((len(left), len(right))), min(max(256, 4_000_000 // max(1, len(sets))), max(1, columns))
+    for start in range(0, columns, width):
         a, b = np.searchsorted(column, [start, start + width])
         x = np.zeros((len(sets), width))
         x[row[a:b], column[a:b] - start] = np.sqrt(weight[a:b])
@@ -350,6 +418,16 @@ def similarities(left: list, right: list) -> np.ndarray:
     return common / np.maximum(total[: len(left), None] + total[None, len(left) :] - common, 1e-300)
 
 
+def _weighed(group: pa.Table, idf: Weights) -> list:
+    """(shingles, counts, idf weights) of each text of a group."""
+    out = []
+    for part in group.column("text").chunks:
+        for _, texts in _portions(part):
+            own, n, bounds, _ = shingle_sets(texts)
+            out += zip(*[np.split(x, bounds[1:-1]) for x in (own, n, idf(own))], strict=True)
+    return out
+
+
 def _linked(weights, threshold: float):
     """Edges of each group of texts to the smallest id that verified links connect it with inside the group."""
 
@@ -357,7 +435,7 @@ def _linked(weights, threshold: float):
         idf = Weights(weights.value)
         one = bool(group.column("i")[0].as_py() == group.column("j")[0].as_py())
         ids, sides = group.column("doc").to_pylist(), group.column("side").to_pylist()
-        sets = [(s, n, idf(s)) for s, n in (shingles(t.as_py()) for t in group.column("text"))]
+        sets = _weighed(group, idf)
         a = [k for k, s in enumerate(sides) if s == 0]
         b = a if one else [k for k, s in enumerate(sides) if s == 1]
         parent = list(range(len(ids)))
@@ -393,7 +471,7 @@ def _starred(weights, threshold: float):
     def run(group: pa.Table) -> pa.Table:
         idf, hub = Weights(weights.value), group.column("root")[0].as_py()
         ids, sides = group.column("doc").to_pylist(), group.column("side").to_pylist()
-        sets = [(s, n, idf(s)) for s, n in (shingles(t.as_py()) for t in group.column("text"))]
+        sets = _weighed(group, idf)
         spokes, hubs = ([k for k, s in enumerate(sides) if s == x] for x in (1, 0))
         near = (similarities([sets[k] for k in spokes], [sets[k] for k in hubs]) >= threshold - 1e-9).any(axis=1) if spokes and hubs else []
         found = sorted({ids[k] for k, hit in zip(spokes, near, strict=True) if hit})
