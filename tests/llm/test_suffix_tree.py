@@ -130,3 +130,20 @@ def test_runs_that_occur_twice_count_in_a_large_corpus(spark):
     got = {r.doc_id: r for r in score(df).collect()}
     assert [round(got[i].score, 9) for i in train[1:]] == [round(want, 9)] * 2 and got[train[0]].n_tokens == filler + 1
     assert {(r.n_known - r.n_tokens, r.train_tokens) for r in got.values()} == {(0, filler + 7)}
+
+
+def test_longer_runs_are_asked_for_by_both_parts(spark, monkeypatch):
+    """Pairs of "a b c d" occur twice, its first three tokens once: four tokens need no count."""
+    lengths, real = set(), suffix_tree.materialize
+
+    def spy(df, tag):
+        out = real(df, tag)
+        if tag == "run-counts":
+            lengths.update(r.k for r in out.select("k").collect())
+        return out
+
+    monkeypatch.setattr(suffix_tree, "materialize", spy)
+    train = [i for i in range(9) if zlib.crc32(str(i).encode()) % 7 != 2][:4]
+    rows = list(zip(train, ["a b c d", "a b", "b c", "c d"], strict=True))
+    assert scored(spark.createDataFrame(rows, "doc_id long, text string")) == plain(rows)[0]
+    assert lengths == {0, 1, 2}
