@@ -228,6 +228,42 @@ def test_volatility_balances():
         assert math.exp(x) * (delta**2 - s) / (2 * s * s) == pytest.approx((x - 2 * math.log(sigma)) / tau**2, abs=1e-6)
 
 
+def test_volatility_of_a_surprise_balances():
+    """Of a result that was all but ruled out: a balance near the old value where there is one, else a far one, never an error."""
+    for v, sigma in [(1e14, 0.06), (1e25, 0.06), (1e14, 5.0), (1e25, 5.0), (1e25, 1e12)]:
+        delta, phi, tau = 0.6 * v, 2.0, 0.5
+        x = 2 * math.log(ratings.new_volatility(phi, sigma, v, delta, tau))
+        grown = math.exp(x) / v
+        s = phi**2 / v + 1 + grown
+        assert grown * (0.36 * v - s) / (2 * s * s) == pytest.approx((x - 2 * math.log(sigma)) / tau**2, rel=1e-6)
+        assert x > 2 * math.log(sigma) and (sigma > 1) == (x > 2 * math.log(sigma) + 0.1)
+
+
+def test_sure_maps_are_folded(spark):
+    """Teams so far apart that a chance rounds to 1, or its power overflows: who was sure to win loses, then wins."""
+    from dataclasses import asdict
+
+    configs = {0: RatingConfig(), 1: RatingConfig(roster_rd_boost=30.0)}
+    start = {1: 30.0, 2: -30.0, 3: 900.0, 4: -900.0}
+    rows = [(i, 1000 * i, a, b, win, [i + n for n in range(5)], None) for i, (a, b, win) in enumerate([(1, 2, 0), (4, 3, 1), (3, 4, 0), (1, 2, 1), (2, 3, 1), (1, 3, 0), (4, 2, 1), (4, 1, 0)] * 4)]
+    df = spark.createDataFrame(rows, "match_id long, start_time long, a long, b long, win int, lineup_a array<long>, lineup_b array<long>")
+    states = spark.createDataFrame([(k, t, mu, 1.5, 0.06, 9, -5, None, None) for k in configs for t, mu in start.items()], ratings.STATES)
+    history = {(r.config_id, r.match_id, r.side): r for r in ratings.replay(df, configs, states).collect()}
+    short = {(r.config_id, r.match_id): r.prob for r in ratings.forecasts(df, configs, states).collect()}
+    assert len(history) == 2 * len(short) == 4 * len(rows)
+    for k, c in configs.items():
+        book = Book(asdict(c))
+        book.teams = {t: (mu, 1.5, 0.06, 9, -5, None, None) for t, mu in start.items()}
+        for m, when, a, b, win, one, _ in rows:
+            before, p = {t: book.teams[t][0] for t in (a, b)}, book.play(when, a, b, win, None, frozenset(one), None)[0]
+            assert short[k, m] == pytest.approx(p, abs=1e-9) and 0 <= p <= 1
+            for side, t, won in (("a", a, win), ("b", b, 1 - win)):
+                r, (mu, phi, sigma, *_rest) = history[k, m, side], book.teams[t]
+                assert (r.mu, r.phi, r.sigma) == pytest.approx((mu, phi, sigma), rel=1e-6) and all(map(math.isfinite, (mu, phi, sigma)))
+                assert mu >= before[t] if won else mu <= before[t]
+        assert history[k, 0, "a"].prob == pytest.approx(1) and history[k, 0, "b"].mu > -30 + 1
+
+
 def test_replay_doesnt_depend_on_row_order_and_equals_a_plain_fold(spark):
     df, rows = maps_df(spark)
     configs = {0: RatingConfig(), 1: RatingConfig(tau=0.3, patch_rd_boost=60.0, roster_rd_boost=30.0), 5: RatingConfig(tau=1.0), 7: RatingConfig(patch_rd_boost=20.0)}
