@@ -264,6 +264,17 @@ def test_sure_maps_are_folded(spark):
         assert history[k, 0, "a"].prob == pytest.approx(1) and history[k, 0, "b"].mu > -30 + 1
 
 
+def test_predictions_frozen_after_sure_maps(spark):
+    c = RatingConfig(roster_rd_boost=30.0)
+    states = spark.createDataFrame([(0, t, mu, 1.5, 0.06, 9, -5, None, None) for t, mu in ((1, 60.0), (2, -900.0))], ratings.STATES)
+    rows = [(i, 1000 * i, 1, 2, i % 3 // 2, [i + n for n in range(5)], None) for i in range(9)]
+    df = spark.createDataFrame(rows, "match_id long, start_time long, a long, b long, win int, lineup_a array<long>, lineup_b array<long>")
+    at = spark.createDataFrame([(k, a, b, 1000 * k) for k in range(1, 10) for a, b in ((1, 2), (2, 1))], "k long, a long, b long, when long")
+    got = {(r.k, r.a): r.p_map for r in ratings.frozen(ratings.replay(df, {0: c}, states), at, c).collect()}
+    assert len(got) == 18 and all(got[k, 1] + got[k, 2] == pytest.approx(1) for k in range(1, 10))
+    assert got[1, 1] == pytest.approx(1)
+
+
 def test_replay_doesnt_depend_on_row_order_and_equals_a_plain_fold(spark):
     df, rows = maps_df(spark)
     configs = {0: RatingConfig(), 1: RatingConfig(tau=0.3, patch_rd_boost=60.0, roster_rd_boost=30.0), 5: RatingConfig(tau=1.0), 7: RatingConfig(patch_rd_boost=20.0)}
