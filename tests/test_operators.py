@@ -521,6 +521,31 @@ def test_a_grid_is_folded_without_a_join_and_equals_books(spark, monkeypatch):
     assert "Join" not in card.drop("x")._jdf.queryExecution().optimizedPlan().toString() and card.count() == 3
 
 
+def test_all_pairs_are_joined_in_blocks(spark, monkeypatch):
+    """Whole and equal to a plain join, with doubles, null keys and ids and a key with most of the rows; the join itself sees blocks of ids."""
+    monkeypatch.setattr(links, "LEFT_BLOCK", 4)
+    monkeypatch.setattr(links, "RIGHT_BLOCK", 8)
+    rnd = random.Random(3)
+    side = lambda n: [(rnd.choice([1, 1, 1, 1, 2, 3, None]), rnd.choice([1, 1, 1, 2, None]), rnd.choice([None, *range(n)])) for _ in range(n)]
+    one, two = side(60), side(90)
+    left, right = spark.createDataFrame(one, "x int, y int, e long").repartition(3), spark.createDataFrame(two, "x int, y int, m long").repartition(2)
+    out = links.all_pairs(left, right, ["x", "y"], "e", "m")
+    want = sorted(((e, m) for a, b, e in one for c, d, m in two if (a, b) == (c, d) and None not in (a, b)), key=repr)
+    assert out.dtypes == [("e", "bigint"), ("m", "bigint")] and sorted(map(tuple, out.collect()), key=repr) == want
+    assert out.select(F.spark_partition_id().alias("p")).toPandas().p.value_counts().max() < len(want) / 2
+
+
+def test_either_side_join_forms_its_pairs_behind_the_join(spark):
+    """Every row of the result is made of two blocks, which is what the join gives, and comes in runs of one map."""
+    from tidemark import plans
+
+    out = plans.QUERIES["either_side_join"](spark, "/root/testdata/sf0.01")
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Generate") < plan.index("Join") and plan.count("collect_list") == 2
+    runs = out.withColumn("p", F.spark_partition_id()).toPandas()
+    assert len(runs) > 10_000 and (runs.match_id != runs.match_id.shift()).sum() < len(runs) / 20
+
+
 def test_closing_lines_shuffle_quotes_once(spark):
     """Quotes meet the bound of their event and are grouped by supersets of its keys: no stream of both sides, no window."""
     snaps = spark.createDataFrame([(1, "s", "1", 1, n, None, 2.0, 5, None, "moneyline", "open", 0) for n in "ab"], "id long, source string, event_id string, period int, selection string, points double, price_decimal double, captured_at long, cutoff_at string, market_type string, status string, is_live int")
