@@ -521,6 +521,21 @@ def test_a_grid_is_folded_without_a_join_and_equals_books(spark, monkeypatch):
     assert "Join" not in card.drop("x")._jdf.queryExecution().optimizedPlan().toString() and card.count() == 3
 
 
+def test_drafts_are_combined_with_sure_maps(spark):
+    """Deviations so wide that ratings part within few maps: the combiner gets every map, with a chance in [0, 1]."""
+    rnd = random.Random(9)
+    rows = [(i, 1000 * i, a, b, int(a < b) if i % 7 else int(a > b)) for i in range(300) for a, b in [rnd.sample(range(12), 2)]]
+    df = spark.createDataFrame(rows, "match_id long, start_time long, a long, b long, win int")
+    lineups = [(i, h[:5], h[5:], True) for i in range(300) if i % 5 for h in [rnd.sample(range(30), 10)]]
+    picked = spark.createDataFrame(lineups, "match_id long, heroes_a array<int>, heroes_b array<int>, first_a boolean")
+    wide = RatingConfig(initial_rd=8000.0, max_rd=8000.0)
+    base = walkforward.predictions(df, {0: wide}).drop("config_id")
+    out = walkforward.draft_predictions(base, picked, {0: DraftConfig()}).collect()
+    assert len(out) == 300 and all(0 <= r.prob <= 1 for r in out)
+    card = walkforward.walk_forward_draft(df, picked, {0: DraftConfig()}, wide).first()
+    assert card.n == 300 and card.n_fallback == 60 and math.isfinite(card.log_loss)
+
+
 def test_all_pairs_are_joined_in_blocks(spark, monkeypatch):
     """Whole and equal to a plain join, with doubles, null keys and ids and a key with most of the rows; the join itself sees blocks of ids."""
     monkeypatch.setattr(links, "LEFT_BLOCK", 4)
